@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 #: Query name -> module of this subpackage that defines a function of that name.
 MODULES = {
     "op4_quality": "quality",
+    "op5_warc": "warc",
+    "op10_decontaminate": "decontaminate",
 }
 
 
