@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 MODULES = {
     "op4_quality": "quality",
     "op5_warc": "warc",
+    "op9_bpe": "bpe",
     "op10_decontaminate": "decontaminate",
 }
 
