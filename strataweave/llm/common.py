@@ -38,7 +38,8 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 def words(text: str | Column) -> Column:
     """Words of a text in order; none for null or blank texts."""
     text = F.col(text) if isinstance(text, str) else text
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
+    inner = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, SPACE))
 
 
 def lower_ascii(text: str | Column) -> Column:

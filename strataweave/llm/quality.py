@@ -35,18 +35,15 @@ SYMBOLS = r"[#*$%&|<>]"
 
 
 def grams(text: Column, buckets: int) -> tuple[Column, Column]:
-    """Expressions for the tokens of a text and, from the column ``tokens``, the buckets of its n-grams."""
+    """Expressions for a text's ``hashes`` (CRC-32 of each token) and, from that column, its n-grams' buckets."""
     tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
-    bucket = lambda s: (F.crc32(s.cast("binary")) % buckets).cast("int")
-    t = F.col("tokens")
+    h = F.col("hashes")
     pairs = F.when(
-        F.size(t) > 1,
-        F.transform(
-            F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))),
-            lambda b, i: bucket(F.concat(F.get(t, i), F.lit(" "), b)),
-        ),
+        F.size(h) > 1,
+        F.transform(F.slice(h, 2, F.greatest(F.size(h) - 1, F.lit(0))), lambda b, i: ((F.get(h, i) * 31 + b) % buckets).cast("int")),
     ).otherwise(F.array().cast("array<int>"))
-    return tokens, F.concat(F.transform(t, bucket), pairs)
+    hashes = F.transform(tokens, lambda x: F.crc32(x.cast("binary")))
+    return hashes, F.concat(F.transform(h, lambda x: (x % buckets).cast("int")), pairs)
 
 
 def trusted(labels: DataFrame, rows: int = TRUSTED_ROWS) -> DataFrame:
@@ -56,27 +53,26 @@ def trusted(labels: DataFrame, rows: int = TRUSTED_ROWS) -> DataFrame:
 
 
 def weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, rows: int = TRUSTED_ROWS) -> DataFrame:
-    """One row for each bucket: its counts and its log ratio in whole ``UNIT`` parts."""
-    tokens, buckets_of = grams(F.col("text"), buckets)
+    """One row: ``t``, the log ratio of every bucket in whole ``UNIT`` parts, and the totals."""
+    hashes, buckets_of = grams(F.col("text"), buckets)
     good = trusted(labels, rows).withColumn("good", F.lit(1))
     counts = (
         docs.select("doc_id", "text")
         .join(F.broadcast(good), "doc_id", "left")
-        .select("good", tokens.alias("tokens"))
+        .select("good", hashes.alias("hashes"))
         .select("good", F.explode(buckets_of).alias("bucket"))
         .groupBy("bucket")
         .agg(F.count(F.lit(1)).alias("raw"), F.count("good").alias("good"))
     )
-    spark = docs.sparkSession
-    full = spark.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").fillna(0)
-    total = counts.agg(F.sum("raw").alias("all_raw"), F.sum("good").alias("all_good")).fillna(0)
-    ratio = F.log((F.col("good") + SMOOTH) / (F.col("all_good") + SMOOTH * buckets)) - F.log(
-        (F.col("raw") + SMOOTH) / (F.col("all_raw") + SMOOTH * buckets)
-    )
-    known = F.coalesce(F.col("all_good"), F.lit(0)) > 0
-    return full.crossJoin(F.broadcast(total)).select(
-        "bucket", "raw", "good", F.when(known, F.round(ratio * UNIT).cast("long")).otherwise(F.lit(0)).alias("weight")
+    zero = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"), F.lit(0).alias("raw"), F.lit(0).alias("good"))
+    every = counts.unionByName(zero).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good"))
+    whole = every.agg(
+        F.sort_array(F.collect_list(F.struct("bucket", "raw", "good"))).alias("c"), F.sum("raw").alias("all_raw"), F.sum("good").alias("all_good")
     )
+    share = lambda part, total: F.log((part + SMOOTH) / (F.col(total) + SMOOTH * buckets))
+    ratio = F.transform("c", lambda c: F.round((share(c["good"], "all_good") - share(c["raw"], "all_raw")) * UNIT).cast("long"))
+    zeros = F.transform("c", lambda c: F.lit(0).cast("long"))
+    return whole.select(F.when(F.col("all_good") > 0, ratio).otherwise(zeros).alias("t"), "all_raw", "all_good")
 
 
 def repeated_words(w: Column) -> list[tuple[str, Column]]:
@@ -153,21 +149,20 @@ def quality(
 ) -> DataFrame:
     """Every row of ``docs`` with its counts, ``ratio_sum``, ``n_grams`` and ``kept``."""
     own = docs.columns
-    table = weights(docs, labels, buckets, rows).agg(F.sort_array(F.collect_list(F.struct("bucket", "weight"))).alias("t"))
-    by_bucket = table.select(F.col("t.weight").alias("t")).scalar()
+    by_bucket = weights(docs, labels, buckets, rows).select("t").scalar()
     put = docs.select(*own)
-    inner = ["w", "t", "lines", "h3", "s3", "p3", "tokens", "g", "n_words", "word_chars", "n_symbols", "n_dup_lines"]
+    inner = ["w", "t", "lines", "h3", "s3", "p3", "hashes", "g", "n_words", "word_chars", "n_symbols", "n_dup_lines"]
     if clash := [c for c in own if c in inner]:
         put = put.drop(*clash)
-    tokens, buckets_of = grams(F.col("text"), buckets)
+    hashes, buckets_of = grams(F.col("text"), buckets)
     g = F.col("g")
-    scored = base_rules(put).withColumn("tokens", tokens).withColumn("g", buckets_of).withColumn("t", by_bucket)
+    scored = base_rules(put).withColumn("hashes", hashes).withColumn("g", buckets_of).withColumn("t", by_bucket)
     scored = scored.withColumns(
         {
             "n_grams": F.size(g).cast("long"),
             "ratio_sum": F.aggregate(g, F.lit(0).cast("long"), lambda a, b: a + F.get(F.col("t"), b)),
         }
-    ).drop("tokens", "g", "t")
+    ).drop("hashes", "g", "t")
     reached = F.col("ratio_sum") >= F.lit(round(threshold * UNIT)).cast("long") * F.col("n_grams")
     return scored.withColumn("kept", ~F.col("base_failed") & reached)
 
