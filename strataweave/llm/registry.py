@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 
 #: Query name -> module of this subpackage that defines a function of that name.
 MODULES = {
+    "op3_near_duplicates": "near",
     "op4_quality": "quality",
     "op5_warc": "warc",
     "op9_bpe": "bpe",
