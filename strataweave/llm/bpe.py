@@ -27,7 +27,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import bounded_batches, read
 
 CHUNK_BYTES = 8 << 20
 CHUNK_ROWS = 20_000
@@ -204,6 +204,7 @@ def encode(docs: DataFrame, path: str | None = None, full: bool = True, buckets:
 
     ``buckets`` of the distinct-word table: by default one for each 128 MB of input, 256 to 4096.
     """
+    bounded_batches(docs.sparkSession)
     path = path or tokenizer_path()
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
     buckets = buckets or max(256, min(4096, _input_bytes(texts) >> 27))

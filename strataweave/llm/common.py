@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
-import os
 import tempfile
 import uuid
 
@@ -52,6 +50,9 @@ def lower_ascii(text: str | Column) -> Column:
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def quiet_unlink(path: str) -> None:
-    with contextlib.suppress(OSError):
-        os.unlink(path)
+
+
+def bounded_batches(spark: SparkSession, rows: int = 2000, size: str = "16m") -> None:
+    """Keeps Arrow batches small: texts may be long, and a batch is held in memory as a whole."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

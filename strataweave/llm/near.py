@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, read, settle
+from .common import LOWER, bounded_batches, read, settle
 from .graph import block_links, components
 from .hashing import WordHash, shingle_set
 
@@ -149,6 +149,7 @@ def similar_sets(threshold: int):
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs``."""
+    bounded_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     rows = settle(texts.mapInArrow(_sketch(width), "doc_id long, n long, digest binary, sig binary"), "near-rows")
     full = rows.filter("digest IS NOT NULL AND doc_id IS NOT NULL")
