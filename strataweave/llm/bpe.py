@@ -41,13 +41,17 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 def _load(path: str):
+    """The tokenizer of a file, loaded once in each worker process."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    found = Tokenizer.from_file(path)
-    found.no_padding()
-    found.no_truncation()
-    return found
+    import tokenizers
+
+    loaded = vars(tokenizers).setdefault("_strataweave_loaded", {})
+    if path not in loaded:
+        found = tokenizers.Tokenizer.from_file(path)
+        found.no_padding()
+        found.no_truncation()
+        loaded[path] = found
+    return loaded[path]
 
 
 def _pieces(tokenizer) -> list[bytes]:
