@@ -13,6 +13,7 @@ MODULES = {
     "op3_near_duplicates": "near",
     "op4_quality": "quality",
     "op5_warc": "warc",
+    "op6_html": "html_text",
     "op9_bpe": "bpe",
     "op10_decontaminate": "decontaminate",
 }
