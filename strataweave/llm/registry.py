@@ -14,6 +14,7 @@ MODULES = {
     "op4_quality": "quality",
     "op5_warc": "warc",
     "op6_html": "html_text",
+    "op7_quotes": "quotes",
     "op8_toxicity": "toxicity",
     "op9_bpe": "bpe",
     "op10_decontaminate": "decontaminate",
