@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, read
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 16 << 20
 CHUNK_ROWS = 20_000
 TOKENIZER = "word_bpe_49k.json"
 
@@ -83,7 +83,7 @@ def _pack_words(buckets: int):
     def run(batches):
         import pyarrow as pa
 
-        zstd = pa.Codec("zstd", 1)
+        zstd = pa.Codec("zstd", 3)
         for chunk, _, texts in _chunks(batches):
             found: set[bytes] = set()
             for text in texts:
@@ -108,7 +108,7 @@ def _pack_words(buckets: int):
 def _pack_docs(batches):
     import pyarrow as pa
 
-    zstd = pa.Codec("zstd", 1)
+    zstd = pa.Codec("zstd", 3)
     for chunk, ids, texts in _chunks(batches):
         sizes = struct.pack(f"<{len(texts)}q", *map(len, texts))
         raw = sizes + b"".join(texts)
@@ -127,7 +127,7 @@ def _encode_bucket(path: str):
     def run(table):
         import pyarrow as pa
 
-        zstd, tokenizer = pa.Codec("zstd", 1), _load(path)
+        zstd, tokenizer = pa.Codec("zstd", 3), _load(path)
         lists = [zstd.decompress(w.as_py(), n.as_py(), asbytes=True).split(b"\n") for w, n in zip(table["words"], table["size"])]
         distinct = sorted(set().union(*lists))
         ids: dict[bytes, bytes] = {}
