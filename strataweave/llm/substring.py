@@ -6,17 +6,18 @@ covers whose words also start, as a window, in a document with a smaller doc_id.
 Suffixes are sampled: a window's anchor is its smallest ``GRAM``-word gram by hash, the first
 among equals, so equal windows have equal anchors in the same place. Consecutive windows with
 one anchor form a segment; what a segment holds to the right of the anchor is a suffix, and
-the anchor's gram is the prefix that deals suffixes to groups. Grams that occur in one text
-only are dropped before any text moves. The groups' suffix trees are built level by level,
-many groups at once: a node at depth d is a class of suffixes that agree on d words. The
-words to the left of the anchor are refined in the same way, and a node ``WINDOW - o`` deep
-whose suffixes agree on ``o`` words to the left is a repeat of ``WINDOW`` words; its smallest
-doc_id keeps it. Comparison is on the words themselves.
-
-A prefix that more than ``GROUP`` segments share would not fit a task, so it is lengthened
-until each group is one node: to the whole window, which only needs a minimum per 128-bit
-window hash, aggregated before it is shuffled. Copies of a whole text are found first, by the
-text's digest, and are left out of the search.
+the anchor's gram is the prefix that deals suffixes to groups. Only hashes move at first:
+prefixes of one document alone are dropped, and equal segments (by a 128-bit hash, of copies
+of texts or passages) become one class of which all but the smallest document repeat as a
+whole. Where a prefix has several classes, one segment of each class goes, as words, to the
+prefix's subtree. Subtrees are built level by level, many prefixes at once: a node at depth d
+is a class of suffixes that agree on d words. The words to the left of the anchor are refined
+in the same way, and a node ``WINDOW - o`` deep whose suffixes agree on ``o`` words to the left
+is a repeat of ``WINDOW`` words; its smallest doc_id keeps it.
+
+A prefix with more than ``GROUP`` classes would not fit a task, so it is lengthened until each
+group is one node: to the whole window, which only needs a minimum per 128-bit window hash,
+aggregated before it is shuffled.
 
 Null and blank texts have no words and lose none. Rows with a null doc_id lose no word and
 take none. Rows that share a doc_id don't take words from one another, repeated rows give
@@ -36,7 +37,7 @@ from .hashing import MULTIPLIER, WordHash, mixed, windows
 
 WINDOW, GRAM = 50, 8
 #: Segments of one prefix that one task handles, and of a batch of prefixes.
-GROUP, BATCH = 1024, 32_768
+GROUP, BATCH = 2048, 32_768
 #: Words handled at a time; longer texts are cut into overlapping parts.
 PART = 1 << 20
 
@@ -64,42 +65,59 @@ def segments(hashes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ..
     return grams[anchor[first]], anchor[first], first, last
 
 
-def _keys(window: int, gram: int):
+def run_hashes(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray, factor: int) -> np.ndarray:
+    """A 64-bit hash of hashes[begin:end] for each pair, whatever its place."""
+    powers = np.full(len(hashes) + 1, factor, np.uint64)
+    powers[0] = 1
+    back = np.full(len(hashes) + 1, pow(factor, -1, 1 << 64), np.uint64)
+    back[0] = 1
+    powers, back = np.cumprod(powers), np.cumprod(back)
+    total = np.r_[np.uint64(0), np.cumsum(mixed(hashes ^ np.uint64(factor)) * powers[:-1])]
+    return mixed((total[end] - total[begin]) * back[begin] + (end - begin).astype(np.uint64))
+
+
+def _segments(window: int, gram: int):
+    """(doc_id, text_id, text) -> every segment with its prefix's and its content's hashes."""
+
     def run(batches):
         import pyarrow as pa
 
         words = WordHash()
+        names = ["key", "s1", "s2", "doc_id", "text_id", "first", "n"]
         for batch in batches:
-            doc, text_id, keys = [], [], []
-            for d, t, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                found = np.unique(segments(words.array((text or b"").split()), window, gram)[0])
-                keys.append(found)
-                doc.append(np.full(len(found), d, np.int64))
-                text_id.append(np.full(len(found), t, np.int64))
-            cols = [np.concatenate(c) if c else np.empty(0, np.int64) for c in (keys, doc, text_id)]
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=["key", "doc_id", "text_id"])
+            cols: list[list] = [[] for _ in names]
+            for d, t, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                h = words.array((text or b"").split())
+                key, _, first, last = segments(h, window, gram)
+                if len(key):
+                    end = last + window
+                    marks = [run_hashes(h, first, end, f) for f in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)]
+                    for c, x in zip(cols, (key, *marks, np.full(len(key), d), np.full(len(key), t), first, end - first)):
+                        c.append(x.astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.empty(0, np.int64)) for c in cols], names=names)
 
     return run
 
 
 def _cut(window: int, gram: int):
-    """(doc_id, text_id, keys, text) -> segments whose gram is among the keys, as words."""
+    """(doc_id, places, text) -> the segments that start at the places' ``first``, as words."""
 
     def run(batches):
         import pyarrow as pa
 
-        names = ["key", "doc_id", "text_id", "first", "back", "n", "words"]
+        names = ["key", "s1", "s2", "doc_id", "back", "words"]
+        kinds = [pa.int64()] * 5 + [pa.binary()]
         hashes = WordHash()
         for batch in batches:
             out = []
-            for d, t, keys, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for d, places, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 words = (text or b"").split()
                 key, anchor, first, last = segments(hashes.array(words), window, gram)
-                for i in np.flatnonzero(np.isin(key.astype(np.int64), np.array(keys, np.int64))):
+                for place in places:
+                    i = int(np.searchsorted(first, place["first"]))
                     a, z = int(first[i]), int(last[i]) + window
-                    out.append((int(key[i].astype(np.int64)), d, t, a, int(anchor[i]) - a, z - a, b" ".join(words[a:z])))
-            cols = list(zip(*out)) or [[]] * 7
-            kinds = [pa.int64()] * 6 + [pa.binary()]
+                    out.append((int(key[i].astype(np.int64)), place["s1"], place["s2"], d, int(anchor[i]) - a, b" ".join(words[a:z])))
+            cols = list(zip(*out)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
     return run
@@ -110,8 +128,8 @@ def _refined(label: np.ndarray, words: np.ndarray) -> np.ndarray:
     return np.unique(label * (int(words.max()) + 2) + words + 1, return_inverse=True)[1]
 
 
-def subtrees(key, doc, first, back, texts, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(segment, window start) of each window that also starts in a smaller document.
+def subtrees(key, doc, back, texts, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(segment, window start within it) of each window that also starts in a smaller document.
 
     ``key``: the prefix; ``back``: words left of the anchor; ``texts``: lists of words.
     """
@@ -119,8 +137,7 @@ def subtrees(key, doc, first, back, texts, window: int) -> tuple[np.ndarray, np.
     size = np.array([len(t) for t in texts])
     ids: dict[bytes, int] = {}
     flat = np.fromiter((ids.setdefault(w, len(ids)) for t in texts for w in t), np.int64, int(size.sum()))
-    begin = np.cumsum(size) - size
-    home = begin + back
+    home = np.cumsum(size) - size + back
     ahead = size - back
     left, right = int(back.max()), min(window, int(ahead.max()))
     at = np.unique(key, return_inverse=True)[1].astype(np.int64)
@@ -146,7 +163,7 @@ def subtrees(key, doc, first, back, texts, window: int) -> tuple[np.ndarray, np.
         least = np.repeat(doc[own][start], np.diff(np.r_[start, len(node)]))
         repeats = own[doc[own] > least]
         who.append(repeats)
-        where.append(first[repeats] + back[repeats] - o)
+        where.append(back[repeats] - o)
     return (np.concatenate(who), np.concatenate(where)) if who else (np.empty(0, int), np.empty(0, int))
 
 
@@ -154,20 +171,22 @@ def _trees(window: int):
     def run(batches):
         import pyarrow as pa
 
+        names = ["key", "s1", "s2", "a", "z"]
+
         def spans(rows):
-            key, doc, text_id, first, back = (np.array([r[i] for r in rows], np.int64) for i in range(5))
-            who, where = subtrees(key, doc, first, back, [r[6].split() for r in rows], window)
+            key, s1, s2, doc, back = (np.array([r[i] for r in rows], np.int64) for i in range(5))
+            who, where = subtrees(key, doc, back, [r[5].split() for r in rows], window)
             order = np.lexsort((where, who))
             who, where = who[order], where[order]
             new = np.r_[True, (who[1:] != who[:-1]) | (where[1:] != where[:-1] + 1)] if len(who) else np.empty(0, bool)
             start = np.flatnonzero(new)
             stop = np.r_[start[1:], len(who)] - 1
-            cols = [doc[who[start]], text_id[who[start]], where[start], where[stop] + window] if len(who) else [[], [], [], []]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "text_id", "a", "z"])
+            cols = [key[who[start]], s1[who[start]], s2[who[start]], where[start], where[stop] + window] if len(who) else [[]] * 5
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
 
         rows: list[tuple] = []
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(7))):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(6))):
                 if len(rows) >= BATCH and row[0] != rows[-1][0]:
                     yield spans(rows)
                     rows = []
@@ -185,17 +204,16 @@ def _window_hashes(window: int):
         import pyarrow as pa
 
         hashes = WordHash()
+        names = ["h1", "h2", "key", "s1", "s2", "doc_id", "a"]
         for batch in batches:
-            cols: list[list] = [[], [], [], [], []]
-            for _, d, t, first, _, _, text in zip(*(batch.column(i).to_pylist() for i in range(7))):
+            cols: list[list] = [[] for _ in names]
+            for *mark, d, _, text in zip(*(batch.column(i).to_pylist() for i in range(6))):
                 h = hashes.array(text.split())
                 n = len(h) - window + 1
-                cols[0].append(windows(h, window))
-                cols[1].append(windows(mixed(h) ^ MULTIPLIER, window))
-                for c, x in zip(cols[2:], (np.full(n, d), np.full(n, t), first + np.arange(n))):
-                    c.append(x)
-            arrays = [pa.array(np.concatenate(c).astype(np.int64) if c else np.empty(0, np.int64)) for c in cols]
-            yield pa.RecordBatch.from_arrays(arrays, names=["h1", "h2", "doc_id", "text_id", "a"])
+                found = [windows(h, window), windows(mixed(h) ^ MULTIPLIER, window), *(np.full(n, x) for x in (*mark, d)), np.arange(n)]
+                for c, x in zip(cols, found):
+                    c.append(x.astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.empty(0, np.int64)) for c in cols], names=names)
 
     return run
 
@@ -205,12 +223,10 @@ def _kept(batches):
 
     for batch in batches:
         sizes, gone, kept, digests = [], [], [], []
-        for text, whole, spans in zip(*(batch.column(i).to_pylist() for i in range(1, 4))):
+        for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             words = (text or b"").split()
             sizes.append(len(words))
-            if whole and len(words) >= WINDOW:
-                words = []
-            elif spans:
+            if spans:
                 stay = np.zeros(len(words) + 1, np.int32)
                 cut = np.array([(s["a"], s["z"]) for s in spans])
                 np.add.at(stay, cut[:, 0], 1)
@@ -226,37 +242,44 @@ def _kept(batches):
 
 
 def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(doc_id, text_id, whole, spans): what to remove; ``text_id`` is xxhash64 of the text."""
+    """(doc_id, text_id, spans): the words to remove; ``text_id`` is xxhash64 of the text."""
     rows = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_id"), F.col("text").cast("binary").alias("text")
     )
-    named = settle(rows.select("doc_id", "text_id", F.unhex(F.md5("text")).alias("digest")), "sub-named")
-    first = named.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
-    copies = named.join(settle(first, "sub-first"), "digest").filter("doc_id > first").select("doc_id", "text_id")
-    copies = settle(copies.distinct(), "sub-copies")
-
-    keys = settle(rows.mapInArrow(_keys(window, gram), "key long, doc_id long, text_id long"), "sub-keys")
-    shared = keys.groupBy("key").agg(F.min("text_id").alias("x"), F.max("text_id").alias("y")).filter("x <> y").select("key")
-    wanted = keys.join(settle(shared, "sub-shared"), "key").groupBy("doc_id", "text_id").agg(F.collect_set("key").alias("keys"))
-    wanted = settle(wanted.join(copies, ["doc_id", "text_id"], "left_anti"), "sub-wanted")
-    texts = rows.join(wanted, ["doc_id", "text_id"]).select("doc_id", "text_id", "keys", "text")
-    schema = "key long, doc_id long, text_id long, first long, back long, n long, words binary"
-    cut = settle(texts.mapInArrow(_cut(window, gram), schema), "sub-segments")
-
-    sizes = cut.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("doc_id").alias("x"), F.max("doc_id").alias("y"))
-    sizes = settle(sizes.filter("x < y").select("key", "m"), "sub-sizes")
-    dealt = cut.join(sizes, "key")
-    few = dealt.filter(F.col("m") <= GROUP).drop("m")
-    spans = few.repartition("key").sortWithinPartitions("key").mapInArrow(_trees(window), "doc_id long, text_id long, a long, z long")
-    if sizes.filter(F.col("m") > GROUP).take(1):
-        many = dealt.filter(F.col("m") > GROUP).drop("m").mapInArrow(_window_hashes(window), "h1 long, h2 long, doc_id long, text_id long, a long")
-        many = settle(many, "sub-windows")
-        least = many.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
-        again = many.join(settle(least, "sub-least"), ["h1", "h2"]).filter("doc_id > least")
-        spans = spans.unionByName(again.select("doc_id", "text_id", "a", (F.col("a") + window).alias("z")))
-    parts = spans.groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("a", "z")).alias("spans")).withColumn("whole", F.lit(False))
-    none = F.array().cast("array<struct<a:bigint,z:bigint>>")
-    return parts.select("doc_id", "text_id", "whole", "spans").unionByName(copies.select("doc_id", "text_id", F.lit(True).alias("whole"), none.alias("spans")))
+    mark = ["key", "s1", "s2"]
+    schema = "key long, s1 long, s2 long, doc_id long, text_id long, first long, n long"
+    found = settle(rows.mapInArrow(_segments(window, gram), schema), "sub-segments")
+    # Equal segments are one class: all but those of its smallest document repeat as a whole.
+    classes = found.groupBy(*mark).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    prefix = classes.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("least").alias("x"), F.max("most").alias("y"))
+    prefix = settle(prefix.filter("x < y"), "sub-prefixes")
+    classes = settle(classes.join(prefix.select("key", "m"), "key"), "sub-classes")
+    met = found.join(classes, mark).filter("doc_id > least OR m > 1")
+    met = settle(met, "sub-met")
+    spans = met.filter("doc_id > least").select("doc_id", "text_id", F.col("first").alias("a"), (F.col("first") + F.col("n")).alias("z"))
+
+    # Different segments of one prefix may share windows: one of each class goes to the prefix's subtree.
+    home = met.filter("doc_id = least AND m > 1").select(*mark, "doc_id", "text_id", "first", "n")
+    chosen = home.groupBy(*mark, "doc_id").agg(F.min("text_id").alias("text_id"))
+    places = home.join(chosen, [*mark, "doc_id", "text_id"]).groupBy(*mark, "doc_id", "text_id").agg(F.min("first").alias("first"))
+    wanted = places.groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("first", "s1", "s2")).alias("places"))
+    texts = rows.join(settle(wanted, "sub-wanted"), ["doc_id", "text_id"]).select("doc_id", "places", "text")
+    dealt = settle(texts.mapInArrow(_cut(window, gram), "key long, s1 long, s2 long, doc_id long, back long, words binary"), "sub-words")
+    schema = "key long, s1 long, s2 long, a long, z long"
+    many = settle(prefix.filter(F.col("m") > GROUP).select("key"), "sub-many")
+    few, again = dealt, None
+    if many.take(1):
+        few = dealt.join(many, "key", "left_anti")
+        listed = dealt.join(many, "key", "left_semi")
+        listed = listed.mapInArrow(_window_hashes(window), "h1 long, h2 long, key long, s1 long, s2 long, doc_id long, a long")
+        listed = settle(listed, "sub-windows")
+        least = listed.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
+        again = listed.join(settle(least, "sub-least"), ["h1", "h2"]).filter("doc_id > least")
+        again = again.select(*mark, "a", (F.col("a") + window).alias("z"))
+    shared = few.repartition("key").sortWithinPartitions("key").mapInArrow(_trees(window), schema)
+    shared = settle(shared.unionByName(again) if again is not None else shared, "sub-shared")
+    parts = home.join(shared, mark).select("doc_id", "text_id", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("z")).alias("z"))
+    return spans.unionByName(parts).groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("a", "z")).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -266,7 +289,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_id"), F.col("text").cast("binary").alias("text"))
     joined = rows.join(gone, (F.col("doc_id") == F.col("d")) & (F.col("text_id") == F.col("t")), "left")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary"
-    return joined.select("doc_id", "text", "whole", "spans").mapInArrow(_kept, schema)
+    return joined.select("doc_id", "text", "spans").mapInArrow(_kept, schema)
 
 
 def op1_substring(spark, sf_dir: str) -> DataFrame:
