@@ -123,6 +123,21 @@ def _pack_docs(batches):
         )
 
 
+def unpacked(docs):
+    """(ids, texts) of each packed chunk of an Arrow table."""
+    import pyarrow as pa
+
+    zstd = pa.Codec("zstd", 1)
+    for ids_of, size, blob in zip(docs["ids"], docs["size"], docs["texts"]):
+        ids = ids_of.as_py()
+        raw = zstd.decompress(blob.as_py(), size.as_py(), asbytes=True)
+        at, texts = 8 * len(ids), []
+        for n in struct.unpack(f"<{len(ids)}q", raw[:at]):
+            texts.append(raw[at : at + n])
+            at += n
+        yield ids, texts
+
+
 def _encode_bucket(path: str):
     def run(table):
         import pyarrow as pa
@@ -177,13 +192,9 @@ def _assemble(path: str, full: bool):
                 known[w] = ids
         decoded = {w: b" ".join(map(pieces, ids.split())) for w, ids in known.items()}
         out: list[tuple] = []
-        for ids_of, size, blob in zip(docs["ids"], docs["size"], docs["texts"]):
-            doc_ids = ids_of.as_py()
-            raw = zstd.decompress(blob.as_py(), size.as_py(), asbytes=True)
-            at = 8 * len(doc_ids)
-            for doc_id, n in zip(doc_ids, struct.unpack(f"<{len(doc_ids)}q", raw[:at])):
-                words = raw[at : at + n].split()
-                at += n
+        for doc_ids, texts in unpacked(docs):
+            for doc_id, raw in zip(doc_ids, texts):
+                words = raw.split()
                 ids = b" ".join(filter(None, map(known.__getitem__, words)))
                 try:
                     text = b" ".join(filter(None, map(decoded.__getitem__, words)))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 #: Query name -> module of this subpackage that defines a function of that name.
 MODULES = {
     "op1_substring": "substring",
+    "op2_lm_score": "lm",
     "op3_near_duplicates": "near",
     "op4_quality": "quality",
     "op5_warc": "warc",
