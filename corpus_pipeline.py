@@ -1,13 +1,65 @@
-"""The corpus pipeline: quality, near-duplicates, repeated passages, leaks, tokens."""
+"""The corpus pipeline: quality rules, near-duplicates, repeated passages, leaks, tokens.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
+columns of ``documents``. SQL can't express the stages from the second on over whole tables,
+so there is no oracle; tests/llm compares ``run`` with a brute-force version.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from strataweave.llm import bpe, decontaminate, near, quality, substring
+from strataweave.llm.common import read, settle
+
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail a base rule or score below the threshold go."""
+    return quality.quality(docs, read(spark, sf_dir, "labels")).filter("kept").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near-duplicates, the document with the smallest id stays, in one row."""
+    kept = settle(near.near_duplicates(docs).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "pipeline-near")
+    stay = docs.join(kept, "doc_id", "left_semi")
+    order = Window.partitionBy("doc_id").orderBy(F.length("text").desc_nulls_last(), "text")
+    one = stay.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+    return one.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words of passages that a smaller document has too are cut; documents left empty go."""
+    left = substring.without_repeats(docs)
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else left
+
+
+def leak_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    found = decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_leak")).distinct()
+    found = settle(found, "pipeline-leaks")
+    leaks = decontaminate.sized(found, found.count())
+    return docs.join(leaks, F.col("doc_id") == F.col("_leak"), "left_anti")
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of what is left, with digests of the ids and of the text decoded from them."""
+    return bpe.encode(docs, more=("ids",))
+
+
+STAGES = [
+    ("quality", quality_rules),
+    ("near_duplicates", near_dedup),
+    ("substring", substring_dedup),
+    ("decontamination", leak_removal),
+    ("bpe", tokens),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = settle(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -24,6 +24,7 @@ import os
 import struct
 import zlib
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -177,7 +178,7 @@ class _Words(dict):
         return self[w]
 
 
-def _assemble(path: str, full: bool):
+def _assemble(path: str, more: tuple[str, ...]):
     cache: dict = {}
 
     def run(docs, answers):
@@ -201,9 +202,10 @@ def _assemble(path: str, full: bool):
                 except KeyError:
                     text = b" ".join(map(pieces, ids.split()))
                 row = (doc_id, ids.count(b" ") + 1 if ids else 0, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest())
-                out.append(row + ((list(map(int, ids.split())), text.decode()) if full else ()))
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), *([pa.list_(pa.int32()), pa.string()] if full else [])]
-        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if full else [])]
+                extra = {"ids": lambda: np.fromstring(ids, np.int32, sep=" ") if ids else np.empty(0, np.int32), "decoded": text.decode}
+                out.append((*row, *(extra[m]() for m in more)))
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), *(pa.list_(pa.int32()) if m == "ids" else pa.string() for m in more)]
+        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *more]
         cols = list(zip(*out)) or [[] for _ in names]
         return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
@@ -214,8 +216,8 @@ def _input_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def encode(docs: DataFrame, path: str | None = None, full: bool = True, buckets: int | None = None) -> DataFrame:
-    """doc_id, n_tokens and digests of every row; with ``full`` also ids and decoded text.
+def encode(docs: DataFrame, path: str | None = None, more: tuple[str, ...] = ("ids", "decoded"), buckets: int | None = None) -> DataFrame:
+    """doc_id, n_tokens and digests of every row; ``more``: also the ids, the decoded text.
 
     ``buckets`` of the distinct-word table: by default one for each 128 MB of input, 256 to 4096.
     """
@@ -226,8 +228,9 @@ def encode(docs: DataFrame, path: str | None = None, full: bool = True, buckets:
     asked = texts.mapInArrow(_pack_words(buckets), "bucket int, chunk long, size int, words binary")
     answers = asked.groupBy("bucket").applyInArrow(_encode_bucket(path), "chunk long, bucket int, size int, ids binary")
     packed = texts.mapInArrow(_pack_docs, "chunk long, ids array<long>, size long, texts binary")
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if full else "")
-    return packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_assemble(path, full), schema)
+    kinds = {"ids": "ids array<int>", "decoded": "decoded string"}
+    schema = ", ".join(["doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", *(kinds[m] for m in more)])
+    return packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_assemble(path, more), schema)
 
 
 def vocabulary(spark: SparkSession, path: str | None = None) -> DataFrame:
@@ -247,4 +250,4 @@ def decode(encoded: DataFrame, pieces: DataFrame) -> DataFrame:
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(read(spark, sf_dir, "documents"), full=False)
+    return encode(read(spark, sf_dir, "documents"), more=())

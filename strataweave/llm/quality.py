@@ -164,7 +164,9 @@ def quality(
         }
     ).drop("hashes", "g", "t")
     reached = F.col("ratio_sum") >= F.lit(round(threshold * UNIT)).cast("long") * F.col("n_grams")
-    return scored.withColumn("kept", ~F.col("base_failed") & reached)
+    # The row number keeps the optimizer from pushing a filter on ``kept``, and with it copies of
+    # every step above, below the steps that it is built from.
+    return scored.withColumn("kept", (F.monotonically_increasing_id() >= 0) & ~F.col("base_failed") & reached)
 
 
 def op4_quality(spark, sf_dir: str) -> DataFrame:

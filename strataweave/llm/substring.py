@@ -292,5 +292,44 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return joined.select("doc_id", "text", "spans").mapInArrow(_kept, schema)
 
 
+def _cut_out(batches):
+    """Replaces ``text`` by what stays of it, with its own white space inside each run of words."""
+    import re
+
+    import pyarrow as pa
+
+    word = re.compile(rb"[^\x20\x09-\x0D]+")
+    for batch in batches:
+        texts = []
+        for text, spans in zip(batch.column("_text").to_pylist(), batch.column("_spans").to_pylist()):
+            if spans:
+                places = [m.span() for m in word.finditer(text)]
+                gone = np.zeros(len(places) + 1, np.int32)
+                for s in spans:
+                    gone[s["a"]] += 1
+                    gone[s["z"]] -= 1
+                stays = np.flatnonzero(np.cumsum(gone)[:-1] == 0)
+                cuts = np.flatnonzero(np.diff(stays) > 1)
+                runs = [(int(r[0]), int(r[-1])) for r in np.split(stays, cuts + 1) if len(r)]
+                text = b"\n".join(text[places[a][0] : places[z][1]] for a, z in runs)
+            texts.append(text)
+        names = [n for n in batch.schema.names if n not in ("_text", "_spans")]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(texts, pa.binary())], names=[*names, "_text"])
+
+
+def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``docs`` with the repeated words cut out of ``text``; documents of which nothing stays go."""
+    bounded_batches(docs.sparkSession)
+    gone = settle(repeated(docs, window), "sub-gone").withColumnsRenamed({"doc_id": "_d", "text_id": "_t", "spans": "_spans"})
+    rows = docs.withColumnRenamed("text", "_text")
+    joined = rows.join(gone, (F.col("doc_id") == F.col("_d")) & (F.xxhash64("_text") == F.col("_t")), "left").drop("_d", "_t")
+    joined = joined.withColumn("_text", F.col("_text").cast("binary"))
+    others = [f for f in joined.schema.fields if f.name not in ("_text", "_spans")]
+    schema = type(joined.schema)([*others, joined.schema["_text"]])
+    left = joined.select(*(f.name for f in others), "_text", "_spans").mapInArrow(_cut_out, schema)
+    left = left.withColumn("text", F.col("_text").cast("string")).filter("text IS NULL OR text <> ''").drop("_text")
+    return left.select(*docs.columns)
+
+
 def op1_substring(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(read(spark, sf_dir, "documents")).drop("kept")
