@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import q_graph  # noqa: F401
+from .registry import QUERIES, SQL
 
-from pyspark.sql import DataFrame
+FLAGSHIP = "r13_search_hints"
 
-FLAGSHIP = ""
 
+def queries():
+    return dict(QUERIES)
 
-def queries() -> dict[str, Callable[..., DataFrame]]:
-    return {}
 
-
-def oracle_sql() -> dict[str, str]:
-    return {}
+def oracle_sql():
+    return dict(SQL)
