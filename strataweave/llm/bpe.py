@@ -60,7 +60,7 @@ def _pieces(tokenizer) -> list[bytes]:
     return [(tokenizer.id_to_token(i) or "").encode() for i in range(size)]
 
 
-def _chunks(batches):
+def _chunks(batches, most: int = CHUNK_BYTES):
     """(chunk number, ids, texts) in reading order; the number is unique among the tasks of a stage."""
     from pyspark import TaskContext
 
@@ -73,7 +73,7 @@ def _chunks(batches):
             ids.append(doc_id)
             texts.append(text or b"")
             size += len(texts[-1])
-            if size >= CHUNK_BYTES or len(ids) >= CHUNK_ROWS:
+            if size >= most or len(ids) >= CHUNK_ROWS:
                 yield base + seq, ids, texts
                 ids, texts, size, seq = [], [], 0, seq + 1
     if ids:
@@ -106,22 +106,25 @@ def _pack_words(buckets: int):
     return run
 
 
-def _pack_docs(batches):
-    import pyarrow as pa
+def _pack_docs(most: int = CHUNK_BYTES):
+    def run(batches):
+        import pyarrow as pa
 
-    zstd = pa.Codec("zstd", 3)
-    for chunk, ids, texts in _chunks(batches):
-        sizes = struct.pack(f"<{len(texts)}q", *map(len, texts))
-        raw = sizes + b"".join(texts)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([chunk], pa.int64()),
-                pa.array([ids], pa.list_(pa.int64())),
-                pa.array([len(raw)], pa.int64()),
-                pa.array([zstd.compress(raw, asbytes=True)], pa.binary()),
-            ],
-            names=["chunk", "ids", "size", "texts"],
-        )
+        zstd = pa.Codec("zstd", 3)
+        for chunk, ids, texts in _chunks(batches, most):
+            sizes = struct.pack(f"<{len(texts)}q", *map(len, texts))
+            raw = sizes + b"".join(texts)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([chunk], pa.int64()),
+                    pa.array([ids], pa.list_(pa.int64())),
+                    pa.array([len(raw)], pa.int64()),
+                    pa.array([zstd.compress(raw, asbytes=True)], pa.binary()),
+                ],
+                names=["chunk", "ids", "size", "texts"],
+            )
+
+    return run
 
 
 def unpacked(docs):
@@ -227,7 +230,7 @@ def encode(docs: DataFrame, path: str | None = None, more: tuple[str, ...] = ("i
     buckets = buckets or max(256, min(4096, _input_bytes(texts) >> 27))
     asked = texts.mapInArrow(_pack_words(buckets), "bucket int, chunk long, size int, words binary")
     answers = asked.groupBy("bucket").applyInArrow(_encode_bucket(path), "chunk long, bucket int, size int, ids binary")
-    packed = texts.mapInArrow(_pack_docs, "chunk long, ids array<long>, size long, texts binary")
+    packed = texts.mapInArrow(_pack_docs(), "chunk long, ids array<long>, size long, texts binary")
     kinds = {"ids": "ids array<int>", "decoded": "decoded string"}
     schema = ", ".join(["doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", *(kinds[m] for m in more)])
     return packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_assemble(path, more), schema)
