@@ -24,7 +24,13 @@ def shared(spark: SparkSession, name: str) -> str:
 
 def source(spark: SparkSession, path: str) -> DataFrame:
     """A file stream with the schema that the files have; event times as instants."""
-    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    table = spark.read.parquet(path)
+    stream = spark.readStream.schema(table.schema)
+    folder, _, name = path.rstrip("/").rpartition("/")
+    if any(f.endswith(f"/{name}") for f in table.inputFiles()):  # one file: a stream reads its folder
+        rows = stream.option("pathGlobFilter", name).parquet(folder)
+    else:
+        rows = stream.parquet(path)
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
