@@ -6,7 +6,7 @@ sketch in SQL: shingles are compared as texts.
 
 from __future__ import annotations
 
-from .quality import BUCKETS, SMOOTH, THRESHOLD, TRUSTED_ROWS, UNIT
+from .quality import BUCKETS, PRIOR, SMOOTH, THRESHOLD, TRUSTED_ROWS, UNIT
 
 WS = r"[\x20\x09-\x0D]+"
 
@@ -57,7 +57,7 @@ g AS (SELECT doc_id, h % {BUCKETS} AS b FROM tok UNION ALL SELECT doc_id, (ph*31
 good AS (SELECT doc_id FROM (SELECT doc_id, min(quality) AS q FROM labels GROUP BY 1) WHERE q=1 LIMIT {TRUSTED_ROWS}),
 cnt AS (SELECT b, count(*) AS raw, count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM good)) AS good FROM g GROUP BY 1),
 tot AS (SELECT sum(raw) AS ar, sum(good) AS ag FROM cnt),
-wt AS (SELECT b, CASE WHEN ag>0 THEN round((ln((good+{BUCKETS}*((raw+{SMOOTH})/(ar+{SMOOTH}*{BUCKETS})))/(ag+{BUCKETS})) - ln((raw+{SMOOTH})/(ar+{SMOOTH}*{BUCKETS})))*{UNIT})::BIGINT ELSE 0 END AS wt FROM cnt, tot),
+wt AS (SELECT b, CASE WHEN ag>0 THEN round((ln((good+{PRIOR}*((raw+{SMOOTH})/(ar+{SMOOTH}*{BUCKETS})))/(ag+{PRIOR})) - ln((raw+{SMOOTH})/(ar+{SMOOTH}*{BUCKETS})))*{UNIT})::BIGINT ELSE 0 END AS wt FROM cnt, tot),
 sc AS (SELECT doc_id, count(*) AS n_grams, sum(wt)::BIGINT AS ratio_sum FROM g JOIN wt USING (b) GROUP BY 1),
 pos AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w,1) AS p FROM d),
 tri AS (SELECT doc_id, p, x||' '||lead(x,1) OVER q||' '||lead(x,2) OVER q AS t FROM pos WINDOW q AS (PARTITION BY doc_id ORDER BY p)),

@@ -25,8 +25,8 @@ BUCKETS = 1 << 14
 #: Labelled rows that the trusted multinomial is counted from, at most.
 TRUSTED_ROWS = 20_000
 #: Pseudo-count of each bucket in the raw multinomial; the trusted one is smoothed towards the raw
-#: one with the weight of ``buckets`` n-grams, so that few trusted documents tell little.
-SMOOTH = 1.0
+#: one with the weight of ``PRIOR`` n-grams, so that few trusted documents tell little.
+SMOOTH, PRIOR = 1.0, 2048
 #: Log ratios are kept as whole numbers of this fraction, so that sums don't depend on order.
 UNIT = 1 << 16
 #: Least mean log ratio of a kept document.
@@ -71,7 +71,7 @@ def weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, rows: in
         F.sort_array(F.collect_list(F.struct("bucket", "raw", "good"))).alias("c"), F.sum("raw").alias("all_raw"), F.sum("good").alias("all_good")
     )
     raw = lambda c: (c["raw"] + SMOOTH) / (F.col("all_raw") + SMOOTH * buckets)
-    good = lambda c: (c["good"] + buckets * raw(c)) / (F.col("all_good") + buckets)
+    good = lambda c: (c["good"] + PRIOR * raw(c)) / (F.col("all_good") + PRIOR)
     ratio = F.transform("c", lambda c: F.round((F.log(good(c)) - F.log(raw(c))) * UNIT).cast("long"))
     zeros = F.transform("c", lambda c: F.lit(0).cast("long"))
     return whole.select(F.when(F.col("all_good") > 0, ratio).otherwise(zeros).alias("t"), "all_raw", "all_good")

@@ -55,6 +55,7 @@ def passages(messages: DataFrame) -> DataFrame:
     """(mid, conv_id, turn, level, hash, size): every quoted line and every run of them."""
     marked = (
         messages.filter(F.col("text").rlike(HAS_QUOTE))
+        .dropDuplicates(["mid", "conv_id", "turn"])
         .select("mid", "conv_id", "turn", F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
         .withColumn("level", level(F.col("line")))
     )

@@ -168,6 +168,8 @@ def reconstruct(records: DataFrame) -> DataFrame:
     )
     whole = whole.withColumn("payload_digest", sound)
     named = whole.select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"), F.col("declared").alias("named"), *carried)
+    # Repeated rows of a response share a record id. Written first, so that the join can be split where very many revisit one response.
+    named = settle(named.dropDuplicates(["refers_to_id"]), "warc-named")
     revisits = records.filter("record_type = 'revisit'").drop(*carried).join(named, "refers_to_id", "left")
     matched = F.when(F.col("named") == F.col("declared"), F.col("payload_digest")).otherwise(
         F.raise_error(F.concat(F.lit("revisit without its payload: "), F.col("record_id")))
