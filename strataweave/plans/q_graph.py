@@ -188,13 +188,18 @@ def g6(spark, d):
     return T.reachable(G.edges(spark, d, SMALL), CUSTOMER, 3)
 
 
-GOAL = G.entity_id("symbol", "customer::12")
+FRANCE, GERMANY = (G.entity_id("module", f"nation::{n}") for n in ("FRANCE", "GERMANY"))
+NATION = lambda n: ent("module", f"'nation::{n}'")
 
 
-@query("g5_bounded_path", BFS.format(start=CUSTOMER_SQL, hops=6) + f"SELECT min(depth)::INT AS hops FROM walk WHERE id={ent('symbol', chr(39) + 'customer::12' + chr(39))} HAVING min(depth) IS NOT NULL")
+@query(
+    "g5_bounded_path",
+    f"WITH RECURSIVE {GRAPH}, near AS (SELECT DISTINCT a,b FROM (SELECT from_id a,to_id b FROM edges WHERE rel_type='contains' UNION ALL SELECT to_id,from_id FROM edges WHERE rel_type='contains')), "
+    f"walk(id, path) AS (SELECT {NATION('FRANCE')}, [{NATION('FRANCE')}] UNION ALL SELECT b, list_append(path,b) FROM walk JOIN near ON a=id WHERE len(path)<=4 AND NOT list_contains(path,b) AND id<>{NATION('GERMANY')}), "
+    f"best AS (SELECT path FROM walk WHERE id={NATION('GERMANY')} ORDER BY len(path), path LIMIT 1) SELECT (i-1)::INT AS step, e AS entity_id FROM (SELECT unnest(path) AS e, generate_subscripts(path,1) AS i FROM best)",
+)
 def g5(spark, d):
-    path = T.shortest_path(G.edges(spark, d, SMALL), CUSTOMER, GOAL, 6)
-    return path.agg(F.max("step").alias("hops")).filter("hops IS NOT NULL")
+    return T.shortest_path(G.edges(spark, d, ("contains",)), FRANCE, GERMANY, 4)
 
 
 @query("g18_explain", f"WITH {GRAPH} SELECT n.entity_id, n.kind, n.name, (SELECT count(*) FROM edges WHERE from_id=n.entity_id) AS outgoing, (SELECT count(*) FROM edges WHERE to_id=n.entity_id) AS incoming FROM nodes n WHERE n.entity_id={PART_SQL}")
