@@ -96,7 +96,7 @@ def w7(spark, d):
 
 @query(
     "w8_interval_merge",
-    "WITH s AS (SELECT l_suppkey AS g, l_shipdate AS a, l_shipdate + INTERVAL 3 DAY AS z FROM lineitem), m AS (SELECT *, CASE WHEN a <= max(z) OVER (PARTITION BY g ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM s), i AS (SELECT *, sum(new) OVER (PARTITION BY g ORDER BY a, z ROWS UNBOUNDED PRECEDING) AS k FROM m), r AS (SELECT g, k, min(a) a, max(z) z FROM i GROUP BY 1,2) SELECT g, count(*) AS islands, sum(date_diff('day', a, z))::BIGINT AS days FROM r GROUP BY 1",
+    "WITH s AS (SELECT l_suppkey AS g, l_shipdate AS a, l_shipdate + INTERVAL 3 DAY AS z FROM lineitem), m AS (SELECT *, CASE WHEN a <= max(z) OVER (PARTITION BY g ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM s), i AS (SELECT *, sum(new) OVER (PARTITION BY g ORDER BY a, z) AS k FROM m), r AS (SELECT g, k, min(a) a, max(z) z FROM i GROUP BY 1,2) SELECT g, count(*) AS islands, sum(date_diff('day', a, z))::BIGINT AS days FROM r GROUP BY 1",
 )
 def w8(spark, d):
     s = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("g"), F.col("l_shipdate").alias("a"), (F.col("l_shipdate") + F.expr("INTERVAL 3 DAYS")).alias("z"))
