@@ -63,7 +63,7 @@ def g13(spark, d):
     return A.god_nodes(n, e, 20)
 
 
-@query("g14_ranked_members", f"{CTE} SELECT community, row_number() OVER w AS rank, n.entity_id, coalesce(degree,0) AS degree FROM nodes n JOIN lab USING (entity_id) LEFT JOIN deg USING (entity_id) WINDOW w AS (PARTITION BY community ORDER BY ({SYMBOL}) DESC, coalesce(degree,0) DESC, n.entity_id) QUALIFY rank<=5")
+@query("g14_ranked_members", f"{CTE} SELECT community, (row_number() OVER w)::INT AS rank, n.entity_id, coalesce(degree,0) AS degree FROM nodes n JOIN lab USING (entity_id) LEFT JOIN deg USING (entity_id) WINDOW w AS (PARTITION BY community ORDER BY ({SYMBOL}) DESC, coalesce(degree,0) DESC, n.entity_id) QUALIFY rank<=5")
 def g14(spark, d):
     return A.ranked_members(*graph(spark, d))
 

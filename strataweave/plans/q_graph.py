@@ -107,7 +107,7 @@ def j4(spark, d):
     )
 
 
-@query("j1_member_entities", "SELECT n_name, count(*) AS customers, sum(CASE WHEN o.k IS NULL THEN 1 ELSE 0 END) AS idle FROM customer JOIN nation ON c_nationkey=n_nationkey LEFT JOIN (SELECT DISTINCT o_custkey k FROM orders) o ON o.k=c_custkey GROUP BY 1")
+@query("j1_member_entities", "SELECT n_name, count(*) AS customers, sum(CASE WHEN o.k IS NULL THEN 1 ELSE 0 END)::BIGINT AS idle FROM customer JOIN nation ON c_nationkey=n_nationkey LEFT JOIN (SELECT DISTINCT o_custkey k FROM orders) o ON o.k=c_custkey GROUP BY 1")
 def j1(spark, d):
     c, n = table(spark, d, "customer"), table(spark, d, "nation")
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("k")).distinct()

@@ -150,7 +150,7 @@ def j22(spark, d):
     return C.zipped(c, c.filter("NOT (conv_id % 20 = 0 AND turn = 1)"), "conv_id", "turn", "h")
 
 
-@query("a18_role_metrics", "SELECT role, count(*) AS n, sum(length(text)) AS chars, count(DISTINCT conv_id) AS sessions FROM conversations GROUP BY 1")
+@query("a18_role_metrics", "SELECT role, count(*) AS n, sum(length(text))::BIGINT AS chars, count(DISTINCT conv_id) AS sessions FROM conversations GROUP BY 1")
 def a18(spark, d):
     return conv(spark, d).groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"), F.countDistinct("conv_id").alias("sessions"))
 

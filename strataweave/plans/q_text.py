@@ -19,7 +19,7 @@ def TERMS(col: str) -> str:
     return f"list_distinct(list_filter(string_split_regex(lower(coalesce({col},'')), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) >= 3 AND NOT list_contains({STOPS}, w)))"
 
 
-@query("s4_inventory", "SELECT count(*) AS files, sum(strlen(text)) AS bytes, sum(strlen(text)) <= 16777216 AS complete FROM documents")
+@query("s4_inventory", "SELECT count(*) AS files, sum(strlen(text))::BIGINT AS bytes, sum(strlen(text)) <= 16777216 AS complete FROM documents")
 def s4(spark, d):
     n = F.octet_length("text")
     return table(spark, d, "documents").agg(F.count(F.lit(1)).alias("files"), F.sum(n).alias("bytes"), (F.sum(n) <= 16777216).alias("complete"))
@@ -57,7 +57,7 @@ def e3m(spark, d):
     return t.select(X.headings(F.col("t")).alias("headings"), X.links(F.col("t")).alias("links"), X.inline_code(F.col("t")).alias("code"))
 
 
-@query("e4_text_symbols", "SELECT 'docs/'||doc_id||'.txt' AS file, 'symbol' AS kind, doc_id||'.txt' AS name, (len(string_split(text, chr(10)))) AS lines FROM documents")
+@query("e4_text_symbols", "SELECT 'docs/'||doc_id||'.txt' AS file, 'symbol' AS kind, doc_id||'.txt' AS name, len(string_split(text, chr(10)))::INT AS lines FROM documents")
 def e4(spark, d):
     i = F.col("doc_id").cast("string")
     return table(spark, d, "documents").select(
@@ -65,12 +65,12 @@ def e4(spark, d):
     )
 
 
-@query("e14_embedding_input", "SELECT doc_id, length(lang||'::'||doc_id||chr(10)||text) AS n FROM documents")
+@query("e14_embedding_input", "SELECT doc_id, length(lang||'::'||doc_id||chr(10)||text)::INT AS n FROM documents")
 def e14(spark, d):
     return table(spark, d, "documents").select("doc_id", F.length(F.concat_ws("\n", F.concat_ws("::", "lang", F.col("doc_id").cast("string")), "text")).alias("n"))
 
 
-@query("e18_fixed_slices", 'SELECT doc_id, s AS start, least(s+400, length(text)) AS "end", md5(substr(text, s+1, 400)) AS part FROM (SELECT doc_id, text, unnest(range(0, length(text), 400))::INT AS s FROM documents)')
+@query("e18_fixed_slices", 'SELECT doc_id, s AS start, least(s+400, length(text))::INT AS "end", md5(substr(text, s+1, 400)) AS part FROM (SELECT doc_id, text, unnest(range(0, length(text), 400))::INT AS s FROM documents)')
 def e18(spark, d):
     return X.slices(table(spark, d, "documents"), "doc_id", "text", 400).withColumn("part", F.md5("part"))
 
