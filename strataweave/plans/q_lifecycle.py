@@ -15,7 +15,8 @@ from ..sources import tpch_graph as G
 from ..sources.sinks import append_new
 from .registry import GRAPH, query
 
-COUNT = F.count(F.lit(1))
+def count():
+    return F.count(F.lit(1))
 
 
 def files(spark, d):
@@ -35,7 +36,7 @@ def s2(spark, d):
 @query("s3_scoped_walk", f"WITH {FILES} SELECT split_part(path,'/',2) AS area, count(*) AS n FROM f WHERE (starts_with(path,'docs/en/') OR starts_with(path,'docs/de/')) AND path<>'docs/en/1.txt' GROUP BY 1")
 def s3(spark, d):
     rows = files(spark, d).filter(S.kept(F.col("path"), ["docs/en", "docs/de"], ["docs/en/1.txt"]))
-    return rows.groupBy(F.split("path", "/")[1].alias("area")).agg(COUNT.alias("n"))
+    return rows.groupBy(F.split("path", "/")[1].alias("area")).agg(count().alias("n"))
 
 
 @query("s5_fingerprint", f"WITH {FILES} SELECT sha256(string_agg(path||'|'||bytes||'|'||sha256||chr(0), '' ORDER BY path)) AS fingerprint FROM f")
@@ -62,7 +63,7 @@ def s11(spark, d):
 
 @query("x16_catalog_graph", "SELECT CASE WHEN c.kind='t' THEN 'defines' ELSE 'contains' END AS rel_type, count(*) AS n FROM (SELECT DISTINCT 't' AS kind, table_name AS x FROM information_schema.columns WHERE table_name IN ('region','nation','labels') UNION ALL SELECT 'c', column_name FROM information_schema.columns WHERE table_name IN ('region','nation','labels')) c GROUP BY 1")
 def x16(spark, d):
-    return s11(spark, d).groupBy(F.when(F.col("parent").isNull(), "defines").otherwise("contains").alias("rel_type")).agg(COUNT.alias("n"))
+    return s11(spark, d).groupBy(F.when(F.col("parent").isNull(), "defines").otherwise("contains").alias("rel_type")).agg(count().alias("n"))
 
 
 @query("s12_receipt_files", "SELECT * FROM (VALUES ('a.json',1),('a.2.json',2),('a.10.json',10),('a.1.json',NULL),('a.02.json',NULL),('a.txt',NULL)) t(name, generation)")
@@ -87,7 +88,7 @@ def s15(spark, d):
 @query("k2_append_new", "SELECT count(*) AS n FROM (SELECT DISTINCT l_partkey FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size<25))")
 def k2(spark, d):
     have = table(spark, d, "part").filter("p_size < 25").select(F.col("p_partkey").alias("l_partkey"))
-    return append_new(have, table(spark, d, "lineitem").select("l_partkey"), ["l_partkey"]).agg(COUNT.alias("n"))
+    return append_new(have, table(spark, d, "lineitem").select("l_partkey"), ["l_partkey"]).agg(count().alias("n"))
 
 
 @query("k3_first_write_wins", "SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders GROUP BY 1")
@@ -135,7 +136,7 @@ def j15(spark, d):
 def j13(spark, d):
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"))
     cache = o.filter("k % 3 = 0").select("k", F.lit("yes").alias("answer"), (F.col("k") % 2 != 0).alias("failed"))
-    return C.with_cache(o, cache, "k").groupBy("cached").agg(COUNT.alias("n"))
+    return C.with_cache(o, cache, "k").groupBy("cached").agg(count().alias("n"))
 
 
 @query("d4_uncached_count", "SELECT count(*) AS n FROM orders WHERE NOT (o_orderkey % 3 = 0 AND o_orderkey % 2 = 0)")
@@ -178,7 +179,7 @@ def j26(spark, d):
 @query("p8_eligibility", "SELECT count(*) AS n FROM documents WHERE NOT (doc_id % 5 IN (0,1)) AND lang IN ('en','fr')")
 def p8(spark, d):
     docs = table(spark, d, "documents").withColumn("status", F.when(F.col("doc_id") % 5 == 0, "superseded").when(F.col("doc_id") % 5 == 1, "withheld").otherwise("admitted"))
-    return docs.filter(~F.col("status").isin("superseded", "withheld") & F.array_contains(F.array(F.lit("en"), F.lit("fr")), F.col("lang"))).agg(COUNT.alias("n"))
+    return docs.filter(~F.col("status").isin("superseded", "withheld") & F.array_contains(F.array(F.lit("en"), F.lit("fr")), F.col("lang"))).agg(count().alias("n"))
 
 
 @query("p9_grants", "SELECT doc_id FROM documents d WHERE source='src1' OR EXISTS (SELECT 1 FROM labels l WHERE l.doc_id=d.doc_id AND l.quality=1 AND d.source IN ('src2','src3'))")
@@ -191,7 +192,7 @@ def p9(spark, d):
 
 @query("p11_test_paths", "SELECT regexp_matches(url, '(^|/)tests?/|_test\\.|/en/') AS is_test, count(*) AS n FROM pages GROUP BY 1")
 def p11(spark, d):
-    return table(spark, d, "pages").groupBy(F.col("url").rlike(r"(^|/)tests?/|_test\.|/en/").alias("is_test")).agg(COUNT.alias("n"))
+    return table(spark, d, "pages").groupBy(F.col("url").rlike(r"(^|/)tests?/|_test\.|/en/").alias("is_test")).agg(count().alias("n"))
 
 
 @query("p13_probability_check", "SELECT count(*) FILTER (WHERE value BETWEEN 0 AND 1) AS valid, count(*) FILTER (WHERE NOT (value BETWEEN 0 AND 1)) AS invalid FROM events")
@@ -203,26 +204,26 @@ def p13(spark, d):
 @query("a9_coverage_counts", f"WITH {GRAPH} SELECT rel_type, count(*) AS n, count(*) FILTER (WHERE class='extracted') AS structural, count(*) FILTER (WHERE class<>'extracted') AS resolved FROM edges GROUP BY 1")
 def a9(spark, d):
     e = G.edges(spark, d)
-    return e.groupBy("rel_type").agg(COUNT.alias("n"), F.count_if(F.col("class") == "extracted").alias("structural"), F.count_if(F.col("class") != "extracted").alias("resolved"))
+    return e.groupBy("rel_type").agg(count().alias("n"), F.count_if(F.col("class") == "extracted").alias("structural"), F.count_if(F.col("class") != "extracted").alias("resolved"))
 
 
 @query("a10_coverage_report", "SELECT count(*) FILTER (WHERE lang<>'en') AS heuristic, (list(doc_id ORDER BY doc_id) FILTER (WHERE lang<>'en'))[1:10] AS first, greatest(count(*) FILTER (WHERE lang<>'en') - 10, 0) AS omitted FROM documents")
 def a10(spark, d):
     docs = table(spark, d, "documents").filter("lang <> 'en'")
     first = docs.select("doc_id").orderBy("doc_id").limit(10).agg(F.array_sort(F.collect_list("doc_id")).alias("first"))
-    return docs.agg(COUNT.alias("heuristic")).crossJoin(F.broadcast(first)).withColumn("omitted", F.greatest(F.col("heuristic") - 10, F.lit(0)))
+    return docs.agg(count().alias("heuristic")).crossJoin(F.broadcast(first)).withColumn("omitted", F.greatest(F.col("heuristic") - 10, F.lit(0)))
 
 
 @query("a11_selected_omitted", "SELECT p_brand AS reason, least(count(*),20) AS selected, greatest(count(*)-20,0) AS omitted FROM part GROUP BY 1")
 def a11(spark, d):
-    return table(spark, d, "part").groupBy(F.col("p_brand").alias("reason")).agg(F.least(COUNT, F.lit(20)).alias("selected"), F.greatest(COUNT - 20, F.lit(0)).alias("omitted"))
+    return table(spark, d, "part").groupBy(F.col("p_brand").alias("reason")).agg(F.least(count(), F.lit(20)).alias("selected"), F.greatest(count() - 20, F.lit(0)).alias("omitted"))
 
 
 @query("a16_table_counts", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in TABLES))
 def a16(spark, d):
     from functools import reduce
 
-    return reduce(lambda a, b: a.unionAll(b), [table(spark, d, t).agg(COUNT.alias("n")).select(F.lit(t).alias("name"), "n") for t in TABLES])
+    return reduce(lambda a, b: a.unionAll(b), [table(spark, d, t).agg(count().alias("n")).select(F.lit(t).alias("name"), "n") for t in TABLES])
 
 
 @query("a17_distinct_digests", "SELECT source, count(DISTINCT md5(text)) AS digests FROM documents GROUP BY 1")
@@ -285,13 +286,13 @@ def d11(spark, d):
 @query("d13_bundle_checks", "SELECT count(*) FILTER (WHERE d.doc_id IS NULL) AS dangling, count(*) - count(DISTINCT l.doc_id) AS repeated FROM labels l LEFT JOIN documents d USING (doc_id)")
 def d13(spark, d):
     l, docs = table(spark, d, "labels"), table(spark, d, "documents").select("doc_id", F.lit(1).alias("_d"))
-    return l.join(docs, "doc_id", "left").agg(F.count_if(F.col("_d").isNull()).alias("dangling"), (COUNT - F.countDistinct("doc_id")).alias("repeated"))
+    return l.join(docs, "doc_id", "left").agg(F.count_if(F.col("_d").isNull()).alias("dangling"), (count() - F.countDistinct("doc_id")).alias("repeated"))
 
 
 @query("d14_pair_actions", "WITH p AS (SELECT (doc_id*7 % 101)/100.0::DOUBLE AS s, (doc_id*13 % 101)/100.0::DOUBLE AS r, doc_id % 2=0 AS o FROM documents) SELECT CASE WHEN s>=0.9 THEN 'merge' WHEN r>=0.9 AND o THEN 'replace' WHEN r>=0.9 THEN 'conflict' ELSE 'keep' END AS action, count(*) AS n FROM p GROUP BY 1")
 def d14(spark, d):
     part = lambda k: ((F.col("doc_id") * k % 101) / F.lit(100.0)).cast("double")
-    return table(spark, d, "documents").groupBy(C.pair_action(part(7), part(13), F.col("doc_id") % 2 == 0).alias("action")).agg(COUNT.alias("n"))
+    return table(spark, d, "documents").groupBy(C.pair_action(part(7), part(13), F.col("doc_id") % 2 == 0).alias("action")).agg(count().alias("n"))
 
 
 @query("d17_compaction_plan", "SELECT role, count(*) FILTER (WHERE turn=0 OR role='system') AS kept, count(*) FILTER (WHERE NOT (turn=0 OR role='system') AND length(text)>400) AS moved, count(*) FILTER (WHERE NOT (turn=0 OR role='system') AND length(text)<=400) AS inline FROM conversations GROUP BY 1")
@@ -303,7 +304,7 @@ def d17(spark, d):
 @query("d19_hold_reasons", "SELECT concat_ws(',', CASE WHEN o_totalprice>100000 THEN 'large' END, CASE WHEN o_orderstatus='O' THEN 'open' END, CASE WHEN o_custkey%10=0 THEN 'watched' END) AS reasons, count(*) AS n FROM orders GROUP BY 1")
 def d19(spark, d):
     why = C.hold_reasons({"large": F.col("o_totalprice") > 100000, "open": F.col("o_orderstatus") == "O", "watched": F.col("o_custkey") % 10 == 0})
-    return table(spark, d, "orders").groupBy(F.array_join(why, ",").alias("reasons")).agg(COUNT.alias("n"))
+    return table(spark, d, "orders").groupBy(F.array_join(why, ",").alias("reasons")).agg(count().alias("n"))
 
 
 @query("x6_current_handles", "SELECT doc_id FROM documents WHERE doc_id % 4 <> 0 INTERSECT SELECT doc_id FROM labels")
@@ -317,7 +318,7 @@ def x8(spark, d):
     c = table(spark, d, "conversations").select("conv_id", "turn", "text")
     lines = c.select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("i", "line"))
     back = lines.groupBy("conv_id", "turn").agg(F.array_join(F.sort_array(F.collect_list(F.struct("i", "line")))["line"], "\n").alias("text"))
-    lost, more = c.exceptAll(back).agg(COUNT.alias("lost")), back.exceptAll(c).agg(COUNT.alias("invented"))
+    lost, more = c.exceptAll(back).agg(count().alias("lost")), back.exceptAll(c).agg(count().alias("invented"))
     return lost.crossJoin(F.broadcast(more))
 
 
@@ -330,14 +331,14 @@ def x12(spark, d):
 
 @query("x22_status", f"WITH {GRAPH} SELECT 'star' AS repo, 'build-2' AS build_id, (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges, (SELECT count(*) FROM edges) > 0 AS publishable")
 def x22(spark, d):
-    n = G.nodes(spark, d).agg(COUNT.alias("nodes"))
-    e = G.edges(spark, d).agg(COUNT.alias("edges"))
+    n = G.nodes(spark, d).agg(count().alias("nodes"))
+    e = G.edges(spark, d).agg(count().alias("edges"))
     return n.crossJoin(F.broadcast(e)).select(F.lit("star").alias("repo"), F.lit("build-2").alias("build_id"), "nodes", "edges", (F.col("edges") > 0).alias("publishable"))
 
 
 @query("x26_identity_pins", "SELECT count(*) AS pins, count(DISTINCT conv_id||'/'||turn)=count(*) AS unique_ids FROM conversations")
 def x26(spark, d):
-    return table(spark, d, "conversations").agg(COUNT.alias("pins"), (F.countDistinct(F.concat_ws("/", "conv_id", "turn")) == COUNT).alias("unique_ids"))
+    return table(spark, d, "conversations").agg(count().alias("pins"), (F.countDistinct(F.concat_ws("/", "conv_id", "turn")) == count()).alias("unique_ids"))
 
 
 @query("x28_evidence_packet", "WITH s AS (SELECT DISTINCT user_id, event_type, props FROM events), n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_type, props) AS rn, count(*) OVER (PARTITION BY user_id) AS total FROM s) SELECT user_id, event_type, props, greatest(total-4,0) AS omitted FROM n WHERE rn<=4")
