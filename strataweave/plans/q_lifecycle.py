@@ -369,3 +369,125 @@ def g22(spark, d):
     hit = changed.join(e, changed.entity_id == e.to_id, "left")
     risk = hit.groupBy("entity_id").agg(F.countDistinct("from_id").alias("callers"), F.count_if(F.col("class") == "ambiguous").alias("doubtful"))
     return risk.orderBy(F.desc("callers"), "entity_id").limit(10)
+
+
+@query("a3_max_version", "SELECT coalesce(max(p_size),0) AS version FROM part")
+def a3(spark, d):
+    return table(spark, d, "part").agg(F.coalesce(F.max("p_size"), F.lit(0)).alias("version"))
+
+
+@query("a15_retained_builds", "SELECT o_orderpriority AS build, count(*) AS members, count(DISTINCT o_custkey) AS owners FROM orders GROUP BY 1")
+def a15(spark, d):
+    return table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("build")).agg(count().alias("members"), F.countDistinct("o_custkey").alias("owners"))
+
+
+@query("a22_catalog_digest", "SELECT sha256('v1'||chr(0)||string_agg(p_partkey||':'||p_name||chr(0), '' ORDER BY p_partkey)) AS digest FROM part")
+def a22(spark, d):
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.concat_ws(":", "p_partkey", "p_name").alias("f"))
+    head = spark.createDataFrame([(-1, "v1")], "k long, f string")
+    return head.unionAll(rows).agg(ordered_digest(["k"], F.col("f")).alias("digest"))
+
+
+@query("a23_view_digest", "SELECT event_type, sha256(string_agg(event_id||chr(0), '' ORDER BY event_id)) AS digest FROM events GROUP BY 1")
+def a23(spark, d):
+    return table(spark, d, "events").groupBy("event_type").agg(ordered_digest(["event_id"], F.col("event_id").cast("string")).alias("digest"))
+
+
+@query("a25_budget_totals", "SELECT count(*) AS attempts, coalesce(sum(l_linenumber),0)::BIGINT AS reserved FROM lineitem WHERE l_returnflag='R'")
+def a25(spark, d):
+    return table(spark, d, "lineitem").filter("l_returnflag = 'R'").agg(count().alias("attempts"), F.coalesce(F.sum("l_linenumber"), F.lit(0)).alias("reserved"))
+
+
+@query("g26_duplicate_cycles", "WITH RECURSIVE l AS (SELECT n_nationkey AS id, (n_nationkey*3+1) % 25 AS dup FROM nation), w(s0, pos, n) AS (SELECT id, dup, 1 FROM l UNION SELECT s0, dup, n+1 FROM w JOIN l ON id=pos WHERE n<26 AND pos<>s0) SELECT DISTINCT s0::BIGINT AS id FROM w WHERE pos=s0")
+def g26(spark, d):
+    """Ids on a cycle of duplicate-of links: everything that reaches itself."""
+    links = table(spark, d, "nation").selectExpr("cast(n_nationkey AS bigint) AS id", "cast((n_nationkey * 3 + 1) % 25 AS bigint) AS dup")
+    reach = links.select(F.col("id").alias("start"), F.col("dup").alias("at"))
+    for _ in range(5):  # pointer jumping: five doublings pass 25 nodes
+        jump = reach.select(F.col("start").alias("at"), F.col("at").alias("far"))
+        more = reach.join(jump, "at").select("start", F.col("far").alias("at"))
+        reach = reach.union(more).distinct()
+    return reach.filter("start = at").select(F.col("start").alias("id")).distinct()
+
+
+@query("r6_embedding_backfill", "WITH p AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id)-1 AS n FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)) SELECT (n // 32)::INT AS batch, count(*) AS n FROM p GROUP BY 1")
+def r6(spark, d):
+    """Pending texts in batches of 32; numbers are dealt within hash ranges, then shifted by the ranges before."""
+    docs = table(spark, d, "documents").select("doc_id")
+    pending = docs.join(table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_anti")
+    part = F.floor(F.col("doc_id") / 1000)
+    sizes = pending.groupBy(part.alias("part")).agg(count().alias("c"))
+    before = sizes.withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("c")
+    inner = pending.withColumn("part", part).withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy("doc_id")) - 1)
+    numbered = inner.join(before, "part").select(F.floor((F.col("k") + F.col("before")) / 32).cast("int").alias("batch"))
+    return numbered.groupBy("batch").agg(count().alias("n"))
+
+
+@query("r10_current_view", "WITH f AS (SELECT md5(text) AS h, min(doc_id) AS canon FROM documents GROUP BY 1) SELECT d.doc_id, f.canon, EXISTS (SELECT 1 FROM labels l WHERE l.doc_id=d.doc_id AND l.toxic=1) AS disputed FROM documents d JOIN f ON md5(d.text)=f.h WHERE d.doc_id % 9 <> 0 AND d.doc_id=f.canon")
+def r10(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.md5("text").alias("h"))
+    canon = docs.groupBy("h").agg(F.min("doc_id").alias("canon"))
+    disputed = table(spark, d, "labels").filter("toxic = 1").select("doc_id", F.lit(True).alias("_d")).distinct()
+    shown = docs.filter("doc_id % 9 <> 0").join(canon, "h").filter("doc_id = canon").join(disputed, "doc_id", "left")
+    return shown.select("doc_id", "canon", F.coalesce("_d", F.lit(False)).alias("disputed"))
+
+
+@query("d7_response_validation", "SELECT CASE WHEN event_type NOT IN ('view','click','purchase') THEN 'unknown label' WHEN value IS NULL OR value<0 OR value>100 THEN 'out of range' ELSE 'valid' END AS verdict, count(*) AS n FROM events GROUP BY 1")
+def d7(spark, d):
+    e = table(spark, d, "events")
+    verdict = F.when(~F.col("event_type").isin("view", "click", "purchase"), "unknown label").when(F.col("value").isNull() | ~F.col("value").between(0, 100), "out of range").otherwise("valid")
+    return e.groupBy(verdict.alias("verdict")).agg(count().alias("n"))
+
+
+@query("d20_ledger_validation", "SELECT l.doc_id, CASE WHEN d.doc_id IS NULL THEN 'no source' WHEN quality NOT IN (0,1) THEN 'bad value' ELSE 'sound' END AS state FROM labels l LEFT JOIN documents d ON d.doc_id=l.doc_id AND d.n_chars>1000")
+def d20(spark, d):
+    long = table(spark, d, "documents").filter("n_chars > 1000").select("doc_id", F.lit(1).alias("_d"))
+    state = F.when(F.col("_d").isNull(), "no source").when(~F.col("quality").isin(0, 1), "bad value").otherwise("sound")
+    return table(spark, d, "labels").join(long, "doc_id", "left").select("doc_id", state.alias("state"))
+
+
+@query("x7_pending_captures", "SELECT count(*) AS pending FROM (SELECT DISTINCT md5(text) AS h FROM conversations WHERE turn > 0 AND md5(text) NOT IN (SELECT md5(text) FROM conversations WHERE turn=0))")
+def x7(spark, d):
+    c = table(spark, d, "conversations").select("turn", F.md5("text").alias("h"))
+    return append_new(c.filter("turn = 0"), c.filter("turn > 0"), ["h"]).agg(count().alias("pending"))
+
+
+@query("x9_operation_page", "SELECT event_id, event_type FROM events WHERE contains(lower(event_type), 'p') AND (json_extract_string(props,'$.k'))::INT > 1 ORDER BY event_id LIMIT 10 OFFSET 20")
+def x9(spark, d):
+    e = table(spark, d, "events").filter(F.lower("event_type").contains("p") & (F.get_json_object("props", "$.k").cast("int") > 1))
+    return e.select("event_id", "event_type").orderBy("event_id").offset(20).limit(10)
+
+
+@query("x14_draft_recovery", "SELECT conv_id, turn, len(string_split(text, chr(10)))::INT AS parts, len(list_filter(string_split(text, chr(10)), lambda p: NOT ends_with(p, '.')))::INT AS interrupted FROM conversations")
+def x14(spark, d):
+    parts = F.transform(F.split("text", "\n"), lambda p: F.struct(p.alias("text"), F.when(p.endswith("."), "done").otherwise("interrupted").alias("status")))
+    c = table(spark, d, "conversations").select("conv_id", "turn", parts.alias("p"))
+    return c.select("conv_id", "turn", F.size("p").alias("parts"), F.size(F.filter("p", lambda x: x["status"] == "interrupted")).alias("interrupted"))
+
+
+@query("x19_answer_thresholds", "SELECT CASE WHEN value>=90 THEN 'accept' WHEN value<=10 THEN 'refuse' ELSE 'ask again' END AS verdict, count(*) AS n FROM events GROUP BY 1")
+def x19(spark, d):
+    verdict = F.when(F.col("value") >= 90, "accept").when(F.col("value") <= 10, "refuse").otherwise("ask again")
+    return table(spark, d, "events").groupBy(verdict.alias("verdict")).agg(count().alias("n"))
+
+
+@query("x23_publishable", f"WITH {GRAPH} SELECT rel_type, count(*) FILTER (WHERE class<>'extracted') > 0 AS decided FROM edges GROUP BY 1")
+def x23(spark, d):
+    return G.edges(spark, d).groupBy("rel_type").agg((F.count_if(F.col("class") != "extracted") > 0).alias("decided"))
+
+
+@query("x31_catalog_recheck", "SELECT count(*) AS changed FROM part WHERE p_partkey % 17 = 0")
+def x31(spark, d):
+    again = table(spark, d, "part").select("p_partkey", "p_name")
+    staged = again.withColumn("p_name", F.when(F.col("p_partkey") % 17 == 0, F.concat("p_name", F.lit("!"))).otherwise(F.col("p_name")))
+    return staged.exceptAll(again).agg(count().alias("changed"))
+
+
+@query("j23_catalog_joins", "SELECT n_name, r_name, count(c_custkey) AS customers, count(s) AS suppliers FROM region JOIN nation ON r_regionkey=n_regionkey LEFT JOIN customer ON c_nationkey=n_nationkey LEFT JOIN (SELECT s_nationkey AS k, min(s_suppkey) AS s FROM supplier GROUP BY 1) ON k=n_nationkey GROUP BY 1,2")
+def j23(spark, d):
+    n, r = table(spark, d, "nation"), table(spark, d, "region")
+    c = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(count().alias("customers"))
+    s = table(spark, d, "supplier").select(F.col("s_nationkey").alias("n_nationkey"), F.lit(1).alias("has")).distinct()
+    joined = n.join(r, n.n_regionkey == r.r_regionkey).join(c, "n_nationkey", "left").join(s, "n_nationkey", "left")
+    rows = F.greatest(F.coalesce("customers", F.lit(0)), F.lit(1))
+    return joined.select("n_name", "r_name", F.coalesce("customers", F.lit(0)).alias("customers"), F.when(F.col("has").isNotNull(), rows).otherwise(0).alias("suppliers"))
