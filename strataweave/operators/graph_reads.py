@@ -55,9 +55,9 @@ def resolve(nodes: DataFrame, text: str) -> DataFrame:
     return found.select(status.alias("status"), "matches", F.when(F.col("matches") == 1, F.col("entity_id")).alias("entity_id"))
 
 
-def diff(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
-    """(key, change): what was added and what was removed."""
-    a, b = before.select(key), after.select(key)
+def diff(before: DataFrame, after: DataFrame, *key: str) -> DataFrame:
+    """(key columns, change): what was added and what was removed."""
+    a, b = before.select(*key), after.select(*key)
     return b.exceptAll(a).withColumn("change", F.lit("added")).unionAll(a.exceptAll(b).withColumn("change", F.lit("removed")))
 
 

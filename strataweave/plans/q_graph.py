@@ -219,8 +219,7 @@ def g19(spark, d):
 )
 def g20(spark, d):
     new, old = G.edges(spark, d), G.edges(spark, d, build=1)
-    changed = R.diff(old, new, "rel_id").join(new.unionAll(old).select("rel_id", "rel_type").distinct(), "rel_id")
-    return changed.groupBy("rel_type", "change").agg(F.count(F.lit(1)).alias("n"))
+    return R.diff(old, new, "rel_id", "rel_type").groupBy("rel_type", "change").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("l1_entity_list", f"WITH {GRAPH} SELECT entity_id, qualified_name FROM nodes ORDER BY qualified_name, entity_id LIMIT 50")
