@@ -49,18 +49,16 @@ def shortest_path(edges: DataFrame, start: str, goal: str, hops: int = 4) -> Dat
     a, b, r = F.col("from_id"), F.col("to_id"), F.col("rel_id")
     near = edges.select(a.alias("a"), b.alias("b"), F.lit(0).alias("way"), r.alias("r"))
     near = near.unionAll(edges.select(b.alias("a"), a.alias("b"), F.lit(1).alias("way"), r.alias("r"))).cache()
-    seen = spark.createDataFrame([(start, [start], 0)], "id string, path array<string>, ord int")
+    # ``ord`` lists the steps taken; at one level, lists compare as the order of discovery does.
+    seen = spark.createDataFrame([(start, [start], [])], "id string, path array<string>, ord array<string>")
     front, hit = seen, start == goal
     for _ in range(0 if hit else hops):
         via = near.join(front.select(F.col("id").alias("a"), "path", "ord"), "a")
         new = via.join(seen.select(F.col("id").alias("b")), "b", "left_anti")
-        first = Window.partitionBy("b").orderBy("ord", "way", "r")
-        best = new.withColumn("_n", F.row_number().over(first)).filter("_n = 1")
-        # The order within a level only breaks ties, so a hash-free dense key will do.
-        key = F.struct("ord", "way", "r")
-        best = best.select(F.col("b").alias("id"), F.concat("path", F.array("b")).alias("path"), key.alias("key"))
-        rank = F.row_number().over(Window.orderBy("key", "id"))
-        front = cut(best.withColumn("ord", rank).select("id", "path", "ord"))
+        step = F.concat("ord", F.array(F.concat(F.col("way").cast("string"), "r")))
+        first = Window.partitionBy("b").orderBy("ord")
+        best = new.withColumn("ord", step).withColumn("_n", F.row_number().over(first)).filter("_n = 1")
+        front = cut(best.select(F.col("b").alias("id"), F.concat("path", F.array("b")).alias("path"), "ord"))
         if front.filter(F.col("id") == goal).take(1):
             hit = True
             seen = front
