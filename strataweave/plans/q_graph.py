@@ -188,18 +188,18 @@ def g6(spark, d):
     return T.reachable(G.edges(spark, d, SMALL), CUSTOMER, 3)
 
 
-FRANCE, GERMANY = (G.entity_id("module", f"nation::{n}") for n in ("FRANCE", "GERMANY"))
+START, GOAL = (G.entity_id("module", f"nation::{n}") for n in ("NATION_0", "NATION_10"))
 NATION = lambda n: ent("module", f"'nation::{n}'")
 
 
 @query(
     "g5_bounded_path",
     f"WITH RECURSIVE {GRAPH}, near AS (SELECT DISTINCT a,b FROM (SELECT from_id a,to_id b FROM edges WHERE rel_type='contains' UNION ALL SELECT to_id,from_id FROM edges WHERE rel_type='contains')), "
-    f"walk(id, path) AS (SELECT {NATION('FRANCE')}, [{NATION('FRANCE')}] UNION ALL SELECT b, list_append(path,b) FROM walk JOIN near ON a=id WHERE len(path)<=4 AND NOT list_contains(path,b) AND id<>{NATION('GERMANY')}), "
-    f"best AS (SELECT path FROM walk WHERE id={NATION('GERMANY')} ORDER BY len(path), path LIMIT 1) SELECT (i-1)::INT AS step, e AS entity_id FROM (SELECT unnest(path) AS e, generate_subscripts(path,1) AS i FROM best)",
+    f"walk(id, path) AS (SELECT {NATION('NATION_0')}, [{NATION('NATION_0')}] UNION ALL SELECT b, list_append(path,b) FROM walk JOIN near ON a=id WHERE len(path)<=4 AND NOT list_contains(path,b) AND id<>{NATION('NATION_10')}), "
+    f"best AS (SELECT path FROM walk WHERE id={NATION('NATION_10')} ORDER BY len(path), path LIMIT 1) SELECT (i-1)::INT AS step, e AS entity_id FROM (SELECT unnest(path) AS e, generate_subscripts(path,1) AS i FROM best)",
 )
 def g5(spark, d):
-    return T.shortest_path(G.edges(spark, d, ("contains",)), FRANCE, GERMANY, 4)
+    return T.shortest_path(G.edges(spark, d, ("contains",)), START, GOAL, 4)
 
 
 @query("g18_explain", f"WITH {GRAPH} SELECT n.entity_id, n.kind, n.name, (SELECT count(*) FROM edges WHERE from_id=n.entity_id) AS outgoing, (SELECT count(*) FROM edges WHERE to_id=n.entity_id) AS incoming FROM nodes n WHERE n.entity_id={PART_SQL}")
@@ -208,9 +208,9 @@ def g18(spark, d):
     return node.crossJoin(F.broadcast(R.degree_counts(G.edges(spark, d, ("references", "implements")), PART)))
 
 
-@query("g19_resolve", f"WITH {GRAPH}, m AS (SELECT count(*) AS matches, min(entity_id) AS e FROM nodes WHERE entity_id='FRANCE' OR name='FRANCE') SELECT CASE matches WHEN 0 THEN 'unknown' WHEN 1 THEN 'entity' ELSE 'ambiguous' END AS status, matches, CASE WHEN matches=1 THEN e END AS entity_id FROM m")
+@query("g19_resolve", f"WITH {GRAPH}, m AS (SELECT count(*) AS matches, min(entity_id) AS e FROM nodes WHERE entity_id='NATION_3' OR name='NATION_3') SELECT CASE matches WHEN 0 THEN 'unknown' WHEN 1 THEN 'entity' ELSE 'ambiguous' END AS status, matches, CASE WHEN matches=1 THEN e END AS entity_id FROM m")
 def g19(spark, d):
-    return R.resolve(G.nodes(spark, d), "FRANCE")
+    return R.resolve(G.nodes(spark, d), "NATION_3")
 
 
 @query(

@@ -357,9 +357,9 @@ def x29(spark, d):
     return o.join(done, "o_orderkey", "left_anti").join(ours, "o_custkey", "left_semi").select("o_orderkey").orderBy("o_orderkey").limit(64)
 
 
-@query("g8_context", f"WITH RECURSIVE {GRAPH}, sc AS (SELECT entity_id, (CASE WHEN contains(name_fold,'asia') THEN 2 ELSE 0 END + CASE WHEN contains(qn_fold,'asia') THEN 1 ELSE 0 END + CASE WHEN contains(name_fold,'india') THEN 2 ELSE 0 END + CASE WHEN contains(qn_fold,'india') THEN 1 ELSE 0 END) AS score FROM nodes WHERE kind='module'), seed AS (SELECT * FROM sc WHERE score>0 ORDER BY score DESC, entity_id LIMIT 3), near AS (SELECT DISTINCT a,b FROM (SELECT from_id a,to_id b FROM edges WHERE rel_type='contains' UNION ALL SELECT to_id,from_id FROM edges WHERE rel_type='contains')), w(id,depth) AS (SELECT entity_id, 0 FROM seed UNION SELECT b, depth+1 FROM w JOIN near ON a=id WHERE depth<2), m AS (SELECT id, min(depth) AS depth FROM w GROUP BY 1) SELECT id AS entity_id, depth::INT AS depth, coalesce(score,0)::INT AS score FROM m LEFT JOIN seed ON entity_id=id ORDER BY depth, score DESC, id LIMIT 40")
+@query("g8_context", f"WITH RECURSIVE {GRAPH}, sc AS (SELECT entity_id, (CASE WHEN contains(name_fold,'asia') THEN 2 ELSE 0 END + CASE WHEN contains(qn_fold,'asia') THEN 1 ELSE 0 END + CASE WHEN contains(name_fold,'nation_2') THEN 2 ELSE 0 END + CASE WHEN contains(qn_fold,'nation_2') THEN 1 ELSE 0 END) AS score FROM nodes WHERE kind='module'), seed AS (SELECT * FROM sc WHERE score>0 ORDER BY score DESC, entity_id LIMIT 3), near AS (SELECT DISTINCT a,b FROM (SELECT from_id a,to_id b FROM edges WHERE rel_type='contains' UNION ALL SELECT to_id,from_id FROM edges WHERE rel_type='contains')), w(id,depth) AS (SELECT entity_id, 0 FROM seed UNION SELECT b, depth+1 FROM w JOIN near ON a=id WHERE depth<2), m AS (SELECT id, min(depth) AS depth FROM w GROUP BY 1) SELECT id AS entity_id, depth::INT AS depth, coalesce(score,0)::INT AS score FROM m LEFT JOIN seed ON entity_id=id ORDER BY depth, score DESC, id LIMIT 40")
 def g8(spark, d):
-    return C.context(G.nodes(spark, d, ("region", "nation")), G.edges(spark, d, ("contains",)), ["asia", "india"], 2, 3, 40)
+    return C.context(G.nodes(spark, d, ("region", "nation")), G.edges(spark, d, ("contains",)), ["asia", "nation_2"], 2, 3, 40)
 
 
 @query("g22_review", f"WITH {GRAPH}, ch AS (SELECT entity_id, name FROM nodes WHERE kind='definition' AND starts_with(qualified_name,'part::') AND file='catalog/Brand#11/'||split_part(split_part(file,'/',3),'.',1)||'.rs') SELECT ch.entity_id, count(DISTINCT from_id) AS callers, count(*) FILTER (WHERE class='ambiguous') AS doubtful FROM ch LEFT JOIN edges ON to_id=ch.entity_id GROUP BY 1 ORDER BY callers DESC, 1 LIMIT 10")
