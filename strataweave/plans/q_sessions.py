@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import campaign as C
 from ..operators import knowledge as K
+from ..operators import retrieval as V
 from ..session import table
 from .registry import query
 
@@ -168,10 +169,9 @@ def x18(spark, d):
 
 @query("x17_quote_check", "SELECT item_id, count(doc_id) AS sources FROM benchmark b LEFT JOIN documents d ON contains(d.text, substr(b.text, 1, 60)) GROUP BY 1")
 def x17(spark, d):
-    """Quotes are few (the benchmark's items), so they are the broadcast side of the containment join."""
     q = table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 60).alias("q"))
     docs = table(spark, d, "documents").select("doc_id", "text")
-    hits = docs.join(F.broadcast(q), F.contains("text", "q")).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+    hits = V.holding(docs, "text", q, "q").groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
     return q.join(hits, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("sources"))
 
 
