@@ -5,8 +5,10 @@ text. A line's ratio is its characters outside links per tag seen since the line
 line in what is marked as furniture (menus, headers, footers, sidebars, notices, adverts,
 forms, comments) has ratio 0 and is never taken. Ratios are smoothed with a Gaussian and
 split at a threshold by two-means clustering; a container of lines is a content region when
-most of its text lies above the threshold. Regions are taken whole, so that short paragraphs
-of an article stay; where a page marks its articles, those are the containers that count.
+at least half of its text lies above the threshold, or a quarter where the page marks it as an
+article. Without such a container the one with most text above the threshold is the region; a
+marked one goes first among equals. Regions are taken whole, so that short paragraphs of an
+article stay.
 
 A null, empty or furniture-only page gives an empty text. Broken markup never fails: end
 tags without a start are ignored, unclosed elements end with their container. Columns besides
@@ -78,7 +80,7 @@ class Lines(HTMLParser):
             return not within
         for name, value in attrs:
             if name in ("class", "id"):
-                if tag not in ("html", "body", "article", "main") and MARKS & _words(value):
+                if tag not in ("html", "body", "main") and MARKS & _words(value):
                     return True
             elif name == "role":
                 if value in ROLES:
@@ -196,17 +198,17 @@ def main_text(html: str | None) -> str:
     own = [x for x in lines if not x[4]]
     if not own:
         return ""
-    marked = {x[3] for x in own if parsed.containers[x[3]] == "article"}
     ratios = smoothed([0.0 if x[4] else max(0, len(x[0]) - x[1]) / max(1, x[2]) for x in lines])
     cut = threshold(ratios)
     above: dict[int, int] = {}
     size: dict[int, int] = {}
     for x, r in zip(lines, ratios):
-        if not x[4] and (not marked or x[3] in marked):
-            free = len(x[0]) - x[1]
+        if not x[4]:
             size[x[3]] = size.get(x[3], 0) + len(x[0])
-            above[x[3]] = above.get(x[3], 0) + (free if r >= cut or x[3] in marked else 0)
-    regions = {k for k, n in size.items() if 2 * above[k] >= n} or {max(size, key=lambda k: (above[k], size[k], -k))}
+            above[x[3]] = above.get(x[3], 0) + (len(x[0]) - x[1] if r >= cut else 0)
+    marked = {k for k in size if parsed.containers[k] == "article"}
+    regions = {k for k, n in size.items() if (4 if k in marked else 2) * above[k] >= n}
+    regions = regions or {max(size, key=lambda k: (above[k], k in marked, size[k], -k))}
     return "\n".join(x[0] for x in own if x[3] in regions)
 
 

@@ -204,6 +204,17 @@ def test_html(spark):
     assert [got[i].text for i in (2, 3, 4)] == ["", "", ""]
 
 
+def test_html_ratios_decide_on_marked_pages():
+    story = "".join(f"<p>{'Long text of the story. ' * 12}</p>" for _ in range(8))
+    teasers = "".join(f"<article><p><b>T</b> <i>{i}</i></p></article>" for i in range(8))
+    got = html_text.main_text(f"<body><div>{story}</div>{teasers}</body>")
+    assert got.count("Long text") == 96 and "T 7" not in got
+    got = html_text.main_text(f"<body><article><h1>Title</h1>{story}</article><div>{'<p><b>a</b> <i>b</i></p>' * 8}</div></body>")
+    assert got.startswith("Title") and got.count("Long text") == 96 and "a b" not in got
+    got = html_text.main_text(f"<body><article>{story}</article><article class='related'>{story.replace('Long', 'Other')}</article></body>")
+    assert got.count("Long text") == 96 and "Other" not in got
+
+
 def test_quotes(spark):
     rows = [
         (1, 0, "u", "Hello  there\nHow are you?\n\nSecond para."),
