@@ -1,16 +1,18 @@
 """MinHash near-duplicates by a multi-index Hamming join.
 
-Exact copies (equal shingle sets) collapse into one node first. A node's signature is
-``CHUNKS * SYMBOLS`` min-hashes of 16 bits. Signatures are cut into ``CHUNKS`` chunks; for each
-chunk the one allowed error is enumerated by leaving out each symbol in turn, so signatures
-that differ in one symbol of a chunk share a key there. By the pigeonhole principle two
-signatures at a distance of ``2 * CHUNKS - 1`` or less have a chunk with one error at most, so
-every such pair meets under a key. Signatures that meet are linked when their distance is at
-most that; the components of these links are families. In each family, links are confirmed on
-full shingle sets: 100 * intersection >= ``threshold`` * union.
-
-At a similarity of 0.85 the expected distance is 7.2 of 48, the guarantee reaches 15, and a
-pair meets nowhere with a probability of 6e-6.
+Exact copies (equal shingle sets) collapse into one node first. A node's signature has
+``chunks * symbols`` min-hashes of 16 bits. Signatures are cut into chunks; for each chunk the
+one allowed error is enumerated by leaving out each symbol in turn, so signatures that differ
+in one symbol of a chunk share a key there. By the pigeonhole principle two signatures at a
+distance of ``2 * chunks - 1`` or less have a chunk with one error at most, so every such pair
+meets under a key. Signatures that meet are linked when their distance is at most ``reach``,
+which loses less than ``LOSS`` of the pairs at the threshold; the components of these links are
+families. In each family, links are confirmed on full shingle sets: 100 * intersection >=
+``threshold`` * union.
+
+A pair at exactly 0.85 (8 chunks of 6 symbols) meets nowhere with a probability of 6.2e-6 and
+is dropped at its distance (21 of 48 or more) with 1.8e-6; at 0.80 (10 chunks of 5) these are
+1.6e-6 and 2.1e-6 (25 of 50 or more). Both fall quickly with the similarity.
 
 Both steps run through ``graph.block_links``: groups of any size are dealt to blocks, no pairs
 of a group are listed. Repeated rows are copies. Rows that share a doc_id count as one
@@ -20,6 +22,8 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,25 +34,44 @@ from .hashing import WordHash, shingle_set
 
 WIDTH = 5
 THRESHOLD = 85
-CHUNKS, SYMBOLS = 8, 6
+LOSS = 5e-6
 SIGNATURE_BLOCK, SET_BLOCK = 1024, 256
 
 _rng = np.random.default_rng(20240229)
-_MULTIPLY = _rng.integers(1, 1 << 63, CHUNKS * SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_FLIP = _rng.integers(0, 1 << 63, CHUNKS * SYMBOLS, dtype=np.uint64)
+_MULTIPLY = _rng.integers(1, 1 << 63, 128, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FLIP = _rng.integers(0, 1 << 63, 128, dtype=np.uint64)
+
+
+def shape(threshold: int) -> tuple[int, int]:
+    """Chunks and symbols a chunk: the longest chunks whose pairs at the threshold meet nowhere with at most 1e-5."""
+    p = threshold / 100
+    for symbols, chunks in ((6, 8), (5, 10), (4, 12), (3, 16), (2, 24)):
+        if (1 - p**symbols - symbols * (1 - p) * p ** (symbols - 1)) ** chunks <= 1e-5:
+            return chunks, symbols
+    raise ValueError(f"a threshold of {threshold} is too low for signatures")
+
+
+def reach(threshold: int, length: int) -> int:
+    """The least distance beyond which less than ``LOSS`` of the pairs at the threshold lie."""
+    p, lost = 1 - threshold / 100, 0.0
+    for d in range(length, 0, -1):
+        lost += math.comb(length, d) * p**d * (1 - p) ** (length - d)
+        if lost > LOSS:
+            return d
+    return 0
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
+def signature(shingles: np.ndarray, length: int) -> np.ndarray:
     """16 bits of each min-hash."""
-    least = np.array([((shingles ^ f) * m).min() for m, f in zip(_MULTIPLY, _FLIP)], np.uint64)
+    least = np.array([((shingles ^ f) * m).min() for m, f in zip(_MULTIPLY[:length], _FLIP[:length])], np.uint64)
     return ((least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.uint16)
 
 
-def chunk_keys(sig: np.ndarray) -> np.ndarray:
+def chunk_keys(sig: np.ndarray, chunks: int, symbols: int) -> np.ndarray:
     """The keys of a signature: every chunk with each of its symbols left out."""
-    s = sig.reshape(CHUNKS, SYMBOLS).astype(np.uint64)
-    at = np.arange(SYMBOLS, dtype=np.uint64)
-    place = np.arange(CHUNKS, dtype=np.uint64)[:, None] * np.uint64(SYMBOLS)
+    s = sig.reshape(chunks, symbols).astype(np.uint64)
+    at = np.arange(symbols, dtype=np.uint64)
+    place = np.arange(chunks, dtype=np.uint64)[:, None] * np.uint64(symbols)
     with np.errstate(over="ignore"):
         mixed = (s + at * np.uint64(0x10001) + np.uint64(1)) * np.uint64(0xFF51AFD7ED558CCD)
         mixed ^= mixed >> np.uint64(31)
@@ -59,7 +82,7 @@ def chunk_keys(sig: np.ndarray) -> np.ndarray:
     return (keys ^ (keys >> np.uint64(32))).astype(np.int64).ravel()
 
 
-def _sketch(width: int):
+def _sketch(width: int, length: int):
     def run(batches):
         from hashlib import blake2b
 
@@ -72,7 +95,7 @@ def _sketch(width: int):
                 s = shingle_set(words.array((text or b"").translate(LOWER).split()), width)
                 sizes.append(len(s))
                 digests.append(blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                sigs.append(signature(s).tobytes() if len(s) else None)
+                sigs.append(signature(s, length).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "n", "digest", "sig"]
             )
@@ -80,17 +103,20 @@ def _sketch(width: int):
     return run
 
 
-def _keys(batches):
-    import pyarrow as pa
+def _keys(chunks: int, symbols: int):
+    def run(batches):
+        import pyarrow as pa
 
-    for batch in batches:
-        nodes = batch.column(0).to_numpy()
-        sigs = [np.frombuffer(s, np.uint16) for s in batch.column(2).to_pylist()]
-        keys = np.concatenate([chunk_keys(s) for s in sigs]) if sigs else np.empty(0, np.int64)
-        each = CHUNKS * SYMBOLS
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(keys), pa.array(np.repeat(nodes, each)), pa.array(np.repeat(batch.column(1).to_numpy(), each))], names=["g", "node", "weight"]
-        )
+        for batch in batches:
+            nodes = batch.column(0).to_numpy()
+            sigs = [np.frombuffer(s, np.uint16) for s in batch.column(2).to_pylist()]
+            keys = np.concatenate([chunk_keys(s, chunks, symbols) for s in sigs]) if sigs else np.empty(0, np.int64)
+            each = chunks * symbols
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys), pa.array(np.repeat(nodes, each)), pa.array(np.repeat(batch.column(1).to_numpy(), each))], names=["g", "node", "weight"]
+            )
+
+    return run
 
 
 def _sets(width: int):
@@ -105,15 +131,20 @@ def _sets(width: int):
     return run
 
 
-def near_signatures(loads: list[bytes]) -> np.ndarray:
-    s = np.frombuffer(b"".join(loads), np.uint16).reshape(len(loads), -1)
-    if len(s) == 2:
-        near = (s[0] != s[1]).sum() < 2 * CHUNKS
-        return np.array([[False, near], [near, False]])
-    distance = np.zeros((len(s), len(s)), np.uint8)
-    for column in s.T:
-        distance += column[:, None] != column[None, :]
-    return distance < 2 * CHUNKS
+def near_signatures(far: int):
+    """Which signatures are at a distance of ``far`` or less, for all pairs of a list."""
+
+    def run(loads: list[bytes]) -> np.ndarray:
+        s = np.frombuffer(b"".join(loads), np.uint16).reshape(len(loads), -1)
+        if len(s) == 2:
+            near = (s[0] != s[1]).sum() <= far
+            return np.array([[False, near], [near, False]])
+        distance = np.zeros((len(s), len(s)), np.uint8)
+        for column in s.T:
+            distance += column[:, None] != column[None, :]
+        return distance <= far
+
+    return run
 
 
 def similar_sets(threshold: int):
@@ -150,16 +181,17 @@ def similar_sets(threshold: int):
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs``."""
     bounded_batches(docs.sparkSession)
+    chunks, symbols = shape(threshold)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    rows = settle(texts.mapInArrow(_sketch(width), "doc_id long, n long, digest binary, sig binary"), "near-rows")
+    rows = settle(texts.mapInArrow(_sketch(width, chunks * symbols), "doc_id long, n long, digest binary, sig binary"), "near-rows")
     full = rows.filter("digest IS NOT NULL AND doc_id IS NOT NULL")
     classes = full.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("weight"))
     classes = settle(classes, "near-classes")
     sigs = full.select("doc_id", "digest", "sig").join(classes.select("digest", F.col("node").alias("doc_id"), "weight"), ["digest", "doc_id"])
     sigs = settle(sigs.select(F.col("doc_id").alias("node"), "weight", "sig").dropDuplicates(["node"]), "near-sigs")
 
-    keyed = sigs.mapInArrow(_keys, "g long, node long, weight long")
-    met = block_links(keyed, sigs.select("node", F.col("sig").alias("payload")), near_signatures, SIGNATURE_BLOCK, "near-met")
+    keyed = sigs.mapInArrow(_keys(chunks, symbols), "g long, node long, weight long")
+    met = block_links(keyed, sigs.select("node", F.col("sig").alias("payload")), near_signatures(reach(threshold, chunks * symbols)), SIGNATURE_BLOCK, "near-met")
     # Rows with one doc_id are one document, whatever their texts.
     same_id = full.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).filter("x <> y")
     ids = full.join(same_id.select("doc_id"), "doc_id", "left_semi").join(classes, "digest").filter("doc_id <> node")

@@ -136,6 +136,29 @@ def test_near_duplicates_chain_in_blocks(spark, monkeypatch):
     assert {r.component_id for r in got.collect()} == {0}
 
 
+def test_near_duplicates_far_signatures(spark):
+    """Pairs at exactly 0.85 whose signatures differ in 16 of 48 symbols are still linked."""
+    rows = []
+    for pair in (244, 5012):
+        first = [f"w{pair}x{i}" for i in range(374)]
+        second = list(first)
+        for k in range(6):
+            second[30 + 60 * k] = f"v{pair}x{k}"
+        rows += [(2 * pair, " ".join(first)), (2 * pair + 1, " ".join(second))]
+    got = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert all(r.component_id == r.doc_id - r.doc_id % 2 for r in got.collect())
+
+
+def test_near_duplicates_loss():
+    """What is lost at the threshold, by signatures that meet nowhere and by those that are too far."""
+    for threshold in (80, 85):
+        p, (chunks, symbols) = threshold / 100, near.shape(threshold)
+        apart = (1 - p**symbols - symbols * (1 - p) * p ** (symbols - 1)) ** chunks
+        n, far = chunks * symbols, near.reach(threshold, chunks * symbols)
+        assert far >= 2 * chunks - 1 and apart < 1e-5
+        assert sum(math.comb(n, d) * (1 - p) ** d * p ** (n - d) for d in range(far + 1, n + 1)) < 1e-5
+
+
 def test_quality(spark, docs, texts):
     labels = spark.createDataFrame([(0, 1, 0), (3, 1, 0), (13, 0, 0), (11, 1, 0), (11, 0, 1)], "doc_id long, quality int, toxic int")
     got = {r.doc_id: r for r in quality.quality(docs, labels).collect()}
