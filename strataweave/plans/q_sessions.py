@@ -169,7 +169,7 @@ def x18(spark, d):
 
 @query("x17_quote_check", "SELECT item_id, count(doc_id) AS sources FROM benchmark b LEFT JOIN documents d ON contains(d.text, substr(b.text, 1, 60)) GROUP BY 1")
 def x17(spark, d):
-    q = table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 60).alias("q"))
+    q = table(spark, d, "benchmark").select("item_id", F.col("text").alias("q"))
     docs = table(spark, d, "documents").select("doc_id", "text")
     hits = V.holding(docs, "text", q, "q").groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
     return q.join(hits, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("sources"))

@@ -173,6 +173,18 @@ def test_exports(graph):
         sinks.capped(nodes, 2, "nodes")
 
 
+def test_quote_check_needs_the_whole_quote(spark, tmp_path):
+    from strataweave.plans import catalog
+
+    opening = "the same opening words of two passages that then go apart, " * 2
+    docs = [(0, f"x {opening}first end y"), (1, f"{opening}second end"), (2, None)]
+    items = [(7, f"{opening}first end"), (8, f"{opening}third end")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = catalog.queries()["x17_quote_check"](spark, str(tmp_path)).collect()
+    assert {r.item_id: r.sources for r in rows} == {7: 1, 8: 0}
+
+
 def test_queries_have_matching_sql():
     import __spark_entry__ as entry
 
