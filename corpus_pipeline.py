@@ -22,8 +22,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates, the document with the smallest id stays, in one row."""
-    kept = settle(near.near_duplicates(docs).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "pipeline-near")
+    """Of each component of near-duplicates (a similarity of 0.8), the document with the smallest id stays, in one row."""
+    kept = settle(near.near_duplicates(docs, threshold=80).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "pipeline-near")
     stay = docs.join(kept, "doc_id", "left_semi")
     order = Window.partitionBy("doc_id").orderBy(F.length("text").desc_nulls_last(), "text")
     one = stay.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")

@@ -36,3 +36,15 @@ def test_pipeline(spark, tmp_path):
     for _, f in corpus_pipeline.STAGES[:-1]:
         assert f(spark, stage, str(tmp_path)).columns == stage.columns
         assert f(spark, stage.limit(0), str(tmp_path)).count() == 0
+
+
+def test_near_stage_links_at_080(spark):
+    """Similarities of 352 / 432 = 0.815 and 347 / 437 = 0.794: only the first is a near-duplicate."""
+    rows = []
+    for i, changes in enumerate((0, 8, 9)):
+        words = [f"w{k}" for k in range(396)]
+        for k in range(changes):
+            words[(20 if i == 1 else 30) + 40 * k] = f"v{i}x{k}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == {0, 2}
