@@ -100,6 +100,15 @@ def test_lm_is_a_distribution(spark):
         assert abs((2.0**-bits).sum() - 1) < 1e-9
 
 
+def test_lm_byte_contexts_stay_apart():
+    """Rows of the hashed tables that 20,000 novel words use, by the last one to four bytes."""
+    import numpy as np
+
+    words = [hashlib.md5(str(i).encode()).hexdigest().encode() for i in range(20_000)]
+    contexts, _, _ = lm._byte_slots(words, np.arange(len(words)) % lm.STATES)
+    assert [len(np.unique(c)) > n for c, n in zip(contexts, (80, 1200, 16_400, 8_200))] == [True] * 4
+
+
 def test_near_duplicates(spark, docs, texts, monkeypatch):
     sets = {}
     for i, t in texts:
