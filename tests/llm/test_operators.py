@@ -100,6 +100,20 @@ def test_lm_is_a_distribution(spark):
         assert abs((2.0**-bits).sum() - 1) < 1e-9
 
 
+def test_lm_mixer_learns_from_all_pairs(monkeypatch):
+    """Each of the four passes goes over all 8000 pairs at each level, in parts."""
+    import numpy as np
+
+    seen, squash = [], lm.squash
+    monkeypatch.setattr(lm, "squash", lambda x: seen.append(len(x)) or squash(x))
+    counts = np.zeros((8000, lm.STATES), np.int64)
+    counts[::2, 0], counts[1::2, 1] = 2, 40
+    whole = lm.tree_bits(counts, np.arange(1), np.zeros(1, int))
+    assert sum(seen) > 4 * 12 * 8000
+    monkeypatch.setattr(lm, "LEARN", 999)
+    assert abs(lm.tree_bits(counts, np.arange(1), np.zeros(1, int)) - whole).max() < 1e-9
+
+
 def test_lm_byte_contexts_stay_apart():
     """Rows of the hashed tables that 20,000 novel words use, by the last one to four bytes."""
     import numpy as np
