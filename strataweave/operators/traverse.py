@@ -1,41 +1,39 @@
 """Level-synchronous traversals: one join a level, never a row-by-row walk.
 
-Every loop cuts its lineage with a checkpoint, so levels don't pile up in the plan and a lost
+Every loop cuts its lineage with a written table, so levels don't pile up in the plan and a lost
 executor only costs the level at hand.
 """
 
 from __future__ import annotations
 
-import tempfile
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph_reads import undirected
+from ..session import settle
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder that the session names (a temporary one in tests)."""
-    spark: SparkSession = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strataweave-"))
-    return df.checkpoint(eager=True)
+    """A written table in the folder that the executors share."""
+    return settle(df, "level")
 
 
 def reachable(edges: DataFrame, start: str, hops: int, directed: bool = False) -> DataFrame:
-    """(entity_id, depth) of everything within ``hops`` of ``start``, itself at 0."""
-    near = edges.select(F.col("from_id").alias("a"), F.col("to_id").alias("b")) if directed else undirected(edges)
-    near = near.cache()
+    """(entity_id, depth) of everything within ``hops`` of ``start``, itself at 0.
+
+    A level joins the edges with its front alone; the graph is neither copied nor cached.
+    """
+    ways = [("from_id", "to_id")] if directed else [("from_id", "to_id"), ("to_id", "from_id")]
     seen = edges.sparkSession.createDataFrame([(start, 0)], "entity_id string, depth int")
     front = seen
     for depth in range(1, hops + 1):
-        step = near.join(front.select(F.col("entity_id").alias("a")), "a").select(F.col("b").alias("entity_id")).distinct()
+        steps = [edges.join(front.select(F.col("entity_id").alias(a)), a, "left_semi").select(F.col(b).alias("entity_id")) for a, b in ways]
+        step = reduce(DataFrame.unionAll, steps).distinct()
         front = cut(step.join(seen, "entity_id", "left_anti").withColumn("depth", F.lit(depth)))
         if not front.take(1):
             break
         seen = cut(seen.unionAll(front))
-    near.unpersist()
     return seen
 
 

@@ -7,8 +7,6 @@ Checkpoints and results live in the folder that the cluster shares.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -16,10 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-
-def shared(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='strataweave-')}"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from ..session import shared_path
 
 
 def source(spark: SparkSession, path: str) -> DataFrame:
@@ -47,7 +42,7 @@ def idempotent_ledger(events: DataFrame, key: str, ts: str, late: str) -> DataFr
 def run_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = source(spark, f"{sf_dir}/events.parquet")
     twice = events.select("*", F.explode(F.when(F.col("event_id") % 2 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy")).drop("copy")
-    out = shared(spark, "ledger")
+    out = shared_path(spark, "ledger")
     kept = idempotent_ledger(twice, "event_id", "ts", "60 days")
     _finish(kept.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state"))
     return spark.read.parquet(out)
@@ -73,7 +68,7 @@ def pair_invocations(begin: str, end: str) -> Callable:
 def run_invocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(user_id, begun, settled) after the whole stream."""
     events = source(spark, f"{sf_dir}/events.parquet").withColumn("us", F.unix_micros("ts"))
-    out = shared(spark, "invocations")
+    out = shared_path(spark, "invocations")
     paired = events.groupBy("user_id").applyInPandasWithState(
         pair_invocations("signup", "purchase"), "user_id long, begun long, settled long", "open_at long, begun long, settled long", "update", GroupStateTimeout.NoTimeout
     )

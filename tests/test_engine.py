@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import random
 
 import pytest
 
@@ -76,22 +77,60 @@ def test_components_and_dags(spark):
 
 
 def cliques():
-    five = [(i, j, 1.0) for i in range(5) for j in range(i)]
-    return five + [(a + 5, b + 5, w) for a, b, w in five] + [(4, 5, 1.0)]
-
-
-def test_leiden():
-    labels, quality = leiden.leiden(11, cliques())
-    assert labels == [0] * 5 + [1] * 5 + [2] and quality > 0.4
-    assert leiden.leiden(11, list(reversed([(b, a, w) for a, b, w in cliques()]))) == (labels, quality)
-    assert leiden.leiden(11, cliques(), 2.0)[0] == labels
-    assert leiden.leiden(3, []) == ([0, 1, 2], 0.0)
-
-
-def test_leiden_groups(spark):
-    rows = [(g, str(a), str(b)) for g in ("x", "y") for a, b, _ in cliques()]
-    got = leiden.communities(spark.createDataFrame(rows, "g string, a string, b string"))
-    assert got.groupBy("g", "community").count().filter("count = 5").count() == 4
+    five = [(i, j) for i in range(5) for j in range(i)]
+    return five + [(a + 5, b + 5) for a, b in five] + [(4, 5)]
+
+
+def labels_of(df):
+    return {(r.g, r.node): r.community for r in df.collect()}
+
+
+def modularity(edges, label, gamma=1.0):
+    """By the definition, for edges (a, b, w) and label[node]."""
+    total = 2 * sum(w for *_, w in edges)
+    inside = sum(2 * w for a, b, w in edges if label[a] == label[b])
+    mass = {}
+    for a, b, w in edges:
+        for x in (a, b):
+            mass[label[x]] = mass.get(label[x], 0) + w
+    return inside / total - gamma * sum((m / total) ** 2 for m in mass.values())
+
+
+def test_leiden_bridged_cliques(spark):
+    """Two cliques and a lone vertex, in two graphs at once, in either order, for two resolutions."""
+    rows = [(g, a, b) for g in ("x", "y") for a, b in cliques()]
+    alone = spark.createDataFrame([("x", 10), ("x", 3)], "g string, node int")
+    want = {(g, i): i // 5 for g in ("x", "y") for i in range(10)} | {("x", 10): 2}
+    got = leiden.communities(spark.createDataFrame(rows, "g string, a int, b int"), vertices=alone)
+    assert labels_of(got) == want and got.filter("quality < 0.4").count() == 0
+    turned = spark.createDataFrame([(g, b, a) for g, a, b in reversed(rows)], "g string, a int, b int").repartition(3)
+    assert labels_of(leiden.communities(turned, 2.0, alone)) == want
+
+
+def test_leiden_against_brute_force(spark):
+    """Planted groups: a quality that no other partition into their unions or parts exceeds, communities connected."""
+    rng = random.Random(4)
+    home = {i: i % 4 for i in range(32)}
+    edges = [(i, j, float(rng.randint(1, 3))) for i in range(32) for j in range(i) if rng.random() < (0.7 if home[i] == home[j] else 0.06)]
+    edges += [(0, 0, 2.0), (5, 6, 1.0)]
+    got = leiden.communities(spark.createDataFrame([("g", *e) for e in edges], "g string, a int, b int, w double")).collect()
+    label = {r.node: r.community for r in got}
+    assert abs(got[0].quality - modularity(edges, label)) < 1e-9
+    assert got[0].quality >= modularity(edges, home) - 1e-9
+    for v in label:  # no vertex gains by moving alone
+        for c in set(label.values()) | {-1}:
+            assert modularity(edges, label | {v: c}) <= got[0].quality + 1e-9
+    for c in set(label.values()):
+        inside = {v for v in label if label[v] == c}
+        reached = front = {min(inside)}
+        while front:
+            front = {y for a, b, _ in edges for x, y in ((a, b), (b, a)) if x in front and y in inside} - reached
+            reached = reached | front
+        assert reached == inside
+
+
+def test_leiden_empty(spark):
+    assert leiden.communities(spark.createDataFrame([], "g string, a int, b int")).count() == 0
 
 
 def test_rank_fusion(spark):
