@@ -2,15 +2,16 @@
 
 Texts are cut into words at ASCII white space, which no token of the vocabulary crosses.
 Each task packs its documents into chunks and sends the chunk's distinct words to buckets of
-the distinct-word table, by a hash of the word; there each distinct word is encoded once,
-whatever number of chunks asked for it. The ids come back to the chunk, where they are joined
-to the words by position and, through the id-to-piece table of the vocabulary, turned into
-decoded text again. Words, not their occurrences, are shuffled, so a frequent word costs one
-entry a chunk and no key is hot.
+the distinct-word table, by a hash of the word. A task goes through a bucket's rows one by one
+and encodes each distinct word once, whatever number of chunks asks for it; it holds the
+bucket's words, not its rows. The ids come back to the chunk, where they are joined to the
+words by position and, through the id-to-piece table of the vocabulary, turned into decoded
+text again. Words, not their occurrences, are shuffled, so a frequent word costs one entry a
+chunk and no key is hot.
 
-Chunks follow file order, which is the same each time a file split is read. Were a task run
-again over rows in another order, a word might lack its entry; it is then encoded in place, so
-that results never depend on it.
+A chunk is named by a digest of its documents, so answers can't meet other words than those
+asked for. The input is read twice; if it isn't a plain scan of files, it is written first. Where
+a chunk still has no answers, because rows changed in between, the job fails.
 
 A null text is an empty one: no tokens, empty decoded text. Columns besides doc_id and text
 are ignored, repeated rows give repeated results, an empty table gives no rows, and a text of
@@ -28,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, read
+from .common import bounded_batches, input_bytes, read, stable
 
 CHUNK_BYTES = 16 << 20
 CHUNK_ROWS = 20_000
@@ -61,10 +62,16 @@ def _pieces(tokenizer) -> list[bytes]:
 
 
 def _chunks(batches, most: int = CHUNK_BYTES):
-    """(chunk number, ids, texts) in reading order; the number is unique among the tasks of a stage."""
-    from pyspark import TaskContext
+    """(chunk, ids, texts) in reading order; ``chunk`` is a digest of the chunk's content."""
+    from xxhash import xxh64
+
+    def closed(ids, texts):
+        digest = xxh64(repr(ids))
+        digest.update(struct.pack(f"<{len(texts)}q", *map(len, texts)))
+        for text in texts:
+            digest.update(text)
+        return digest.intdigest() >> 1, ids, texts
 
-    base, seq = TaskContext.get().partitionId() << 32, 0
     ids: list = []
     texts: list[bytes] = []
     size = 0
@@ -74,10 +81,21 @@ def _chunks(batches, most: int = CHUNK_BYTES):
             texts.append(text or b"")
             size += len(texts[-1])
             if size >= most or len(ids) >= CHUNK_ROWS:
-                yield base + seq, ids, texts
-                ids, texts, size, seq = [], [], 0, seq + 1
+                yield closed(ids, texts)
+                ids, texts, size = [], [], 0
     if ids:
-        yield base + seq, ids, texts
+        yield closed(ids, texts)
+
+
+def _dealt(texts: list[bytes], buckets: int) -> list[list[bytes]]:
+    """The distinct words of a chunk, dealt to buckets, in an order that follows from them alone."""
+    found: set[bytes] = set()
+    for text in texts:
+        found.update(text.split())
+    parts: list[list[bytes]] = [[] for _ in range(buckets)]
+    for w in sorted(found):
+        parts[zlib.crc32(w) % buckets].append(w)
+    return parts
 
 
 def _pack_words(buckets: int):
@@ -86,13 +104,7 @@ def _pack_words(buckets: int):
 
         zstd = pa.Codec("zstd", 3)
         for chunk, _, texts in _chunks(batches):
-            found: set[bytes] = set()
-            for text in texts:
-                found.update(text.split())
-            parts: list[list[bytes]] = [[] for _ in range(buckets)]
-            for w in sorted(found):
-                parts[zlib.crc32(w) % buckets].append(w)
-            rows = [(b, blob) for b, p in enumerate(parts) if (blob := b"\n".join(p))]
+            rows = [(b, blob) for b, p in enumerate(_dealt(texts, buckets)) if (blob := b"\n".join(p))]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([b for b, _ in rows], pa.int32()),
@@ -142,68 +154,70 @@ def unpacked(docs):
         yield ids, texts
 
 
-def _encode_bucket(path: str):
-    def run(table):
+def _encode_words(path: str):
+    """Rows in bucket order -> for each the number of ids of every word, then the ids.
+
+    Holds the distinct words of one bucket; each is encoded once, whichever chunk asks first.
+    """
+
+    def run(batches):
         import pyarrow as pa
 
         zstd, tokenizer = pa.Codec("zstd", 3), _load(path)
-        lists = [zstd.decompress(w.as_py(), n.as_py(), asbytes=True).split(b"\n") for w, n in zip(table["words"], table["size"])]
-        distinct = sorted(set().union(*lists))
-        ids: dict[bytes, bytes] = {}
-        for at in range(0, len(distinct), 8192):
-            part = distinct[at : at + 8192]
-            for w, e in zip(part, tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                ids[w] = b"%b %b" % (w, " ".join(map(str, e.ids)).encode())
-        blobs = [b"\n".join(map(ids.__getitem__, words)) for words in lists]
-        return pa.table(
-            {
-                "chunk": table["chunk"],
-                "bucket": table["bucket"],
-                "size": pa.array(map(len, blobs), pa.int32()),
-                "ids": pa.array([zstd.compress(x, asbytes=True) for x in blobs], pa.binary()),
-            }
-        )
+        bucket, known = None, {}
+        for batch in batches:
+            out = []
+            for b, chunk, size, blob in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if b != bucket:
+                    bucket, known = b, {}
+                words = zstd.decompress(blob, size, asbytes=True).split(b"\n")
+                new = [w for w in words if w not in known]
+                for at in range(0, len(new), 8192):
+                    part = new[at : at + 8192]
+                    for w, e in zip(part, tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
+                        known[w] = np.array(e.ids, np.int32)
+                ids = [known[w] for w in words]
+                raw = np.array([len(words), *map(len, ids)], np.int32).tobytes() + np.concatenate(ids).tobytes()
+                out.append((chunk, b, len(raw), zstd.compress(raw, asbytes=True)))
+            cols = list(zip(*out)) or [[]] * 4
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["chunk", "bucket", "size", "ids"])
 
     return run
 
 
-class _Words(dict):
-    """word -> its ids as decimal text; encodes a word that no bucket answered."""
-
-    def __init__(self, path: str):
-        super().__init__()
-        self.path, self.tokenizer = path, None
-
-    def __missing__(self, w: bytes) -> bytes:
-        self.tokenizer = self.tokenizer or _load(self.path)
-        ids = self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids
-        self[w] = " ".join(map(str, ids)).encode()
-        return self[w]
-
-
-def _assemble(path: str, more: tuple[str, ...]):
+def _assemble(path: str, buckets: int, more: tuple[str, ...]):
     cache: dict = {}
 
     def run(docs, answers):
         import pyarrow as pa
 
         if "pieces" not in cache:
-            cache["pieces"] = {str(i).encode(): p for i, p in enumerate(_pieces(_load(path)))}
-        pieces, zstd, known = cache["pieces"].__getitem__, pa.Codec("zstd", 1), _Words(path)
-        for blob, n in zip(answers["ids"], answers["size"]):
-            for line in zstd.decompress(blob.as_py(), n.as_py(), asbytes=True).split(b"\n"):
-                w, _, ids = line.partition(b" ")
-                known[w] = ids
-        decoded = {w: b" ".join(map(pieces, ids.split())) for w, ids in known.items()}
+            cache["pieces"] = np.array(_pieces(_load(path)), object)
+            cache["shown"] = np.array([str(i).encode() for i in range(len(cache["pieces"]))], object)
+        pieces, shown, zstd = cache["pieces"], cache["shown"], pa.Codec("zstd", 1)
+        # A chunk that occurs twice has equal answers twice.
+        replies = {b: (blob, n) for b, n, blob in zip(*(answers[c].to_pylist() for c in ("bucket", "size", "ids")))}
         out: list[tuple] = []
         for doc_ids, texts in unpacked(docs):
+            known, decoded = {}, {}
+            for b, words in enumerate(_dealt(texts, buckets)):
+                if not words:
+                    continue
+                if b not in replies:
+                    raise ValueError("the rows of a chunk changed between two readings of the input")
+                raw = np.frombuffer(zstd.decompress(*replies[b], asbytes=True), np.int32)
+                ends = np.cumsum(raw[1 : len(words) + 1]).tolist()
+                ids = raw[len(words) + 1 :]
+                text, piece = shown[ids].tolist(), pieces[ids].tolist()
+                begin = 0
+                for w, end in zip(words, ends, strict=True):
+                    known[w], decoded[w] = b" ".join(text[begin:end]), b" ".join(piece[begin:end])
+                    begin = end
             for doc_id, raw in zip(doc_ids, texts):
                 words = raw.split()
                 ids = b" ".join(filter(None, map(known.__getitem__, words)))
-                try:
-                    text = b" ".join(filter(None, map(decoded.__getitem__, words)))
-                except KeyError:
-                    text = b" ".join(map(pieces, ids.split()))
+                text = b" ".join(filter(None, map(decoded.__getitem__, words)))
                 row = (doc_id, ids.count(b" ") + 1 if ids else 0, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest())
                 extra = {"ids": lambda: np.fromstring(ids, np.int32, sep=" ") if ids else np.empty(0, np.int32), "decoded": text.decode}
                 out.append((*row, *(extra[m]() for m in more)))
@@ -215,25 +229,23 @@ def _assemble(path: str, more: tuple[str, ...]):
     return run
 
 
-def _input_bytes(df: DataFrame) -> int:
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def encode(docs: DataFrame, path: str | None = None, more: tuple[str, ...] = ("ids", "decoded"), buckets: int | None = None) -> DataFrame:
     """doc_id, n_tokens and digests of every row; ``more``: also the ids, the decoded text.
 
-    ``buckets`` of the distinct-word table: by default one for each 128 MB of input, 256 to 4096.
+    ``buckets`` of the distinct-word table: by default 256, and beyond 8 GB as many as grow with
+    the square root of the input, as a vocabulary does.
     """
     bounded_batches(docs.sparkSession)
     path = path or tokenizer_path()
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    buckets = buckets or max(256, min(4096, _input_bytes(texts) >> 27))
+    texts = stable(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")), "bpe-docs")
+    buckets = buckets or max(256, int(input_bytes(texts) ** 0.5 / 350))
     asked = texts.mapInArrow(_pack_words(buckets), "bucket int, chunk long, size int, words binary")
-    answers = asked.groupBy("bucket").applyInArrow(_encode_bucket(path), "chunk long, bucket int, size int, ids binary")
+    dealt = asked.repartition("bucket").sortWithinPartitions("bucket")
+    answers = dealt.mapInArrow(_encode_words(path), "chunk long, bucket int, size int, ids binary")
     packed = texts.mapInArrow(_pack_docs(), "chunk long, ids array<long>, size long, texts binary")
     kinds = {"ids": "ids array<int>", "decoded": "decoded string"}
     schema = ", ".join(["doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", *(kinds[m] for m in more)])
-    return packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_assemble(path, more), schema)
+    return packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_assemble(path, buckets, more), schema)
 
 
 def vocabulary(spark: SparkSession, path: str | None = None) -> DataFrame:

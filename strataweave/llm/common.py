@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import settle, shared_dir, shared_path  # noqa: F401
+
 #: One or more of the six ASCII white-space characters; what lies between is a word.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -16,21 +17,21 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='strataweave-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+def input_bytes(df: DataFrame) -> int:
+    """Catalyst's estimate of what ``df`` reads."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
 
+def stable(df: DataFrame, name: str) -> DataFrame:
+    """``df`` where each reading gives the same rows in the same order, else a written copy of it.
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes ``df`` to the shared folder and reads it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    A scan of files with deterministic built-in steps is stable, also when a task runs again on
+    another executor; rows behind a shuffle or a Python function are not.
+    """
+    run = df._jdf.queryExecution()
+    steps = set(re.findall(r"(?m)^[\s:+\-*()\d]*([A-Za-z]+)", run.sparkPlan().toString()))
+    moving = steps - {"Project", "Filter", "ColumnarToRow", "FileScan", "LocalTableScan"}
+    return settle(df, name) if moving or not run.analyzed().deterministic() else df
 
 
 def words(text: str | Column) -> Column:
@@ -51,7 +52,6 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 
-
 def bounded_batches(spark: SparkSession, rows: int = 2000, size: str = "16m") -> None:
     """Keeps Arrow batches small: texts may be long, and a batch is held in memory as a whole."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

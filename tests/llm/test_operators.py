@@ -89,15 +89,27 @@ def test_lm(spark, docs, texts):
 
 
 def test_lm_is_a_distribution(spark):
-    """The chances of all known words in a context add up to one."""
+    """The chances of all known words in a context add up to one, as do those of all next bytes of a spelling."""
     import numpy as np
 
     rng = np.random.default_rng(1)
     counts = rng.integers(0, 5, (37, lm.STATES))
     counts[:, 0] += 1
     for state in (0, 5):
-        bits = lm.tree_bits(counts, np.arange(37), np.full(37, state))
+        bits = lm.Tree(counts).bits(np.arange(37), np.full(37, state))
         assert abs((2.0**-bits).sum() - 1) < 1e-9
+    slots = [(np.arange(0, 1 << (b + 8), 997), rng.integers(1, 9, len(range(0, 1 << (b + 8), 997)))) for b in lm.CONTEXTS]
+    spelling = lm.Spelling(slots)
+    spelling.learn([b"abc", b"bad", b"cab"], np.array([0, 3, 1]))
+    contexts = [np.full(256, c) for c in (5, 77, 1234, 999)]
+    node, total = np.ones(256, int), np.zeros(256)
+    for k in range(8):
+        bit = (np.arange(256) >> (7 - k)) & 1
+        x, gate = spelling.inputs(contexts, node, bit, 0.0)
+        p = spelling.refined(np.clip(lm.squash((x * spelling.weights[gate]).sum(axis=1)), 1e-4, 1 - 1e-4), gate)[2]
+        total -= np.log2(np.where(bit == 1, p, 1 - p))
+        node = 2 * node + bit
+    assert abs((2.0**-total).sum() - 1) < 1e-9
 
 
 def test_lm_mixer_learns_from_all_pairs(monkeypatch):
@@ -107,11 +119,57 @@ def test_lm_mixer_learns_from_all_pairs(monkeypatch):
     seen, squash = [], lm.squash
     monkeypatch.setattr(lm, "squash", lambda x: seen.append(len(x)) or squash(x))
     counts = np.zeros((8000, lm.STATES), np.int64)
-    counts[::2, 0], counts[1::2, 1] = 2, 40
-    whole = lm.tree_bits(counts, np.arange(1), np.zeros(1, int))
+    counts[::2, 0], counts[1::2, 1] = 2, 400
+    whole = lm.Tree(counts).bits(np.arange(1), np.zeros(1, int))
     assert sum(seen) > 4 * 12 * 8000
     monkeypatch.setattr(lm, "LEARN", 999)
-    assert abs(lm.tree_bits(counts, np.arange(1), np.zeros(1, int)) - whole).max() < 1e-9
+    assert abs(lm.Tree(counts).bits(np.arange(1), np.zeros(1, int)) - whole).max() < 1e-9
+
+
+def test_lm_follows_phrases():
+    """What is predicted after a phrase, by brute force: with and without a training text's own occurrence."""
+    import numpy as np
+
+    rng = random.Random(7)
+    seen = Counter((rng.randrange(6), rng.randrange(4)) for _ in range(60))
+    rows = sorted(seen)
+    phrases = lm.Phrases(np.array([a for a, _ in rows], np.uint64), np.array([b for _, b in rows], np.uint64), np.array([seen[r] for r in rows]))
+    ask = [(a, b) for a in range(8) for b in range(6)]
+    held, own = phrases.ask(np.array([a for a, _ in ask], np.uint64), np.array([b for _, b in ask], np.uint64))
+    for (a, b), h, o in zip(ask, held, own):
+        follow = {y: n for (x, y), n in seen.items() if x == a}
+        top = min(follow, key=lambda y: (-follow[y], y)) if follow else None
+        assert (h > 0) == bool(follow) and (h > 0 and h % 2 == 0) == (top == b)
+        if seen[a, b]:
+            rest = follow | {b: follow[b] - 1}
+            assert (o > 0) == any(rest.values())
+            if o > 0 and o % 2 == 0:
+                assert rest[b] == max(rest.values())
+
+
+def test_lm_does_not_depend_on_order_or_buckets(spark, texts, monkeypatch):
+    """Rows behind a shuffle, small batches and other buckets: the same counts, and scores that learn alike."""
+    rows = spark.createDataFrame(texts, "doc_id long, text string")
+    plain = {r.doc_id: r for r in lm.score(rows.coalesce(1)).collect()}
+    monkeypatch.setattr(lm, "ASKED", 10)
+    monkeypatch.setattr(lm, "WORDS", 7)
+    turned = {r.doc_id: r for r in lm.score(rows.repartition(5, "text"), buckets=3).collect()}
+    for i, r in plain.items():
+        t = turned[i]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (t.n_tokens, t.n_known, t.train_tokens)
+        assert abs(r.base_score - t.base_score) < 1e-6 * abs(r.base_score) and abs(r.score - t.score) < 0.05 * abs(r.score) + 1
+
+
+def test_lm_raises_when_rows_change_between_readings(spark):
+    """Chunks are named by their content: what was not asked for has no answers."""
+    cost = lm._assemble(1, 1, __import__("numpy").full(8, 0.5), 4)
+    import pyarrow as pa
+
+    blob = (8).to_bytes(8, "little") + b"a b c d "[:8]
+    docs = pa.table({"chunk": [1], "ids": [[1]], "size": [len(blob)], "texts": [pa.Codec("zstd").compress(blob, asbytes=True)]})
+    none = pa.table({"chunk": pa.array([], pa.int64()), "bucket": pa.array([], pa.int32()), "size": pa.array([], pa.int32()), "costs": pa.array([], pa.binary())})
+    with pytest.raises(ValueError, match="changed between two readings"):
+        cost(docs, none)
 
 
 def test_lm_byte_contexts_stay_apart():
@@ -353,11 +411,24 @@ def test_bpe(spark, docs, texts):
         assert (r.n_tokens, list(r.ids), r.decoded) == (len(ids), ids, back)
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(back.encode()).hexdigest()
+    for buckets in (1, 9):
+        again = bpe.encode(docs.repartition(7, "text"), buckets=buckets).collect()
+        assert Counter((r.doc_id, tuple(r.ids), r.decoded) for r in again) == Counter((r.doc_id, tuple(r.ids), r.decoded) for r in rows.values())
     joined = bpe.decode(bpe.encode(docs).select("doc_id", "ids", "decoded").withColumnRenamed("decoded", "want"), bpe.vocabulary(spark))
     assert joined.filter("decoded <> want").count() == 0 and joined.count() == len(texts)
     assert bpe.encode(empty(spark)).count() == 0
 
 
+def test_bpe_raises_when_rows_change_between_readings():
+    import pyarrow as pa
+
+    blob = (8).to_bytes(8, "little") + b"a b c d "
+    docs = pa.table({"chunk": [1], "ids": [[1]], "size": [len(blob)], "texts": [pa.Codec("zstd").compress(blob, asbytes=True)]})
+    none = pa.table({"chunk": pa.array([], pa.int64()), "bucket": pa.array([], pa.int32()), "size": pa.array([], pa.int32()), "ids": pa.array([], pa.binary())})
+    with pytest.raises(ValueError, match="changed between two readings"):
+        bpe._assemble(bpe.tokenizer_path(), 4, ())(docs, none)
+
+
 def test_decontamination(spark, docs, texts):
     part = " ".join(WORD(texts[11][1])[1000:1060])
     dirty = part.split()
