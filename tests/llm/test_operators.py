@@ -319,6 +319,55 @@ def test_html_ratios_decide_on_marked_pages():
     assert got.count("Long text") == 96 and "Other" not in got
 
 
+def made_page(rng, marked, sigma=None):
+    """A page and its main text: an article among furniture, known by tags, by class words, or by its links alone."""
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    title, paragraphs = say(6), [say(rng.randint(25, 60)) for _ in range(rng.randint(3, 9))] + ["Short end."]
+    links = lambda n: "".join(f"<li><a href=/{i}>{say(2)}</a></li>" for i in range(n))
+    around = [f"<div class='x{i}'><ul>{links(5)}</ul></div>" for i in range(3)] + ["<div><a href=a>One</a> | <a href=b>Two</a></div>", "<nav>Menu</nav>", f"<div class='cookie-notice'><p>{say(30)}</p></div>"]
+    rng.shuffle(around)
+    story = "".join(f"<p>{x.replace('beta', '<i>beta</i>', 1)}</p>" for x in paragraphs)
+    body = f"<article><h1>{title}</h1>{story}</article>" if marked else f"<div class='c{rng.randint(1, 9)}'><h1>{title}</h1><div>{story}</div></div>"
+    page = "<html><body>" + "".join(around[:3]) + body + "".join(around[3:]) + f"<div id=comments-list><p>{say(40)}</p></div><footer>{say(20)}</footer></body></html>"
+    return page, "\n".join([title, *paragraphs])
+
+
+def test_html_on_made_pages():
+    rng = random.Random(11)
+    for k in range(120):
+        page, want = made_page(rng, k % 2)
+        assert html_text.main_text(page) == want, page
+
+
+def test_html_needs_its_ratios(monkeypatch):
+    """A cloud of short words among tags, with lone long lines: only smoothed ratios above a threshold tell it from the story."""
+    dense = "".join("<p><b>aa</b> <i>bb</i> <u>cc</u> <b>dd</b></p>" for _ in range(25))
+    cloud = "<div>" + "".join(dense + f"<p>{'lone line ' * 25}</p>" for _ in range(7)) + dense + "</div>"
+    story = [("Sentence of the story. " * (9 + k)).strip() for k in range(8)]
+    page = f"<body>{cloud}<div>" + "".join(f"<p>{x}</p>" for x in story) + "</div></body>"
+    want = "\n".join(story)
+    assert html_text.main_text(page) == want
+    with monkeypatch.context() as m:
+        m.setattr(html_text, "threshold", lambda values: 0.0)
+        assert html_text.main_text(page) != want
+    with monkeypatch.context() as m:
+        m.setattr(html_text, "smoothed", lambda ratios: ratios)
+        assert html_text.main_text(page) != want
+
+
+def test_html_class_words():
+    story = "".join(f"<p>{'Long text of the story. ' * 12}</p>" for _ in range(4))
+    got = html_text.main_text(f"<article>{story}<p class='notice-period'>Two months.</p><div class='related'><p>{'Prose on a related case. ' * 9}</p></div><div class='ad ad-1'>Buy</div><div class='comments-area'><p>First!</p></div></article>")
+    assert "Two months." in got and "related case" in got and "Buy" not in got and "First!" not in got
+
+
+def test_html_keeps_long_pages_whole():
+    story = [f"Paragraph {i} " + "of a very long page " * 20 for i in range(5000)]
+    assert html_text.main_text("<article>" + "".join(f"<p>{x}</p>" for x in story) + "</article>") == "\n".join(x.strip() for x in story)
+    assert html_text.main_text("<div>" * 3000 + "<p>" + "deep text " * 30 + "</p>" + "</div>" * 3000) == ("deep text " * 30).strip()
+
+
 def test_quotes(spark):
     rows = [
         (1, 0, "u", "Hello  there\nHow are you?\n\nSecond para."),
