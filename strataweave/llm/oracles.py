@@ -7,6 +7,7 @@ sketch in SQL: shingles are compared as texts.
 from __future__ import annotations
 
 from .quality import BUCKETS, PRIOR, SMOOTH, THRESHOLD, TRUSTED_ROWS, UNIT
+from .quotes import ATTRIBUTION, MARK
 
 WS = r"[\x20\x09-\x0D]+"
 
@@ -74,12 +75,28 @@ OP5 = """WITH p AS (SELECT page_id, encode(coalesce(html,'')) AS x FROM pages),
 f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM h)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes>=100 AND page_id<>first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN payload_bytes>=100 AND page_id<>first THEN first END AS refers_to FROM f"""
 
-_DEPTH = "length(regexp_extract(l, '^(\\s*>)+')) - length(replace(regexp_extract(l, '^(\\s*>)+'), '>', ''))"
-OP7 = f"""WITH m AS (SELECT conv_id, turn, role, coalesce(text,'') AS text FROM conversations),
-q AS (SELECT conv_id, turn, {_DEPTH} AS lv FROM (SELECT conv_id, turn, unnest(string_split_regex(text, '\\r?\\n')) AS l FROM m)),
-c AS (SELECT conv_id, turn, max(lv) AS n_levels FROM q GROUP BY 1,2)
-SELECT m.conv_id, m.turn, m.role, m.text AS body, n_levels::BIGINT AS n_levels, 0::BIGINT AS n_quoted, 0::BIGINT AS n_linked, b.turn AS parent_turn, CASE WHEN b.turn IS NOT NULL THEN 'turn' END AS parent_by
-FROM m JOIN c USING (conv_id, turn) LEFT JOIN (SELECT DISTINCT conv_id, turn FROM m) b ON b.conv_id=m.conv_id AND b.turn=m.turn-1"""
+_ATTRIBUTION = ATTRIBUTION.replace("'", "''")
+_NORMAL = lambda t: f"lower(trim(regexp_replace({t}, '[\\s ]+', ' ', 'g')))"
+OP7 = f"""WITH RECURSIVE m AS (SELECT conv_id, turn, role, coalesce(text,'') AS text, md5(coalesce(role,chr(1))||chr(0)||coalesce(text,'')) AS mid FROM conversations),
+l AS (SELECT DISTINCT mid, conv_id, turn, role, text, unnest(string_split_regex(text, '\r?\n')) AS line, generate_subscripts(string_split_regex(text, '\r?\n'), 1) AS pos FROM m WHERE regexp_matches(text, '(?m)^[ \t]*>')),
+v AS (SELECT *, length(regexp_extract(line, '{MARK}')) - length(replace(regexp_extract(line, '{MARK}'), '>', '')) AS level FROM l),
+n AS (SELECT *, lead(level, 1, 0) OVER w AS below, lag(level, 1, -1) OVER w AS above FROM v WINDOW w AS (PARTITION BY mid, conv_id, turn ORDER BY pos)),
+b AS (SELECT mid, conv_id, turn, coalesce(trim(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE level=0 AND NOT (below>0 AND regexp_matches(line, '{_ATTRIBUTION}'))), ' '||chr(9)||chr(13)||chr(10)), '') AS body FROM n GROUP BY 1,2,3),
+own AS (SELECT m.*, coalesce(b.body, m.text) AS body FROM m LEFT JOIN b ON b.mid=m.mid AND b.conv_id IS NOT DISTINCT FROM m.conv_id AND b.turn IS NOT DISTINCT FROM m.turn),
+r AS (SELECT *, sum(CASE WHEN level<>above THEN 1 ELSE 0 END) OVER (PARTITION BY mid, conv_id, turn ORDER BY pos) AS run, {_NORMAL(f"regexp_replace(line, '{MARK}', '')")} AS said FROM n),
+s AS (SELECT mid, conv_id, turn, level, run, pos, said FROM r WHERE level>0 AND said<>''),
+q AS (SELECT DISTINCT mid, conv_id, turn, level, said FROM (SELECT mid, conv_id, turn, level, said FROM s UNION ALL SELECT mid, conv_id, turn, level, string_agg(said, ' ' ORDER BY pos) FROM s GROUP BY mid, conv_id, turn, level, run HAVING count(*)>1)),
+u AS (SELECT conv_id, turn, {_NORMAL("x")} AS said FROM (SELECT conv_id, turn, unnest(list_concat(list_concat(string_split_regex(body, '\r?\n'), string_split_regex(body, '\n\\s*\n')), [body])) AS x FROM own WHERE conv_id IN (SELECT conv_id FROM q))),
+f AS (SELECT conv_id, said, min(turn) AS original FROM u WHERE said<>'' GROUP BY 1,2),
+k AS (SELECT q.*, original FROM q JOIN f ON f.conv_id=q.conv_id AND f.said=q.said AND original<turn),
+g AS (SELECT mid, conv_id, turn, level, original, sum(length(said)) AS size, count(*) AS n FROM k GROUP BY ALL),
+p AS (SELECT mid, conv_id, turn, sum(n)::BIGINT AS n_linked, arg_max(original, row(-level, size, original)) AS quoted_turn FROM g GROUP BY 1,2,3),
+a AS (SELECT mid, conv_id, turn, max(level) AS n_levels, count(*) AS n_quoted FROM q GROUP BY 1,2,3),
+z AS (SELECT own.conv_id, own.turn, role, body, coalesce(n_levels,0)::BIGINT AS n_levels, coalesce(n_quoted,0)::BIGINT AS n_quoted, coalesce(n_linked,0)::BIGINT AS n_linked, coalesce(quoted_turn, d.turn) AS parent_turn, CASE WHEN quoted_turn IS NOT NULL THEN 'quote' WHEN d.turn IS NOT NULL THEN 'turn' END AS parent_by
+FROM own LEFT JOIN a ON a.mid=own.mid AND a.conv_id=own.conv_id AND a.turn=own.turn LEFT JOIN p ON p.mid=own.mid AND p.conv_id=own.conv_id AND p.turn=own.turn LEFT JOIN (SELECT DISTINCT conv_id, turn FROM m) d ON d.conv_id=own.conv_id AND d.turn=own.turn-1),
+y AS (SELECT conv_id, turn, max(parent_turn) AS parent FROM z WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY 1,2),
+t(conv_id, turn, root_turn, depth) AS (SELECT conv_id, turn, turn, 0::BIGINT FROM y WHERE parent IS NULL UNION ALL SELECT y.conv_id, y.turn, t.root_turn, t.depth+1 FROM t JOIN y ON y.conv_id=t.conv_id AND y.parent=t.turn)
+SELECT z.*, root_turn, depth FROM z LEFT JOIN t ON t.conv_id=z.conv_id AND t.turn=z.turn"""
 
 OP10 = f"""WITH d AS (SELECT doc_id, {_words("lower(text)")} AS w FROM documents), b AS (SELECT item_id, {_words("lower(text)")} AS w FROM benchmark),
 ds AS (SELECT DISTINCT doc_id, unnest({_shingles("w")}) AS s FROM d), bs AS (SELECT DISTINCT item_id, unnest({_shingles("w")}) AS s FROM b), n AS (SELECT item_id, count(*) AS n FROM bs GROUP BY 1)

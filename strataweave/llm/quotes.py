@@ -5,8 +5,9 @@ level are passages. Passages and their lines are normalised (white space, case),
 joined within their conversation to the earliest earlier message that says the same in its own
 words. A message's parent is the original that most of its outermost quotes come from, of
 equal ones the latest; without a link, the message of the turn before. The result has each
-message's own words, without quotes and the attribution lines above them, and its parent: a
-parent's turn is always smaller, so ascending turns are a reply order.
+message's own words, without quotes and the attribution lines above them, its parent, and the thread that
+it belongs to: the turn that the thread begins with and how many replies lie between. A parent's
+turn is always smaller, so ``root_turn, turn`` orders a conversation by threads and replies.
 
 Only built-in expressions run. Texts aren't shuffled, but for the conversations that quote;
 originals are reduced to one row for each conversation and hash before the join, and are
@@ -14,7 +15,8 @@ written out first, so that a hash that very many messages quote can be split by
 
 Null text is an empty message. Messages with a null conv_id or turn link with nothing. Rows
 that share conv_id and turn are versions of one message: each is returned, with links of its
-own; exact repeats stay repeats. Other columns are ignored; an empty table gives no rows.
+own; exact repeats stay repeats. A thread goes through turns: of versions with different parents,
+the latest parent counts. Other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -77,8 +79,27 @@ def originals(messages: DataFrame, quoting: DataFrame) -> DataFrame:
     return said.groupBy("conv_id", F.xxhash64("said").alias("hash")).agg(F.min("turn").alias("original"))
 
 
+def threads(parents: DataFrame) -> DataFrame:
+    """(conv_id, turn, root_turn, depth) for (conv_id, turn, parent), by pointer jumping.
+
+    Each round doubles how far a turn looks up; what has reached its root rests. Both sides of the
+    join are written tables, so that a turn that very many reply to can be split by the engine.
+    """
+    root = F.col("parent").isNull()
+    found = settle(
+        parents.select("conv_id", "turn", F.coalesce("parent", "turn").alias("up"), F.when(root, 0).otherwise(1).cast("long").alias("depth"), root.alias("rests")),
+        "quotes-threads",
+    )
+    while found.filter("NOT rests").take(1):
+        above = found.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("far"), F.col("depth").alias("more"), F.col("rests").alias("top"))
+        step = found.filter("NOT rests").join(above, ["conv_id", "up"])
+        step = step.select("conv_id", "turn", F.col("far").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), F.col("top").alias("rests"))
+        found = settle(found.filter("rests").unionAll(step), "quotes-threads")
+    return found.select("conv_id", "turn", F.col("up").alias("root_turn"), "depth")
+
+
 def link(conversations: DataFrame) -> DataFrame:
-    """Every message: conv_id, turn, role, body, n_levels, n_quoted, n_linked, parent_turn, parent_by."""
+    """Every message: conv_id, turn, role, body, n_levels, n_quoted, n_linked, parent_turn, parent_by, root_turn, depth."""
     rows = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumns({"mid": F.xxhash64("role", "text"), "lines": lines_of(F.col("text"))})
     rows = rows.withColumn("body", own_words(F.col("text"))).drop("lines")
@@ -93,8 +114,16 @@ def link(conversations: DataFrame) -> DataFrame:
     levels = quoted.groupBy(*key).agg(F.max("level").alias("n_levels"), F.count(F.lit(1)).alias("n_quoted"))
     about = settle(levels.join(parents, key, "left"), "quotes-about")
 
-    turns = rows.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("turn").alias("before")).distinct()
-    joined = rows.drop("text").join(about, key, "left").join(turns, ["conv_id", "turn"], "left")
+    turns = settle(rows.filter("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn").distinct(), "quotes-turns")
+    before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("turn").alias("before"))
+    quoting = about.groupBy("conv_id", "turn").agg(F.max("quoted_turn").alias("quoted_turn"), F.count(F.lit(1)).alias("n"))
+    plain = rows.filter("conv_id IS NOT NULL AND turn IS NOT NULL").join(about.select(*key, "quoted_turn").filter("quoted_turn IS NOT NULL"), key, "left_anti")
+    plain = plain.select("conv_id", "turn", F.lit(True).alias("plain")).distinct()
+    parent = turns.join(before, ["conv_id", "turn"], "left").join(quoting, ["conv_id", "turn"], "left").join(plain, ["conv_id", "turn"], "left")
+    parent = parent.select("conv_id", "turn", F.greatest("quoted_turn", F.when(F.col("plain"), F.col("before"))).alias("parent"))
+    thread = threads(parent).join(before, ["conv_id", "turn"], "left")
+
+    joined = rows.drop("text").join(about, key, "left").join(settle(thread, "quotes-thread"), ["conv_id", "turn"], "left")
     zero = lambda name: F.coalesce(name, F.lit(0)).cast("long").alias(name)
     return joined.select(
         "conv_id",
@@ -106,6 +135,8 @@ def link(conversations: DataFrame) -> DataFrame:
         zero("n_linked"),
         F.coalesce("quoted_turn", "before").alias("parent_turn"),
         F.when(F.col("quoted_turn").isNotNull(), "quote").when(F.col("before").isNotNull(), "turn").alias("parent_by"),
+        "root_turn",
+        "depth",
     )
 
 

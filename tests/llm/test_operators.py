@@ -383,18 +383,60 @@ def test_quotes(spark):
     got = Counter(tuple(r) for r in quotes.link(df).collect())
     assert got == Counter(
         {
-            (1, 0, "u", rows[0][3], 0, 0, 0, None, None): 1,
-            (1, 1, "a", "fine", 1, 1, 1, 0, "quote"): 1,
-            (1, 2, "u", "Great", 2, 2, 2, 1, "quote"): 1,
-            (1, 3, "a", "ok", 1, 4, 2, 0, "quote"): 1,
-            (1, 4, "b", "", 0, 0, 0, 3, "turn"): 1,
-            (None, 0, "u", "x", 0, 0, 0, None, None): 1,
-            (2, 5, "u", "reply", 1, 1, 0, None, None): 2,
+            (1, 0, "u", rows[0][3], 0, 0, 0, None, None, 0, 0): 1,
+            (1, 1, "a", "fine", 1, 1, 1, 0, "quote", 0, 1): 1,
+            (1, 2, "u", "Great", 2, 2, 2, 1, "quote", 0, 2): 1,
+            (1, 3, "a", "ok", 1, 4, 2, 0, "quote", 0, 1): 1,
+            (1, 4, "b", "", 0, 0, 0, 3, "turn", 0, 2): 1,
+            (None, 0, "u", "x", 0, 0, 0, None, None, None, None): 1,
+            (2, 5, "u", "reply", 1, 1, 0, None, None, 5, 0): 2,
         }
     )
     assert quotes.link(df.filter("turn > 90")).count() == 0
 
 
+def test_quotes_agree_with_sql_on_made_conversations(spark, tmp_path):
+    """Conversations that quote, nest, attribute, repeat and skip turns: the SQL finds the same links and threads."""
+    import duckdb
+
+    from strataweave.llm import oracles
+
+    rng = random.Random(21)
+    say = lambda: " ".join(rng.choice("yes no maybe tea milk rain sun".split()) for _ in range(rng.randint(1, 6)))
+    rows = []
+    for c in range(25):
+        said: list[str] = []
+        for turn in range(rng.randint(1, 9)):
+            if rng.random() < 0.1:
+                continue
+            lines = []
+            if said and rng.random() < 0.7:
+                source = rng.choice(said)
+                if rng.random() < 0.4:
+                    lines.append("On Monday Ann wrote:")
+                for line in source.split("\n")[: rng.randint(1, 5)]:
+                    lines.append(rng.choice(["> ", ">", "  > "]) + (line.upper() if rng.random() < 0.2 else line))
+                if rng.random() < 0.3:
+                    lines.append("> something nobody said")
+            lines += [say() for _ in range(rng.randint(0, 3))] + ([""] + [say()] if rng.random() < 0.3 else [])
+            text = rng.choice(["\n", "\r\n"]).join(lines)
+            said.append("\n".join(lines))
+            rows += [(c, turn, rng.choice("ua"), text)] * (2 if rng.random() < 0.1 else 1)
+            if rng.random() < 0.1:
+                rows.append((c, turn, "b", f"> {say()}\nother version"))
+    rows += [(None, 1, "u", "> x\ny"), (3, None, "u", "> x"), (4, 90, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df.coalesce(1).write.parquet(f"{tmp_path}/c")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/c/*.parquet'")
+    found = con.execute(oracles.OP7)
+    names = [x[0] for x in found.description]
+    want = Counter(tuple(map(str, r)) for r in found.fetchall())
+    got = quotes.link(df).select(*names).collect()
+    assert Counter(tuple(map(str, r)) for r in got) == want
+    assert sum(r.parent_by == "quote" for r in got) > 20 and max(r.depth or 0 for r in got) > 2
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
