@@ -1,7 +1,8 @@
 """Benchmark decontamination: size-partitioned MinHash containment search.
 
 A document is contaminated by an item when it holds at least ``THRESHOLD`` of the item's
-distinct 5-word shingles (lower-cased words; of fewer words, the whole sequence is one).
+distinct 5-word shingles (lower-cased words). An item of fewer words is one shingle of as many
+words as it has, and documents are searched for that width too, so it is found inside long texts.
 
 Whole-document sketches can't find a 20-shingle item in a 20,000-shingle text: the Jaccard
 similarity there is 0.001. So only the short side, the items, is sketched. Items are
@@ -10,10 +11,13 @@ partitioned by size into powers of two; a partition with sizes up to ``u`` keeps
 ``floor(size * (1 - threshold))`` of its shingles, so each true match hits its sketch at
 least once: the search loses nothing. Documents' shingles are streamed past the sketches
 (a hash join, no shuffle of texts), hits are counted for each document and item, and
-candidates are verified by exact containment on full shingle sets.
+candidates are verified by containment on full shingle sets, with a second hash beside the first
+(128 bits in all).
 
 Only built-in expressions run. Sketches and candidates are broadcast while their counted
-rows stay under ``BROADCAST_ROWS``; beyond that the same joins shuffle.
+rows stay under ``BROADCAST_ROWS``. Beyond that the same joins shuffle; a Bloom filter of the
+sketches, built by the engine, then drops other shingles before they move, where it is enabled
+(spark.sql.optimizer.runtime.bloomFilter.enabled, on by default).
 
 Null or blank texts have no shingles: such items match nothing, such documents hold nothing.
 Rows that share a doc_id count as one document, rows that share an item_id as one item (the
@@ -33,20 +37,40 @@ THRESHOLD = 80
 BROADCAST_ROWS = 1_000_000
 
 
-def shingles(w: Column, width: int = WIDTH) -> Column:
-    """Hashes of the word shingles of an array of words, repeats included."""
-    many = F.transform(
-        F.slice(w, width, F.greatest(F.size(w) - (width - 1), F.lit(0))),
-        lambda last, i: F.xxhash64(*[F.get(w, i + k) for k in range(width - 1)], last),
-    )
-    one = F.when(F.size(w) > 0, F.array(F.xxhash64(F.concat_ws(" ", w)))).otherwise(F.array().cast("array<long>"))
-    return F.when(F.size(w) >= width, many).otherwise(one)
+def shingles(w: Column, widths: list[int], width: int = WIDTH, salt: int = 0) -> Column:
+    """Hashes of an array of words' shingles, repeats included; below ``width`` words, of the whole sequence.
+
+    ``widths``: narrower windows to add, those that short items need.
+    """
+    if not widths:
+        many = F.transform(
+            F.slice(w, width, F.greatest(F.size(w) - (width - 1), F.lit(0))),
+            lambda last, i: F.xxhash64(F.lit(salt), *[F.get(w, i + k) for k in range(width - 1)], last),
+        )
+        one = F.when(F.size(w) > 0, F.array(F.xxhash64(F.lit(salt), F.concat_ws(" ", w)))).otherwise(F.array().cast("array<long>"))
+        return F.when(F.size(w) >= width, many).otherwise(one)
+
+    def narrow(k: int) -> Column:
+        windows = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (k - 1), F.lit(1))), lambda i: F.xxhash64(F.lit(salt), F.concat_ws(" ", F.slice(w, i, F.lit(k)))))
+        return F.when(F.size(w) > k, windows).otherwise(F.array().cast("array<long>"))
 
+    short = [narrow(k) for k in widths]
+    return F.concat(shingles(w, [], width, salt), *short)
 
-def exploded(rows: DataFrame, key: str) -> DataFrame:
-    """(key, shingle) of every text, repeats included."""
+
+def exploded(rows: DataFrame, key: str, widths: list[int], check: bool = False) -> DataFrame:
+    """(key, shingle and maybe check) of every text, repeats included; ``check`` is a second hash."""
     listed = rows.select(key, words(F.lower("text")).alias("w"))
-    return listed.select(key, F.explode(shingles(F.col("w"))).alias("shingle"))
+    if not check:
+        return listed.select(key, F.explode(shingles(F.col("w"), widths)).alias("shingle"))
+    both = F.arrays_zip(shingles(F.col("w"), widths).alias("shingle"), shingles(F.col("w"), widths, salt=1).alias("check"))
+    return listed.select(key, F.explode(both).alias("s")).select(key, "s.shingle", "s.check")
+
+
+def widths_of(items: DataFrame, width: int = WIDTH) -> list[int]:
+    """The numbers of words below ``width`` that items have: a handful at most."""
+    n = F.size(words("text"))
+    return sorted(r.n for r in items.select(n.alias("n")).filter(F.col("n").between(1, width - 1)).distinct().collect())
 
 
 def sized(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -66,14 +90,15 @@ def sketches(items: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Pairs (doc_id, item_id) with n_item_shingles, n_shared and containment."""
-    sets = exploded(benchmark.select("item_id", "text"), "item_id").distinct()
+    widths = widths_of(benchmark)
+    sets = exploded(benchmark.select("item_id", "text"), "item_id", [], check=True).distinct()
     size = sets.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
     items = settle(sets.join(size, "item_id"), "bench-items")
     n_items = items.count()
     texts = docs.select("doc_id", "text")
 
     near = (
-        exploded(texts, "doc_id")
+        exploded(texts, "doc_id", widths)
         .join(sized(sketches(items, threshold), n_items), "shingle")
         .groupBy("doc_id", "item_id", "need", "shingle")
         .agg(F.lit(1).alias("one"))
@@ -90,10 +115,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: int = THRESHO
     pairs = near.select(F.col("doc_id").alias("d"), F.col("item_id").alias("i"))
     same = [F.col("doc_id").eqNullSafe(F.col("d")), F.col("item_id").eqNullSafe(F.col("i"))]
     shared = (
-        exploded(suspects, "doc_id")
-        .join(sized(items, n_items), "shingle")
+        exploded(suspects, "doc_id", widths, check=True)
+        .join(sized(items, n_items), ["shingle", "check"])
         .join(sized(pairs, n_near), same, "left_semi")
-        .groupBy("doc_id", "item_id", "n", "shingle")
+        .groupBy("doc_id", "item_id", "n", "shingle", "check")
         .agg(F.lit(1).alias("one"))
         .groupBy("doc_id", "item_id", "n")
         .agg(F.count(F.lit(1)).alias("n_shared"))

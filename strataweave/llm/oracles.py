@@ -99,7 +99,8 @@ t(conv_id, turn, root_turn, depth) AS (SELECT conv_id, turn, turn, 0::BIGINT FRO
 SELECT z.*, root_turn, depth FROM z LEFT JOIN t ON t.conv_id=z.conv_id AND t.turn=z.turn"""
 
 OP10 = f"""WITH d AS (SELECT doc_id, {_words("lower(text)")} AS w FROM documents), b AS (SELECT item_id, {_words("lower(text)")} AS w FROM benchmark),
-ds AS (SELECT DISTINCT doc_id, unnest({_shingles("w")}) AS s FROM d), bs AS (SELECT DISTINCT item_id, unnest({_shingles("w")}) AS s FROM b), n AS (SELECT item_id, count(*) AS n FROM bs GROUP BY 1)
+sw AS (SELECT DISTINCT len(w) AS k FROM b WHERE len(w) BETWEEN 1 AND 4),
+ds AS (SELECT DISTINCT doc_id, unnest({_shingles("w")}) AS s FROM d UNION SELECT doc_id, unnest(list_transform(range(1, len(w)-k+2), lambda i: array_to_string(w[i:i+k-1],' '))) FROM d, sw WHERE len(w)>k), bs AS (SELECT DISTINCT item_id, unnest({_shingles("w")}) AS s FROM b), n AS (SELECT item_id, count(*) AS n FROM bs GROUP BY 1)
 SELECT doc_id, item_id, n AS n_item_shingles, count(*) AS n_shared, count(*)/n AS containment FROM ds JOIN bs USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id, n HAVING 100*count(*) >= 80*n"""
 
 SQL: dict[str, str] = {

@@ -80,12 +80,9 @@ def weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, rows: in
 def repeated_words(w: Column) -> list[tuple[str, Column]]:
     """Steps that end in ``n_repeat_words``: words in 3-word windows found twice or more in the text.
 
-    The windows' hashes are sorted together with their places (44 bits of hash above 20 bits of
-    place); neighbours that agree on the full 64 bits are repeats. Texts of over 2^20 windows keep
-    hash and place apart, in structures.
+    The windows' hashes are sorted with their places; neighbours with equal hashes are repeats.
     """
     h, s, p = F.col("h3"), F.col("s3"), F.col("p3")
-    place = F.lit((1 << 20) - 1)
     three = F.when(
         F.size(w) >= 3,
         F.transform(
@@ -94,14 +91,8 @@ def repeated_words(w: Column) -> list[tuple[str, Column]]:
         ),
     ).otherwise(F.array().cast("array<long>"))
     several = F.size(F.array_distinct(h)) < F.size(h)
-    short = F.size(h) < (1 << 20)
-    packed = F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(~((1 << 20) - 1)).bitwiseOR(i.cast("long"))))
-    apart = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
-    order = (
-        F.when(~several, F.array().cast("array<int>"))
-        .when(short, F.transform(packed, lambda x: x.bitwiseAND(place).cast("int")))
-        .otherwise(F.transform(apart, lambda x: x["i"]))
-    )
+    placed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
+    order = F.when(several, F.transform(placed, lambda x: x["i"])).otherwise(F.array().cast("array<int>"))
     same = lambda a, b: F.coalesce(F.get(h, a) == F.get(h, b), F.lit(False))
     places = F.when(
         F.size(s) > 0,
@@ -124,12 +115,14 @@ def repeated_words(w: Column) -> list[tuple[str, Column]]:
 
 
 def base_rules(docs: DataFrame) -> DataFrame:
-    """Adds the counts of the base rules to ``doc_id`` and ``text``."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+    """``doc`` (the row as it came), ``doc_id`` and the counts of the base rules; no column of ``docs`` can clash."""
+    df = docs.select(F.struct(*docs.columns).alias("doc"))
+    text = F.coalesce(F.col("doc.text"), F.lit(""))
     w, lines = F.col("w"), F.col("lines")
-    df = docs.withColumns({"w": words("text"), "lines": F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))})
+    df = df.withColumns({"w": words(text), "lines": F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))})
     df = df.withColumns(
         {
+            "doc_id": F.col("doc.doc_id"),
             "n_words": F.size(w).cast("long"),
             "word_chars": F.length(F.array_join(w, "")).cast("long"),
             "n_symbols": (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("long"),
@@ -149,16 +142,11 @@ def quality(
     threshold: float = THRESHOLD,
     rows: int = TRUSTED_ROWS,
 ) -> DataFrame:
-    """Every row of ``docs`` with its counts, ``ratio_sum``, ``n_grams`` and ``kept``."""
-    own = docs.columns
+    """Every row of ``docs`` as ``doc``, its doc_id and counts, ``ratio_sum``, ``n_grams`` and ``kept``."""
     by_bucket = weights(docs, labels, buckets, rows).select("t").scalar()
-    put = docs.select(*own)
-    inner = ["w", "t", "lines", "h3", "s3", "p3", "hashes", "g", "n_words", "word_chars", "n_symbols", "n_dup_lines"]
-    if clash := [c for c in own if c in inner]:
-        put = put.drop(*clash)
-    hashes, buckets_of = grams(F.col("text"), buckets)
+    hashes, buckets_of = grams(F.col("doc.text"), buckets)
     g = F.col("g")
-    scored = base_rules(put).withColumn("hashes", hashes).withColumn("g", buckets_of).withColumn("t", by_bucket)
+    scored = base_rules(docs).withColumn("hashes", hashes).withColumn("g", buckets_of).withColumn("t", by_bucket)
     scored = scored.withColumns(
         {
             "n_grams": F.size(g).cast("long"),

@@ -259,6 +259,22 @@ def test_quality(spark, docs, texts):
     assert quality.quality(empty(spark), labels).count() == 0
 
 
+def test_quality_counts_repeats_in_a_very_long_text(spark):
+    """Over 2^20 windows, of which the last ten repeat the first ten."""
+    n = 1_100_000
+    df = spark.sql(f"SELECT 1L AS doc_id, concat_ws(' ', transform(sequence(1, {n}), x -> concat('w', IF(x > {n - 12}, x - {n - 12}, x)))) AS text")
+    r = quality.base_rules(df).select("n_words", "n_repeat_words", "base_failed").first()
+    assert (r.n_words, r.n_repeat_words, r.base_failed) == (n, 24, False)
+
+
+def test_quality_passes_clashing_columns_through(spark):
+    names = ["w", "lines", "t", "g", "hashes", "h3", "s3", "p3", "kept", "n_words", "doc", "n_grams", "ratio_sum"]
+    df = spark.createDataFrame([(1, "some text here", *range(13))], f"doc_id long, text string, {', '.join(n + ' int' for n in names)}")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    row = quality.quality(df, labels).first()
+    assert [row.doc[n] for n in names] == list(range(13)) and row.n_words == 3
+
+
 def test_quality_rejects_junk(spark):
     rng = random.Random(1)
     words = [f"w{i}" for i in range(300)]
@@ -524,7 +540,7 @@ def test_decontamination(spark, docs, texts):
     part = " ".join(WORD(texts[11][1])[1000:1060])
     dirty = part.split()
     dirty[5] = dirty[40] = "other"
-    bench = [(0, part.upper()), (1, " ".join(dirty)), (2, "nothing of it is there at all I hope"), (3, None), (4, ""), (5, "one"), (6, texts[0][1][:200])]
+    bench = [(0, part.upper()), (1, " ".join(dirty)), (2, "nothing of it is there at all I hope"), (3, None), (4, ""), (5, "one"), (6, texts[0][1][:200]), (7, " ".join(WORD(texts[11][1])[2000:2003]))]
     items = spark.createDataFrame([(*b, 1) for b in bench], "item_id long, text string, n int")
     sets = lambda t: {tuple(w[k : k + 5]) for w in [WORD((t or "").lower())] for k in range(max(1, len(w) - 4)) if w}
     want = {}
@@ -533,8 +549,14 @@ def test_decontamination(spark, docs, texts):
             q = sets(b)
             if q and 100 * len(q & sets(t)) >= 80 * len(q):
                 want[i, j] = (len(q), len(q & sets(t)))
+    for j, b in bench:  # items below five words, inside texts of more
+        q = WORD((b or "").lower())
+        for i, t in texts:
+            w = WORD((t or "").lower())
+            if 0 < len(q) < 5 and any(w[k : k + len(q)] == q for k in range(len(w))):
+                want[i, j] = (1, 1)
     got = {(r.doc_id, r.item_id): (r.n_item_shingles, r.n_shared) for r in decontaminate.contaminated(docs, items).collect()}
-    assert got == want and (11, 0) in want and (11, 1) in want
+    assert got == want and (11, 0) in want and (11, 1) in want and (11, 7) in want
     assert decontaminate.contaminated(empty(spark), items).count() == 0
     assert decontaminate.contaminated(docs, items.filter("item_id > 99")).count() == 0
 
