@@ -18,7 +18,7 @@ ORACLE_SQL = None
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail a base rule or score below the threshold go."""
-    return quality.quality(docs, read(spark, sf_dir, "labels")).filter("kept").select(*docs.columns)
+    return quality.quality(docs, read(spark, sf_dir, "labels")).filter("kept").select("doc.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
