@@ -7,14 +7,17 @@ are walked together; the states of that walk are kept as a lazily built automato
 costs a few dictionary lookups and most words die after two letters. Each distinct word is
 matched once per task while it stays in a bounded cache.
 
+A word of nine letters may be misspelled by two edits, of five by one. A shorter one may be by
+one edit if what it then takes in, in the labelled documents, are hits in toxic ones.
+
 A hit is judged by its window: within quotation marks, on a quoted line or beside a reporting
 verb it counts as quotation, otherwise as abuse. A logistic model over the counts of exact,
 misspelled and quoted hits gives the score.
 
 Learning uses at most ``LABELLED_ROWS`` labelled documents (chosen by a hash of the id), never
 those whose crc32(doc_id) mod 5 is 0; where labels of a document disagree, it counts as toxic.
-Lexicon candidates are at most ``CANDIDATES`` terms. Only counts of those bounded tables reach
-the driver. Without toxic labels the lexicon is empty and every score is low.
+Terms are counted and chosen in Spark, without a cap; the chosen ones reach the driver, no more
+than those documents can support. Without toxic labels the lexicon is empty and every score is low.
 
 Null and blank texts have no words and the score of a text without hits. A null doc_id is
 neither learned from nor held out. Repeated rows give repeated results, other columns are
@@ -34,8 +37,6 @@ from .common import bounded_batches, read, settle
 
 FOLDS = 5
 LABELLED_ROWS = 10_000
-CANDIDATES = 20_000
-LEXICON = 2_000
 #: Least number of different contexts of a term in toxic documents.
 CONTEXTS = 4
 #: How much more often than elsewhere a term must occur in toxic documents.
@@ -56,9 +57,9 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def edits_for(word: str) -> int:
-    """Edits allowed to a lexicon word: none under 5 letters, 1 under 9, else 2."""
-    return 0 if len(word) < 5 else 1 if len(word) < 9 else 2
+def edits_for(word: str, trusted: frozenset = frozenset()) -> int:
+    """Edits allowed to a lexicon word: under 5 letters 1 for ``trusted`` ones, else none; 1 under 9, else 2."""
+    return int(word in trusted) if len(word) < 5 else 1 if len(word) < 9 else 2
 
 
 class Matcher:
@@ -68,14 +69,15 @@ class Matcher:
     the letters read so far can lead to. States are numbered and their moves kept.
     """
 
-    def __init__(self, words: dict[str, float], stems: dict[str, float]):
+    def __init__(self, words: dict[str, float], stems: dict[str, float], trusted: frozenset = frozenset()):
+        self.trusted = trusted
         self.children: list[dict[str, int]] = [{}]
         self.ends: dict[int, tuple[str, float]] = {}
         self.stem_ends: dict[int, tuple[str, float]] = {}
         self.allowed: list[int] = [0]
         for group, ends in ((words, self.ends), (stems, self.stem_ends)):
             for term, weight in group.items():
-                ends[self._node(term, edits_for(term) if ends is self.ends else 0)] = (term, weight)
+                ends[self._node(term, edits_for(term, trusted) if ends is self.ends else 0)] = (term, weight)
         self.reset()
 
     def _node(self, term: str, edits: int) -> int:
@@ -144,7 +146,7 @@ class Matcher:
         for node, made in self.members[state]:
             if node in self.ends:
                 term, weight = self.ends[node]
-                if made <= edits_for(term) and (best is None or (made, term) < (best[1], best[0])):
+                if made <= edits_for(term, self.trusted) and (best is None or (made, term) < (best[1], best[0])):
                     best = (term, made, weight)
         return best if best and (best[1] == 0 or not stem) else stem or best
 
@@ -226,25 +228,22 @@ def _toxic_terms(batches):
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64())], names=["term", "context"])
 
 
-def _uses(wanted: frozenset):
-    def run(batches):
-        from collections import Counter
+def _uses(batches):
+    """(term, uses) in each batch's texts; the empty term counts all words."""
+    from collections import Counter
 
-        import pyarrow as pa
+    import pyarrow as pa
 
-        count: Counter = Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                words = Counter(TOKEN.findall((text or "").lower()))
-                count[""] += words.total()
-                for w, n in words.items():
-                    for t in _terms(w) if len(w) >= 3 else ():
-                        if t in wanted:
-                            count[t] += n
+    for batch in batches:
+        count: Counter = Counter({"": 0})
+        for text in batch.column(0).to_pylist():
+            words = Counter(TOKEN.findall((text or "").lower()))
+            count[""] += words.total()
+            for w, n in words.items():
+                for t in _terms(w) if len(w) >= 3 else ():
+                    count[t] += n
         yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names=["term", "n"])
 
-    return run
-
 
 def labelled(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> DataFrame:
     """(text, toxic) of the labelled documents to learn from."""
@@ -261,38 +260,57 @@ def learn_lexicon(train: DataFrame) -> tuple[dict[str, float], dict[str, float]]
         return {}, {}
     toxic, clean = train.filter("toxic = 1").select("text"), train.filter("toxic = 0").select("text")
     terms = toxic.mapInArrow(_toxic_terms, "term string, context long").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    terms = terms.filter(F.col("n") >= CONTEXTS).orderBy(F.desc("n"), "term").limit(CANDIDATES)
-    inside = {r.term: r.n for r in terms.collect()}
-    used = lambda texts, of: {
-        r.term: r.n for r in texts.mapInArrow(_uses(frozenset(of)), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    }
-    outside, total = used(clean, inside), used(toxic, ())[""]
-    lift = {t: (n / total) / ((outside.get(t, 0) + 0.5) / max(1, outside.get("", 0))) for t, n in inside.items()}
+    terms = terms.filter(F.col("n") >= CONTEXTS)
+    uses = lambda texts: texts.mapInArrow(_uses, "term string, n long").groupBy("term").agg(F.sum("n").alias("uses"))
+    outside = settle(uses(clean), "toxic-outside")
+    whole = lambda df: (df.filter("term = ''").agg(F.sum("uses")).first()[0] or 0)
+    total, others = whole(uses(toxic)), max(1, whole(outside))
     # Without other uses at all, chance alone must be unlikely to put every use into toxic documents.
     rare = math.log(1e-6) / math.log(counts[1] / (counts[0] + counts[1]))
-    good = {t: x for t, x in lift.items() if x >= LIFT and inside[t] >= min(rare, 8)}
-    best = sorted(good, key=lambda t: (-inside[t] * math.log(good[t]), t))[:LEXICON]
-    words = {t: math.log(good[t]) for t in best if not t.endswith("*")}
+    lift = (F.col("n") / total) / ((F.coalesce("uses", F.lit(0)) + 0.5) / others)
+    good = terms.filter(F.col("n") >= min(rare, 8)).join(outside, "term", "left").withColumn("lift", lift).filter(F.col("lift") >= LIFT)
+    found = {r.term: (r.n, math.log(r.lift)) for r in good.select("term", "n", "lift").collect()}
+    words = {t: x for t, (_, x) in sorted(found.items()) if not t.endswith("*")}
     # A stem counts where it gathers more than the word that is commonest under it.
-    stems = {}
-    for t in (t[:-1] for t in best if t.endswith("*")):
-        most = max((inside[w] for w in words if w.startswith(t)), default=0)
-        if inside[t + "*"] > 1.5 * most:
-            stems[t] = math.log(good[t + "*"])
+    most: dict[str, int] = {}
+    for w in words:
+        for k in STEMS:
+            most[w[:k]] = max(most.get(w[:k], 0), found[w][0])
+    stems = {t[:-1]: x for t, (n, x) in sorted(found.items()) if t.endswith("*") and n > 1.5 * most.get(t[:-1], 0)}
     return words, stems
 
 
+def trusted_short(train: DataFrame, words: dict[str, float], stems: dict[str, float]) -> frozenset:
+    """The short words whose misspellings, by one edit, are found in toxic documents alone."""
+    short = frozenset(w for w in words if len(w) < 5)
+    if not short:
+        return short
+
+    def misspelled(batches):
+        import pyarrow as pa
+
+        found = Found(Matcher(words, stems, short))
+        for batch in batches:
+            hits = {(found[w][0], t) for text, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for w in set(TOKEN.findall((text or "").lower())) if found[w] and found[w][1]}
+            hits = [h for h in hits if h[0] in short]
+            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in hits], pa.string()), pa.array([x for _, x in hits], pa.int32())], names=["term", "toxic"])
+
+    rows = train.select("text", "toxic").mapInArrow(misspelled, "term string, toxic int").groupBy("term").agg(F.min("toxic").alias("least")).collect()
+    return short - {r.term for r in rows if r.least == 0}
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of ``docs``."""
     bounded_batches(docs.sparkSession)
     train = settle(labelled(docs, labels, rows).repartition(16), "toxic-train")
     words, stems = learn_lexicon(train)
+    trusted = trusted_short(train, words, stems)
     names = ["exact", "fuzzy", "quoted", "density", "any", "several"]
 
     def seen(batches):
         import pyarrow as pa
 
-        found = Found(Matcher(words, stems))
+        found = Found(Matcher(words, stems, trusted))
         for batch in batches:
             x = np.array([features(t, found) for t in batch.column(0).to_pylist()]).reshape(-1, len(names))
             yield pa.RecordBatch.from_arrays([*map(pa.array, x.T), batch.column(1)], names=[*names, "toxic"])
@@ -304,7 +322,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> D
     def scored(batches):
         import pyarrow as pa
 
-        found = Found(Matcher(words, stems))
+        found = Found(Matcher(words, stems, trusted))
         for batch in batches:
             x = np.array([features(t, found) for t in batch.column(2).to_pylist()]).reshape(-1, len(names))
             p = 1 / (1 + np.exp(-np.clip(x @ weight[:-1] + weight[-1], -30, 30)))

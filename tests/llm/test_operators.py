@@ -484,6 +484,37 @@ def test_levenshtein_automaton():
             assert (found[1], found[0]) == near[0] if near else found is None, w
 
 
+def test_toxicity_trusts_short_words_by_their_neighbours(spark):
+    """``zorg`` may be misspelled, ``quex`` may not: clean texts have ``quez``."""
+    rng = random.Random(10)
+    vocab = [a + b + c for a in ("bal", "kon", "mit") for b in ("la", "ne", "ro", "su") for c in ("", "n", "shi")]
+    rows, labels = [], []
+    for i in range(400):
+        w = rng.choices(vocab, k=60)
+        if i % 4 == 0:
+            for _ in range(4):
+                w[rng.randrange(60)] = rng.choice(["zorg", "quex"])
+        else:
+            w[0] = "quez"
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(i % 4 == 0)))
+    train = toxicity.labelled(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    words, stems = toxicity.learn_lexicon(train)
+    assert set(words) >= {"zorg", "quex"}
+    trusted = toxicity.trusted_short(train, words, stems)
+    assert "zorg" in trusted and "quex" not in trusted
+    m = toxicity.Matcher(words, stems, trusted)
+    assert m.find("zor")[:2] == ("zorg", 1) and m.find("quez") is None
+
+
+def test_toxicity_held_out(spark):
+    """On the test tables' documents, all held-out labels are told apart, whatever is learned from the others."""
+    read = lambda name: spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet")
+    got = toxicity.toxicity(read("documents"), read("labels")).filter("held_out").join(read("labels"), "doc_id").collect()
+    wrong = [r for r in got if r.predicted != r.toxic]
+    assert len(got) > 50 and len(wrong) <= 0.03 * len(got)
+
+
 def test_toxicity(spark):
     rng = random.Random(9)
     vocab = [a + b + c for a in ("ba", "ko", "mi") for b in ("la", "ne", "ro", "su") for c in ("", "n", "shi")]
