@@ -9,14 +9,18 @@ MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 class WordHash(dict):
-    """64-bit hashes of words, kept for words seen lately (``CACHE_WORDS`` at most)."""
+    """64-bit hashes of words, kept for words seen lately (``CACHE_WORDS`` at most); seeds give independent ones."""
+
+    def __init__(self, seed: int = 0):
+        super().__init__()
+        self.seed = seed
 
     def __missing__(self, word: bytes) -> int:
         from xxhash import xxh64_intdigest
 
         if len(self) >= CACHE_WORDS:
             self.clear()
-        value = self[word] = xxh64_intdigest(word)
+        value = self[word] = xxh64_intdigest(word, self.seed)
         return value
 
     def array(self, words: list[bytes]) -> np.ndarray:

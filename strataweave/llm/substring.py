@@ -7,16 +7,19 @@ Suffixes are sampled: a window's anchor is its smallest ``GRAM``-word gram by ha
 among equals, so equal windows have equal anchors in the same place. Consecutive windows with
 one anchor form a segment; what a segment holds to the right of the anchor is a suffix, and
 the anchor's gram is the prefix that deals suffixes to groups. Only hashes move at first:
-prefixes of one document alone are dropped, and equal segments (by a 128-bit hash, of copies
-of texts or passages) become one class of which all but the smallest document repeat as a
-whole. Where a prefix has several classes, one segment of each class goes, as words, to the
+prefixes of one document alone are dropped, and equal segments (by two independent 64-bit hashes,
+of copies of texts or passages) become one class of which all but the smallest document repeat as
+a whole. Where a prefix has several classes, one segment of each class goes, as words, to the
 prefix's subtree. Subtrees are built level by level, many prefixes at once: a node at depth d
 is a class of suffixes that agree on d words. The words to the left of the anchor are refined
 in the same way, and a node ``WINDOW - o`` deep whose suffixes agree on ``o`` words to the left
 is a repeat of ``WINDOW`` words; its smallest doc_id keeps it.
 
-A prefix with more than ``GROUP`` classes would not fit a task, so it is lengthened until each
-group is one node: to the whole window, which only needs a minimum per 128-bit window hash,
+Prefixes have variable lengths. One with more than ``GROUP`` classes is lengthened in two ways: to
+the right, for windows that reach at least half as far again beyond the anchor as they must, and to
+the left, for the others, which reach as far back. Every window stays within one of the two, and a
+segment goes to those that it is long enough for. This is repeated, for the prefixes that are still
+too large, until a prefix is a whole window: then all that its group needs is its smallest document,
 aggregated before it is shuffled.
 
 Null and blank texts have no words and lose none. Rows with a null doc_id lose no word and
@@ -27,17 +30,18 @@ repeated results. Other columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, read, settle
-from .hashing import MULTIPLIER, WordHash, mixed, windows
+from .hashing import WordHash, mixed, windows
 
 WINDOW, GRAM = 50, 8
 #: Segments of one prefix that one task handles, and of a batch of prefixes.
-GROUP, BATCH = 2048, 32_768
+GROUP, BATCH = 512, 32_768
 #: Words handled at a time; longer texts are cut into overlapping parts.
 PART = 1 << 20
 
@@ -82,16 +86,17 @@ def _segments(window: int, gram: int):
     def run(batches):
         import pyarrow as pa
 
-        words = WordHash()
+        hashes = WordHash(), WordHash(1)
         names = ["key", "s1", "s2", "doc_id", "text_id", "first", "n"]
         for batch in batches:
             cols: list[list] = [[] for _ in names]
             for d, t, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                h = words.array((text or b"").split())
+                words = (text or b"").split()
+                h = hashes[0].array(words)
                 key, _, first, last = segments(h, window, gram)
                 if len(key):
                     end = last + window
-                    marks = [run_hashes(h, first, end, f) for f in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)]
+                    marks = [run_hashes(x, first, end, 0x9E3779B97F4A7C15) for x in (h, hashes[1].array(words))]
                     for c, x in zip(cols, (key, *marks, np.full(len(key), d), np.full(len(key), t), first, end - first)):
                         c.append(x.astype(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.empty(0, np.int64)) for c in cols], names=names)
@@ -197,23 +202,32 @@ def _trees(window: int):
     return run
 
 
-def _window_hashes(window: int):
-    """Every window of a segment with two 64-bit hashes."""
+def _lengthened(window: int):
+    """Each segment under the longer prefixes that it has: ``right`` words from the anchor on and ``left`` before it.
+
+    A prefix of (right, left) words is shared by windows that reach ``right`` words from the anchor
+    or more and ``left`` back or more. The middle of that range splits it in two.
+    """
 
     def run(batches):
         import pyarrow as pa
+        from xxhash import xxh64_intdigest
 
-        hashes = WordHash()
-        names = ["h1", "h2", "key", "s1", "s2", "doc_id", "a"]
+        names = ["key", "s1", "s2", "doc_id", "back", "words", "right", "left", "check"]
+        kinds = [pa.int64()] * 5 + [pa.binary()] + [pa.int32()] * 2 + [pa.int64()]
+        signed = lambda x: x - (1 << 64) if x >> 63 else x
         for batch in batches:
-            cols: list[list] = [[] for _ in names]
-            for *mark, d, _, text in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                h = hashes.array(text.split())
-                n = len(h) - window + 1
-                found = [windows(h, window), windows(mixed(h) ^ MULTIPLIER, window), *(np.full(n, x) for x in (*mark, d)), np.arange(n)]
-                for c, x in zip(cols, found):
-                    c.append(x.astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.empty(0, np.int64)) for c in cols], names=names)
+            out = []
+            for _, s1, s2, d, back, text, right, left in zip(*(batch.column(i).to_pylist() for i in range(8))):
+                words = text.split()
+                middle = (right + window - left + 1) // 2
+                for r, k in ((middle, left), (right, window - middle + 1)):
+                    if back >= k and len(words) - back >= r:
+                        prefix = b" ".join(words[back - k : back + r])
+                        key, check = (signed(xxh64_intdigest(prefix, seed + 128 * r + k)) for seed in (0, 1 << 20))
+                        out.append((key, s1, s2, d, back, text, r, k, check))
+            cols = list(zip(*out)) or [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
     return run
 
@@ -265,20 +279,30 @@ def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
     wanted = places.groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("first", "s1", "s2")).alias("places"))
     texts = rows.join(settle(wanted, "sub-wanted"), ["doc_id", "text_id"]).select("doc_id", "places", "text")
     dealt = settle(texts.mapInArrow(_cut(window, gram), "key long, s1 long, s2 long, doc_id long, back long, words binary"), "sub-words")
-    schema = "key long, s1 long, s2 long, a long, z long"
-    many = settle(prefix.filter(F.col("m") > GROUP).select("key"), "sub-many")
-    few, again = dealt, None
-    if many.take(1):
-        few = dealt.join(many, "key", "left_anti")
-        listed = dealt.join(many, "key", "left_semi")
-        listed = listed.mapInArrow(_window_hashes(window), "h1 long, h2 long, key long, s1 long, s2 long, doc_id long, a long")
-        listed = settle(listed, "sub-windows")
-        least = listed.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
-        again = listed.join(settle(least, "sub-least"), ["h1", "h2"]).filter("doc_id > least")
-        again = again.select(*mark, "a", (F.col("a") + window).alias("z"))
-    shared = few.repartition("key").sortWithinPartitions("key").mapInArrow(_trees(window), schema)
-    shared = settle(shared.unionByName(again) if again is not None else shared, "sub-shared")
-    parts = home.join(shared, mark).select("doc_id", "text_id", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("z")).alias("z"))
+    schema = "key long, s1 long, s2 long, doc_id long, back long, words binary, right int, left int, check long"
+    groups, windows_alone = [], []
+    rest = dealt.select("*", F.lit(gram).alias("right"), F.lit(0).alias("left"))
+    while True:
+        size = rest.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).filter("x < y")
+        size = settle(size, "sub-sizes")
+        groups.append(rest.join(size.filter(F.col("m") <= GROUP).select("key"), "key", "left_semi"))
+        many = size.filter(F.col("m") > GROUP).select("key")
+        if not many.take(1):
+            break
+        longer = settle(rest.join(many, "key", "left_semi").mapInArrow(_lengthened(window), schema), "sub-longer")
+        windows_alone.append(longer.filter(F.col("right") + F.col("left") == window))
+        rest = longer.filter(F.col("right") + F.col("left") < window).drop("check")
+    columns = ["key", "s1", "s2", "doc_id", "back", "words"]
+    few = reduce(DataFrame.unionAll, [g.select(*columns) for g in groups])
+    shared = few.repartition("key").sortWithinPartitions("key").mapInArrow(_trees(window), "key long, s1 long, s2 long, a long, z long").select("s1", "s2", "a", "z")
+    if windows_alone:
+        alone = reduce(DataFrame.unionAll, windows_alone)
+        least = alone.groupBy("key", "check").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
+        again = alone.join(settle(least, "sub-least"), ["key", "check"]).filter("doc_id > least")
+        start = F.col("back") - F.col("left")
+        shared = shared.unionAll(again.select("s1", "s2", start.alias("a"), (start + window).alias("z")))
+    shared = settle(shared, "sub-shared")
+    parts = home.join(shared, ["s1", "s2"]).select("doc_id", "text_id", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("z")).alias("z"))
     return spans.unionByName(parts).groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("a", "z")).alias("spans"))
 
 

@@ -4,11 +4,15 @@ Payload bytes are stored once: of the pages with equal payloads of ``LEAST_DEDUP
 more, the one with the smallest page_id becomes a ``response`` record that carries the
 payload, the others become ``revisit`` records that carry headers only and name that
 response by its record id and the SHA-256 of the payload. ``read_records`` parses archives
-into exact headers and payloads; ``reconstruct`` joins headers with payloads and verifies
-each digest against the bytes that were read.
+into exact headers and payloads. ``headers`` and ``payloads`` keep them in tables apart, the
+payloads once for each digest that was verified against the bytes read; ``reconstruct`` joins
+them by digest, and each record is whole again.
 
 Archives are gzip files of WARC/1.1 records, written and read through Spark's own file
-sources, so any store that Spark reaches will do, and a lost task is simply run again.
+sources, so any store that Spark reaches will do, and a lost task is simply run again. A file has
+``RECORDS_PER_FILE`` records and the bytes of one partition at most. The reader takes archives of
+one or many gzip members, as other writers make them, and inflates them piece by piece: what it
+holds is the compressed file and one record.
 
 A null html is an empty payload. A null page_id never is the smallest; pages with equal
 payloads and only null ids are all responses, as are rows that share the smallest id.
@@ -21,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 import zlib
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,9 +34,11 @@ from .common import read, settle, shared_dir
 
 LEAST_DEDUP = 100
 RECORDS_PER_FILE = 4000
+#: Bytes read or inflated at a time.
+PIECE = 1 << 16
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RECORD = "record_id string, record_type string, page_id long, url string, refers_to_id string, declared string, header string, payload_bytes long, payload_digest string"
+RECORD = "record_id string, record_type string, page_id long, url string, refers_to_id string, declared string, header binary, payload_bytes long, payload_digest string"
 
 
 def record_id(page_id: Column, url: Column, digest: Column) -> Column:
@@ -109,18 +116,59 @@ def write_archives(pages: DataFrame, path: str) -> str:
     return path
 
 
-def parse_archive(content: bytes, with_payload: bool = False):
-    """Yields (header dict, exact header text, block bytes) of each record of one archive."""
-    data = memoryview(zlib.decompressobj(31).decompress(content) if content[:2] == b"\x1f\x8b" else content)
-    whole, at = data.obj, 0
-    while at < len(whole):
-        end = whole.index(b"\r\n\r\n", at)
-        head = whole[at:end].decode("utf-8")
-        fields = dict(x.split(": ", 1) for x in head.split("\r\n")[1:])
-        start = end + 4
-        at = start + int(fields["Content-Length"])
-        yield fields, head, data[start:at]
-        at += 4
+def inflated(content: bytes) -> Iterator[bytes]:
+    """An archive's bytes in pieces; plain, or one or many gzip members."""
+    if content[:2] != b"\x1f\x8b":
+        yield content
+        return
+    view, at, member, chunk = memoryview(content), 0, None, b""
+    while True:
+        if not chunk:
+            chunk = bytes(view[at : at + PIECE])
+            at += len(chunk)
+        if member is None:
+            chunk = chunk.lstrip(b"\0")
+            if not chunk and at >= len(view):
+                return
+            member = zlib.decompressobj(31)
+        data = member.decompress(chunk, PIECE) if chunk else member.flush()
+        ended = not chunk
+        chunk = member.unconsumed_tail
+        if data:
+            yield data
+        if member.eof:
+            chunk, member = member.unused_data, None
+        elif ended:
+            raise ValueError("a truncated archive")
+
+
+def parse_archive(content: bytes) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
+    """(fields by lower-case name, exact header with its blank line, block) of each record of one archive."""
+    pieces, held = inflated(content), bytearray()
+
+    def more() -> bool:
+        piece = next(pieces, None)
+        held.extend(piece or b"")
+        return piece is not None
+
+    while True:
+        looked = 0
+        while (end := held.find(b"\r\n\r\n", looked)) < 0:
+            looked = max(0, len(held) - 3)
+            if not more():
+                if held.strip():
+                    raise ValueError("a truncated archive")
+                return
+        head = bytes(held[: end + 4])
+        lines = head.decode("utf-8").lstrip("\r\n").rstrip("\r\n").split("\r\n")
+        fields = {name.strip().lower(): value.strip() for name, _, value in (x.partition(":") for x in lines[1:])}
+        size = end + 4 + int(fields["content-length"])
+        while len(held) < size + 4 and more():
+            pass
+        if len(held) < size:
+            raise ValueError("a truncated archive")
+        yield fields, head, bytes(held[end + 4 : size])
+        del held[: size + 4]
 
 
 def read_records(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
@@ -133,53 +181,68 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = False) ->
         names = [x.split()[0] for x in schema.split(", ")]
         kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
         arrow = pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in schema.split(", ")])
+        packed = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, arrow.field(n).type) for n, c in zip(names, zip(*rows))], schema=arrow)
         for batch in batches:
             for content in batch.column(0):
                 rows, size = [], 0
                 for f, head, block in parse_archive(content.as_py()):
-                    cut = bytes(block[:4096]).index(b"\r\n\r\n") + 4
-                    payload = block[cut:] if f["WARC-Type"] == "response" else None
-                    page = f.get("WARC-Page-ID")
+                    cut = block.index(b"\r\n\r\n") + 4
+                    payload = block[cut:] if f["warc-type"] == "response" else None
+                    page = f.get("warc-page-id")
                     row = [
-                        f["WARC-Record-ID"], f["WARC-Type"], None if page is None else int(page), f.get("WARC-Target-URI"), f.get("WARC-Refers-To"),
-                        f["WARC-Payload-Digest"].removeprefix("sha256:"), head, None if payload is None else len(payload), None if payload is None else hashlib.sha256(payload).hexdigest(),
+                        f["warc-record-id"], f["warc-type"], None if page is None else int(page), f.get("warc-target-uri"), f.get("warc-refers-to"),
+                        f["warc-payload-digest"].removeprefix("sha256:"), head + block[:cut], None if payload is None else len(payload), None if payload is None else hashlib.sha256(payload).hexdigest(),
                     ]
-                    rows.append(row + [None if payload is None else bytes(payload)] * with_payload)
-                    size += len(block) if with_payload else 0
-                    if len(rows) >= 4000 or size > 1 << 25:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, arrow.field(n).type) for n, c in zip(names, zip(*rows))], schema=arrow)
+                    rows.append(row + [payload] * with_payload)
+                    size += len(row[6]) + (len(block) if with_payload else 0)
+                    if len(rows) >= 4000 or size > 1 << 24:
+                        yield packed(rows)
                         rows, size = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, arrow.field(n).type) for n, c in zip(names, zip(*rows))], schema=arrow)
+                    yield packed(rows)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
     return files.mapInArrow(parse, schema)
 
 
-def reconstruct(records: DataFrame) -> DataFrame:
-    """Joins revisits with the responses they name; raises where a payload doesn't match its digest.
+def headers(records: DataFrame) -> DataFrame:
+    """Every record without its payload: ids, the digest it declares, its exact WARC and HTTP headers."""
+    return records.select("record_id", "record_type", "page_id", "url", "refers_to_id", "declared", "header")
 
-    With a ``payload`` column in ``records``, every record gets its full payload back.
-    """
-    carried = [c for c in ("payload_bytes", "payload_digest", "payload") if c in records.columns]
-    whole = records.filter("record_type = 'response'")
+
+def payloads(records: DataFrame) -> DataFrame:
+    """Payload bytes once for each digest; raises where a payload doesn't match the digest that its record declares."""
+    carried = [c for c in ("payload_bytes", "payload") if c in records.columns]
     sound = F.when(F.col("payload_digest") == F.col("declared"), F.col("payload_digest")).otherwise(
         F.raise_error(F.concat(F.lit("payload digest mismatch in "), F.col("record_id")))
     )
-    whole = whole.withColumn("payload_digest", sound)
-    named = whole.select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"), F.col("declared").alias("named"), *carried)
-    # Repeated rows of a response share a record id. Written first, so that the join can be split where very many revisit one response.
-    named = settle(named.dropDuplicates(["refers_to_id"]), "warc-named")
-    revisits = records.filter("record_type = 'revisit'").drop(*carried).join(named, "refers_to_id", "left")
+    return records.filter("record_type = 'response'").select(sound.alias("payload_digest"), *carried).dropDuplicates(["payload_digest"])
+
+
+def reconstruct(records: DataFrame) -> DataFrame:
+    """Every record with its payload's digest and size and the page that it refers to, by joins on digest and record id.
+
+    With a ``payload`` column in ``records``, every record gets its full payload back, and as
+    ``record`` the bytes of header and payload. Raises where a record's payload is not there.
+    Both joins read written tables, so that they can be split where very many revisit one response.
+    """
+    heads = headers(records)
+    store = settle(payloads(records), "warc-payloads")
+    first = heads.filter("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"), F.col("declared").alias("named"))
+    first = settle(first.dropDuplicates(["refers_to_id"]), "warc-responses")
+    there = F.when(F.col("payload_bytes").isNotNull(), F.col("declared")).otherwise(F.raise_error(F.concat(F.lit("no payload for "), F.col("record_id"))))
+    whole = heads.join(store, heads.declared == store.payload_digest, "left").withColumn("payload_digest", there)
+    again = whole.filter("record_type = 'revisit'").join(first, "refers_to_id", "left")
     matched = F.when(F.col("named") == F.col("declared"), F.col("payload_digest")).otherwise(
-        F.raise_error(F.concat(F.lit("revisit without its payload: "), F.col("record_id")))
+        F.raise_error(F.concat(F.lit("revisit without its response: "), F.col("record_id")))
     )
-    back = revisits.withColumn("payload_digest", matched).drop("named")
-    return whole.withColumn("refers_to", F.lit(None).cast("long")).unionByName(back)
+    again = again.withColumn("payload_digest", matched).drop("named")
+    back = whole.filter("record_type = 'response'").withColumn("refers_to", F.lit(None).cast("long")).unionByName(again)
+    return back.withColumn("record", F.concat("header", "payload")) if "payload" in back.columns else back
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     write_archives(read(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
-    back = reconstruct(read_records(spark, path))
+    back = reconstruct(settle(read_records(spark, path), "warc-records"))
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

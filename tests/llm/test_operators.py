@@ -53,7 +53,7 @@ def test_substring(spark, docs, texts, monkeypatch):
         kept = " ".join(x for x, g in zip(w, gone) if not g)
         want[i] = (len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest())
     assert any(x[1] for x in want.values())
-    for group in (2048, 1):  # the subtrees, then the long prefixes
+    for group in (512, 3, 1):  # short prefixes, some longer ones, whole windows
         monkeypatch.setattr(substring, "GROUP", group)
         got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.remove_repeats(docs).collect()}
         assert got == want
@@ -62,6 +62,34 @@ def test_substring(spark, docs, texts, monkeypatch):
     assert 1 not in left and WORD(left[3]) == WORD(texts[3][1]) and len(WORD(left[5])) == 20
 
 
+def test_substring_many_variants_of_one_passage(spark, monkeypatch):
+    """More segments under one prefix than a group may have, around a passage that all documents share."""
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(30)]
+    say = lambda n: [rng.choice(vocab) for _ in range(n)]
+    passage = say(58)
+    texts = [say(rng.randint(0, 40)) + passage[rng.randint(0, 5) : 58 - rng.randint(0, 5)] + say(rng.randint(0, 40)) for _ in range(60)]
+    first, want = {}, {}
+    for i, w in enumerate(texts):
+        gone = [False] * len(w)
+        for a in range(len(w) - 49):
+            if first.setdefault(tuple(w[a : a + 50]), i) < i:
+                gone[a : a + 50] = [True] * 50
+        want[i] = sum(gone)
+    monkeypatch.setattr(substring, "GROUP", 8)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring.remove_repeats(docs).collect()} == want
+
+
+def test_substring_very_long_text(spark):
+    """A text of over 2^20 words is cut into overlapping parts; a passage at the cut is found."""
+    n = substring.PART
+    long = [f"w{i}" for i in range(n + 500)]
+    rows = [(1, " ".join(long[n - 30 : n + 40])), (2, " ".join(long)), (3, " ".join(long[n + 440 :]))]
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (70, 0), 2: (n + 500, 70), 3: (60, 60)}
+
+
 def test_substring_repeated_ids_and_nulls(spark):
     long = " ".join(f"w{i}" for i in range(60))
     rows = [(1, long), (1, long), (None, long), (2, long + " tail"), (3, "x " * 51 + "x")]
@@ -101,12 +129,12 @@ def test_lm_is_a_distribution(spark):
     slots = [(np.arange(0, 1 << (b + 8), 997), rng.integers(1, 9, len(range(0, 1 << (b + 8), 997)))) for b in lm.CONTEXTS]
     spelling = lm.Spelling(slots)
     spelling.learn([b"abc", b"bad", b"cab"], np.array([0, 3, 1]))
+    spelling.ready()
     contexts = [np.full(256, c) for c in (5, 77, 1234, 999)]
     node, total = np.ones(256, int), np.zeros(256)
     for k in range(8):
         bit = (np.arange(256) >> (7 - k)) & 1
-        x, gate = spelling.inputs(contexts, node, bit, 0.0)
-        p = spelling.refined(np.clip(lm.squash((x * spelling.weights[gate]).sum(axis=1)), 1e-4, 1 - 1e-4), gate)[2]
+        p = spelling.chance(contexts, node, spelling.weights.astype(np.float32))
         total -= np.log2(np.where(bit == 1, p, 1 - p))
         node = 2 * node + bit
     assert abs((2.0**-total).sum() - 1) < 1e-9
@@ -300,11 +328,35 @@ def test_warc(spark, tmp_path):
         want[i, len(p), hashlib.sha256(p).hexdigest(), "revisit" if again else "response", first if again else None, p] += 1
     assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, bytes(r.payload)) for r in got) == want
     assert {r.url for r in got if r.page_id == 2} == {"u2%0D%0A"}
+    assert all(bytes(r.record) == bytes(r.header) + bytes(r.payload) and bytes(r.header).startswith(b"WARC/1.1") for r in got)
+    records = warc.read_records(spark, path, with_payload=True)
+    stored = warc.payloads(records).collect()
+    assert len(stored) == len({r.payload_digest for r in stored}) == len({h or "" for _, _, h in rows})
     empty_path = f"file://{tmp_path}/b"
     warc.write_archives(pages.filter("page_id > 99"), empty_path)
     assert warc.reconstruct(warc.read_records(spark, empty_path)).count() == 0
 
 
+def test_warc_members_and_long_heads():
+    """One gzip member a record, padding, records larger than a piece, heads of any length, no final gap."""
+    import gzip
+
+    def record(i, payload):
+        http = b"HTTP/1.1 200 OK\r\nX-Long: " + b"y" * 9000 + b"\r\n\r\n"
+        return f"WARC/1.1\r\nwarc-type:response\r\nWARC-Record-ID: <{i}>\r\nContent-Length: {len(http + payload)}\r\n\r\n".encode() + http + payload + b"\r\n\r\n"
+
+    rng = random.Random(3)
+    bodies = [rng.randbytes(n) for n in (0, 5, 70_000, 300_000, 1, 65_536)] + [b"\r\n\r\nWARC/1.1\r\n" * 9]
+    records = [record(i, b) for i, b in enumerate(bodies)]
+    for whole in (b"".join(records), gzip.compress(b"".join(records)), b"".join(map(gzip.compress, records)), b"".join(map(gzip.compress, records)) + b"\0" * 512):
+        found = list(warc.parse_archive(whole))
+        assert [block[block.index(b"\r\n\r\n") + 4 :] for _, _, block in found] == bodies
+        assert [f["warc-record-id"] for f, _, _ in found] == [f"<{i}>" for i in range(len(bodies))]
+    with pytest.raises((ValueError, __import__("zlib").error)):
+        list(warc.parse_archive(gzip.compress(b"".join(records))[:-20_000]))
+    assert list(warc.parse_archive(b"")) == []
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1></header>
 <nav><ul><li><a href=/>Home</a></li></ul></nav><div class="cookie-notice">We use cookies</div>
 <article><h1>Title &amp; more</h1><p>First   para
