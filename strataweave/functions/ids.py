@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -34,3 +34,39 @@ def ordered_digest(order: list[str], fragment: Column) -> Column:
     listed = F.sort_array(F.collect_list(F.struct(*order, fragment.alias("_fragment"))))
     joined = F.array_join(F.transform(listed, lambda x: F.concat(x["_fragment"], F.char(F.lit(0)))), "")
     return F.sha2(joined, 256)
+
+
+def digests(rows: DataFrame, keys: list[str], order: list[str], fragment: Column) -> DataFrame:
+    """(keys, digest, n): SHA-256 over each group's fragments in order, each NUL-terminated.
+
+    Rows stream through in sorted order, so no group is held; without keys, all rows are one
+    sequence, which a chained digest makes the work of one task.
+    """
+    picked = rows.select(*keys, *order, fragment.cast("string").alias("_fragment"))
+    dealt = picked.repartition(*keys) if keys else picked.repartition(1)
+    dealt = dealt.sortWithinPartitions(*keys, *order, "_fragment").select(*keys, "_fragment")
+
+    def run(batches):
+        import pyarrow as pa
+
+        now, sha, n, schema = None, None, 0, None
+
+        def answer():
+            cells = [pa.array([v], t) for v, t in zip(now, schema)]
+            return pa.RecordBatch.from_arrays([*cells, pa.array([sha.hexdigest()]), pa.array([n], pa.int64())], names=[*keys, "digest", "n"])
+
+        for batch in batches:
+            schema = [batch.schema.field(i).type for i in range(len(keys))]
+            columns = [batch.column(i).to_pylist() for i in range(len(keys) + 1)]
+            for *key, text in zip(*columns):
+                if key != now:
+                    if now is not None:
+                        yield answer()
+                    now, sha, n = key, hashlib.sha256(), 0
+                sha.update((text or "").encode() + b"\0")
+                n += 1
+        if now is not None:
+            yield answer()
+
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields if f.name in keys] + ["digest string", "n long"])
+    return dealt.mapInArrow(run, schema)

@@ -8,12 +8,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ids import ordered_digest
+from ..functions.ids import digests
 
 
 def session_digest(rows: DataFrame, key: str, order: list[str], fragment: Column) -> DataFrame:
     """(key, digest): SHA-256 over the session's rows in order, each NUL-terminated."""
-    return rows.groupBy(key).agg(ordered_digest(order, fragment).alias("digest"))
+    return digests(rows, [key], order, fragment).select(key, "digest")
 
 
 def reconcile(expected: DataFrame, found: DataFrame, key: str) -> DataFrame:
@@ -41,11 +41,9 @@ def zipped(source: DataFrame, copy: DataFrame, group: str, order: str, value: st
 
 
 def js_number(x: float) -> str:
-    """A double as ECMAScript prints it: shortest digits, exponents beyond 1e21 and below 1e-6."""
-    if math.isnan(x):
-        return "NaN"
-    if math.isinf(x):
-        return "Infinity" if x > 0 else "-Infinity"
+    """A double as ECMAScript prints it in JSON: shortest digits, exponents beyond 1e21 and below 1e-6, null if not finite."""
+    if not math.isfinite(x):
+        return "null"
     if x == 0:
         return "0"
     sign, (mantissa, _, power) = "-" if x < 0 else "", f"{abs(x)!r}".partition("e")

@@ -115,6 +115,79 @@ def extract(files: DataFrame) -> DataFrame:
     return files.select("path", "text").mapInPandas(run, ENTITY)
 
 
+def item_text(text: str, start: int, end: int, most: int = 1024) -> str | None:
+    """The text from ``start`` to ``end`` with the comment, attribute and decorator lines right above, trimmed, within ``most`` bytes."""
+    lines = text[:start].split("\n")
+    head = lines.pop()
+    above = 0
+    while above < len(lines) and lines[-1 - above].lstrip().startswith(("//", "/*", "*", "#", "@")):
+        above += 1
+    whole = "\n".join([*lines[len(lines) - above :], head]) + text[start : max(start, end)]
+    return whole.strip().encode()[:most].decode("utf-8", "ignore").rstrip() or None
+
+
+def local_references(entities: DataFrame, files: DataFrame, most: int = 20) -> DataFrame:
+    """(file, name, mentions): definitions that their own file names again, mentions counted up to ``most`` + 1.
+
+    Words of a file are counted once and joined to its definitions.
+    """
+    words = files.select(F.col("path").alias("file"), F.explode(F.regexp_extract_all("text", F.lit(r"\w+"), F.lit(0))).alias("name"))
+    uses = words.groupBy("file", "name").agg(F.least(F.count(F.lit(1)), F.lit(most + 1)).alias("mentions"))
+    own = entities.filter("kind = 'definition'").select("file", "name").distinct()
+    return own.join(uses, ["file", "name"]).filter("mentions > 1")
+
+
+def citations(texts: DataFrame, documents: DataFrame) -> DataFrame:
+    """(from_id, to_id, cite): ADR and RFC numbers cited, where one document has the number and isn't the one that cites.
+
+    ``texts``: id, text; ``documents``: id, cite (like ``ADR-7``).
+    """
+    found = F.regexp_extract_all(F.upper("text"), F.lit(r"\b((?:ADR|RFC)[- ]?0*[0-9]+)\b"), F.lit(1))
+    plain = F.transform(found, lambda c: F.regexp_replace(c, r"^(ADR|RFC)[- ]?0*([0-9]+)$", "$1-$2"))
+    cited = texts.select(F.col("id").alias("from_id"), F.explode(F.array_distinct(plain)).alias("cite"))
+    known = documents.groupBy("cite").agg(F.min("id").alias("to_id"), F.count(F.lit(1)).alias("_n")).filter("_n = 1").drop("_n")
+    return cited.join(known, "cite").filter("from_id <> to_id").select("from_id", "to_id", "cite")
+
+
+def import_targets(imports: DataFrame, definitions: DataFrame, most: int = 200) -> DataFrame:
+    """(import_id, def_id): an import's last segment against definitions of that name in other files, each name's first ``most`` by id."""
+    from pyspark.sql import Window
+
+    last = F.regexp_extract("target", r"([A-Za-z0-9_]+)[^A-Za-z0-9_]*$", 1)
+    rank = F.row_number().over(Window.partitionBy("name").orderBy("def_id"))
+    first = definitions.withColumn("_r", rank).filter(F.col("_r") <= most).select("def_id", "name", F.col("file").alias("there"))
+    return imports.withColumn("name", last).join(first, "name").filter("file <> there").select("import_id", "def_id")
+
+
+def adjacent_definitions(definitions: DataFrame, most: int = 25) -> DataFrame:
+    """(file, a, b): each definition with the next one of its file, the first ``most`` pairs."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("file").orderBy("start", "def_id")
+    paired = definitions.select("file", F.col("def_id").alias("a"), F.lead("def_id").over(order).alias("b"), F.row_number().over(order).alias("_n"))
+    return paired.filter((F.col("_n") <= most) & F.col("b").isNotNull()).drop("_n")
+
+
+def resolved_path(base: Column, target: Column) -> Column:
+    """A relative import's path from the file that has it, normalised; null where it leaves the root."""
+    parts = F.concat(F.slice(F.split(base, "/"), 1, F.size(F.split(base, "/")) - 1), F.split(target, "/"))
+    start = F.struct(F.array().cast("array<string>").alias("path"), F.lit(True).alias("inside"))
+
+    def step(acc, part):
+        up = part == ".."
+        path = F.when(part.isin("", "."), acc["path"]).when(up, F.slice(acc["path"], 1, F.greatest(F.size(acc["path"]) - 1, F.lit(0)))).otherwise(F.concat(acc["path"], F.array(part)))
+        return F.struct(path.alias("path"), (acc["inside"] & ~(up & (F.size(acc["path"]) == 0))).alias("inside"))
+
+    end = F.aggregate(parts, start, step)
+    return F.when(end["inside"], F.array_join(end["path"], "/"))
+
+
+def resolved_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """(import_id, file): relative imports (import_id, file, target) that name an existing file, itself included."""
+    at = imports.filter(F.col("target").rlike(r"^\.{1,2}/")).select("import_id", resolved_path(F.col("file"), F.col("target")).alias("path"))
+    return at.join(files.select("path"), "path").select("import_id", F.col("path").alias("file"))
+
+
 def unique_matches(sites: DataFrame, definitions: DataFrame) -> DataFrame:
     """(site_id, def_id, how): a site's name resolved in its own file if unique there, else globally if unique.
 

@@ -72,10 +72,14 @@ def visible(nodes: DataFrame, allow: list[str], exclude: list[str]) -> DataFrame
     return nodes.filter(under(F.col("file"), allow) & ~under(F.col("file"), exclude))
 
 
-def visible_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges whose both ends are among ``nodes``."""
+def visible_edges(edges: DataFrame, nodes: DataFrame, evidence: DataFrame | None = None, allow: list[str] = (), exclude: list[str] = ()) -> DataFrame:
+    """Edges whose both ends are among ``nodes`` and none of whose evidence (rel_id, file) is hidden."""
     ids = nodes.select("entity_id")
-    return edges.join(ids, edges.from_id == ids.entity_id, "left_semi").join(ids, edges.to_id == ids.entity_id, "left_semi")
+    seen = edges.join(ids, edges.from_id == ids.entity_id, "left_semi").join(ids, edges.to_id == ids.entity_id, "left_semi")
+    if evidence is None:
+        return seen
+    hidden = evidence.filter(~(under(F.col("file"), list(allow)) & ~under(F.col("file"), list(exclude)))).select("rel_id")
+    return seen.join(hidden, "rel_id", "left_anti")
 
 
 def undirected(edges: DataFrame) -> DataFrame:

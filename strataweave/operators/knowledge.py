@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,19 +74,40 @@ def kept_for_continuation(messages: DataFrame) -> DataFrame:
     return messages.filter(~((F.col("role") == "assistant") & (F.col("irrelevant") >= 0.95) & ~F.col("has_tool")))
 
 
+def packed(rows: DataFrame, group: str, order: str, size: str, opens: Callable[[int, int], bool]) -> DataFrame:
+    """(group, order, chunk): an ordered fold of each group that opens a new chunk where ``opens(used, size)`` says so.
+
+    Rows stream through in order; what a task holds is the running size of one chunk.
+    """
+    picked = rows.select(group, F.col(order).cast("long").alias(order), F.col(size).cast("long").alias("_size"))
+    dealt = picked.repartition(group).sortWithinPartitions(group, order)
+
+    def run(batches):
+        import pyarrow as pa
+
+        now, used, chunk = object(), 0, 0
+        for batch in batches:
+            chunks = []
+            for key, n in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if key != now:
+                    now, used, chunk = key, 0, 0
+                elif opens(used, n):
+                    used, chunk = 0, chunk + 1
+                used += n
+                chunks.append(chunk)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(chunks, pa.int32())], names=[group, order, "chunk"])
+
+    return dealt.mapInArrow(run, f"`{group}` {picked.schema[group].dataType.simpleString()}, `{order}` long, chunk int")
+
+
 def greedy_chunks(rows: DataFrame, group: str, order: str, size: str, cap: int) -> DataFrame:
-    """(group, order, chunk): consecutive rows of a group packed greedily up to ``cap``; an ordered fold per group."""
-    listed = rows.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(F.col(order).cast("long").alias("o"), F.col(size).cast("long").alias("s")))).alias("r"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("chunk"), F.array().cast("array<struct<o:bigint,chunk:int>>").alias("out"))
-
-    def step(acc, x):
-        over = (acc["used"] > 0) & (acc["used"] + x["s"] > cap)
-        chunk = acc["chunk"] + over.cast("int")
-        used = F.when(over, x["s"]).otherwise(acc["used"] + x["s"])
-        return F.struct(used.alias("used"), chunk.alias("chunk"), F.concat(acc["out"], F.array(F.struct(x["o"].alias("o"), chunk.alias("chunk")))).alias("out"))
-
-    folded = listed.select(group, F.aggregate("r", start, step).alias("f"))
-    return folded.select(group, F.explode("f.out").alias("x")).select(group, F.col("x.o").alias(order), F.col("x.chunk").alias("chunk"))
+    """Consecutive rows of a group packed greedily up to ``cap``; a row that alone exceeds it is a chunk of its own."""
+    return packed(rows, group, order, size, lambda used, n: used > 0 and used + n > cap)
+
+
+def rotation(entries: DataFrame, ledger: str, order: str, size: str, most: int) -> DataFrame:
+    """The file (0, 1, ...) that each entry of a ledger is appended to; a file that holds ``most`` bytes is closed."""
+    return packed(entries, ledger, order, size, lambda used, n: used >= most)
 
 
 def merged_intervals(rows: DataFrame, group: str, start: str, end: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,6 +61,18 @@ def path_related(a: DataFrame, b: DataFrame, left: str, right: str) -> DataFrame
     return below.select(left, right).union(above.select(left, right)).distinct()
 
 
+def same_origin(rows: DataFrame) -> DataFrame:
+    """(provider, id, same_as): rows of federated providers with the first other provider of the same origin and id."""
+    other = rows.select("origin", "id", F.col("provider").alias("other")).distinct()
+    met = rows.join(other, ["origin", "id"], "left")
+    return met.groupBy("provider", "id").agg(F.min(F.when(F.col("other") != F.col("provider"), F.col("other"))).alias("same_as"))
+
+
+def question(left: Column, relation: Column, right: Column) -> Column:
+    """The question that a relation is decided by."""
+    return F.concat(F.lit("Does `"), left, F.lit("` "), relation, F.lit(" `"), right, F.lit("`?"))
+
+
 def pair_action(same: Column, replaces: Column, older: Column) -> Column:
     return F.when(same >= 0.9, "merge").when((replaces >= 0.9) & older, "replace").when(replaces >= 0.9, "conflict").otherwise("keep")
 
@@ -81,32 +91,40 @@ def lifecycle(receipts: DataFrame) -> DataFrame:
     """(scope, item, status) after folding receipts (scope, item, seq, action, target) in order.
 
     admit, withhold and reject set the item; supersede also supersedes its target; contradict
-    disputes both sides. Each scope is one ordered fold.
+    disputes both sides. Each scope is one ordered fold, which streams: a task holds the status of
+    one scope's items, not its receipts.
     """
-
-    def run(key, batches: Iterator) -> Iterator:
-        import pandas as pd
-
-        status: dict = {}
-        rows = pd.concat(list(batches)).sort_values("seq")
-        plain = {"admit": "admitted", "withhold": "withheld", "reject": "rejected"}
-        for item, action, target in zip(rows["item"], rows["action"], rows["target"]):
-            if action in plain:
-                if status.get(item) != "superseded":
-                    status[item] = plain[action]
-            elif action == "supersede":
-                status[item] = "admitted"
-                status[target] = "superseded"
-            elif action == "contradict":
-                for side in (item, target):
-                    if status.get(side) != "superseded":
-                        status[side] = "disputed"
-        yield pd.DataFrame({"scope": key[0], "item": list(status), "status": list(status.values())})
-
-    def fold(key, pdf):
-        return next(run(key, iter([pdf])))
-
-    return receipts.groupBy("scope").applyInPandas(fold, "scope long, item long, status string")
+    plain = {"admit": "admitted", "withhold": "withheld", "reject": "rejected"}
+    dealt = receipts.select("scope", "item", "seq", "action", "target").repartition("scope").sortWithinPartitions("scope", "seq")
+
+    def run(batches):
+        import pyarrow as pa
+
+        now, status = None, {}
+
+        def answer():
+            return pa.RecordBatch.from_arrays([pa.array([now] * len(status), pa.int64()), pa.array(list(status), pa.int64()), pa.array(list(status.values()))], names=["scope", "item", "status"])
+
+        for batch in batches:
+            for scope, item, _, action, target in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if scope != now:
+                    if status:
+                        yield answer()
+                    now, status = scope, {}
+                if action in plain:
+                    if status.get(item) != "superseded":
+                        status[item] = plain[action]
+                elif action == "supersede":
+                    status[item] = "admitted"
+                    status[target] = "superseded"
+                elif action == "contradict":
+                    for side in (item, target):
+                        if status.get(side) != "superseded":
+                            status[side] = "disputed"
+        if status:
+            yield answer()
+
+    return dealt.mapInArrow(run, "scope long, item long, status string")
 
 
 def trim(lists: dict[str, list], size, budget: int) -> tuple[dict[str, list], dict[str, dict[str, int]]]:

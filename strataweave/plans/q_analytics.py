@@ -123,7 +123,10 @@ def g11(spark, d):
     return L.communities(pairs.distinct())
 
 
-@query("g11_label_propagation")
+_VOTE = "l{0} AS (SELECT a AS node, label FROM (SELECT e.a, l.label, row_number() OVER (PARTITION BY e.a ORDER BY count(*) DESC, l.label) AS k FROM e JOIN l{1} l ON l.node=e.b GROUP BY e.a, l.label) WHERE k=1)"
+
+
+@query("g11_label_propagation", "WITH p AS (SELECT DISTINCT 'c'||o_custkey AS a, 'p'||o_orderpriority AS b FROM orders), e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), l0 AS (SELECT DISTINCT a AS node, a AS label FROM e), " + ", ".join(_VOTE.format(k + 1, k) for k in range(3)) + " SELECT node, label FROM l3")
 def g11p(spark, d):
     o = table(spark, d, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("a"), F.concat(F.lit("p"), F.col("o_orderpriority")).alias("b"))
     return L.label_propagation(o.distinct(), 3)
@@ -145,23 +148,22 @@ def k9(spark, d):
     return wiki_pages(n.withColumn("community", area(F.col("file"))), 20)
 
 
-@query("k7_graphml_rows", f"""WITH {GRAPH} SELECT '<edge id="'||rel_id||'" source="'||from_id||'" target="'||to_id||'"><data key="type">'||rel_type||'</data></edge>' AS line FROM edges WHERE rel_type='contains'""")
+@query("k7_graphml_rows", f"""WITH {GRAPH} SELECT '<edge id="'||rel_id||'" source="'||from_id||'" target="'||to_id||'"><data key="type">'||rel_type||'</data></edge>' AS line FROM edges""")
 def k7(spark, d):
     from ..sources.sinks import graphml_edges
 
-    return graphml_edges(G.edges(spark, d, ("contains",)))
+    return graphml_edges(G.edges(spark, d))
 
 
-@query("k8_cypher_rows", f"WITH {GRAPH} SELECT 'CREATE (:'||kind||' {{id: '''||entity_id||''', name: '''||replace(replace(name,'\\','\\\\'),'''','\\''')||'''}})' AS line FROM nodes WHERE kind='module'")
+@query("k8_cypher_rows", f"WITH {GRAPH} SELECT 'CREATE (:'||kind||' {{id: '''||entity_id||''', name: '''||replace(replace(name,'\\','\\\\'),'''','\\''')||'''}})' AS line FROM nodes")
 def k8(spark, d):
     from ..sources.sinks import cypher_nodes
 
-    return cypher_nodes(G.nodes(spark, d, ("region", "nation")))
+    return cypher_nodes(G.nodes(spark, d))
 
 
-@query("k13_publication_digest", f"WITH {GRAPH} SELECT sha256(string_agg(rel_id||chr(9)||class||chr(0), '' ORDER BY rel_id)) AS digest FROM edges WHERE rel_type='contains'")
+@query("k13_publication_digest", f"WITH {GRAPH} SELECT sha256(string_agg(rel_id||chr(9)||class||chr(0), '' ORDER BY rel_id)) AS digest FROM edges")
 def k13(spark, d):
-    from ..functions.ids import ordered_digest
+    from ..functions.ids import digests
 
-    e = G.edges(spark, d, ("contains",))
-    return e.agg(ordered_digest(["rel_id"], F.concat("rel_id", F.lit("\t"), "class")).alias("digest"))
+    return digests(G.edges(spark, d), [], ["rel_id"], F.concat("rel_id", F.lit("\t"), "class")).select("digest")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.ids import ordered_digest
+from ..functions.ids import digests
+from ..operators import extract as X
 from ..operators import knowledge as K
 from ..operators import lifecycle as C
 from ..operators import retrieval as V
@@ -44,10 +45,9 @@ def s5(spark, d):
     return S.fingerprint(files(spark, d).withColumnRenamed("sha256", "modified"))
 
 
-@query("s7_unsupported_report", "SELECT page_id, url FROM pages WHERE lower(split_part(url,'.',-1)) IN ('pdf','png','zip') ORDER BY url")
+@query("s7_unsupported_report", "SELECT page_id, url FROM pages WHERE contains(url,'.') AND lower(split_part(url,'.',-1)) IN ('pdf','png','jpg','jpeg','gif','webp','docx','xlsx','pptx','zip','mp3','mp4') ORDER BY url")
 def s7(spark, d):
-    ext = F.lower(F.substring_index("url", ".", -1))
-    return table(spark, d, "pages").filter(ext.isin("pdf", "png", "zip")).select("page_id", "url").orderBy("url")
+    return table(spark, d, "pages").filter(X.unsupported(F.col("url"))).select("page_id", "url").orderBy("url")
 
 
 @query("s9_jsonl_records", "SELECT event_id AS id, (json_extract_string(props,'$.k'))::INT AS k FROM events")
@@ -66,18 +66,25 @@ def x16(spark, d):
     return s11(spark, d).groupBy(F.when(F.col("parent").isNull(), "defines").otherwise("contains").alias("rel_type")).agg(count().alias("n"))
 
 
-@query("s12_receipt_files", "SELECT * FROM (VALUES ('a.json',1),('a.2.json',2),('a.10.json',10),('a.1.json',NULL),('a.02.json',NULL),('a.txt',NULL)) t(name, generation)")
+@query("s12_receipt_files", "SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN o_orderkey::INT WHEN 3 THEN NULL END::INT AS generation FROM orders WHERE o_orderkey > 9")
 def s12(spark, d):
-    names = spark.createDataFrame([(n,) for n in ("a.json", "a.2.json", "a.10.json", "a.1.json", "a.02.json", "a.txt")], "name string")
-    return names.withColumn("generation", S.receipt_generation(F.col("name")))
+    """Names of receipt files in all their forms: first, second, numbered, a zero in front, generation 1 spelt out, another kind."""
+    k = F.col("o_orderkey").cast("string")
+    name = F.concat(F.lit("ses_"), k, F.element_at(F.array(F.lit(".json"), F.lit(".2.json"), F.concat(F.lit("."), k, F.lit(".json")), F.lit(".02.json"), F.lit(".1.json"), F.lit(".txt")), (F.col("o_orderkey") % 6 + 1).cast("int")))
+    return table(spark, d, "orders").filter("o_orderkey > 9").select("o_orderkey", S.receipt_generation(name).alias("generation"))
 
 
-DIFF = "--- a/src/x.rs\n+++ b/src/x.rs\n@@ -3,2 +3,4 @@ fn\n-a\n@@ -20 +22 @@\n+b\n--- a/y.md\n+++ b/y.md\n@@ -7,0 +8,2 @@\n+c"
-
-
-@query("s16_git_diff", "SELECT * FROM (VALUES ('src/x.rs',3,4),('src/x.rs',20,20),('y.md',7,7)) t(file,h_start,h_end)")
+@query("s16_git_diff", "SELECT CASE WHEN p_size % 5=0 THEN 'new/' ELSE 'src/' END||p_partkey||'.rs' AS file, p_size AS h_start, (p_size + greatest(p_partkey % 7 - 1, 0))::INT AS h_end FROM part UNION ALL SELECT CASE WHEN p_size % 5=0 THEN 'new/' ELSE 'src/' END||p_partkey||'.rs', p_size+100, p_size+100 FROM part WHERE p_partkey % 3=0")
 def s16(spark, d):
-    return S.parse_diff(spark.createDataFrame(list(enumerate(DIFF.split("\n"))), "pos int, line string"))
+    """A diff with a file for each part: added files, hunks with and without a count."""
+    s, k = F.col("p_size").cast("string"), F.col("p_partkey").cast("string")
+    added = F.col("p_size") % 5 == 0
+    name = F.concat(F.when(added, "new/").otherwise("src/"), k, F.lit(".rs"))
+    old = F.when(added, F.lit("--- /dev/null")).otherwise(F.concat(F.lit("--- a/"), name))
+    lines = [old, F.concat(F.lit("+++ b/"), name), F.concat(F.lit("@@ -"), s, F.lit(","), (F.col("p_partkey") % 7).cast("string"), F.lit(" +1 @@ fn")), F.lit("-gone")]
+    more = F.when(F.col("p_partkey") % 3 == 0, F.array(F.concat(F.lit("@@ -"), (F.col("p_size") + 100).cast("string"), F.lit(" +2 @@")), F.lit("+come"))).otherwise(F.array().cast("array<string>"))
+    rows = table(spark, d, "part").select("p_partkey", F.posexplode(F.concat(F.array(*lines), more)).alias("i", "line"))
+    return S.parse_diff(rows.select(F.struct("p_partkey", "i").alias("pos"), "line"))
 
 
 @query("s15_ledger_tail", "SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 300 MINUTE")
@@ -103,12 +110,11 @@ def k11(spark, d):
     return visible_edges(G.edges(spark, d, ("contains",)), G.nodes(spark, d, ("region", "nation"))).select("rel_id")
 
 
-EVIDENCE = "ev AS (SELECT l_orderkey AS rel_id, 'ev'||l_linenumber||'-'||l_partkey AS evidence_id FROM lineitem WHERE l_orderkey<2000)"
+EVIDENCE = "ev AS (SELECT l_orderkey AS rel_id, 'ev'||l_linenumber||'-'||l_partkey AS evidence_id FROM lineitem)"
 
 
 def evidence(spark, d):
-    lines = table(spark, d, "lineitem").filter("l_orderkey < 2000")
-    return lines.select(F.col("l_orderkey").alias("rel_id"), F.concat(F.lit("ev"), "l_linenumber", F.lit("-"), "l_partkey").alias("evidence_id"))
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("rel_id"), F.concat(F.lit("ev"), "l_linenumber", F.lit("-"), "l_partkey").alias("evidence_id"))
 
 
 @query("k12_sealed_evidence", f"WITH {EVIDENCE} SELECT rel_id, list_sort(list(DISTINCT evidence_id)) AS evidence, count(DISTINCT evidence_id)::INT AS n FROM ev GROUP BY 1")
@@ -122,10 +128,9 @@ def x1(spark, d):
     return C.sealed_evidence(evidence(spark, d)).select("rel_id", first.alias("evidence"), left.alias("omitted"))
 
 
-@query("j15_evidence_closure", "SELECT l_orderkey AS rel_id, count(*) FILTER (WHERE l_partkey % 4 <> 0 AND l_suppkey % 3 <> 0) AS cited, count(*) FILTER (WHERE NOT (l_partkey % 4 <> 0 AND l_suppkey % 3 <> 0)) AS missing FROM lineitem WHERE l_orderkey<2000 GROUP BY 1")
+@query("j15_evidence_closure", "SELECT l_orderkey AS rel_id, count(*) FILTER (WHERE l_partkey % 4 <> 0 AND l_suppkey % 3 <> 0) AS cited, count(*) FILTER (WHERE NOT (l_partkey % 4 <> 0 AND l_suppkey % 3 <> 0)) AS missing FROM lineitem GROUP BY 1")
 def j15(spark, d):
-    lines = table(spark, d, "lineitem").filter("l_orderkey < 2000")
-    lines = lines.select("l_orderkey", "l_partkey", "l_suppkey", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("evidence_id"))
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("evidence_id"))
     edges = lines.groupBy(F.col("l_orderkey").alias("rel_id")).agg(F.collect_list("evidence_id").alias("evidence_ids"))
     known = lines.filter("l_partkey % 4 <> 0").select("evidence_id", F.col("l_suppkey").alias("file")).distinct()
     sources = table(spark, d, "supplier").filter("s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("file"))
@@ -150,10 +155,9 @@ def j14(spark, d):
     return C.contradicted(lines)
 
 
-@query("d6_parallel_suffix", "SELECT CASE WHEN n=1 THEN k ELSE k||'#'||n END AS rel_key FROM (SELECT 'uses|'||l_suppkey||'|'||(l_partkey%50) AS k, row_number() OVER (PARTITION BY l_suppkey, l_partkey%50 ORDER BY l_orderkey, l_linenumber, l_partkey) AS n FROM lineitem WHERE l_orderkey<500)")
+@query("d6_parallel_suffix", "SELECT CASE WHEN n=1 THEN k ELSE k||'#'||n END AS rel_key FROM (SELECT 'uses|'||l_suppkey||'|'||(l_partkey%50) AS k, row_number() OVER (PARTITION BY l_suppkey, l_partkey%50 ORDER BY l_orderkey, l_linenumber, l_partkey) AS n FROM lineitem)")
 def d6(spark, d):
-    rows = table(spark, d, "lineitem").filter("l_orderkey < 500")
-    rows = rows.select(F.lit("uses").alias("rel_type"), F.col("l_suppkey").alias("from_id"), (F.col("l_partkey") % 50).alias("to_id"), F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("seq"))
+    rows = table(spark, d, "lineitem").select(F.lit("uses").alias("rel_type"), F.col("l_suppkey").alias("from_id"), (F.col("l_partkey") % 50).alias("to_id"), F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("seq"))
     return C.parallel_suffix(rows).select("rel_key")
 
 
@@ -164,10 +168,11 @@ def j20(spark, d):
     return C.path_related(a, n.select(F.regexp_replace("file", "/[^/]*$", "").alias("b")).distinct(), "a", "b")
 
 
-@query("j24_origin_groups", "SELECT source, list_sort(list(doc_id)) AS docs, count(DISTINCT lang) AS providers FROM documents WHERE doc_id<200 GROUP BY 1")
+@query("j24_origin_groups", "WITH u AS (SELECT 'docs' AS provider, source AS origin, doc_id AS id FROM documents UNION ALL SELECT 'labels', d.source, l.doc_id FROM labels l JOIN documents d USING (doc_id)) SELECT a.provider, a.id, min(b.provider) AS same_as FROM u a LEFT JOIN u b ON a.origin=b.origin AND a.id=b.id AND a.provider<>b.provider GROUP BY 1,2")
 def j24(spark, d):
-    docs = table(spark, d, "documents").filter("doc_id < 200")
-    return docs.groupBy("source").agg(F.array_sort(F.collect_list("doc_id")).alias("docs"), F.countDistinct("lang").alias("providers"))
+    docs = table(spark, d, "documents").select(F.lit("docs").alias("provider"), F.col("source").alias("origin"), F.col("doc_id").alias("id"))
+    labels = table(spark, d, "labels").select(F.col("doc_id").alias("id")).join(docs.select("id", "origin"), "id").select(F.lit("labels").alias("provider"), "origin", "id")
+    return C.same_origin(docs.unionAll(labels))
 
 
 @query("j26_composite_pointer", "SELECT c.conv_id, c.role, c.turn FROM conversations c JOIN (SELECT conv_id, role, max(turn) AS turn FROM conversations GROUP BY 1,2) p USING (conv_id, role, turn)")
@@ -234,7 +239,7 @@ def a17(spark, d):
 @query("a21_message_map_digest", "SELECT conv_id, sha256(string_agg(turn||chr(1)||md5(text)||chr(10)||chr(0), '' ORDER BY turn)) AS digest FROM conversations GROUP BY 1")
 def a21(spark, d):
     line = F.concat("turn", F.char(F.lit(1)), F.md5("text"), F.lit("\n"))
-    return table(spark, d, "conversations").groupBy("conv_id").agg(ordered_digest(["turn"], line).alias("digest"))
+    return digests(table(spark, d, "conversations"), ["conv_id"], ["turn"], line).select("conv_id", "digest")
 
 
 @query("r8_semantic_floor", "WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id=0), s AS (SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], q) / (sqrt(list_dot_product(q,q)) * sqrt(list_dot_product(embedding::DOUBLE[],embedding::DOUBLE[]))),6) AS cosine FROM embeddings, q) SELECT * FROM s WHERE cosine>=0.3 ORDER BY cosine DESC, vec_id")
@@ -262,17 +267,17 @@ def r12(spark, d):
     return g.select("conv_id", first.alias("first"), F.slice(F.reverse("t"), 1, 2).alias("latest"), left.alias("omitted"))
 
 
-@query("d2_question_text", "SELECT o_orderkey, 'Does `order-'||o_orderkey||'` reference `'||o_custkey||'`?' AS question FROM orders WHERE o_orderkey<100")
+@query("d2_question_text", "SELECT o_orderkey, 'Does `order-'||o_orderkey||'` reference `'||o_custkey||'`?' AS question FROM orders")
 def d2(spark, d):
-    o = table(spark, d, "orders").filter("o_orderkey < 100")
-    return o.select("o_orderkey", F.format_string("Does `order-%d` reference `%d`?", "o_orderkey", "o_custkey").alias("question"))
+    o = table(spark, d, "orders")
+    return o.select("o_orderkey", C.question(F.concat(F.lit("order-"), "o_orderkey"), F.lit("reference"), F.col("o_custkey").cast("string")).alias("question"))
 
 
-@query("d3_reuse_key", "SELECT o_orderkey, 'reuse:'||sha256('v1'||chr(0)||o_custkey||chr(0)||o_orderpriority||chr(0)) AS reuse_key FROM orders WHERE o_orderkey<500")
+@query("d3_reuse_key", "SELECT o_orderkey, 'reuse:'||sha256('v1'||chr(0)||o_custkey||chr(0)||o_orderpriority||chr(0)) AS reuse_key FROM orders")
 def d3(spark, d):
     from ..functions.ids import sha_col
 
-    o = table(spark, d, "orders").filter("o_orderkey < 500")
+    o = table(spark, d, "orders")
     return o.select("o_orderkey", F.concat(F.lit("reuse:"), sha_col("v1", F.col("o_custkey"), F.col("o_orderpriority"))).alias("reuse_key"))
 
 
@@ -313,13 +318,12 @@ def x6(spark, d):
     return now.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi").distinct()
 
 
-@query("x8_reconstruct_check", "SELECT 0::BIGINT AS lost, 0::BIGINT AS invented")
+@query("x8_reconstruct_check", "SELECT conv_id, turn, md5(text) AS rebuilt, true AS same FROM conversations")
 def x8(spark, d):
     c = table(spark, d, "conversations").select("conv_id", "turn", "text")
     lines = c.select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    back = lines.groupBy("conv_id", "turn").agg(F.array_join(F.sort_array(F.collect_list(F.struct("i", "line")))["line"], "\n").alias("text"))
-    lost, more = c.exceptAll(back).agg(count().alias("lost")), back.exceptAll(c).agg(count().alias("invented"))
-    return lost.crossJoin(F.broadcast(more))
+    back = lines.groupBy("conv_id", "turn").agg(F.array_join(F.sort_array(F.collect_list(F.struct("i", "line")))["line"], "\n").alias("back"))
+    return c.join(back, ["conv_id", "turn"]).select("conv_id", "turn", F.md5("back").alias("rebuilt"), (F.col("back") == F.col("text")).alias("same"))
 
 
 @query("x12_freshness", "SELECT count(*) FILTER (WHERE doc_id % 6 <> 0) AS fresh, count(*) FILTER (WHERE doc_id % 6 = 0) AS stale FROM documents")
@@ -385,12 +389,12 @@ def a15(spark, d):
 def a22(spark, d):
     rows = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.concat_ws(":", "p_partkey", "p_name").alias("f"))
     head = spark.createDataFrame([(-1, "v1")], "k long, f string")
-    return head.unionAll(rows).agg(ordered_digest(["k"], F.col("f")).alias("digest"))
+    return digests(head.unionAll(rows), [], ["k"], F.col("f")).select("digest")
 
 
 @query("a23_view_digest", "SELECT event_type, sha256(string_agg(event_id||chr(0), '' ORDER BY event_id)) AS digest FROM events GROUP BY 1")
 def a23(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(ordered_digest(["event_id"], F.col("event_id").cast("string")).alias("digest"))
+    return digests(table(spark, d, "events"), ["event_type"], ["event_id"], F.col("event_id").cast("string")).select("event_type", "digest")
 
 
 @query("a25_budget_totals", "SELECT count(*) AS attempts, coalesce(sum(l_linenumber),0)::BIGINT AS reserved FROM lineitem WHERE l_returnflag='R'")

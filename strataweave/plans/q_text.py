@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.ids import ordered_digest, sha_col
+from ..functions.ids import digests, sha_col
 from ..functions.text import STOP_WORDS, terms
 from ..operators import extract as X
 from ..operators import retrieval as V
 from ..session import table
+from ..sources.snapshot import inventory
 from .registry import _sha, query
 
 STOPS = "[" + ",".join(f"'{w}'" for w in STOP_WORDS) + "]"
@@ -19,42 +20,43 @@ def TERMS(col: str) -> str:
     return f"list_distinct(list_filter(string_split_regex(lower(coalesce({col},'')), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) >= 3 AND NOT list_contains({STOPS}, w)))"
 
 
-@query("s4_inventory", "SELECT count(*) AS files, sum(strlen(text))::BIGINT AS bytes, sum(strlen(text)) <= 16777216 AS complete FROM documents")
+INVENTORY = "f AS (SELECT 'docs/'||doc_id||'.txt' AS path, strlen(text)::BIGINT AS bytes FROM documents)"
+
+
+@query("s4_inventory", f"WITH {INVENTORY}, o AS (SELECT *, sum(bytes) OVER (ORDER BY path) AS used, row_number() OVER (ORDER BY path) AS i FROM f), k AS (SELECT * FROM o WHERE used<=16777216 AND i<=128) SELECT count(*) AS files, coalesce(sum(bytes),0)::BIGINT AS bytes, (SELECT count(*) FROM f)=count(*) AS complete, CASE WHEN (SELECT count(*) FROM f)=count(*) THEN NULL WHEN count(*)=128 THEN 'files' ELSE 'bytes' END AS stopped_by FROM k")
 def s4(spark, d):
-    n = F.octet_length("text")
-    return table(spark, d, "documents").agg(F.count(F.lit(1)).alias("files"), F.sum(n).alias("bytes"), (F.sum(n) <= 16777216).alias("complete"))
+    files = table(spark, d, "documents").select(F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.octet_length("text").cast("long").alias("bytes"))
+    return inventory(files)
 
 
 @query("s1_snapshot_id", "SELECT 'snap:'||substr(sha256(string_agg('docs/'||doc_id||'.txt:'||sha256(text)||chr(0), '' ORDER BY 'docs/'||doc_id||'.txt')),1,12) AS snapshot_id, count(*) AS files FROM documents")
 def s1(spark, d):
     files = table(spark, d, "documents").select(F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.sha2("text", 256).alias("sha"))
-    digest = ordered_digest(["path"], F.concat("path", F.lit(":"), "sha"))
-    return files.agg(F.concat(F.lit("snap:"), F.substring(digest, 1, 12)).alias("snapshot_id"), F.count(F.lit(1)).alias("files"))
+    whole = digests(files, [], ["path"], F.concat("path", F.lit(":"), "sha"))
+    return whole.select(F.concat(F.lit("snap:"), F.substring("digest", 1, 12)).alias("snapshot_id"), F.col("n").alias("files"))
 
 
-@query("s6_supported_files", "SELECT lower(split_part(url,'.',-1)) IN ('md','txt','json') AND contains(url,'.') AS ok, count(*) AS n FROM pages GROUP BY 1")
+@query("s6_supported_files", "SELECT contains(url,'.') AND lower(split_part(url,'.',-1)) IN ('rs','ts','tsx','js','jsx','mts','cts','nix','py','md','markdown','mdx','txt','rst','adoc','json') AS ok, count(*) AS n FROM pages GROUP BY 1")
 def s6(spark, d):
-    ext = F.lower(F.substring_index("url", ".", -1)).isin("md", "txt", "json") & F.col("url").contains(".")
-    return table(spark, d, "pages").groupBy(ext.alias("ok")).agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, d, "pages").groupBy(X.supported(F.col("url")).alias("ok")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("e2_html_headings", "SELECT page_id, unnest(regexp_extract_all(html, '<h([1-6])>([^<]*)</h[1-6]>', 2)) AS heading FROM pages")
+@query("fn_html_headings", "SELECT page_id, unnest(regexp_extract_all(html, '<h([1-6])>([^<]*)</h[1-6]>', 2)) AS heading FROM pages")
 def e2(spark, d):
     return table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<h([1-6])>([^<]*)</h[1-6]>"), F.lit(2))).alias("heading"))
 
 
-@query("e3_html_links", "SELECT href, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS href FROM pages) GROUP BY 1")
+@query("fn_html_links", "SELECT href, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS href FROM pages) GROUP BY 1")
 def e3(spark, d):
     return table(spark, d, "pages").select(F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("href")).groupBy("href").agg(F.count(F.lit(1)).alias("n"))
 
 
-MD = "# Top\nsee [one](a.md) and `code`\n## Sub title\ntext [two](b.md)\n"
-
-
-@query("e3_markdown", f"SELECT regexp_extract_all(t, '(?m)^(#{{1,6}})[ \\t]+(.+)$', 2) AS headings, regexp_extract_all(t, '\\[([^\\]]+)\\]\\(([^)\\s]+)\\)', 2) AS links, regexp_extract_all(t, '`([^`\\n]+)`', 1) AS code FROM (SELECT '{MD}' AS t)")
+@query("e3_markdown", "SELECT doc_id, ['Document '||doc_id, 'Source of '||source] AS headings, ['docs/'||doc_id||'.md'] AS links, [lang, source] AS code FROM documents")
 def e3m(spark, d):
-    t = spark.createDataFrame([(MD,)], "t string")
-    return t.select(X.headings(F.col("t")).alias("headings"), X.links(F.col("t")).alias("links"), X.inline_code(F.col("t")).alias("code"))
+    """Markdown with two headings, a link and two code spans for each document, read back by the patterns."""
+    i, tick = F.col("doc_id").cast("string"), F.lit("`")
+    t = F.concat(F.lit("# Document "), i, F.lit("\nsee [the text](docs/"), i, F.lit(".md) in "), tick, "lang", tick, F.lit(" and "), tick, "source", tick, F.lit("\n## Source of "), "source", F.lit("\nno #heading\n"))
+    return table(spark, d, "documents").select("doc_id", X.headings(t).alias("headings"), X.links(t).alias("links"), X.inline_code(t).alias("code"))
 
 
 @query("e4_text_symbols", "SELECT 'docs/'||doc_id||'.txt' AS file, 'symbol' AS kind, doc_id||'.txt' AS name, len(string_split(text, chr(10)))::INT AS lines FROM documents")
@@ -100,9 +102,9 @@ def r2(spark, d):
     return V.nearest(e, "vec_id", "embedding", list(e.filter("vec_id = 0").first().embedding), 20)
 
 
-@query("r3_cosine_of_set", f"SELECT a.vec_id AS a, b.vec_id AS b, round({COSINE},6) AS cosine FROM embeddings a JOIN embeddings b ON a.label=b.label AND a.vec_id<b.vec_id WHERE a.vec_id % 25 = 0 AND b.vec_id % 25 = 0")
+@query("r3_cosine_of_set", f"SELECT a.vec_id AS a, b.vec_id AS b, round({COSINE},6) AS cosine FROM embeddings a JOIN embeddings b ON a.label=b.label AND a.vec_id<b.vec_id")
 def r3(spark, d):
-    e = table(spark, d, "embeddings").filter("vec_id % 25 = 0")
+    e = table(spark, d, "embeddings")
     a, b = e.select("label", F.col("vec_id").alias("a"), F.col("embedding").alias("x")), e.select("label", F.col("vec_id").alias("b"), F.col("embedding").alias("y"))
     j = a.join(b, "label").filter("a < b")
     return j.select("a", "b", F.round(V.dot(F.col("x"), F.col("y")) / (V.norm(F.col("x")) * V.norm(F.col("y"))), 6).alias("cosine"))
@@ -143,23 +145,23 @@ def r7(spark, d):
     return V.overlap_rank(docs, "doc_id", terms(F.col("text")), q, 20).select("doc_id", F.col("shared").cast("long").alias("shared"))
 
 
-@query(
-    "j19_related_records",
-    f"""WITH e AS (SELECT DISTINCT doc_id, lang, unnest({TERMS('text')}) AS w FROM documents), u AS (SELECT lang, w FROM e GROUP BY 1,2 HAVING count(*) BETWEEN 2 AND 8), r AS (SELECT e.* FROM e JOIN u USING (lang,w)),
-    p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM r x JOIN r y ON x.lang=y.lang AND x.w=y.w AND x.doc_id<>y.doc_id GROUP BY 1,2) SELECT a, b, shared, row_number() OVER (PARTITION BY a ORDER BY shared DESC, b)::INT AS rank FROM p QUALIFY rank<=4""",
-)
-def j19(spark, d):
+PAIRS = f"e AS (SELECT DISTINCT doc_id, lang, unnest({TERMS('text')}) AS w FROM documents), p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM e x JOIN e y ON x.lang=y.lang AND x.w=y.w AND x.doc_id<>y.doc_id WHERE x.doc_id % 100 = 0 GROUP BY 1,2)"
+
+
+def term_rows(spark, d):
+    """(asked rows, all rows): every row whose id is divisible by 100 is looked up among all."""
     docs = table(spark, d, "documents").select("doc_id", "lang", terms(F.col("text")).alias("t"))
-    return V.related(docs, "doc_id", "lang", "t", 4, 8)
+    return docs.filter("doc_id % 100 = 0"), docs
 
 
-@query(
-    "j18_reconcile_pairs",
-    f"WITH e AS (SELECT DISTINCT doc_id, unnest({TERMS('text')}) AS w FROM documents), u AS (SELECT w FROM e GROUP BY 1 HAVING count(*) BETWEEN 2 AND 4), r AS (SELECT e.* FROM e JOIN u USING (w)) SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM r x JOIN r y ON x.w=y.w AND x.doc_id<y.doc_id GROUP BY 1,2",
-)
+@query("j19_related_records", f"WITH {PAIRS} SELECT a, b, shared, row_number() OVER (PARTITION BY a ORDER BY shared DESC, b)::INT AS rank FROM p QUALIFY rank<=4")
+def j19(spark, d):
+    return V.related(*term_rows(spark, d), "doc_id", "lang", "t", 4)
+
+
+@query("j18_reconcile_pairs", f"WITH {PAIRS} SELECT DISTINCT least(a,b) AS a, greatest(a,b) AS b, shared FROM p")
 def j18(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", terms(F.col("text")).alias("t"))
-    return V.word_pairs(docs, "doc_id", "t", 4)
+    return V.reconcile_pairs(*term_rows(spark, d), "doc_id", "lang", "t")
 
 
 @query("j5_pending_texts", "SELECT doc_id FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 3 = 0)")
@@ -178,18 +180,20 @@ def j9(spark, d):
 
 @query(
     "d1_candidates",
-    """WITH p AS (SELECT 0 AS ord, 'explicit' AS reason, 'references' AS rel_type, o_orderkey AS from_id, o_custkey AS to_id FROM orders WHERE o_orderkey<200 UNION ALL SELECT 1, 'co-occurrence', 'references', o_orderkey, o_custkey FROM orders WHERE o_orderkey<400),
+    """WITH p AS (SELECT 0 AS ord, 'explicit' AS reason, 'references' AS rel_type, o_orderkey AS from_id, o_custkey AS to_id FROM orders WHERE o_orderpriority='1-URGENT' UNION ALL SELECT 1, 'co-occurrence', 'references', o_orderkey, o_custkey FROM orders),
     n AS (SELECT * FROM p WHERE NOT (from_id % 7 = 0) QUALIFY row_number() OVER (PARTITION BY rel_type, from_id, to_id ORDER BY ord, reason)=1)
     SELECT reason, selected, count(*) AS n FROM (SELECT reason, row_number() OVER (PARTITION BY reason ORDER BY rel_type, from_id, to_id) <= 40 AS selected FROM n) GROUP BY 1,2""",
 )
 def d1(spark, d):
-    o = table(spark, d, "orders").selectExpr("'references' AS rel_type", "o_orderkey AS from_id", "o_custkey AS to_id")
-    first = o.filter("from_id < 200").selectExpr("0 AS ord", "'explicit' AS reason", "*")
-    second = o.filter("from_id < 400").selectExpr("1 AS ord", "'co-occurrence' AS reason", "*")
+    orders = table(spark, d, "orders")
+    pairs = lambda df: df.selectExpr("'references' AS rel_type", "o_orderkey AS from_id", "o_custkey AS to_id")
+    o = pairs(orders)
+    first = pairs(orders.filter("o_orderpriority = '1-URGENT'")).selectExpr("0 AS ord", "'explicit' AS reason", "*")
+    second = o.selectExpr("1 AS ord", "'co-occurrence' AS reason", "*")
     return X.candidates(o.filter("from_id % 7 = 0"), first.unionAll(second), 40).groupBy("reason", "selected").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("e15_id_parts", f"SELECT doc_id, {_sha(chr(39) + 'text-v1' + chr(39), 'text')} AS text_sha FROM documents")
+@query("fn_text_identity", f"SELECT doc_id, {_sha(chr(39) + 'text-v1' + chr(39), 'text')} AS text_sha FROM documents")
 def e15(spark, d):
     return table(spark, d, "documents").select("doc_id", sha_col("text-v1", F.col("text")).alias("text_sha"))
 
@@ -208,9 +212,9 @@ def j10(spark, d):
     return e.join(F.broadcast(n), "k").groupBy("n_name").agg(F.count(F.lit(1)).alias("cited"))
 
 
-@query("j11_import_theta", "SELECT a.p_partkey AS a, min(b.p_partkey) AS b FROM part a JOIN part b ON a.p_name=b.p_name AND a.p_brand<>b.p_brand WHERE a.p_partkey<=50 GROUP BY 1")
+@query("j11_import_theta", "SELECT a.p_partkey AS a, min(b.p_partkey) AS b FROM part a JOIN part b ON a.p_name=b.p_name AND a.p_brand<>b.p_brand GROUP BY 1")
 def j11(spark, d):
     p = table(spark, d, "part")
-    a = p.filter("p_partkey <= 50").selectExpr("p_partkey AS a", "p_name", "p_brand AS ab")
+    a = p.selectExpr("p_partkey AS a", "p_name", "p_brand AS ab")
     b = p.selectExpr("p_partkey AS b", "p_name", "p_brand AS bb")
     return a.join(b, "p_name").filter("ab <> bb").groupBy("a").agg(F.min("b").alias("b"))

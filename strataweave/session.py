@@ -54,8 +54,31 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Paths that this process settled, newest last.
+_written: list[str] = []
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes ``df`` to the shared folder, once, and reads it back."""
+    """Cuts the lineage: writes ``df`` to the shared folder, once, and reads it back.
+
+    The table stays until ``discard`` or whatever clears the shared folder removes it: what is
+    returned reads it lazily.
+    """
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def settled() -> int:
+    """How many tables were settled so far: a mark for ``discard``."""
+    return len(_written)
+
+
+def discard(spark: SparkSession, since: int) -> None:
+    """Deletes the tables settled since the mark but for the newest, which nothing may read any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _written[since:-1]:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+    del _written[since:-1]

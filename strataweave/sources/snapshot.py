@@ -12,7 +12,7 @@ from fnmatch import fnmatch
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.ids import ordered_digest
+from ..functions.ids import digests
 
 SKIPPED = (".git", "target", "node_modules")
 MOST_FILES, MOST_BYTES = 128, 16 << 20
@@ -72,8 +72,26 @@ def capture(spark: SparkSession, root: str, scope: list[str] | None = None, excl
 
 
 def snapshot_id(files: DataFrame, repo: str, scope: str = "") -> DataFrame:
-    digest = ordered_digest(["path"], F.concat("path", F.lit(":"), "sha256"))
-    return files.agg(F.concat(F.lit("snap:"), F.substring(F.sha2(F.concat(F.lit(f"{repo}\0{scope}\0"), digest), 256), 1, 12)).alias("snapshot_id"))
+    whole = digests(files, [], ["path"], F.concat("path", F.lit(":"), "sha256"))
+    return whole.select(F.concat(F.lit("snap:"), F.substring(F.sha2(F.concat(F.lit(f"{repo}\0{scope}\0"), "digest"), 256), 1, 12)).alias("snapshot_id"))
+
+
+def inventory(files: DataFrame, most_files: int = MOST_FILES, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """One row (files, bytes, complete, stopped_by) of a listing (path, bytes), contents unread.
+
+    Within the budgets all is counted; else what fits of it in path order, and which budget stopped it.
+    """
+    from pyspark.sql import Window
+
+    whole = files.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("size")).first()
+    if whole.n <= most_files and whole.size <= most_bytes:
+        return files.sparkSession.createDataFrame([(whole.n, whole.size, True, None)], "files long, bytes long, complete boolean, stopped_by string")
+    first = files.select("path", "bytes").orderBy("path").limit(most_files + 1)  # rows that a window may order in one task
+    order = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    kept = first.withColumns({"used": F.sum("bytes").over(order), "i": F.row_number().over(Window.orderBy("path"))})
+    kept = kept.filter((F.col("used") <= most_bytes) & (F.col("i") <= most_files))
+    counted = kept.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+    return counted.select("files", "bytes", F.lit(False).alias("complete"), F.when(F.col("files") == most_files, "files").otherwise("bytes").alias("stopped_by"))
 
 
 def exact_set(files: DataFrame, paths: list[str]) -> DataFrame:
@@ -89,7 +107,7 @@ def exact_set(files: DataFrame, paths: list[str]) -> DataFrame:
 
 def fingerprint(files: DataFrame) -> DataFrame:
     """A cheap change detector over path, size and time."""
-    return files.agg(ordered_digest(["path"], F.concat_ws("|", "path", "bytes", "modified")).alias("fingerprint"))
+    return digests(files, [], ["path"], F.concat_ws("|", "path", "bytes", "modified")).select(F.col("digest").alias("fingerprint"))
 
 
 def jsonl_records(lines: DataFrame, schema: str) -> DataFrame:
@@ -110,12 +128,15 @@ def receipt_generation(name: Column) -> Column:
 def parse_diff(lines: DataFrame) -> DataFrame:
     """(file, h_start, h_end): old-side ranges of the hunks of a unified diff (``pos``, ``line``).
 
-    The order of lines matters, so one diff is one partition of the window.
+    An added file (``--- /dev/null``) goes by its new path. The order of lines matters, so one diff is
+    one partition of the window.
     """
     from pyspark.sql import Window
 
-    path = F.regexp_extract("line", r"^--- (?:a/)?(.+)$", 1)
-    running = F.last(F.when(F.col("line").startswith("--- "), path), ignorenulls=True).over(Window.orderBy("pos"))
+    order = Window.orderBy("pos")
+    old, new = (F.regexp_extract("line", rf"^{mark} (?:{side}/)?([^\t]+)", 1) for mark, side in ((r"---", "a"), (r"\+\+\+", "b")))
+    named = F.when(F.col("line").startswith("--- ") & (old != "/dev/null"), old).when(F.col("line").startswith("+++ ") & (F.lag("line").over(order) == "--- /dev/null"), new)
+    running = F.last(named, ignorenulls=True).over(order)
     hunk = r"^@@ -([0-9]+)(?:,([0-9]+))? "
     start = F.regexp_extract("line", hunk, 1).try_cast("int")
     count = F.regexp_extract("line", hunk, 2)

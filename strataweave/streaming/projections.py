@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..session import shared_path
+from ..session import settle, shared_path
 
 
 def source(spark: SparkSession, path: str) -> DataFrame:
@@ -91,10 +91,20 @@ def watch(spark: SparkSession, path: str, schema: str, handle: Callable[[DataFra
 
 
 def ready_events(events: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Out-of-order causal events (id, parents) split into those whose parents are all there, and the staged rest."""
-    have = known.select("id").union(events.select("id")).distinct()
-    lacking = events.select("id", F.explode("parents").alias("p")).join(have.withColumnRenamed("id", "p"), "p", "left_anti").select("id").distinct()
-    return events.join(lacking, "id", "left_anti"), events.join(lacking, "id", "left_semi")
+    """Out-of-order causal events (id, parents) split into those all of whose ancestors are there, and the staged rest.
+
+    An event waits for a parent that is missing and for one that waits itself.
+    """
+    links = settle(events.select("id", F.explode("parents").alias("p")).distinct(), "causal-links")
+    have = known.select(F.col("id").alias("p")).union(events.select("id")).distinct()
+    waits = settle(links.join(have, "p", "left_anti").select("id").distinct(), "causal-waits")
+    while True:
+        held = links.join(waits.select(F.col("id").alias("p")), "p", "left_semi").select("id").distinct()
+        more = settle(held.join(waits, "id", "left_anti"), "causal-more")
+        if not more.take(1):
+            break
+        waits = settle(waits.union(more), "causal-waits")
+    return events.join(waits, "id", "left_anti"), events.join(waits, "id", "left_semi")
 
 
 def lease(ttl_us: int) -> Callable:
