@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import settle, shared_dir, shared_path  # noqa: F401
+from ..session import discard, settle, settled, shared_dir, shared_path  # noqa: F401
 
 #: One or more of the six ASCII white-space characters; what lies between is a word.
 SPACE = r"[\x20\x09-\x0D]+"

@@ -35,6 +35,7 @@ from functools import reduce
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import bounded_batches, read, settle
 from .hashing import WordHash, mixed, windows
@@ -317,7 +318,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def _cut_out(batches):
-    """Replaces ``text`` by what stays of it, with its own white space inside each run of words."""
+    """(doc, text, spans) -> (doc, what stays of the text, with its own white space inside each run of words)."""
     import re
 
     import pyarrow as pa
@@ -325,7 +326,7 @@ def _cut_out(batches):
     word = re.compile(rb"[^\x20\x09-\x0D]+")
     for batch in batches:
         texts = []
-        for text, spans in zip(batch.column("_text").to_pylist(), batch.column("_spans").to_pylist()):
+        for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             if spans:
                 places = [m.span() for m in word.finditer(text)]
                 gone = np.zeros(len(places) + 1, np.int32)
@@ -337,22 +338,23 @@ def _cut_out(batches):
                 runs = [(int(r[0]), int(r[-1])) for r in np.split(stays, cuts + 1) if len(r)]
                 text = b"\n".join(text[places[a][0] : places[z][1]] for a, z in runs)
             texts.append(text)
-        names = [n for n in batch.schema.names if n not in ("_text", "_spans")]
-        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(texts, pa.binary())], names=[*names, "_text"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], names=["doc", "text"])
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` with the repeated words cut out of ``text``; documents of which nothing stays go."""
+    """``docs`` with the repeated words cut out of ``text``; documents of which nothing stays go.
+
+    Other columns pass through, whatever their names.
+    """
     bounded_batches(docs.sparkSession)
-    gone = settle(repeated(docs, window), "sub-gone").withColumnsRenamed({"doc_id": "_d", "text_id": "_t", "spans": "_spans"})
-    rows = docs.withColumnRenamed("text", "_text")
-    joined = rows.join(gone, (F.col("doc_id") == F.col("_d")) & (F.xxhash64("_text") == F.col("_t")), "left").drop("_d", "_t")
-    joined = joined.withColumn("_text", F.col("_text").cast("binary"))
-    others = [f for f in joined.schema.fields if f.name not in ("_text", "_spans")]
-    schema = type(joined.schema)([*others, joined.schema["_text"]])
-    left = joined.select(*(f.name for f in others), "_text", "_spans").mapInArrow(_cut_out, schema)
-    left = left.withColumn("text", F.col("_text").cast("string")).filter("text IS NULL OR text <> ''").drop("_text")
-    return left.select(*docs.columns)
+    gone = settle(repeated(docs, window), "sub-gone").withColumnsRenamed({"doc_id": "d", "text_id": "t"})
+    rest = [c for c in docs.columns if c != "text"]
+    rows = docs.select(F.struct(*rest).alias("doc"), F.col("text"))
+    joined = rows.join(gone, (F.col("doc.doc_id") == F.col("d")) & (F.xxhash64("text") == F.col("t")), "left")
+    joined = joined.select("doc", F.col("text").cast("binary").alias("text"), "spans")
+    schema = StructType([joined.schema["doc"], joined.schema["text"]])
+    left = joined.mapInArrow(_cut_out, schema).withColumn("text", F.col("text").cast("string")).filter("text IS NULL OR text <> ''")
+    return left.select(*(F.col("text") if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns))
 
 
 def op1_substring(spark, sf_dir: str) -> DataFrame:
