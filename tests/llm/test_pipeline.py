@@ -38,6 +38,29 @@ def test_pipeline(spark, tmp_path):
         assert f(spark, stage.limit(0), str(tmp_path)).count() == 0
 
 
+def test_stages_on_awkward_rows(spark, tmp_path):
+    """Clashing column names, null and repeated ids, blank and very long texts, ties."""
+    names = ["w", "t", "lines", "g", "hashes", "h3", "kept", "doc", "id", "leak", "number", "spans", "d", "_n", "_text", "label", "n_words"]
+    rng = random.Random(6)
+    vocab = [a + b for a in "ka mo re ti su na pe".split() for b in "la ne ro shi gu va".split()]
+    prose = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    long, twice = prose(200_000), prose(90)
+    rows = [(1, long), (2, prose(80)), (2, prose(85)), (3, twice), (3, twice), (None, prose(90)), (None, None), (4, None), (5, " \n "), (6, twice), (7, prose(70) + " " + " ".join(long.split()[500:600]))]
+    docs = spark.createDataFrame([(i, t, *range(len(names))) for i, t in rows], f"doc_id long, text string, {', '.join(f'`{n}` int' for n in names)}")
+    spark.createDataFrame([(2, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, prose(40)), (1, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = {name: stage(spark, docs, str(tmp_path)).collect() for name, stage in corpus_pipeline.STAGES}
+    for name, _ in corpus_pipeline.STAGES[:-1]:
+        assert all(list(r[2:]) == list(range(len(names))) for r in kept[name]), name
+    assert sorted((r.doc_id or 0 for r in kept["quality"]), key=str) == sorted([0, 2, 2, 3, 3, 6, 7] + [1] * (1 in {r.doc_id for r in kept["quality"]}), key=str)
+    near = kept["near_duplicates"]
+    assert sorted(r.doc_id for r in near if r.doc_id is not None) == [1, 2, 3, 4, 5, 7] and sum(r.doc_id is None for r in near) == 2
+    assert len(next(r.text for r in near if r.doc_id == 2).split()) == 85
+    cut = {(r.doc_id, len((r.text or "").split())) for r in kept["substring"]}
+    assert (7, 70) in cut and (1, 200_000) in cut and (3, 90) in cut and not any(i == 6 for i, _ in cut)
+    assert len(kept["decontamination"]) == len(rows) and len(kept["bpe"]) == len(rows)
+
+
 def test_near_stage_links_at_080(spark):
     """Similarities of 352 / 432 = 0.815 and 347 / 437 = 0.794: only the first is a near-duplicate."""
     rows = []
