@@ -126,6 +126,11 @@ def item_text(text: str, start: int, end: int, most: int = 1024) -> str | None:
     return whole.strip().encode()[:most].decode("utf-8", "ignore").rstrip() or None
 
 
+def embedding_input(kind: Column, qualified_name: Column, text: Column) -> Column:
+    """What stands for an entity in vector space: name and text of definitions and headings, nothing for others."""
+    return F.when(kind.isin("definition", "heading") & text.isNotNull(), F.concat_ws("\n", qualified_name, text))
+
+
 def local_references(entities: DataFrame, files: DataFrame, most: int = 20) -> DataFrame:
     """(file, name, mentions): definitions that their own file names again, mentions counted up to ``most`` + 1.
 

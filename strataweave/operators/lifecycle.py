@@ -153,19 +153,33 @@ def open_cursor(text: str, scope: str) -> tuple[str | None, str | None]:
     return found[1], found[2]
 
 
-def context(nodes: DataFrame, edges: DataFrame, terms: list[str], depth: int, seeds: int, limit: int) -> DataFrame:
-    """(entity_id, depth, score): lexical seeds and what lies around them, nearest and best first."""
+def context(nodes: DataFrame, edges: DataFrame, terms: list[str], depth: int, seeds: int, limit: int, semantic: DataFrame | None = None) -> DataFrame:
+    """(entity_id, depth, score): lexical seeds and what lies around them, nearest and best first, ``limit`` at most.
+
+    A name that has a term counts 2, a qualified name 1. ``semantic`` (id, rank from 0), an order by
+    meaning, is fused with the lexical order by reciprocal ranks; the fused order then picks the seeds.
+    Each level joins the edges with its front alone and stops once ``limit`` nodes are reached.
+    """
+    from .retrieval import fuse
     from .traverse import cut
 
+    if not (1 <= depth <= 6 and 1 <= limit <= 200):
+        raise ValueError("1 to 6 levels, 1 to 200 nodes")
     score = F.lit(0)
     for t in terms:
         score = score + F.when(F.col("name_fold").contains(t), 2).otherwise(0) + F.when(F.col("qn_fold").contains(t), 1).otherwise(0)
     hit = nodes.select("entity_id", score.alias("score")).filter("score > 0").orderBy(F.desc("score"), "entity_id").limit(seeds)
+    if semantic is not None:
+        rank = F.row_number().over(Window.orderBy(F.desc("score"), "entity_id")) - 1  # ``seeds`` rows at most
+        lists = hit.select(F.lit(0).alias("list"), F.col("entity_id").alias("id"), rank.alias("rank")).unionAll(semantic.select(F.lit(1), "id", "rank"))
+        fused = fuse(lists).limit(seeds).select(F.col("id").alias("entity_id"))
+        hit = fused.join(hit, "entity_id", "left").select("entity_id", F.coalesce("score", F.lit(0)).alias("score"))
     seen = front = cut(hit.select("entity_id", F.lit(0).alias("depth"), "score"))
-    both = edges.select(F.col("from_id").alias("a"), F.col("to_id").alias("b"))
-    both = both.unionAll(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     for d in range(1, depth + 1):
-        step = both.join(front.select(F.col("entity_id").alias("a")), "a").select(F.col("b").alias("entity_id")).distinct()
+        steps = [edges.join(front.select(F.col("entity_id").alias(a)), a, "left_semi").select(F.col(b).alias("entity_id")) for a, b in (("from_id", "to_id"), ("to_id", "from_id"))]
+        step = steps[0].unionAll(steps[1]).distinct()
         front = cut(step.join(seen, "entity_id", "left_anti").select("entity_id", F.lit(d).alias("depth"), F.lit(0).alias("score")))
         seen = cut(seen.unionAll(front))
+        if seen.limit(limit).count() == limit:
+            break
     return seen.orderBy("depth", F.desc("score"), "entity_id").limit(limit)

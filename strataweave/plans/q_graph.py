@@ -291,14 +291,6 @@ def r13(spark, d):
     return hit.join(callers, "entity_id", "left").select("entity_id", "name", F.coalesce("n", F.lit(0)).alias("callers"))
 
 
-@query("g25_clusters", "WITH RECURSIVE p AS (SELECT DISTINCT text, min(doc_id) OVER (PARTITION BY text) AS label, doc_id FROM documents) SELECT label, count(*) AS n FROM p GROUP BY 1 HAVING count(*) > 1")
-def g25(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
-    first = docs.groupBy("h").agg(F.min("doc_id").alias("a"))
-    pairs = docs.join(first, "h").filter("a < doc_id").select("a", F.col("doc_id").alias("b"))
-    return T.connected(pairs).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("g23_dag_heads", "SELECT max(event_id) AS id FROM events GROUP BY user_id")
 def g23(spark, d):
     from pyspark.sql import Window
@@ -330,16 +322,6 @@ def g24(spark, d):
     return T.chain_depths(links)
 
 
-PINS = "SELECT n_nationkey AS a, (n_nationkey*7+3) % 25 AS b, n_regionkey <> 2 AS pin_ok FROM nation"
-
-
-@query("g21_workspace_impact", f"WITH RECURSIVE br AS ({PINS}), w(id, depth) AS (SELECT 4::BIGINT, 0 UNION SELECT b::BIGINT, depth+1 FROM w JOIN br ON a=id AND pin_ok WHERE depth<8) SELECT id::VARCHAR AS entity_id, min(depth)::INT AS depth FROM w GROUP BY 1")
-def g21(spark, d):
-    n = table(spark, d, "nation").filter("n_regionkey <> 2")
-    bridges = n.selectExpr("cast(n_nationkey AS string) AS from_id", "cast((n_nationkey * 7 + 3) % 25 AS string) AS to_id")
-    return T.reachable(bridges, "4", 8, directed=True)
-
-
 @query("u2_set_difference", "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
 def u2(spark, d):
     return table(spark, d, "documents").select("doc_id").subtract(table(spark, d, "labels").select("doc_id"))
@@ -355,13 +337,6 @@ def u4(spark, d):
     return table(spark, d, "customer").select(F.col("c_nationkey").alias("k")).union(table(spark, d, "supplier").select("s_nationkey")).distinct()
 
 
-@query("u5_idempotent_merge", "SELECT count(*) AS events, count(DISTINCT event_id) AS ids FROM events")
-def u5(spark, d):
-    e = table(spark, d, "events")
-    merged = e.unionAll(e.filter("event_id % 3 = 0")).dropDuplicates(["event_id"])
-    return merged.agg(F.count(F.lit(1)).alias("events"), F.countDistinct("event_id").alias("ids"))
-
-
 @query("u1_union_all", "SELECT kind, count(*) AS n FROM (SELECT 'node' AS kind FROM nation UNION ALL SELECT 'edge' FROM region) GROUP BY 1")
 def u1(spark, d):
     a = table(spark, d, "nation").select(F.lit("node").alias("kind"))

@@ -61,11 +61,6 @@ def s11(spark, d):
     return spark.createDataFrame(S.catalog_records({t: table(spark, d, t) for t in ("region", "nation", "labels")}), "key string, kind string, name string, parent string")
 
 
-@query("x16_catalog_graph", "SELECT CASE WHEN c.kind='t' THEN 'defines' ELSE 'contains' END AS rel_type, count(*) AS n FROM (SELECT DISTINCT 't' AS kind, table_name AS x FROM information_schema.columns WHERE table_name IN ('region','nation','labels') UNION ALL SELECT 'c', column_name FROM information_schema.columns WHERE table_name IN ('region','nation','labels')) c GROUP BY 1")
-def x16(spark, d):
-    return s11(spark, d).groupBy(F.when(F.col("parent").isNull(), "defines").otherwise("contains").alias("rel_type")).agg(count().alias("n"))
-
-
 @query("s12_receipt_files", "SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN o_orderkey::INT WHEN 3 THEN NULL END::INT AS generation FROM orders WHERE o_orderkey > 9")
 def s12(spark, d):
     """Names of receipt files in all their forms: first, second, numbered, a zero in front, generation 1 spelt out, another kind."""
@@ -181,49 +176,12 @@ def j26(spark, d):
     return c.join(c.groupBy("conv_id", "role").agg(F.max("turn").alias("turn")), ["conv_id", "role", "turn"])
 
 
-@query("p8_eligibility", "SELECT count(*) AS n FROM documents WHERE NOT (doc_id % 5 IN (0,1)) AND lang IN ('en','fr')")
-def p8(spark, d):
-    docs = table(spark, d, "documents").withColumn("status", F.when(F.col("doc_id") % 5 == 0, "superseded").when(F.col("doc_id") % 5 == 1, "withheld").otherwise("admitted"))
-    return docs.filter(~F.col("status").isin("superseded", "withheld") & F.array_contains(F.array(F.lit("en"), F.lit("fr")), F.col("lang"))).agg(count().alias("n"))
-
-
-@query("p9_grants", "SELECT doc_id FROM documents d WHERE source='src1' OR EXISTS (SELECT 1 FROM labels l WHERE l.doc_id=d.doc_id AND l.quality=1 AND d.source IN ('src2','src3'))")
-def p9(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "source")
-    granted = table(spark, d, "labels").filter("quality = 1").select("doc_id", F.lit(True).alias("granted")).distinct()
-    seen = docs.join(granted, "doc_id", "left")
-    return seen.filter((F.col("source") == "src1") | F.coalesce("granted", F.lit(False)) & F.col("source").isin("src2", "src3")).select("doc_id")
-
-
-@query("p11_test_paths", "SELECT regexp_matches(url, '(^|/)tests?/|_test\\.|/en/') AS is_test, count(*) AS n FROM pages GROUP BY 1")
-def p11(spark, d):
-    return table(spark, d, "pages").groupBy(F.col("url").rlike(r"(^|/)tests?/|_test\.|/en/").alias("is_test")).agg(count().alias("n"))
-
-
 @query("p13_probability_check", "SELECT count(*) FILTER (WHERE value BETWEEN 0 AND 1) AS valid, count(*) FILTER (WHERE NOT (value BETWEEN 0 AND 1)) AS invalid FROM events")
 def p13(spark, d):
     ok = C.valid_response(F.lit("score"), F.col("value"), F.lit(None).cast("string"), [])
     return table(spark, d, "events").agg(F.count_if(ok).alias("valid"), F.count_if(~ok).alias("invalid"))
 
 
-@query("a9_coverage_counts", f"WITH {GRAPH} SELECT rel_type, count(*) AS n, count(*) FILTER (WHERE class='extracted') AS structural, count(*) FILTER (WHERE class<>'extracted') AS resolved FROM edges GROUP BY 1")
-def a9(spark, d):
-    e = G.edges(spark, d)
-    return e.groupBy("rel_type").agg(count().alias("n"), F.count_if(F.col("class") == "extracted").alias("structural"), F.count_if(F.col("class") != "extracted").alias("resolved"))
-
-
-@query("a10_coverage_report", "SELECT count(*) FILTER (WHERE lang<>'en') AS heuristic, (list(doc_id ORDER BY doc_id) FILTER (WHERE lang<>'en'))[1:10] AS first, greatest(count(*) FILTER (WHERE lang<>'en') - 10, 0) AS omitted FROM documents")
-def a10(spark, d):
-    docs = table(spark, d, "documents").filter("lang <> 'en'")
-    first = docs.select("doc_id").orderBy("doc_id").limit(10).agg(F.array_sort(F.collect_list("doc_id")).alias("first"))
-    return docs.agg(count().alias("heuristic")).crossJoin(F.broadcast(first)).withColumn("omitted", F.greatest(F.col("heuristic") - 10, F.lit(0)))
-
-
-@query("a11_selected_omitted", "SELECT p_brand AS reason, least(count(*),20) AS selected, greatest(count(*)-20,0) AS omitted FROM part GROUP BY 1")
-def a11(spark, d):
-    return table(spark, d, "part").groupBy(F.col("p_brand").alias("reason")).agg(F.least(count(), F.lit(20)).alias("selected"), F.greatest(count() - 20, F.lit(0)).alias("omitted"))
-
-
 @query("a16_table_counts", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in TABLES))
 def a16(spark, d):
     from functools import reduce
@@ -300,24 +258,12 @@ def d14(spark, d):
     return table(spark, d, "documents").groupBy(C.pair_action(part(7), part(13), F.col("doc_id") % 2 == 0).alias("action")).agg(count().alias("n"))
 
 
-@query("d17_compaction_plan", "SELECT role, count(*) FILTER (WHERE turn=0 OR role='system') AS kept, count(*) FILTER (WHERE NOT (turn=0 OR role='system') AND length(text)>400) AS moved, count(*) FILTER (WHERE NOT (turn=0 OR role='system') AND length(text)<=400) AS inline FROM conversations GROUP BY 1")
-def d17(spark, d):
-    safe, long = (F.col("turn") == 0) | (F.col("role") == "system"), F.length("text") > 400
-    return table(spark, d, "conversations").groupBy("role").agg(F.count_if(safe).alias("kept"), F.count_if(~safe & long).alias("moved"), F.count_if(~safe & ~long).alias("inline"))
-
-
 @query("d19_hold_reasons", "SELECT concat_ws(',', CASE WHEN o_totalprice>100000 THEN 'large' END, CASE WHEN o_orderstatus='O' THEN 'open' END, CASE WHEN o_custkey%10=0 THEN 'watched' END) AS reasons, count(*) AS n FROM orders GROUP BY 1")
 def d19(spark, d):
     why = C.hold_reasons({"large": F.col("o_totalprice") > 100000, "open": F.col("o_orderstatus") == "O", "watched": F.col("o_custkey") % 10 == 0})
     return table(spark, d, "orders").groupBy(F.array_join(why, ",").alias("reasons")).agg(count().alias("n"))
 
 
-@query("x6_current_handles", "SELECT doc_id FROM documents WHERE doc_id % 4 <> 0 INTERSECT SELECT doc_id FROM labels")
-def x6(spark, d):
-    now = table(spark, d, "documents").filter("doc_id % 4 <> 0").select("doc_id")
-    return now.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi").distinct()
-
-
 @query("x8_reconstruct_check", "SELECT conv_id, turn, md5(text) AS rebuilt, true AS same FROM conversations")
 def x8(spark, d):
     c = table(spark, d, "conversations").select("conv_id", "turn", "text")
@@ -326,65 +272,11 @@ def x8(spark, d):
     return c.join(back, ["conv_id", "turn"]).select("conv_id", "turn", F.md5("back").alias("rebuilt"), (F.col("back") == F.col("text")).alias("same"))
 
 
-@query("x12_freshness", "SELECT count(*) FILTER (WHERE doc_id % 6 <> 0) AS fresh, count(*) FILTER (WHERE doc_id % 6 = 0) AS stale FROM documents")
-def x12(spark, d):
-    now = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
-    old = now.withColumn("old", F.when(F.col("doc_id") % 6 == 0, F.lit("x")).otherwise(F.col("h"))).select("doc_id", "old")
-    return now.join(old, "doc_id").agg(F.count_if(F.col("h") == F.col("old")).alias("fresh"), F.count_if(F.col("h") != F.col("old")).alias("stale"))
-
-
-@query("x22_status", f"WITH {GRAPH} SELECT 'star' AS repo, 'build-2' AS build_id, (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges, (SELECT count(*) FROM edges) > 0 AS publishable")
-def x22(spark, d):
-    n = G.nodes(spark, d).agg(count().alias("nodes"))
-    e = G.edges(spark, d).agg(count().alias("edges"))
-    return n.crossJoin(F.broadcast(e)).select(F.lit("star").alias("repo"), F.lit("build-2").alias("build_id"), "nodes", "edges", (F.col("edges") > 0).alias("publishable"))
-
-
-@query("x26_identity_pins", "SELECT count(*) AS pins, count(DISTINCT conv_id||'/'||turn)=count(*) AS unique_ids FROM conversations")
-def x26(spark, d):
-    return table(spark, d, "conversations").agg(count().alias("pins"), (F.countDistinct(F.concat_ws("/", "conv_id", "turn")) == count()).alias("unique_ids"))
-
-
-@query("x28_evidence_packet", "WITH s AS (SELECT DISTINCT user_id, event_type, props FROM events), n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_type, props) AS rn, count(*) OVER (PARTITION BY user_id) AS total FROM s) SELECT user_id, event_type, props, greatest(total-4,0) AS omitted FROM n WHERE rn<=4")
-def x28(spark, d):
-    s = table(spark, d, "events").select("user_id", "event_type", "props").dropDuplicates()
-    by = Window.partitionBy("user_id")
-    n = s.withColumn("rn", F.row_number().over(by.orderBy("event_type", "props"))).withColumn("omitted", F.greatest(F.count(F.lit(1)).over(by) - 4, F.lit(0)))
-    return n.filter("rn <= 4").drop("rn")
-
-
-@query("x29_work_list", "SELECT o_orderkey FROM orders o WHERE o_orderstatus<>'F' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag='R') AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment='BUILDING') ORDER BY 1 LIMIT 64")
-def x29(spark, d):
-    o = table(spark, d, "orders").filter("o_orderstatus <> 'F'").select("o_orderkey", "o_custkey")
-    done = table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
-    ours = table(spark, d, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
-    return o.join(done, "o_orderkey", "left_anti").join(ours, "o_custkey", "left_semi").select("o_orderkey").orderBy("o_orderkey").limit(64)
-
-
-@query("g8_context", f"WITH RECURSIVE {GRAPH}, sc AS (SELECT entity_id, (CASE WHEN contains(name_fold,'asia') THEN 2 ELSE 0 END + CASE WHEN contains(qn_fold,'asia') THEN 1 ELSE 0 END + CASE WHEN contains(name_fold,'nation_2') THEN 2 ELSE 0 END + CASE WHEN contains(qn_fold,'nation_2') THEN 1 ELSE 0 END) AS score FROM nodes WHERE kind='module'), seed AS (SELECT * FROM sc WHERE score>0 ORDER BY score DESC, entity_id LIMIT 3), near AS (SELECT DISTINCT a,b FROM (SELECT from_id a,to_id b FROM edges WHERE rel_type='contains' UNION ALL SELECT to_id,from_id FROM edges WHERE rel_type='contains')), w(id,depth) AS (SELECT entity_id, 0 FROM seed UNION SELECT b, depth+1 FROM w JOIN near ON a=id WHERE depth<2), m AS (SELECT id, min(depth) AS depth FROM w GROUP BY 1) SELECT id AS entity_id, depth::INT AS depth, coalesce(score,0)::INT AS score FROM m LEFT JOIN seed ON entity_id=id ORDER BY depth, score DESC, id LIMIT 40")
-def g8(spark, d):
-    return C.context(G.nodes(spark, d, ("region", "nation")), G.edges(spark, d, ("contains",)), ["asia", "nation_2"], 2, 3, 40)
-
-
-@query("g22_review", f"WITH {GRAPH}, ch AS (SELECT entity_id, name FROM nodes WHERE kind='definition' AND starts_with(qualified_name,'part::') AND file='catalog/Brand#11/'||split_part(split_part(file,'/',3),'.',1)||'.rs') SELECT ch.entity_id, count(DISTINCT from_id) AS callers, count(*) FILTER (WHERE class='ambiguous') AS doubtful FROM ch LEFT JOIN edges ON to_id=ch.entity_id GROUP BY 1 ORDER BY callers DESC, 1 LIMIT 10")
-def g22(spark, d):
-    changed = G.nodes(spark, d, ("part",)).filter(F.col("file").startswith("catalog/Brand#11/")).select("entity_id")
-    e = G.edges(spark, d, ("references", "implements"))
-    hit = changed.join(e, changed.entity_id == e.to_id, "left")
-    risk = hit.groupBy("entity_id").agg(F.countDistinct("from_id").alias("callers"), F.count_if(F.col("class") == "ambiguous").alias("doubtful"))
-    return risk.orderBy(F.desc("callers"), "entity_id").limit(10)
-
-
 @query("a3_max_version", "SELECT coalesce(max(p_size),0) AS version FROM part")
 def a3(spark, d):
     return table(spark, d, "part").agg(F.coalesce(F.max("p_size"), F.lit(0)).alias("version"))
 
 
-@query("a15_retained_builds", "SELECT o_orderpriority AS build, count(*) AS members, count(DISTINCT o_custkey) AS owners FROM orders GROUP BY 1")
-def a15(spark, d):
-    return table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("build")).agg(count().alias("members"), F.countDistinct("o_custkey").alias("owners"))
-
-
 @query("a22_catalog_digest", "SELECT sha256('v1'||chr(0)||string_agg(p_partkey||':'||p_name||chr(0), '' ORDER BY p_partkey)) AS digest FROM part")
 def a22(spark, d):
     rows = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.concat_ws(":", "p_partkey", "p_name").alias("f"))
@@ -414,54 +306,12 @@ def g26(spark, d):
     return reach.filter("start = at").select(F.col("start").alias("id")).distinct()
 
 
-@query("r6_embedding_backfill", "WITH p AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id)-1 AS n FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)) SELECT (n // 32)::INT AS batch, count(*) AS n FROM p GROUP BY 1")
-def r6(spark, d):
-    """Pending texts in batches of 32; numbers are dealt within hash ranges, then shifted by the ranges before."""
-    docs = table(spark, d, "documents").select("doc_id")
-    pending = docs.join(table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_anti")
-    part = F.floor(F.col("doc_id") / 1000)
-    sizes = pending.groupBy(part.alias("part")).agg(count().alias("c"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("c")
-    inner = pending.withColumn("part", part).withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy("doc_id")) - 1)
-    numbered = inner.join(before, "part").select(F.floor((F.col("k") + F.col("before")) / 32).cast("int").alias("batch"))
-    return numbered.groupBy("batch").agg(count().alias("n"))
-
-
-@query("r10_current_view", "WITH f AS (SELECT md5(text) AS h, min(doc_id) AS canon FROM documents GROUP BY 1) SELECT d.doc_id, f.canon, EXISTS (SELECT 1 FROM labels l WHERE l.doc_id=d.doc_id AND l.toxic=1) AS disputed FROM documents d JOIN f ON md5(d.text)=f.h WHERE d.doc_id % 9 <> 0 AND d.doc_id=f.canon")
-def r10(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.md5("text").alias("h"))
-    canon = docs.groupBy("h").agg(F.min("doc_id").alias("canon"))
-    disputed = table(spark, d, "labels").filter("toxic = 1").select("doc_id", F.lit(True).alias("_d")).distinct()
-    shown = docs.filter("doc_id % 9 <> 0").join(canon, "h").filter("doc_id = canon").join(disputed, "doc_id", "left")
-    return shown.select("doc_id", "canon", F.coalesce("_d", F.lit(False)).alias("disputed"))
-
-
-@query("d7_response_validation", "SELECT CASE WHEN event_type NOT IN ('view','click','purchase') THEN 'unknown label' WHEN value IS NULL OR value<0 OR value>100 THEN 'out of range' ELSE 'valid' END AS verdict, count(*) AS n FROM events GROUP BY 1")
-def d7(spark, d):
-    e = table(spark, d, "events")
-    verdict = F.when(~F.col("event_type").isin("view", "click", "purchase"), "unknown label").when(F.col("value").isNull() | ~F.col("value").between(0, 100), "out of range").otherwise("valid")
-    return e.groupBy(verdict.alias("verdict")).agg(count().alias("n"))
-
-
-@query("d20_ledger_validation", "SELECT l.doc_id, CASE WHEN d.doc_id IS NULL THEN 'no source' WHEN quality NOT IN (0,1) THEN 'bad value' ELSE 'sound' END AS state FROM labels l LEFT JOIN documents d ON d.doc_id=l.doc_id AND d.n_chars>1000")
-def d20(spark, d):
-    long = table(spark, d, "documents").filter("n_chars > 1000").select("doc_id", F.lit(1).alias("_d"))
-    state = F.when(F.col("_d").isNull(), "no source").when(~F.col("quality").isin(0, 1), "bad value").otherwise("sound")
-    return table(spark, d, "labels").join(long, "doc_id", "left").select("doc_id", state.alias("state"))
-
-
 @query("x7_pending_captures", "SELECT count(*) AS pending FROM (SELECT DISTINCT md5(text) AS h FROM conversations WHERE turn > 0 AND md5(text) NOT IN (SELECT md5(text) FROM conversations WHERE turn=0))")
 def x7(spark, d):
     c = table(spark, d, "conversations").select("turn", F.md5("text").alias("h"))
     return append_new(c.filter("turn = 0"), c.filter("turn > 0"), ["h"]).agg(count().alias("pending"))
 
 
-@query("x9_operation_page", "SELECT event_id, event_type FROM events WHERE contains(lower(event_type), 'p') AND (json_extract_string(props,'$.k'))::INT > 1 ORDER BY event_id LIMIT 10 OFFSET 20")
-def x9(spark, d):
-    e = table(spark, d, "events").filter(F.lower("event_type").contains("p") & (F.get_json_object("props", "$.k").cast("int") > 1))
-    return e.select("event_id", "event_type").orderBy("event_id").offset(20).limit(10)
-
-
 @query("x14_draft_recovery", "SELECT conv_id, turn, len(string_split(text, chr(10)))::INT AS parts, len(list_filter(string_split(text, chr(10)), lambda p: NOT ends_with(p, '.')))::INT AS interrupted FROM conversations")
 def x14(spark, d):
     parts = F.transform(F.split("text", "\n"), lambda p: F.struct(p.alias("text"), F.when(p.endswith("."), "done").otherwise("interrupted").alias("status")))
@@ -469,24 +319,6 @@ def x14(spark, d):
     return c.select("conv_id", "turn", F.size("p").alias("parts"), F.size(F.filter("p", lambda x: x["status"] == "interrupted")).alias("interrupted"))
 
 
-@query("x19_answer_thresholds", "SELECT CASE WHEN value>=90 THEN 'accept' WHEN value<=10 THEN 'refuse' ELSE 'ask again' END AS verdict, count(*) AS n FROM events GROUP BY 1")
-def x19(spark, d):
-    verdict = F.when(F.col("value") >= 90, "accept").when(F.col("value") <= 10, "refuse").otherwise("ask again")
-    return table(spark, d, "events").groupBy(verdict.alias("verdict")).agg(count().alias("n"))
-
-
-@query("x23_publishable", f"WITH {GRAPH} SELECT rel_type, count(*) FILTER (WHERE class<>'extracted') > 0 AS decided FROM edges GROUP BY 1")
-def x23(spark, d):
-    return G.edges(spark, d).groupBy("rel_type").agg((F.count_if(F.col("class") != "extracted") > 0).alias("decided"))
-
-
-@query("x31_catalog_recheck", "SELECT count(*) AS changed FROM part WHERE p_partkey % 17 = 0")
-def x31(spark, d):
-    again = table(spark, d, "part").select("p_partkey", "p_name")
-    staged = again.withColumn("p_name", F.when(F.col("p_partkey") % 17 == 0, F.concat("p_name", F.lit("!"))).otherwise(F.col("p_name")))
-    return staged.exceptAll(again).agg(count().alias("changed"))
-
-
 @query("j23_catalog_joins", "SELECT n_name, r_name, count(c_custkey) AS customers, count(s) AS suppliers FROM region JOIN nation ON r_regionkey=n_regionkey LEFT JOIN customer ON c_nationkey=n_nationkey LEFT JOIN (SELECT s_nationkey AS k, min(s_suppkey) AS s FROM supplier GROUP BY 1) ON k=n_nationkey GROUP BY 1,2")
 def j23(spark, d):
     n, r = table(spark, d, "nation"), table(spark, d, "region")

@@ -161,12 +161,6 @@ def a19(spark, d):
     return conv(spark, d).groupBy("conv_id").agg(F.array_sort(F.collect_set("role")).alias("roles"))
 
 
-@query("x18_timeline", "SELECT conv_id, string_agg(role||':'||length(text), ' ' ORDER BY turn) AS brief FROM conversations GROUP BY 1")
-def x18(spark, d):
-    item = F.struct("turn", F.concat_ws(":", "role", F.length("text")).alias("b"))
-    return conv(spark, d).groupBy("conv_id").agg(F.array_join(F.sort_array(F.collect_list(item))["b"], " ").alias("brief"))
-
-
 @query("x17_quote_check", "SELECT item_id, count(doc_id) AS sources FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY 1")
 def x17(spark, d):
     q = table(spark, d, "benchmark").select("item_id", F.col("text").alias("q"))

@@ -59,19 +59,6 @@ def e3m(spark, d):
     return table(spark, d, "documents").select("doc_id", X.headings(t).alias("headings"), X.links(t).alias("links"), X.inline_code(t).alias("code"))
 
 
-@query("e4_text_symbols", "SELECT 'docs/'||doc_id||'.txt' AS file, 'symbol' AS kind, doc_id||'.txt' AS name, len(string_split(text, chr(10)))::INT AS lines FROM documents")
-def e4(spark, d):
-    i = F.col("doc_id").cast("string")
-    return table(spark, d, "documents").select(
-        F.concat(F.lit("docs/"), i, F.lit(".txt")).alias("file"), F.lit("symbol").alias("kind"), F.concat(i, F.lit(".txt")).alias("name"), F.size(F.split("text", "\n")).alias("lines")
-    )
-
-
-@query("e14_embedding_input", "SELECT doc_id, length(lang||'::'||doc_id||chr(10)||text)::INT AS n FROM documents")
-def e14(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.length(F.concat_ws("\n", F.concat_ws("::", "lang", F.col("doc_id").cast("string")), "text")).alias("n"))
-
-
 @query("e18_fixed_slices", 'SELECT doc_id, s AS start, least(s+400, length(text))::INT AS "end", md5(substr(text, s+1, 400)) AS part FROM (SELECT doc_id, text, unnest(range(0, length(text), 400))::INT AS s FROM documents)')
 def e18(spark, d):
     return X.slices(table(spark, d, "documents"), "doc_id", "text", 400).withColumn("part", F.md5("part"))

@@ -160,7 +160,7 @@ def test_resolution_needs_uniqueness(spark):
 
 
 def test_js_numbers():
-    pairs = [(1.0, "1"), (0.1, "0.1"), (1e21, "1e+21"), (1e20, "100000000000000000000"), (1e-6, "0.000001"), (1e-7, "1e-7"), (1.5e-9, "1.5e-9"), (-0.0, "0"), (123456.789, "123456.789"), (-2.5, "-2.5"), (1.7976931348623157e308, "1.7976931348623157e+308"), (5e-324, "5e-324")]
+    pairs = [(1.0, "1"), (0.1, "0.1"), (1e21, "1e+21"), (1e20, "100000000000000000000"), (1e-6, "0.000001"), (1e-7, "1e-7"), (1.5e-9, "1.5e-9"), (-0.0, "0"), (123456.789, "123456.789"), (-2.5, "-2.5"), (float("nan"), "null"), (float("-inf"), "null"), (1.7976931348623157e308, "1.7976931348623157e+308"), (5e-324, "5e-324")]
     for x, text in pairs:
         assert campaign.js_number(x) == text
 
