@@ -4,6 +4,10 @@ Nodes: regions, nations (modules), customers, suppliers (symbols), parts, orders
 Edges: region contains nation, nation contains customer and supplier, customer calls order,
 order references part, supplier implements part. An edge's evidence class follows from its
 line items' return flags. Build 1 has the orders before ``CUT``, build 2 all of them.
+
+Both builds are derived once a session and stored, nodes by the table they come from, edges by build
+and relation type, so that readers open only the folders and columns they need, as readers of any
+published build do. ``derived_nodes`` and ``derived_edges`` are the derivation itself.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ids import deterministic_id, id_col
-from ..session import table
+from ..session import shared_dir, shared_path, table
 
 REPO, SNAPSHOT, BUILD = "star", "snap-1", "build-2"
 CUT = "1995-06-01"
@@ -32,7 +36,11 @@ def _qn(prefix: str, key: str) -> Column:
     return F.concat(F.lit(f"{prefix}::"), F.col(key).cast("string"))
 
 
-def nodes(spark: SparkSession, sf_dir: str, only: tuple[str, ...] = ("region", "nation", "customer", "supplier", "part", "orders")) -> DataFrame:
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders")
+TYPES = ("contains", "calls", "references", "implements")
+
+
+def derived_nodes(spark: SparkSession, sf_dir: str, only: tuple[str, ...] = TABLES) -> DataFrame:
     t = lambda name: table(spark, sf_dir, name)
     nation, region = t("nation"), t("region")
     home = nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey)
@@ -65,10 +73,10 @@ def nodes(spark: SparkSession, sf_dir: str, only: tuple[str, ...] = ("region", "
             t("orders"), "definition", cat(F.lit("order-"), col("o_orderkey").cast("string")), _qn("order", "o_orderkey"), cat(F.lit("crm/"), "o_orderpriority", F.lit("/orders.rs")),
         ),
     }
-    return reduce(DataFrame.unionAll, [parts[k]() for k in only])
+    return reduce(DataFrame.unionAll, [parts[k]().withColumn("origin", F.lit(k)) for k in only])
 
 
-def edges(spark: SparkSession, sf_dir: str, types: tuple[str, ...] = ("contains", "calls", "references", "implements"), build: int = 2) -> DataFrame:
+def derived_edges(spark: SparkSession, sf_dir: str, types: tuple[str, ...] = TYPES, build: int = 2) -> DataFrame:
     """rel_id, rel_type, from_id, to_id, class."""
     t = lambda name: table(spark, sf_dir, name)
     col = F.col
@@ -101,3 +109,35 @@ def edges(spark: SparkSession, sf_dir: str, types: tuple[str, ...] = ("contains"
             pairs = lines.groupBy(key, "l_partkey").agg(worst.alias("w"))
             out.append(rows(pairs, kind, entity_col(a, _qn(prefix, key)), entity_col("definition", _qn("part", "l_partkey")), label))
     return reduce(DataFrame.unionAll, out)
+
+
+#: Paths of stored builds by session and folder.
+_stored: dict[tuple[str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of both builds, written when it is first asked for."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    path = _stored.get(key)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path or shared_dir(spark)}/edges/_SUCCESS")
+    if path is None or not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        path = shared_path(spark, "star-builds")
+        derived_nodes(spark, sf_dir).write.partitionBy("origin").parquet(f"{path}/nodes")
+        both = [derived_edges(spark, sf_dir, build=b).withColumn("build", F.lit(b)) for b in (1, 2)]
+        both[0].unionAll(both[1]).write.partitionBy("build", "rel_type").parquet(f"{path}/edges")
+        _stored[key] = path
+    return path
+
+
+def nodes(spark: SparkSession, sf_dir: str, only: tuple[str, ...] = TABLES) -> DataFrame:
+    """entity_id, kind, name, qualified_name, file, name_fold, qn_fold."""
+    columns = "entity_id string, kind string, name string, qualified_name string, file string, name_fold string, qn_fold string"
+    rows = spark.read.schema(f"{columns}, origin string").parquet(f"{stored(spark, sf_dir)}/nodes")
+    return (rows if tuple(only) == TABLES else rows.filter(F.col("origin").isin(*only))).drop("origin")
+
+
+def edges(spark: SparkSession, sf_dir: str, types: tuple[str, ...] = TYPES, build: int = 2) -> DataFrame:
+    """rel_id, rel_type, from_id, to_id, class."""
+    rows = spark.read.schema("rel_id string, from_id string, to_id string, class string, build int, rel_type string").parquet(f"{stored(spark, sf_dir)}/edges")
+    rows = rows.filter(F.col("build") == build)
+    return (rows if tuple(types) == TYPES else rows.filter(F.col("rel_type").isin(*types))).select("rel_id", "rel_type", "from_id", "to_id", "class")
