@@ -116,7 +116,6 @@ def resolved_calls(found: DataFrame) -> DataFrame:
     wide = defs.groupBy("short").agg(F.count(F.lit(1)).alias("n"), F.min(F.concat_ws("::", "path", "name")).alias("wide")).filter("n = 1").drop("n")
     calls = found.filter("fact = 'call'").select("path", F.col("parent").alias("caller"), F.col("name").alias("short"), "local")
     joined = calls.join(near, ["path", "short"], "left").join(wide, "short", "left")
-    target = F.coalesce(F.concat_ws("::", "path", F.col("near")), F.when(~F.col("local"), F.col("wide")))
     target = F.when(F.col("near").isNotNull(), F.concat_ws("::", "path", "near")).otherwise(F.when(~F.col("local"), F.col("wide")))
     how = F.when(F.col("near").isNotNull(), "file").otherwise("global")
     return joined.select("path", "caller", target.alias("callee"), how.alias("how")).filter("callee IS NOT NULL").distinct()
