@@ -24,6 +24,32 @@ def area(path: Column) -> Column:
     return F.array_join(F.slice(parts, 1, F.least(F.lit(2), F.size(parts) - 1)), "/")
 
 
+def module_name(path: Column) -> Column:
+    """The last part of a path without its extension."""
+    return F.regexp_replace(F.substring_index(path, "/", -1), r"(?<=.)\.[^.]*$", "")
+
+
+def doc_number(path: Column) -> Column:
+    """``ADR-7`` or ``RFC-12`` of a numbered document (``docs/adr/0007-name.md``, ``rfcs/RFC-12.md``), else null."""
+    folder = F.regexp_extract(F.lower(path), r"(?:^|/)(adr|rfc)s?/(?:[^/]*/)*(?:adr|rfc)?[-_ ]?0*([0-9]+)[^/]*$", 1)
+    number = F.regexp_extract(F.lower(path), r"(?:^|/)(adr|rfc)s?/(?:[^/]*/)*(?:adr|rfc)?[-_ ]?0*([0-9]+)[^/]*$", 2)
+    return F.when(number != "", F.concat(F.upper(folder), F.lit("-"), number))
+
+
+def rfc3339(millis: Column) -> Column:
+    """Milliseconds of the epoch as an instant in UTC, to the millisecond; days and times by arithmetic, whatever the session's zone."""
+    day, left = F.floor(millis / 86_400_000), F.pmod(millis, F.lit(86_400_000))
+    date = F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), day.cast("int")), "yyyy-MM-dd")
+    pad = lambda x, n: F.lpad(F.floor(x).cast("string"), n, "0")
+    clock = F.concat(pad(left / 3_600_000, 2), F.lit(":"), pad(left / 60_000 % 60, 2), F.lit(":"), pad(left / 1000 % 60, 2), F.lit("."), pad(left % 1000, 3))
+    return F.concat(date, F.lit("T"), clock, F.lit("Z"))
+
+
+def token_estimate(text: Column) -> Column:
+    """Four characters a token, rounded up."""
+    return F.ceil(F.length(F.coalesce(text, F.lit(""))) / 4).cast("long")
+
+
 def is_doc(path: Column) -> Column:
     return F.lower(F.substring_index(path, ".", -1)).isin("md", "markdown", "mdx", "txt", "rst", "adoc") & path.contains(".")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import doc_number, module_name, rfc3339, token_estimate
 from ..operators import extract as X
 from ..operators import knowledge as K
 from ..operators import records as N
@@ -312,3 +313,24 @@ def j2(spark, d):
     entities = e.select(name.alias("entity_id"), F.col("vec_id").alias("text_sha256"))
     vectors = e.select(F.when(F.col("label") == 4, "other").otherwise("m").alias("model"), F.col("vec_id").alias("text_sha256"), F.col("embedding").alias("vec"))
     return V.nearest_in_build(members, entities, vectors, "m", list(e.filter("vec_id = 0").first().embedding), 15)
+
+
+PATHS = "p AS (SELECT p_partkey AS k, CASE p_partkey%5 WHEN 0 THEN 'docs/adr/000'||p_partkey||'-name.md' WHEN 1 THEN 'rfcs/RFC-'||p_partkey||'.md' WHEN 2 THEN 'src/adr/none.rs' WHEN 3 THEN '.hidden' ELSE 'notes/7.tar.gz' END AS path FROM part)"
+
+
+@query("fn_path_parts", f"WITH {PATHS} SELECT k, CASE k%5 WHEN 0 THEN '000'||k||'-name' WHEN 1 THEN 'RFC-'||k WHEN 2 THEN 'none' WHEN 3 THEN '.hidden' ELSE '7.tar' END AS module, CASE k%5 WHEN 0 THEN 'ADR-'||k WHEN 1 THEN 'RFC-'||k END AS number FROM p")
+def fn_paths(spark, d):
+    k = F.col("p_partkey").cast("string")
+    names = F.array(F.concat(F.lit("docs/adr/000"), k, F.lit("-name.md")), F.concat(F.lit("rfcs/RFC-"), k, F.lit(".md")), F.lit("src/adr/none.rs"), F.lit(".hidden"), F.lit("notes/7.tar.gz"))
+    path = F.element_at(names, (F.col("p_partkey") % 5 + 1).cast("int"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("k"), module_name(path).alias("module"), doc_number(path).alias("number"))
+
+
+@query("fn_rfc3339", "SELECT event_id, strftime(epoch_ms((event_id*86399999 - 50000000000)::BIGINT), '%Y-%m-%dT%H:%M:%S.')||lpad(((((event_id*86399999 - 50000000000) % 1000)+1000) % 1000)::VARCHAR, 3, '0')||'Z' AS shown FROM events")
+def fn_rfc3339(spark, d):
+    return table(spark, d, "events").select("event_id", rfc3339(F.col("event_id") * 86399999 - 50000000000).alias("shown"))
+
+
+@query("fn_token_estimate", "SELECT doc_id, ceil(length(text)/4)::BIGINT AS tokens FROM documents")
+def fn_tokens(spark, d):
+    return table(spark, d, "documents").select("doc_id", token_estimate(F.col("text")).alias("tokens"))

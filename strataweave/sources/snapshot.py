@@ -125,6 +125,20 @@ def receipt_generation(name: Column) -> Column:
     return F.when(name.rlike(r"^[^.]+\.json$"), 1).when((n != "") & (n != "1"), n.try_cast("int"))
 
 
+def receipts(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """Receipts below a folder of JSON files: ``id``, ``generation``, ``newest`` and their fields, which are named in ``schema``.
+
+    Files that aren't named like receipts are left out; of several generations of an id all are listed.
+    """
+    from pyspark.sql import Window
+
+    rows = spark.read.schema(schema).option("recursiveFileLookup", True).option("multiLine", True).json(root)
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1)
+    found = rows.select(F.regexp_extract(name, r"^([^.]+)", 1).alias("id"), receipt_generation(name).alias("generation"), F.struct(*rows.columns).alias("r"))
+    newest = F.col("generation") == F.max("generation").over(Window.partitionBy("id"))
+    return found.filter("generation IS NOT NULL").withColumn("newest", newest).select("id", "generation", "newest", *(F.col("r")[c].alias(c) for c in rows.columns if c != "id"))
+
+
 def parse_diff(lines: DataFrame) -> DataFrame:
     """(file, h_start, h_end): old-side ranges of the hunks of a unified diff (``pos``, ``line``).
 

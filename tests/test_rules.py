@@ -118,6 +118,23 @@ def test_inventory_stops_at_its_budgets(spark):
     assert tuple(snapshot.inventory(files, most_bytes=95).first()) == (9, 90, False, "bytes")
 
 
+def test_receipts_by_generation(spark, tmp_path):
+    (tmp_path / "journal-1").mkdir()
+    for name, n in (("ses_a.json", 1), ("ses_a.2.json", 2), ("ses_b.json", 3), ("ses_b.1.json", 4), ("notes.txt", 5)):
+        (tmp_path / "journal-1" / name).write_text('{"n": %d,\n "digest": "d%d"}' % (n, n))
+    rows = snapshot.receipts(spark, f"file://{tmp_path}", "n long, digest string").collect()
+    assert {(r.id, r.generation, r.newest, r.digest) for r in rows} == {("ses_a", 1, False, "d1"), ("ses_a", 2, True, "d2"), ("ses_b", 1, True, "d3")}
+
+
+def test_cursors_belong_to_a_build_entity_and_types(spark, small):
+    reader = GraphReader(*small, {"build_id": "b1"})
+    _, _, more = reader.neighbors("n2", limit=1)
+    assert more is not None and reader.neighbors("n2", cursor=more)[2] is None
+    for other in (lambda: reader.neighbors("n0", cursor=more), lambda: reader.neighbors("n2", ["calls"], more), lambda: GraphReader(*small, {"build_id": "b2"}).neighbors("n2", cursor=more)):
+        with pytest.raises(ValueError, match="another scope"):
+            other()
+
+
 def test_facts_are_all_or_nothing(spark):
     files = spark.createDataFrame([("f", "fn né() {}")], "file string, text string")
     schema = "fact_id int, file string, byte_start int, byte_end int, quoted string, rel_type string, from_kind string, to_kind string"
