@@ -123,6 +123,21 @@ def g11(spark, d):
     return L.communities(pairs.distinct())
 
 
+@query(
+    "g11_cliques",
+    """WITH c AS (SELECT c_custkey AS k, c_custkey//5 AS q FROM customer), e AS (SELECT a.q%7 AS g, a.q, a.k AS a, b.k AS b FROM c a JOIN c b ON a.q=b.q AND a.k<b.k),
+    n AS (SELECT DISTINCT g, q, unnest([a,b]) AS node FROM e), s AS (SELECT g, q, count(*) AS n, min(node) AS least FROM n GROUP BY 1,2), r AS (SELECT g, q, (row_number() OVER (PARTITION BY g ORDER BY n DESC, least) - 1)::INT AS community FROM s),
+    m AS (SELECT g, q, 2*count(*) AS mass FROM e GROUP BY 1,2), t AS (SELECT g, sum(mass) AS total FROM m GROUP BY 1), ql AS (SELECT g, round(sum(mass/total - pow(mass/total,2)),6) AS quality FROM m JOIN t USING (g) GROUP BY 1)
+    SELECT n.g, node, community, quality FROM n JOIN r USING (g,q) JOIN ql ON ql.g=n.g""",
+)
+def g11c(spark, d):
+    """Complete groups of five customers, without edges between groups: each is a community."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.expr("c_custkey div 5").alias("q"))
+    a, b = c.select("q", F.col("k").alias("a")), c.select("q", F.col("k").alias("b"))
+    edges = a.join(b, "q").filter("a < b").select((F.col("q") % 7).alias("g"), "a", "b")
+    return L.communities(edges).withColumn("quality", F.round("quality", 6))
+
+
 _VOTE = "l{0} AS (SELECT a AS node, label FROM (SELECT e.a, l.label, row_number() OVER (PARTITION BY e.a ORDER BY count(*) DESC, l.label) AS k FROM e JOIN l{1} l ON l.node=e.b GROUP BY e.a, l.label) WHERE k=1)"
 
 

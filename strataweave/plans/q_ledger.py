@@ -82,7 +82,7 @@ def st4(spark, d):
     return ledger.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"))
 
 
-@query("st_stream_sessions")
+@query("st_stream_sessions", "WITH o AS (SELECT user_id, event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nt FROM events WHERE event_type IN ('signup','purchase')), p AS (SELECT user_id, count(*) FILTER (WHERE event_type='signup') AS begun, count(*) FILTER (WHERE event_type='signup' AND nt='purchase') AS settled FROM o GROUP BY 1) SELECT u.user_id, coalesce(begun,0) AS begun, coalesce(settled,0) AS settled FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN p USING (user_id)")
 def st5(spark, d):
     return P.run_invocations(spark, d)
 

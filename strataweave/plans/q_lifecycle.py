@@ -239,7 +239,13 @@ def d3(spark, d):
     return o.select("o_orderkey", F.concat(F.lit("reuse:"), sha_col("v1", F.col("o_custkey"), F.col("o_orderpriority"))).alias("reuse_key"))
 
 
-@query("d11_lifecycle")
+@query(
+    "d11_lifecycle",
+    """WITH e AS (SELECT user_id AS scope, event_id % 11 AS item, event_id AS seq, ['admit','admit','contradict','supersede','withhold'][event_id % 5 + 1] AS action, (event_id*3) % 11 AS target FROM events),
+    x AS (SELECT scope, item AS x, seq, 0 AS sub, CASE action WHEN 'withhold' THEN 'withheld' WHEN 'contradict' THEN 'disputed' ELSE 'admitted' END AS s, action='supersede' AS hard FROM e
+    UNION ALL SELECT scope, target, seq, 1, CASE action WHEN 'supersede' THEN 'superseded' ELSE 'disputed' END, action='supersede' FROM e WHERE action IN ('supersede','contradict'))
+    SELECT scope, x AS item, CASE WHEN arg_max(s, row(seq,sub)) FILTER (WHERE hard)='superseded' THEN 'superseded' ELSE arg_max(s, row(seq,sub)) END AS status FROM x GROUP BY 1,2""",
+)
 def d11(spark, d):
     actions = F.expr("element_at(array('admit','admit','contradict','supersede','withhold'), cast(event_id % 5 + 1 AS int))")
     e = table(spark, d, "events").select(F.col("user_id").alias("scope"), (F.col("event_id") % 11).alias("item"), F.col("event_id").alias("seq"), actions.alias("action"), ((F.col("event_id") * 3) % 11).alias("target"))

@@ -90,7 +90,7 @@ def d16(spark, d):
     return K.kept_for_continuation(m.withColumn("has_tool", F.col("text").contains("th"))).groupBy("conv_id").agg(F.count(F.lit(1)).alias("kept"))
 
 
-@query("w7_greedy_chunks")
+@query("w7_greedy_chunks", "WITH RECURSIVE o AS (SELECT conv_id, turn, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations), f(conv_id, turn, i, used, chunk) AS (SELECT conv_id, turn, i, n, 0 FROM o WHERE i=1 UNION ALL SELECT o.conv_id, o.turn, o.i, CASE WHEN f.used>0 AND f.used+o.n>1500 THEN o.n ELSE f.used+o.n END, f.chunk + CASE WHEN f.used>0 AND f.used+o.n>1500 THEN 1 ELSE 0 END FROM f JOIN o ON o.conv_id=f.conv_id AND o.i=f.i+1) SELECT conv_id, turn, chunk::INT AS chunk FROM f")
 def w7(spark, d):
     return K.greedy_chunks(conv(spark, d).withColumn("n", F.length("text")), "conv_id", "turn", "n", 1500)
 
@@ -184,7 +184,7 @@ def j27(spark, d):
     return a.join(b, ["conv_id", "turn"], "left")
 
 
-@query("fn_js_numbers")
+@query("fn_js_numbers", "SELECT event_id, regexp_replace(value::VARCHAR, '\\.0$', '') AS shown FROM events")
 def a28(spark, d):
     return table(spark, d, "events").select("event_id", C.js_number_col(F.col("value")).alias("shown"))
 
