@@ -258,6 +258,21 @@ def test_near_duplicates_far_signatures(spark):
     assert all(r.component_id == r.doc_id - r.doc_id % 2 for r in got.collect())
 
 
+def test_near_duplicates_recall_at_the_threshold(spark):
+    """300 pairs at exactly 0.85 (340 of 400 shingles), and 300 right below it (339 of 401): all and none are linked."""
+    rows = []
+    for pair in range(600):
+        first = [f"w{pair}x{i}" for i in range(374)]
+        second = list(first)
+        for k in range(6):
+            second[30 + 60 * k] = f"v{pair}x{k}"
+        if pair >= 300:
+            second[-1] = "other"
+        rows += [(2 * pair, " ".join(first)), (2 * pair + 1, " ".join(second))]
+    got = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).filter("component_id <> doc_id").collect()
+    assert {r.doc_id for r in got} == {2 * pair + 1 for pair in range(300)}
+
+
 def test_near_duplicates_loss():
     """What is lost at the threshold, by signatures that meet nowhere and by those that are too far."""
     for threshold in (80, 85):
