@@ -283,16 +283,14 @@ def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
     schema = "key long, s1 long, s2 long, doc_id long, back long, words binary, right int, left int, check long"
     groups, windows_alone = [], []
     rest = dealt.select("*", F.lit(gram).alias("right"), F.lit(0).alias("left"))
-    while True:
-        size = rest.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).filter("x < y")
-        size = settle(size, "sub-sizes")
-        groups.append(rest.join(size.filter(F.col("m") <= GROUP).select("key"), "key", "left_semi"))
-        many = size.filter(F.col("m") > GROUP).select("key")
-        if not many.take(1):
-            break
+    many = settle(prefix.filter(F.col("m") > GROUP).select("key"), "sub-many")
+    while many.take(1):
+        groups.append(rest.join(many, "key", "left_anti"))
         longer = settle(rest.join(many, "key", "left_semi").mapInArrow(_lengthened(window), schema), "sub-longer")
         windows_alone.append(longer.filter(F.col("right") + F.col("left") == window))
         rest = longer.filter(F.col("right") + F.col("left") < window).drop("check")
+        many = settle(rest.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > GROUP).select("key"), "sub-many")
+    groups.append(rest)
     columns = ["key", "s1", "s2", "doc_id", "back", "words"]
     few = reduce(DataFrame.unionAll, [g.select(*columns) for g in groups])
     shared = few.repartition("key").sortWithinPartitions("key").mapInArrow(_trees(window), "key long, s1 long, s2 long, a long, z long").select("s1", "s2", "a", "z")
