@@ -6,6 +6,7 @@ sketch in SQL: shingles are compared as texts.
 
 from __future__ import annotations
 
+from .lines import LEAST_CHARS, LEAST_DOCS
 from .quality import BUCKETS, PRIOR, SMOOTH, THRESHOLD, TRUSTED_ROWS, UNIT
 from .quotes import ATTRIBUTION, MARK
 
@@ -103,6 +104,13 @@ sw AS (SELECT DISTINCT len(w) AS k FROM b WHERE len(w) BETWEEN 1 AND 4),
 ds AS (SELECT DISTINCT doc_id, unnest({_shingles("w")}) AS s FROM d UNION SELECT doc_id, unnest(list_transform(range(1, len(w)-k+2), lambda i: array_to_string(w[i:i+k-1],' '))) FROM d, sw WHERE len(w)>k), bs AS (SELECT DISTINCT item_id, unnest({_shingles("w")}) AS s FROM b), n AS (SELECT item_id, count(*) AS n FROM bs GROUP BY 1)
 SELECT doc_id, item_id, n AS n_item_shingles, count(*) AS n_shared, count(*)/n AS containment FROM ds JOIN bs USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id, n HAVING 100*count(*) >= 80*n"""
 
+_BARE = "trim(line, ' '||chr(9)||chr(10)||chr(11)||chr(12)||chr(13))"
+OP13 = f"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text,''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text,''), chr(10)), 1) AS p FROM documents),
+k AS (SELECT *, {_low(_BARE)} AS key FROM l),
+f AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key)>={LEAST_CHARS} GROUP BY 1 HAVING count(DISTINCT doc_id)>={LEAST_DOCS}),
+m AS (SELECT k.*, coalesce(doc_id<f.last, FALSE) AS gone FROM k LEFT JOIN f ON f.key=k.key)
+SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (WHERE gone))::BIGINT AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id"""
+
 SQL: dict[str, str] = {
     "op1_substring": OP1,
     "op3_near_duplicates": OP3,
@@ -110,4 +118,5 @@ SQL: dict[str, str] = {
     "op5_warc": OP5,
     "op7_quotes": OP7,
     "op10_decontaminate": OP10,
+    "op13_line_dedup": OP13,
 }

@@ -19,6 +19,8 @@ MODULES = {
     "op8_toxicity": "toxicity",
     "op9_bpe": "bpe",
     "op10_decontaminate": "decontaminate",
+    "op11_periodic_runs": "periodic",
+    "op13_line_dedup": "lines",
 }
 
 
