@@ -104,6 +104,13 @@ sw AS (SELECT DISTINCT len(w) AS k FROM b WHERE len(w) BETWEEN 1 AND 4),
 ds AS (SELECT DISTINCT doc_id, unnest({_shingles("w")}) AS s FROM d UNION SELECT doc_id, unnest(list_transform(range(1, len(w)-k+2), lambda i: array_to_string(w[i:i+k-1],' '))) FROM d, sw WHERE len(w)>k), bs AS (SELECT DISTINCT item_id, unnest({_shingles("w")}) AS s FROM b), n AS (SELECT item_id, count(*) AS n FROM bs GROUP BY 1)
 SELECT doc_id, item_id, n AS n_item_shingles, count(*) AS n_shared, count(*)/n AS containment FROM ds JOIN bs USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id, n HAVING 100*count(*) >= 80*n"""
 
+OP12 = """WITH v AS (SELECT vec_id, CASE WHEN vec_id%7=0 THEN (label+1)%10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256*x::DOUBLE)) AS v FROM embeddings
+WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x)))=0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label=b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score FROM v a JOIN v b ON a.vec_id%50=0 AND a.vec_id<>b.vec_id),
+p AS (SELECT a, b AS p, score AS ps FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5),
+n AS (SELECT p.a, p, ps, s.b AS n, s.score AS ns, row_number() OVER (PARTITION BY p.a, p ORDER BY s.score DESC, s.b) AS k FROM p JOIN s ON s.a=p.a AND NOT same AND 50*ps<=100*s.score AND 100*s.score<=95*ps)
+SELECT a AS anchor_id, p AS positive_id, k::INT AS rank, n AS negative_id, ps AS positive_score, ns AS negative_score FROM n WHERE k<=3"""
+
 _BARE = "trim(line, ' '||chr(9)||chr(10)||chr(11)||chr(12)||chr(13))"
 OP13 = f"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text,''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text,''), chr(10)), 1) AS p FROM documents),
 k AS (SELECT *, {_low(_BARE)} AS key FROM l),
@@ -118,5 +125,6 @@ SQL: dict[str, str] = {
     "op5_warc": OP5,
     "op7_quotes": OP7,
     "op10_decontaminate": OP10,
+    "op12_hard_negatives": OP12,
     "op13_line_dedup": OP13,
 }

@@ -20,6 +20,7 @@ MODULES = {
     "op9_bpe": "bpe",
     "op10_decontaminate": "decontaminate",
     "op11_periodic_runs": "periodic",
+    "op12_hard_negatives": "negatives",
     "op13_line_dedup": "lines",
 }
 
