@@ -19,7 +19,7 @@ are fitted, so what every task gets of them is bounded by ``LISTS`` vectors. The
 once a round; requests carry the anchor's vector to each block.
 
 Rows with a null id or label, a null vector, or any null or non-finite component take no part. Rows
-that share an id are one row: that of the smallest label, then vector. Of vectors of different
+that share an id are one row: that of the smallest label, then of the smallest bytes of the packed vector. Of vectors of different
 lengths, the shorter count as padded with zeros. Scaled components over 2^31 or products over
 64 bits are an error. Other columns are ignored; an empty table gives no rows.
 """
@@ -306,7 +306,8 @@ def hard_negatives(rows: DataFrame, anchors: DataFrame, positives: int = POSITIV
     every = chosen.withColumns({"low": F.array(F.lit(-WIDE).cast("long")), "high": F.array(F.lit(WIDE).cast("long"))})
     near = search(index, every, positives, True).select("anchor_id", (F.col("rank") - 1).cast("long").alias("number"), F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score"))
     # A negative product's window is empty; the others' ends are rounded inwards.
-    window = F.struct("number", F.expr(f"({low} * positive_score + 99) div 100").alias("low"), F.expr(f"({high} * positive_score) div 100").alias("high"))
+    part = lambda share, more: F.expr(f"{share} * (positive_score div 100) + ({share} * (positive_score % 100) + {more}) div 100")
+    window = F.struct("number", part(low, 99).alias("low"), part(high, 0).alias("high"))
     windows = near.filter("positive_score >= 0").groupBy(F.col("anchor_id").alias("id")).agg(F.sort_array(F.collect_list(window)).alias("w"))
     asked = chosen.join(windows, "id").withColumns({"low": F.col("w.low"), "high": F.col("w.high")}).drop("w")
     found = search(index, asked, negatives, False)
