@@ -37,6 +37,8 @@ from .decontaminate import sized
 LEAST_CHARS, LEAST_DOCS = 40, 5
 #: Batches that a table is dealt into, and runs on a level before they are compacted.
 BATCHES, FANOUT = 6, 3
+#: Lines of a batch for each bucket of its run.
+BUCKET_LINES = 1 << 19
 KEY = ["k1", "k2"]
 
 
@@ -58,9 +60,10 @@ def keyed_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
 class LineRuns:
     """The levels: ``add`` takes a batch in, ``found`` tells the keys that enough documents hold."""
 
-    def __init__(self, spark: SparkSession, least_docs: int = LEAST_DOCS, fanout: int = FANOUT):
+    def __init__(self, spark: SparkSession, expected: int, least_docs: int = LEAST_DOCS, fanout: int = FANOUT):
+        """``expected``: about how many lines a batch has, which sizes the buckets and nothing else."""
         self.spark, self.least_docs, self.fanout = spark, least_docs, fanout
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = max(2, -(-expected // BUCKET_LINES))
         self.levels: list[list[str]] = [[]]
         self.batches: set[str] = set()
         self._paths: dict[str, str] = {}
@@ -84,14 +87,14 @@ class LineRuns:
     def merged(self, names: list[str]) -> DataFrame:
         """One row a key. Runs are read as plain files: Spark 4.1 takes a union of bucketed tables for dealt out by key, but doesn't keep their buckets together."""
         every = reduce(DataFrame.unionAll, [self.spark.read.schema(self.spark.table(name).schema).parquet(self._paths[name]) for name in names])
-        return every.groupBy(*KEY).agg(F.sum("n").alias("n"), F.max("last").alias("last"))
+        return every.groupBy(*KEY).agg(F.sum("n").alias("n"), F.max("last").alias("last")).repartition(self.buckets, *KEY)
 
     def add(self, lines: DataFrame, batch: str) -> None:
         """``lines``: doc_id, k1, k2. A batch of a name that was added before is ignored; a document belongs to one batch."""
         if batch in self.batches:
             return
         held = lines.groupBy(*KEY, "doc_id").agg(F.lit(1).alias("one"))
-        keys = held.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last"))
+        keys = held.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last")).repartition(self.buckets, *KEY)
         for name in self.runs():
             enough = self.spark.table(name).filter(F.col("n") >= self.least_docs).select(F.col("k1").alias("r1"), F.col("k2").alias("r2"), F.col("last").alias("seen"))
             keys = keys.join(enough.hint("merge"), (F.col("k1") == F.col("r1")) & (F.col("k2") == F.col("r2")) & (F.col("last") <= F.col("seen")), "left_anti")
@@ -123,7 +126,7 @@ def repeated_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs:
     path, schema = shared_path(spark, "line-keys"), dealt.schema
     dealt.hint("rebalance", "batch").write.partitionBy("batch").parquet(path)
     lines = spark.read.schema(schema).parquet(path)
-    runs = LineRuns(spark, least_docs, fanout)
+    runs = LineRuns(spark, lines.count() // batches, least_docs, fanout)
     for batch in range(batches):
         runs.add(lines.filter(F.col("batch") == batch), str(batch))
     found = settle(runs.found().select(*KEY, "last"), "line-found")

@@ -60,7 +60,7 @@ def test_line_dedup_of_nothing(spark):
 
 
 def test_runs_stay_few_and_frequent_keys_stop_to_grow_them(spark):
-    runs = lines.LineRuns(spark, least_docs=3, fanout=2)
+    runs = lines.LineRuns(spark, 10, least_docs=3, fanout=2)
     for b in range(7):
         batch = spark.range(10 * b, 10 * b + 10).selectExpr("id AS doc_id", "IF(id % 2 = 0, 1, id) AS k1", "0L AS k2")
         runs.add(batch, str(b))
