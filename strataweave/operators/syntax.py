@@ -128,101 +128,3 @@ def annotated(found: DataFrame, notes: DataFrame) -> DataFrame:
     best = Window.partitionBy("path", "line", "note").orderBy((F.col("start_line") == F.col("line") + 1).desc(), F.desc("start_line"))
     first = near.withColumn("_n", F.row_number().over(best)).filter("_n = 1").select("path", "line", "note", "name")
     return notes.join(first, ["path", "line", "note"], "left").select("path", "line", "note", F.coalesce("name", "path").alias("target"))
-
-
-# --- code index files: a small reader of the public protobuf layout -------------------------------------------
-
-
-def _fields(data: bytes) -> Iterator[tuple[int, object]]:
-    """(field number, value) of a protobuf message: integers, or bytes of length-delimited fields."""
-
-    def varint(at: int) -> tuple[int, int]:
-        value = shift = 0
-        while True:
-            b = data[at]
-            value |= (b & 127) << shift
-            at, shift = at + 1, shift + 7
-            if b < 128:
-                return value, at
-
-    at = 0
-    while at < len(data):
-        key, at = varint(at)
-        kind = key & 7
-        if kind == 0:
-            value, at = varint(at)
-        elif kind == 2:
-            n, at = varint(at)
-            value, at = data[at : at + n], at + n
-        elif kind in (1, 5):
-            n = 8 if kind == 1 else 4
-            value, at = data[at : at + n], at + n
-        else:
-            raise ValueError(f"wire type {kind}")
-        yield key >> 3, value
-
-
-def _packed(data: bytes) -> list[int]:
-    out, value, shift = [], 0, 0
-    for b in data:
-        value |= (b & 127) << shift
-        shift += 7
-        if b < 128:
-            out.append(value)
-            value = shift = 0
-    return out
-
-
-OCCURRENCE = "path string, symbol string, start_line int, start_char int, end_line int, end_char int, definition boolean"
-
-
-def occurrences(content: bytes) -> list[tuple]:
-    """Occurrences of an index file: documents are field 2 of the index; path 1 and occurrences 2 of a document; range 1, symbol 2, roles 3 of an occurrence."""
-    out = []
-    for number, document in _fields(content):
-        if number != 2:
-            continue
-        parts = list(_fields(document))
-        path = next((v.decode() for n, v in parts if n == 1), "")
-        for n, body in parts:
-            if n == 2:
-                f = dict(_fields(body))
-                r = _packed(f.get(1, b""))
-                if len(r) in (3, 4):
-                    end = (r[0], r[2]) if len(r) == 3 else (r[2], r[3])
-                    out.append((path, f.get(2, b"").decode(), r[0], r[1], *end, bool(f.get(3, 0) & 1)))
-    return out
-
-
-def index_occurrences(files: DataFrame) -> DataFrame:
-    """Rows of every occurrence in index files (``content`` binary)."""
-
-    def run(batches: Iterator) -> Iterator:
-        import pandas as pd
-
-        names = [x.split()[0] for x in OCCURRENCE.split(", ")]
-        for pdf in batches:
-            yield pd.DataFrame([o for c in pdf["content"] for o in occurrences(bytes(c))], columns=names)
-
-    return files.select("content").mapInPandas(run, OCCURRENCE)
-
-
-def resolved_symbols(found: DataFrame) -> DataFrame:
-    """References with what defines their symbol: resolved, ambiguous (several definitions) or unresolved."""
-    defs = found.filter("definition").groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("path", "start_line")).alias("d"))
-    refs = found.filter("NOT definition").join(defs, "symbol", "left")
-    status = F.when(F.col("n").isNull(), "unresolved").when(F.col("n") == 1, "resolved").otherwise("ambiguous")
-    return refs.select("path", "start_line", "symbol", status.alias("status"), F.when(F.col("n") == 1, F.col("d")).alias("target"))
-
-
-def char_column(line: str, units: int, encoding: str) -> int | None:
-    """The character offset of a position counted in utf8, utf16 or utf32 units; null inside a character."""
-    if encoding == "utf32":
-        return units if units <= len(line) else None
-    width = (lambda c: len(c.encode())) if encoding == "utf8" else (lambda c: 2 if ord(c) > 0xFFFF else 1)
-    seen = 0
-    for i, c in enumerate(line):
-        if seen == units:
-            return i
-        seen += width(c)
-    return len(line) if seen == units else None

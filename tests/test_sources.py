@@ -62,29 +62,6 @@ def test_syntax(spark):
     assert {(r.path, r.line): r.target for r in syntax.annotated(found, notes).collect()} == {("a.py", 11): "helper", ("a.py", 6): "A.go", ("z.py", 1): "z.py"}
 
 
-def message(*fields):
-    def varint(n):
-        out = b""
-        while n > 127:
-            out, n = out + bytes([n & 127 | 128]), n >> 7
-        return out + bytes([n])
-
-    return b"".join(varint(k << 3) + varint(v) if isinstance(v, int) else varint(k << 3 | 2) + varint(len(v)) + v for k, v in fields)
-
-
-def test_index_file(spark):
-    define = message((1, bytes([3, 4, 9])), (2, b"sym A"), (3, 1))
-    refer = message((1, bytes([7, 0, 8, 2])), (2, b"sym A"))
-    lost = message((1, bytes([9, 0, 2])), (2, b"sym B"))
-    index = message((2, message((1, b"a.rs"), (2, define))), (2, message((1, b"b.rs"), (2, refer), (2, lost))))
-    found = syntax.index_occurrences(spark.createDataFrame([(bytearray(index),)], "content binary"))
-    assert found.count() == 3
-    got = {r.symbol: (r.status, r.target and r.target.path) for r in syntax.resolved_symbols(found).collect()}
-    assert got == {"sym A": ("resolved", "a.rs"), "sym B": ("unresolved", None)}
-    assert [syntax.char_column("a😀b", n, "utf16") for n in (0, 1, 2, 3, 4)] == [0, 1, None, 2, 3]
-    assert syntax.char_column("é!", 2, "utf8") == 1 and syntax.char_column("é!", 2, "utf32") == 2
-
-
 def test_lifecycle(spark):
     rows = [(1, 1, 1, "admit", None), (1, 2, 2, "admit", None), (1, 3, 3, "supersede", 1), (1, 2, 4, "contradict", 3), (1, 1, 5, "admit", None), (2, 1, 1, "reject", None)]
     got = lifecycle.lifecycle(spark.createDataFrame(rows, "scope long, item long, seq long, action string, target long"))
