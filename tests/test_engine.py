@@ -96,7 +96,13 @@ def modularity(edges, label, gamma=1.0):
     return inside / total - gamma * sum((m / total) ** 2 for m in mass.values())
 
 
-def test_leiden_bridged_cliques(spark):
+@pytest.fixture(params=[leiden.LOCAL_EDGES, 0], ids=["tasks", "joins"])
+def local_edges(request, monkeypatch):
+    monkeypatch.setattr(leiden, "LOCAL_EDGES", request.param)
+    return request.param
+
+
+def test_leiden_bridged_cliques(spark, local_edges):
     """Two cliques and a lone vertex, in two graphs at once, in either order, for two resolutions."""
     rows = [(g, a, b) for g in ("x", "y") for a, b in cliques()]
     alone = spark.createDataFrame([("x", 10), ("x", 3)], "g string, node int")
@@ -107,7 +113,26 @@ def test_leiden_bridged_cliques(spark):
     assert labels_of(leiden.communities(turned, 2.0, alone)) == want
 
 
-def test_leiden_against_brute_force(spark):
+def some_graph(seed, n):
+    rng = random.Random(seed)
+    return [(i, j) for i in range(n) for j in range(i) if rng.random() < 3 / n]
+
+
+def test_leiden_of_one_graph_beside_others(spark, monkeypatch):
+    """A graph's labels and quality are its own, by either way and with both ways in one call."""
+    graphs = {f"g{k}": some_graph(k, 12 + 6 * k) for k in range(3)}
+    frame = lambda names: spark.createDataFrame([(g, *e) for g in names for e in graphs[g]], "g string, a int, b int")
+    rows = lambda df, g: {(r.node, r.community, r.quality) for r in df.filter(f"g = '{g}'").collect()}
+    alone = rows(leiden.communities(frame(["g1"])), "g1")
+    monkeypatch.setattr(leiden, "LOCAL_EDGES", 2 * len(graphs["g1"]))
+    mixed = leiden.communities(frame(graphs)).cache()
+    assert rows(mixed, "g1") == alone
+    monkeypatch.setattr(leiden, "LOCAL_EDGES", 0)
+    beside = leiden.communities(frame(["g1", "g2"]))
+    assert rows(beside, "g2") == rows(mixed, "g2")
+
+
+def test_leiden_against_brute_force(spark, local_edges):
     """Planted groups: a quality that no other partition into their unions or parts exceeds, communities connected."""
     rng = random.Random(4)
     home = {i: i % 4 for i in range(32)}
@@ -129,7 +154,7 @@ def test_leiden_against_brute_force(spark):
         assert reached == inside
 
 
-def test_leiden_empty(spark):
+def test_leiden_empty(spark, local_edges):
     assert leiden.communities(spark.createDataFrame([], "g string, a int, b int")).count() == 0
 
 
