@@ -1,24 +1,17 @@
-"""Declarations, calls, heritage and imports of source files, with a coverage row for each file.
+"""Declarations, calls, heritage and imports of Python files, with a coverage row for each file, and what joins do with such facts.
 
-Python files are parsed; a file that doesn't parse yields no facts. Rust and TypeScript files
-are scanned for a declared subset (declarations at brace depth, calls by name), which the
-coverage status calls heuristic.
+A file that doesn't parse yields no facts. ``declarations`` has Rust, TypeScript and Nix.
 """
 
 from __future__ import annotations
 
 import ast
-import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 FACT = "path string, fact string, name string, parent string, start_line int, end_line int, local boolean"
-_RUST = re.compile(r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|unsafe\s+|const\s+)*(fn|struct|enum|trait|mod|impl)\s+(?:<[^>]*>\s*)?([\w:]+)(?:\s+for\s+(\w+))?")
-_TS = re.compile(r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?(?:async\s+)?(function|class|interface|enum|type)\s+(\w+)(?:\s+(?:extends|implements)\s+([\w, ]+))?")
-_CALL = re.compile(r"(?<![\w.])((?:self|this)\.)?([A-Za-z_]\w*)\s*\(")
-_WORDS = frozenset("if for while match switch return fn function catch loop async await new sizeof typeof in as let const super assert".split())
 
 
 def python_facts(path: str, text: str) -> list[tuple]:
@@ -47,36 +40,6 @@ def python_facts(path: str, text: str) -> list[tuple]:
     return out
 
 
-def scanned_facts(path: str, text: str, pattern: re.Pattern) -> list[tuple]:
-    """Declarations and calls by line; a declaration ends where its braces close."""
-    clean = re.sub(r"/\*.*?\*/", lambda m: "\n" * m[0].count("\n"), text, flags=re.S)
-    clean = re.sub(r"//[^\n]*|\"(?:\\.|[^\"\\\n])*\"", "", clean)
-    out: list[tuple] = []
-    stack: list[tuple[int, int]] = []  # depth outside, place in out
-    depth = 0
-    lines = clean.split("\n")
-    for number, line in enumerate(lines, 1):
-        inside = out[stack[-1][1]][2] if stack else None
-        m = pattern.match(line)
-        if m:
-            name = f"{inside}.{m[2]}" if inside else m[2]
-            if m[3]:
-                out += [(path, "implements" if m[1] == "impl" else "inherits", x.strip(), name, number, number, False) for x in m[3].split(",")]
-            out.append((path, "declaration", name, inside, number, number, False))
-            if "{" in line[m.end() :] or (number < len(lines) and not line.rstrip().endswith(";")):
-                stack.append((depth, len(out) - 1))
-        for call in _CALL.finditer(line):
-            if call[2] not in _WORDS and not (m and call[2] == m[2]):
-                out.append((path, "call", call[2], out[stack[-1][1]][2] if stack else None, number, number, bool(call[1])))
-        opened = "{" in line
-        depth += line.count("{") - line.count("}")
-        while stack and depth <= stack[-1][0] and ("}" in line or opened or line.rstrip().endswith(";")):
-            _, place = stack.pop()
-            row = out[place]
-            out[place] = (*row[:5], number, row[6])
-    return out
-
-
 def facts_of(path: str, text: str) -> tuple[list[tuple], str]:
     ext = path.rsplit(".", 1)[-1].lower()
     if ext == "py":
@@ -84,10 +47,6 @@ def facts_of(path: str, text: str) -> tuple[list[tuple], str]:
             return python_facts(path, text), "parsed"
         except (SyntaxError, ValueError, RecursionError):
             return [], "parse_error"
-    if ext == "rs":
-        return scanned_facts(path, text, _RUST), "heuristic"
-    if ext in ("ts", "tsx", "mts", "cts"):
-        return scanned_facts(path, text, _TS), "heuristic"
     return [], "unsupported"
 
 
