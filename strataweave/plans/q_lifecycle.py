@@ -210,13 +210,6 @@ def r8(spark, d):
     return scored.filter("cosine >= 0.3").orderBy(F.desc("cosine"), "vec_id")
 
 
-@query("r11_interleave", "WITH l AS (SELECT lang, doc_id, length(text) AS n, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS p FROM documents QUALIFY p<=8), u AS (SELECT *, sum(n) OVER (ORDER BY p, lang ROWS UNBOUNDED PRECEDING) AS used FROM l) SELECT lang, doc_id, used::BIGINT AS used FROM u WHERE used<=30000")
-def r11(spark, d):
-    docs = table(spark, d, "documents").select("lang", "doc_id", F.length("text").alias("n"))
-    top = docs.withColumn("p", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id"))).filter("p <= 8")
-    return V.interleave(top, "lang", "p", "n", 30000).select("lang", "doc_id", "used")
-
-
 @query("r12_provider_evidence", "SELECT conv_id, list(turn ORDER BY turn)[1:3] AS first, list_reverse(list(turn ORDER BY turn))[1:2] AS latest, greatest(count(*)-3,0)::INT AS omitted FROM conversations GROUP BY 1")
 def r12(spark, d):
     t = F.array_sort(F.collect_list("turn"))
