@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from ..operators import ledger as L
-from ..session import table
+from ..session import shared_path, table
+from ..streaming import leases as S
+from ..streaming import outbox
 from ..streaming import projections as P
 from .registry import query
 
@@ -90,3 +93,54 @@ def st5(spark, d):
 @query("st_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1,2")
 def st6(spark, d):
     return events(spark, d).groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+
+
+@query("st_outbox", "SELECT event_type, count(*) AS n, count(*) AS published, sum(length(props))::BIGINT AS score FROM events GROUP BY 1")
+def st7(spark, d):
+    """Every event twice through a worker that breaks off once and is started again: each is assessed and published once."""
+    e = events(spark, d).select(F.col("event_id").cast("string").alias("id"), "event_type", "props")
+    root = shared_path(spark, "outbox")
+    e.unionByName(e).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(4))).repartition(4, "part").drop("part").write.parquet(f"{root}/in")
+    assess = lambda df: df.select("id", "event_type", F.length("props").cast("long").alias("score"))
+    broken, worker = outbox.Outbox(spark, root, assess), outbox.Outbox(spark, root, assess)
+
+    def stop(step: str, batch: int) -> None:
+        if (step, batch) == ("assessed", 1):
+            raise RuntimeError("the worker stops here")
+
+    broken.before = stop
+    try:
+        outbox.run_outbox(broken, f"{root}/in", e.schema)
+    except StreamingQueryException as fault:
+        if "the worker stops here" not in str(fault):
+            raise
+    outbox.run_outbox(worker, f"{root}/in", e.schema)
+    done = worker.status().join(worker.read("published").drop("batch"), "id", "left")
+    return done.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("status") == "published", 1)).alias("published"), F.sum("score").alias("score"))
+
+
+@query(
+    "d21_lease_machine",
+    """WITH RECURSIVE e AS (SELECT 't'||(user_id%40) AS task, epoch_us(ts) AS us, event_id AS seq, CASE event_type WHEN 'signup' THEN 'claim' WHEN 'purchase' THEN 'reclaim' WHEN 'error' THEN 'reclaim' ELSE 'heartbeat' END AS action, 'w'||user_id AS worker FROM events),
+    o AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY us, seq) AS i FROM e),
+    f(task, i, us, action, worker, lapsed, was, had, accepted, holder, generation, until, told) AS (
+    SELECT task, 0::BIGINT, NULL::BIGINT, NULL::VARCHAR, NULL::VARCHAR, NULL::BIGINT, NULL::VARCHAR, NULL::BIGINT, NULL::BOOLEAN, NULL::VARCHAR, 0::BIGINT, 0::BIGINT, TRUE FROM (SELECT DISTINCT task FROM o)
+    UNION ALL SELECT o.task, o.i, o.us, o.action, o.worker, CASE WHEN NOT told AND o.us>=until THEN until END, holder, generation, ok, CASE WHEN ok THEN o.worker ELSE holder END, generation + (CASE WHEN ok AND o.action<>'heartbeat' THEN 1 ELSE 0 END),
+    CASE WHEN ok THEN o.us+86400000000 ELSE until END, CASE WHEN ok THEN FALSE ELSE told OR o.us>=until END
+    FROM (SELECT f.*, o.us AS ous, CASE o.action WHEN 'claim' THEN holder IS NULL WHEN 'heartbeat' THEN coalesce(holder=o.worker, FALSE) ELSE holder IS NOT NULL AND o.us>=until END AS ok FROM f JOIN o ON o.task=f.task AND o.i=f.i+1) f JOIN o ON o.task=f.task AND o.i=f.i+1),
+    z AS (SELECT task, arg_max(holder, i) AS holder, max(generation) AS generation, arg_max(until, i) AS until, arg_max(told, i) AS told FROM f GROUP BY 1)
+    SELECT task, us, action, worker, accepted, generation FROM f WHERE i>0 UNION ALL SELECT task, lapsed, 'expired', was, TRUE, had FROM f WHERE lapsed IS NOT NULL
+    UNION ALL SELECT task, until, 'expired', holder, TRUE, generation FROM z, (SELECT max(epoch_us(ts)) AS m FROM events) WHERE NOT told AND ceil(until/1000.0) <= m//1000 - 3600000""",
+)
+def d21m(spark, d):
+    """The lease machine over the event table, in three batches by time: who was let in, refused, or let a lease run out."""
+    action = F.when(F.col("event_type") == "signup", "claim").when(F.col("event_type").isin("purchase", "error"), "reclaim").otherwise("heartbeat")
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    e = events(spark, d).select(
+        F.concat(F.lit("t"), (F.col("user_id") % 40).cast("string")).alias("task"), us.alias("us"), F.col("event_id").alias("seq"), action.alias("action"),
+        F.concat(F.lit("w"), F.col("user_id").cast("string")).alias("worker"), F.col("ts").cast("timestamp").alias("ts"),
+    )
+    ends = e.agg(F.min("us").alias("a"), F.max("us").alias("z")).first()
+    step = (ends.z - ends.a) // 3 + 1
+    thirds = [e.filter(F.col("us").between(ends.a + k * step, ends.a + (k + 1) * step - 1)) for k in range(3)]
+    return S.run_leases(spark, thirds, 86_400_000_000, "1 hour")

@@ -105,32 +105,3 @@ def ready_events(events: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFr
             break
         waits = settle(waits.union(more), "causal-waits")
     return events.join(waits, "id", "left_anti"), events.join(waits, "id", "left_semi")
-
-
-def lease(ttl_us: int) -> Callable:
-    """One task's lease over claims (holder, generation, us): a claim wins if the lease is free, expired, or its own.
-
-    Each accepted claim raises the generation; a claim that names an older one is refused.
-    """
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        holder, generation, until = state.get if state.exists else (None, 0, 0)
-        out = []
-        for row in pd.concat(list(batches)).sort_values(["us", "holder"]).itertuples():
-            fresh = int(row.generation) == generation
-            if fresh and (holder is None or row.us >= until or row.holder == holder):
-                holder, generation, until = row.holder, generation + 1, int(row.us) + ttl_us
-                out.append((key[0], row.holder, generation, True))
-            else:
-                out.append((key[0], row.holder, generation, False))
-        state.update((holder, generation, until))
-        yield pd.DataFrame(out, columns=["task", "holder", "generation", "accepted"])
-
-    return run
-
-
-def leases(claims: DataFrame, ttl_us: int) -> DataFrame:
-    """Verdicts on a stream of claims (task, holder, generation, us)."""
-    return claims.groupBy("task").applyInPandasWithState(
-        lease(ttl_us), "task string, holder string, generation long, accepted boolean", "holder string, generation long, until long", "append", GroupStateTimeout.NoTimeout
-    )

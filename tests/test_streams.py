@@ -1,22 +1,49 @@
 """Streams: leases, causal staging, folder watching; and the command line."""
 
+import datetime
 import json
+import random
 
 from strataweave import __main__ as cli
 from strataweave.reader import GraphReader
-from strataweave.streaming import projections
-
-
-def test_leases(spark, tmp_path):
-    rows = [("t", "a", 0, 0), ("t", "b", 1, 5), ("t", "a", 1, 6), ("t", "b", 2, 100), ("u", "b", 3, 1)]
-    schema = "task string, holder string, generation long, us long"
-    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in")
-    got = projections.leases(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), 50)
-    query = got.writeStream.format("memory").queryName("leases").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
-    query.awaitTermination()
-    found = [tuple(r) for r in spark.table("leases").filter("task = 't'").orderBy("generation", "accepted").collect()]
-    assert found == [("t", "b", 1, False), ("t", "a", 1, True), ("t", "a", 2, True), ("t", "b", 3, True)]
-    assert [r.accepted for r in spark.table("leases").filter("task = 'u'").collect()] == [False]
+from strataweave.streaming import leases, projections
+
+
+def plain(rows, ttl, watermark):
+    """The machine by its rules, one task."""
+    holder, generation, until, told, out = None, 0, 0, True, []
+    for us, action, worker in rows:
+        if not told and us >= until:
+            out.append((until, "expired", holder, True, generation))
+            told = True
+        good = (action == "claim" and holder is None) or (action == "heartbeat" and holder == worker) or (action == "reclaim" and holder is not None and us >= until)
+        if good:
+            generation += action != "heartbeat"
+            holder, until, told = worker, us + ttl, False
+        out.append((us, action, worker, good, generation))
+    if not told and -(-until // 1000) <= watermark:
+        out.append((until, "expired", holder, True, generation))
+    return out
+
+
+def test_leases(spark):
+    """Claims, heartbeats, reclaims and expiries over several batches; the last leases by timers alone."""
+    rng = random.Random(3)
+    schema = "task string, us long, seq long, action string, worker string, ts timestamp"
+    rows = [(rng.choice("tuv"), 1_000_000 * (i + 1), i, rng.choice(["claim", "heartbeat", "heartbeat", "reclaim", "nonsense"]), rng.choice("ab")) for i in range(90)]
+    rows += [("late", 91_000_000, 91, "claim", "a"), ("quiet", 40_000_000, 92, "claim", "b"), ("end", 120_000_000, 93, "claim", "b")]
+    rows.sort(key=lambda r: r[1])
+    batches = []
+    for k in range(0, len(rows), 31):
+        part = [(*r, datetime.datetime.fromtimestamp(r[1] / 1e6, datetime.UTC)) for r in rows[k : k + 31]]
+        batches.append(spark.createDataFrame(part, schema).repartition(2))
+    got = {}
+    for r in leases.run_leases(spark, batches, 7_000_000, "5 seconds").collect():
+        got.setdefault(r.task, []).append(tuple(r)[1:])
+    want = {t: plain([(r[1], r[3], r[4]) for r in rows if r[0] == t], 7_000_000, 115_000) for t in {r[0] for r in rows}}
+    key = lambda x: (x[0], x[1] != "expired")
+    assert {t: sorted(x, key=key) for t, x in got.items()} == {t: sorted(x, key=key) for t, x in want.items()}
+    assert any(x[1] == "expired" for x in got["quiet"]) and all(x[1] != "expired" for x in got["end"])
 
 
 def test_staging(spark):
