@@ -70,3 +70,28 @@ def digests(rows: DataFrame, keys: list[str], order: list[str], fragment: Column
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields if f.name in keys] + ["digest string", "n long"])
     return dealt.mapInArrow(run, schema)
+
+
+RANGE_TAG = "range-1"
+
+
+def range_digest(rows: DataFrame, key: str, fragment: Column) -> DataFrame:
+    """(digest, n): one digest of all rows as a tree over ranges of the key's hash, the same under any partitioning.
+
+    A leaf is the chain of the fragments (by key, then fragment) of keys whose SHA-256 starts with the same four digits; leaves meet by two
+    digits and those in the root, each time in order. A task holds a leaf's chain, never its rows, and the upper levels have 256 children
+    at most. The tag keeps such digests apart from plain chains.
+    """
+    nul = F.char(F.lit(0))
+    marked = rows.select(F.col(key).cast("string").alias("_key"), fragment.cast("string").alias("_text")).withColumn("r", F.substring(F.sha2("_key", 256), 1, 4))
+    tagged = lambda keys, df: df.unionByName(df.select(*keys).distinct().withColumns({"_key": F.lit(None).cast("string"), "_text": F.lit(RANGE_TAG)}))
+    leaf = digests(tagged(["r"], marked.select("r", "_key", "_text")), ["r"], ["_key"], F.col("_text"))
+
+    def up(df: DataFrame, to: Column) -> DataFrame:
+        pair = F.concat("r", nul, "digest", nul)
+        listed = F.sort_array(F.collect_list(F.struct("r", pair.alias("x"))))
+        joined = F.concat(F.lit(RANGE_TAG), nul, F.array_join(F.transform(listed, lambda x: x["x"]), ""))
+        return df.groupBy(to.alias("to")).agg(F.sha2(joined, 256).alias("digest"), F.sum("n").alias("n")).withColumnRenamed("to", "r")
+
+    leaf = leaf.withColumn("n", F.col("n") - 1)
+    return up(up(leaf, F.substring("r", 1, 2)), F.lit("")).select("digest", "n")

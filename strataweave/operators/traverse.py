@@ -84,6 +84,23 @@ def connected(pairs: DataFrame) -> DataFrame:
             return label
 
 
+def cycle_members(links: DataFrame) -> DataFrame:
+    """(id) of everything on a cycle of single links (id, to); self-links are cycles, null or missing targets end a chain.
+
+    Each round doubles the step: what some id leads to in 2, 4, 8... steps. That set shrinks to the cycles and
+    then stays; it is done when it no longer shrinks, after about the logarithm of the longest chain. Of several links of an id the smallest counts.
+    """
+    step = cut(links.filter("id IS NOT NULL AND to IS NOT NULL").groupBy("id").agg(F.min("to").alias("to")))
+    image = step.select("to").distinct().count()
+    while True:
+        after = step.select(F.col("id").alias("to"), F.col("to").alias("far"))
+        step = cut(step.join(after, "to").select("id", F.col("far").alias("to")))
+        now = step.select("to").distinct().count()
+        if now == image:
+            return step.select(F.col("to").alias("id")).distinct()
+        image = now
+
+
 def dag_heads(events: DataFrame) -> DataFrame:
     """Events that no other event names as a parent. ``events``: id, parents."""
     parents = events.select(F.explode("parents").alias("id")).distinct()

@@ -10,6 +10,7 @@ from ..operators import extract as X
 from ..operators import knowledge as K
 from ..operators import lifecycle as C
 from ..operators import retrieval as V
+from ..operators.traverse import cycle_members
 from ..session import TABLES, table
 from ..sources import snapshot as S
 from ..sources import tpch_graph as G
@@ -297,12 +298,7 @@ def a25(spark, d):
 def g26(spark, d):
     """Ids on a cycle of duplicate-of links: everything that reaches itself."""
     links = table(spark, d, "nation").selectExpr("cast(n_nationkey AS bigint) AS id", "cast((n_nationkey * 3 + 1) % 25 AS bigint) AS dup")
-    reach = links.select(F.col("id").alias("start"), F.col("dup").alias("at"))
-    for _ in range(5):  # pointer jumping: five doublings pass 25 nodes
-        jump = reach.select(F.col("start").alias("at"), F.col("at").alias("far"))
-        more = reach.join(jump, "at").select("start", F.col("far").alias("at"))
-        reach = reach.union(more).distinct()
-    return reach.filter("start = at").select(F.col("start").alias("id")).distinct()
+    return cycle_members(links.withColumnRenamed("dup", "to"))
 
 
 @query("x7_pending_captures", "SELECT count(*) AS pending FROM (SELECT DISTINCT md5(text) AS h FROM conversations WHERE turn > 0 AND md5(text) NOT IN (SELECT md5(text) FROM conversations WHERE turn=0))")
