@@ -11,8 +11,9 @@ from ..operators import knowledge as K
 from ..operators import lifecycle as C
 from ..operators import retrieval as V
 from ..operators.traverse import cycle_members
-from ..session import TABLES, table
+from ..session import TABLES, shared_path, table
 from ..sources import snapshot as S
+from ..sources import sqlite_source
 from ..sources import tpch_graph as G
 from ..sources.sinks import append_new
 from .registry import GRAPH, query
@@ -57,6 +58,17 @@ def s9(spark, d):
     return S.jsonl_records(lines, "id long, k int")
 
 
+@query("s13_session_db", "SELECT conv_id||'' AS session, turn, length(text) AS n FROM conversations WHERE role='user' AND turn>=2")
+def s13(spark, d):
+    """Conversations as session databases, written and read in parallel; role and turn are told to the databases."""
+    folder = shared_path(spark, "sessions")
+    c = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("session"), "turn", "role", "text")
+    sqlite_source.export_sessions(c, folder, 8).collect()
+    sqlite_source.register(spark)
+    rows = spark.read.format("sqlite").schema("session string, turn long, role string, text string").option("table", "session_message").load(folder)
+    return rows.filter("role = 'user' AND turn >= 2").select("session", "turn", F.length("text").cast("long").alias("n"))
+
+
 @query("s11_catalog_records", "SELECT 'column:'||table_name||'.'||column_name AS key, 'column' AS kind, column_name AS name, 'table:'||table_name AS parent FROM information_schema.columns WHERE table_name IN ('region','nation','labels') UNION ALL SELECT DISTINCT 'table:'||table_name, 'table', table_name, NULL FROM information_schema.columns WHERE table_name IN ('region','nation','labels')")
 def s11(spark, d):
     return spark.createDataFrame(S.catalog_records({t: table(spark, d, t) for t in ("region", "nation", "labels")}), "key string, kind string, name string, parent string")

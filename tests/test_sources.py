@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from strataweave.operators import lifecycle, syntax
 from strataweave.reader import GraphReader
-from strataweave.sources import sinks, snapshot
-from strataweave.sources.sqlite_source import SqliteSource
+from strataweave.sources import sinks, snapshot, sqlite_source
 
 
 def test_capture(spark, tmp_path):
@@ -35,12 +34,39 @@ def test_jsonl(spark):
 
 
 def test_sqlite(spark, tmp_path):
-    with sqlite3.connect(tmp_path / "s.db") as db:
-        db.execute("CREATE TABLE session_message (id TEXT, seq INT, cost REAL)")
-        db.executemany("INSERT INTO session_message VALUES (?,?,?)", [(f"m{i}", i, i / 2) for i in range(25)])
-    spark.dataSource.register(SqliteSource)
-    df = spark.read.format("sqlite").schema("id string, seq int, cost double").option("table", "session_message").load(str(tmp_path / "s.db"))
-    assert df.count() == 25 and df.agg(F.sum("cost")).first()[0] == 150.0
+    for k in range(2):
+        with sqlite3.connect(tmp_path / f"s{k}.db") as db:
+            db.execute("CREATE TABLE session_message (id TEXT PRIMARY KEY, seq INTEGER UNIQUE, cost REAL DEFAULT 1.5)")
+            db.execute("CREATE TABLE part (message TEXT REFERENCES session_message(id), n INTEGER NOT NULL)")
+            db.execute("CREATE INDEX part_n ON part (n, message)")
+            db.execute("CREATE TRIGGER gone AFTER DELETE ON part BEGIN SELECT 1; END")
+            db.executemany("INSERT INTO session_message VALUES (?,?,?)", [(f"m{k}-{i}", i, None if i % 5 == 0 else i / 4) for i in range(100)])
+        db.close()
+    sqlite_source.register(spark)
+    read = lambda path: spark.read.format("sqlite").schema("id string, seq int, cost double").option("table", "session_message").option("splitBytes", 4096).load(str(path))
+    df = read(tmp_path)
+    assert df.count() == 200 and df.rdd.getNumPartitions() > 4
+    assert read(tmp_path / "s0.db").agg({"seq": "sum"}).first()[0] == 4950
+    got = df.filter("seq > 90 AND seq <= 95 AND id <> 'm0-91' AND cost IS NOT NULL AND seq IN (91, 92, 95, 7)")
+    assert sorted(r.id for r in got.collect()) == ["m0-92", "m1-91", "m1-92"]
+    assert df.filter("cost IS NULL AND seq >= 50").count() == 20
+    found = {(r.kind, r.name, r.parent, r.detail) for r in spark.read.format("sqlite").option("table", sqlite_source.CATALOG).load(str(tmp_path / "s1.db")).collect()}
+    assert {("table", "part", None, None), ("column", "cost", "table:session_message", "REAL DEFAULT 1.5"), ("primary", "id", "table:session_message", "1")} <= found
+    assert {("index", "part_n", "table:part", "n,message"), ("foreign", "message", "table:part", "session_message(id)"), ("column", "n", "table:part", "INTEGER NOT NULL")} <= found
+    assert any(x[0] == "trigger" and x[1] == "gone" for x in found) and sum(x[0] == "unique" for x in found) == 2
+    with pytest.raises(Exception, match="not a name"):
+        spark.read.format("sqlite").schema("id string").option("table", "x; DROP").load(str(tmp_path)).collect()
+
+
+def test_exported_sessions(spark, tmp_path):
+    rows = [(f"s{i % 7}", i, "user" if i % 2 else "assistant", None if i == 3 else f"é {i}") for i in range(40)]
+    made = sqlite_source.export_sessions(spark.createDataFrame(rows, "session string, turn long, role string, text string"), f"file://{tmp_path}/db", 3)
+    assert sum(r.n for r in made.collect()) == 40
+    sqlite_source.register(spark)
+    back = spark.read.format("sqlite").schema("session string, turn long, role string, text string").option("table", "session_message").load(f"{tmp_path}/db")
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(rows, key=str)
+    counts = spark.read.format("sqlite").schema("id string, n long").option("table", "session").load(f"{tmp_path}/db")
+    assert {r.id: r.n for r in counts.collect()} == {f"s{k}": sum(i % 7 == k for i in range(40)) for k in range(7)}
 
 
 PY = "import os\n\nclass A(Base):\n    def go(self):\n        self.run()\n        helper()\n\n    def run(self):\n        pass\n\n\ndef helper():\n    return os.getcwd()\n"
