@@ -122,3 +122,16 @@ def interval_overlaps(hunks: DataFrame, spans: DataFrame, width: int = 64) -> Da
     inside = [hit[c] == o[c] for c in ("file", "h_start", "h_end")]
     holds = (o.o_start >= hit.start) & (o.o_end <= hit.end) & (o.o_id != hit.id) & ((o.o_start > hit.start) | (o.o_end < hit.end))
     return hit.join(o, [*inside, holds], "left_anti")
+
+
+def active_headers(pointer: DataFrame, headers: DataFrame) -> DataFrame:
+    """Headers of active builds: the pointer (repo, build_id) must name a build of its own repository."""
+    return headers.join(pointer.select("repo", "build_id").distinct(), ["repo", "build_id"], "left_semi")
+
+
+def newest_builds(repos: DataFrame, pointer: DataFrame, headers: DataFrame, most: int) -> DataFrame:
+    """(repo, active, build_id, generation): each repository with its active build, if any, and its ``most`` newest builds, one row of nulls where it has none."""
+    order = Window.partitionBy("repo").orderBy(F.desc("generation"), "build_id")
+    newest = headers.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= most).select("repo", "build_id", "generation")
+    active = pointer.groupBy("repo").agg(F.min("build_id").alias("active"))
+    return repos.select("repo").distinct().join(active, "repo", "left").join(newest, "repo", "left").select("repo", "active", "build_id", "generation")

@@ -210,3 +210,39 @@ def pinned_ids(pins: DataFrame, side: DataFrame) -> DataFrame:
     p = pins.groupBy("id").agg(F.min("sha256").alias("p"), F.count_distinct("sha256").alias("n"))
     state = F.when(F.col("n") > 1, "pinned twice").when(F.col("f").isNull(), "missing").when(F.col("p") == F.col("f"), "pinned").otherwise("other bytes")
     return p.join(side.select("id", F.col("sha256").alias("f")), "id", "left").select("id", state.alias("state"))
+
+
+ANSWERS = "batch, question, kind (noul, choice, score), probability, choice, confidence, probabilities (map), score, model"
+
+
+def answer_faults(asked: DataFrame, answers: DataFrame, model: str) -> DataFrame:
+    """(batch, fault): why a batch of answers is refused as a whole, the first fault by name; sound batches have no row.
+
+    ``asked``: batch, question, kind, options (array; null: any). ``answers``: the columns of ``ANSWERS``. Every question is
+    answered once and nothing else is; kinds agree; the model is the one asked for; numbers are finite and from
+    0 to 1 (a score only finite); a choice's probabilities sum to 1 within 0.05, and its options are among those asked.
+    """
+    outside = lambda x: x.isNull() | F.isnan(x) | ~x.between(0.0, 1.0)
+    endless = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    twice = answers.groupBy("batch", "question").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("batch", F.lit("answered twice").alias("fault"))
+    a = answers.withColumnsRenamed({"kind": "answered"}).withColumn("here", F.lit(True))
+    both = asked.withColumn("wanted", F.lit(True)).join(a, ["batch", "question"], "full")
+    p = F.coalesce("probabilities", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>")))
+    keys, values = F.map_keys(p), F.map_values(p)
+    total = F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
+    choice = (
+        F.when(outside(F.col("confidence")) | F.exists(values, outside), "out of range")
+        .when(F.abs(total - 1.0) > 0.05, "probabilities don't sum to 1")
+        .when(F.col("options").isNotNull() & ~(F.coalesce(F.array_contains("options", F.col("choice")), F.lit(False)) & (F.size(F.array_except(keys, F.col("options"))) == 0)), "option wasn't asked")
+    )
+    told = (
+        F.when(F.col("here").isNull(), "missing answer")
+        .when(F.col("wanted").isNull(), "answer to no question")
+        .when(~(F.col("model").eqNullSafe(model)), "another model")
+        .when(~(F.col("kind").eqNullSafe(F.col("answered"))), "another kind")
+        .when((F.col("kind") == "noul") & outside(F.col("probability")), "out of range")
+        .when(F.col("kind") == "choice", choice)
+        .when((F.col("kind") == "score") & (outside(F.col("confidence")) | endless(F.col("score"))), "out of range")
+    )
+    found = both.select("batch", told.alias("fault")).filter("fault IS NOT NULL").unionByName(twice)
+    return found.groupBy("batch").agg(F.min("fault").alias("fault"))

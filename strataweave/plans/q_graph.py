@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import id_col
@@ -78,40 +79,43 @@ def p12(spark, d):
     return G.nodes(spark, d).groupBy(area(F.col("file")).alias("area")).agg(F.count(F.lit(1)).alias("n"))
 
 
-HEADERS = "headers AS (SELECT * FROM (VALUES ('star','build-1',1,NULL),('star','build-2',2,'build-1'),('other','build-9',1,NULL)) t(repo,build_id,generation,predecessor))"
-POINTER = "pointer AS (SELECT * FROM (VALUES ('star','build-2'),('other','build-2'),('bare','build-x')) t(repo,build_id))"
+#: Customers as repositories, their orders as builds; a pointer names the newest build, of every fifth repository one of its neighbour's.
+HEADERS = "headers AS (SELECT 'repo-'||o_custkey AS repo, 'build-'||o_orderkey AS build_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS generation, 'build-'||lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS predecessor FROM orders)"
+POINTER = "pointer AS (SELECT 'repo-'||(CASE WHEN o_custkey%5=0 THEN o_custkey+1 ELSE o_custkey END) AS repo, 'build-'||max(o_orderkey) AS build_id FROM orders GROUP BY o_custkey)"
 
 
-def headers(spark):
-    return spark.createDataFrame(
-        [("star", "build-1", 1, None), ("star", "build-2", 2, "build-1"), ("other", "build-9", 1, None)], "repo string, build_id string, generation int, predecessor string"
-    )
+def headers(spark, d):
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    build = lambda c: F.concat(F.lit("build-"), c.cast("string"))
+    o = table(spark, d, "orders")
+    return o.select(F.concat(F.lit("repo-"), "o_custkey").alias("repo"), build(F.col("o_orderkey")).alias("build_id"), F.row_number().over(w).alias("generation"), build(F.lag("o_orderkey").over(w)).alias("predecessor"))
 
 
-def pointer(spark):
-    return spark.createDataFrame([("star", "build-2"), ("other", "build-2"), ("bare", "build-x")], "repo string, build_id string")
+def pointer(spark, d):
+    newest = table(spark, d, "orders").groupBy("o_custkey").agg(F.max("o_orderkey").alias("k"))
+    home = F.when(F.col("o_custkey") % 5 == 0, F.col("o_custkey") + 1).otherwise(F.col("o_custkey"))
+    return newest.select(F.concat(F.lit("repo-"), home).alias("repo"), F.concat(F.lit("build-"), "k").alias("build_id"))
 
 
 @query("p1_active_header", f"WITH {HEADERS}, {POINTER} SELECT repo, build_id, generation, predecessor FROM pointer JOIN headers USING (repo, build_id)")
 def p1(spark, d):
-    return F.broadcast(pointer(spark)).join(headers(spark), ["repo", "build_id"])
+    return R.active_headers(pointer(spark, d), headers(spark, d))
 
 
-@query("p2_published_header", f"WITH {HEADERS} SELECT * FROM headers WHERE repo='star' AND build_id='build-1'")
+@query("p2_published_header", f"WITH {HEADERS} SELECT * FROM headers WHERE repo='repo-7' AND build_id=(SELECT max(build_id) FROM headers WHERE repo='repo-7')")
 def p2(spark, d):
-    return headers(spark).filter("repo = 'star' AND build_id = 'build-1'")
+    h = headers(spark, d).filter("repo = 'repo-7'")
+    return h.join(h.agg(F.max("build_id").alias("build_id")), "build_id").select("repo", "build_id", "generation", "predecessor")
 
 
 @query(
     "j4_lateral_builds",
-    f"WITH {HEADERS}, {POINTER} SELECT p.repo, p.build_id AS active, b.build_id, b.generation FROM pointer p LEFT JOIN LATERAL (SELECT * FROM headers h WHERE h.repo=p.repo ORDER BY generation DESC LIMIT 1) b ON true",
+    f"WITH {HEADERS}, {POINTER}, r AS (SELECT 'repo-'||c_custkey AS repo FROM customer), a AS (SELECT repo, min(build_id) AS active FROM pointer GROUP BY 1) SELECT r.repo, a.active, b.build_id, b.generation FROM r LEFT JOIN a USING (repo) LEFT JOIN (SELECT * FROM headers QUALIFY row_number() OVER (PARTITION BY repo ORDER BY generation DESC) <= 3) b ON b.repo=r.repo",
 )
 def j4(spark, d):
-    headers(spark).createOrReplaceTempView("_headers")
-    pointer(spark).createOrReplaceTempView("_pointer")
-    return spark.sql(
-        "SELECT p.repo, p.build_id AS active, b.build_id, b.generation FROM _pointer p LEFT JOIN LATERAL (SELECT * FROM _headers h WHERE h.repo = p.repo ORDER BY generation DESC LIMIT 1) b"
-    )
+    """Every customer's repository with its pointer and its three newest builds."""
+    repos = table(spark, d, "customer").select(F.concat(F.lit("repo-"), "c_custkey").alias("repo"))
+    return R.newest_builds(repos, pointer(spark, d), headers(spark, d), 3)
 
 
 @query("j1_member_entities", "SELECT n_name, count(*) AS customers, sum(CASE WHEN o.k IS NULL THEN 1 ELSE 0 END)::BIGINT AS idle FROM customer JOIN nation ON c_nationkey=n_nationkey LEFT JOIN (SELECT DISTINCT o_custkey k FROM orders) o ON o.k=c_custkey GROUP BY 1")

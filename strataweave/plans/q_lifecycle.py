@@ -326,6 +326,33 @@ def x14(spark, d):
     return c.select("conv_id", "turn", F.size("p").alias("parts"), F.size(F.filter("p", lambda x: x["status"] == "interrupted")).alias("interrupted"))
 
 
+@query(
+    "s11_pg_catalog",
+    """WITH k AS (SELECT c.* FROM customer c JOIN nation ON c_nationkey=n_nationkey WHERE n_regionkey=1 AND c_custkey%7<>0), rel(kk) AS (SELECT c_custkey FROM k)
+    SELECT 'relation:'||c_custkey AS key, CASE WHEN c_custkey%2=0 THEN 'view' ELSE 'table' END AS kind, c_name AS name, NULL AS parent, NULL AS target FROM k
+    UNION ALL SELECT 'column:'||o_custkey||':'||o_orderkey, 'column', o_orderpriority, 'relation:'||o_custkey, NULL FROM orders JOIN rel ON o_custkey=kk WHERE o_orderkey%10<>0
+    UNION ALL SELECT 'constraint:'||o_orderkey, 'constraint', o_clerk, 'relation:'||o_custkey, CASE WHEN o_orderkey%3=0 THEN 'relation:'||(o_custkey+1) END FROM (SELECT *, o_orderstatus||'_'||o_orderkey AS o_clerk FROM orders) JOIN rel ON o_custkey=kk WHERE o_orderkey%5=0
+    UNION ALL SELECT 'index:'||(1000000000+o_orderkey), 'index', 'ix_'||o_orderkey, 'relation:'||o_custkey, NULL FROM orders JOIN rel ON o_custkey=kk WHERE o_orderkey%8=0 UNION ALL SELECT 'routine:'||s_suppkey, 'routine', s_name, NULL, NULL FROM supplier JOIN nation ON s_nationkey=n_nationkey WHERE n_regionkey=1""",
+)
+def s11pg(spark, d):
+    """A system catalog of relations, columns with defaults, constraints, indexes and routines, in the shape of its public frames; the star-schema tables stand for their rows."""
+    c, o, s = (table(spark, d, t) for t in ("customer", "orders", "supplier"))
+    region = table(spark, d, "nation").select("n_nationkey", F.col("n_regionkey").alias("relnamespace"))
+    relkind = F.when(F.col("c_custkey") % 7 == 0, "t").when(F.col("c_custkey") % 2 == 0, "v").otherwise("r")
+    classes = c.join(F.broadcast(region), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").cast("long").alias("oid"), F.col("c_name").alias("relname"), "relnamespace", relkind.alias("relkind"))
+    indexes = o.filter("o_orderkey % 8 = 0").select((F.col("o_orderkey") + 1_000_000_000).cast("long").alias("oid"), F.concat(F.lit("ix_"), "o_orderkey").alias("relname"), F.lit(1).cast("long").alias("relnamespace"), F.lit("i").alias("relkind"))
+    pg = {
+        "namespace": table(spark, d, "region").select(F.col("r_regionkey").alias("oid"), F.concat(F.lit("schema_"), "r_regionkey").alias("nspname")),
+        "class": classes.unionByName(indexes.withColumn("relnamespace", F.col("relnamespace").cast(classes.schema["relnamespace"].dataType))),
+        "attribute": o.select(F.col("o_custkey").alias("attrelid"), F.col("o_orderkey").alias("attnum"), F.col("o_orderpriority").alias("attname"), F.col("o_orderstatus").alias("atttypid"), (F.col("o_orderkey") % 2 == 0).alias("attnotnull"), (F.col("o_orderkey") % 10 == 0).alias("attisdropped")),
+        "attrdef": o.filter("o_orderkey % 4 = 1").select(F.col("o_custkey").alias("adrelid"), F.col("o_orderkey").alias("adnum"), F.col("o_orderstatus").alias("adbin")),
+        "constraint": o.filter("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("oid"), F.concat_ws("_", "o_orderstatus", "o_orderkey").alias("conname"), F.col("o_custkey").alias("conrelid"), F.when(F.col("o_orderkey") % 3 == 0, "f").otherwise("c").alias("contype"), (F.col("o_custkey") + 1).alias("confrelid")),
+        "index": o.filter("o_orderkey % 8 = 0").select((F.col("o_orderkey") + 1_000_000_000).cast("long").alias("indexrelid"), F.col("o_custkey").alias("indrelid"), F.lit(True).alias("indisunique"), F.lit(False).alias("indisprimary")),
+        "proc": s.join(F.broadcast(region), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("oid"), F.col("s_name").alias("proname"), F.col("relnamespace").alias("pronamespace"), F.lit("f").alias("prokind")),
+    }
+    return S.pg_catalog_records(pg, "schema_1").drop("details")
+
+
 @query("j23_catalog_joins", "SELECT n_name, r_name, count(c_custkey) AS customers, count(s) AS suppliers FROM region JOIN nation ON r_regionkey=n_regionkey LEFT JOIN customer ON c_nationkey=n_nationkey LEFT JOIN (SELECT s_nationkey AS k, min(s_suppkey) AS s FROM supplier GROUP BY 1) ON k=n_nationkey GROUP BY 1,2")
 def j23(spark, d):
     n, r = table(spark, d, "nation"), table(spark, d, "region")

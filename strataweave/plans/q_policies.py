@@ -121,6 +121,29 @@ def d7(spark, d):
     return table(spark, d, "events").select("event_id", verdict.alias("verdict"))
 
 
+@query(
+    "d7_answer_batches",
+    """WITH a AS (SELECT event_id//10 AS batch, event_id%10 AS question, ['noul','choice','score'][event_id%3+1] AS kind, value/100 AS v, event_id, event_type FROM events),
+    f AS (SELECT batch, CASE WHEN event_id%97=3 THEN 'missing answer' WHEN event_id%101=4 THEN 'another model' WHEN event_id%103=5 THEN 'another kind' WHEN kind='noul' AND (v IS NULL OR v>1) THEN 'out of range'
+    WHEN kind='choice' AND event_id%89=6 THEN 'probabilities don''t sum to 1' WHEN kind='choice' AND event_type='error' THEN 'option wasn''t asked' WHEN kind='score' AND event_id%83=7 THEN 'out of range' END AS fault FROM a)
+    SELECT batch, min(fault) AS fault FROM f WHERE fault IS NOT NULL GROUP BY 1""",
+)
+def d7b(spark, d):
+    """Ten events are a batch of questions; answers that are missing, of another model or kind, out of range or beside what was asked refuse it whole."""
+    e = table(spark, d, "events").select("event_id", "event_type", F.expr("event_id div 10").alias("batch"), (F.col("event_id") % 10).alias("question"), (F.col("value") / 100).alias("v"))
+    kind = F.element_at(F.array(F.lit("noul"), F.lit("choice"), F.lit("score")), (F.col("event_id") % 3 + 1).cast("int"))
+    options = F.array(*map(F.lit, ("view", "click", "purchase", "signup", "rest")))
+    asked = e.select("batch", "question", kind.alias("kind"), F.when(kind == "choice", options).alias("options"))
+    share = F.when(F.col("event_id") % 89 == 6, 0.6).otherwise(0.75)
+    answered = F.when(F.col("event_id") % 103 == 5, "essay").otherwise(kind)
+    answers = e.filter("event_id % 97 <> 3").select(
+        "batch", "question", answered.alias("kind"), F.col("v").alias("probability"), F.col("event_type").alias("choice"), F.lit(0.9).alias("confidence"),
+        F.create_map(F.col("event_type"), share, F.lit("rest"), F.lit(0.25)).alias("probabilities"), F.when(F.col("event_id") % 83 == 7, float("inf")).otherwise(F.col("v")).alias("score"),
+        F.when(F.col("event_id") % 101 == 4, "other").otherwise("pinned").alias("model"),
+    )
+    return P.answer_faults(asked, answers, "pinned")
+
+
 @query("x19_answer_thresholds", "SELECT event_id, CASE WHEN value>=90 THEN 'accept' WHEN value<=10 THEN 'refuse' ELSE 'ask again' END AS verdict FROM events")
 def x19(spark, d):
     return table(spark, d, "events").select("event_id", P.answer_verdict(F.col("value"), 90, 10).alias("verdict"))

@@ -334,3 +334,23 @@ def fn_rfc3339(spark, d):
 @query("fn_token_estimate", "SELECT doc_id, ceil(length(text)/4)::BIGINT AS tokens FROM documents")
 def fn_tokens(spark, d):
     return table(spark, d, "documents").select("doc_id", token_estimate(F.col("text")).alias("tokens"))
+
+
+@query(
+    "fn_canonical_json",
+    """SELECT doc_id, '{"chars":'||n_chars||',"lang":'||to_json(lang)||',"meta":{"a":['||to_json(source)||','||to_json(lang)||'],"z":null}}' AS canonical FROM documents""",
+)
+def fn_json(spark, d):
+    from ..functions.canonical import canonical_json
+
+    docs = table(spark, d, "documents")
+    meta = F.struct(F.lit(None).cast("int").alias("z"), F.array("source", "lang").alias("a"))
+    rows = docs.select("doc_id", F.struct(meta.alias("meta"), "lang", F.col("n_chars").alias("chars")).alias("value"))
+    return rows.select("doc_id", canonical_json(rows, "value").alias("canonical"))
+
+
+@query("fn_base62", "WITH p AS (SELECT o_orderkey, o_orderkey::HUGEINT*123456789 AS n FROM orders) SELECT o_orderkey, " + "||".join(f"substr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz', ((n//{62**k}) % 62)::INT+1, 1)" for k in range(9, -1, -1)) + " AS code FROM p")
+def fn_base62(spark, d):
+    from ..functions.canonical import base62
+
+    return table(spark, d, "orders").select("o_orderkey", base62(F.col("o_orderkey").cast("decimal(38,0)") * 123456789, 10).alias("code"))

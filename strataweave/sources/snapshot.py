@@ -172,3 +172,37 @@ def catalog_records(tables: dict[str, DataFrame]) -> list[tuple[str, str, str, s
         out.append((f"table:{name}", "table", name, None))
         out += [(f"column:{name}.{f.name}", "column", f.name, f"table:{name}") for f in df.schema.fields]
     return sorted(out)
+
+
+def pg_catalog_records(pg: dict[str, DataFrame], schema: str) -> DataFrame:
+    """(key, kind, name, parent, target, details) of a schema, from frames of the public system catalog, as a JDBC read gives them.
+
+    ``pg`` has namespace (oid, nspname), class (oid, relname, relnamespace, relkind), attribute (attrelid, attnum, attname, atttypid,
+    attnotnull, attisdropped), attrdef (adrelid, adnum, adbin), constraint (oid, conname, conrelid, contype, confrelid), index
+    (indexrelid, indrelid, indisunique, indisprimary) and proc (oid, proname, pronamespace, prokind). Columns come with their defaults;
+    dropped ones and system columns (numbers below 1) don't; a foreign key's target may lie in another schema and is named even so.
+    """
+    own = pg["namespace"].filter(F.col("nspname") == schema).select(F.col("oid").alias("relnamespace"))
+    #: Relation kinds of the catalog.
+    kinds = {"r": "table", "p": "table", "v": "view", "m": "materialized_view", "f": "foreign_table"}
+    kind = F.element_at(F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair]), F.col("relkind"))
+    relations = pg["class"].filter(F.col("relkind").isin(*kinds)).join(own, "relnamespace").select(F.col("oid").alias("relation"), "relname", kind.alias("relkind"))
+    key = lambda prefix, *ids: F.concat_ws(":", F.lit(prefix), *ids)
+    none = F.lit(None).cast("string")
+    row = lambda k, word, name, parent, target, details: [k.alias("key"), word.alias("kind"), name.alias("name"), parent.alias("parent"), target.alias("target"), details.alias("details")]
+    home = key("relation", "relation")
+    out = relations.select(*row(home, F.col("relkind"), F.col("relname"), none, none, none))
+    attributes = pg["attribute"].filter("attnum > 0 AND NOT attisdropped").join(relations, F.col("attrelid") == F.col("relation"))
+    attributes = attributes.join(pg["attrdef"], (F.col("adrelid") == F.col("attrelid")) & (F.col("adnum") == F.col("attnum")), "left")
+    told = F.to_json(F.struct(F.col("attnum").alias("position"), F.col("atttypid").alias("type"), (~F.col("attnotnull")).alias("nullable"), F.col("adbin").alias("default")))
+    out = out.unionByName(attributes.select(*row(key("column", "relation", "attnum"), F.lit("column"), F.col("attname"), home, none, told)))
+    constraints = pg["constraint"].join(relations, F.col("conrelid") == F.col("relation"))
+    target = F.when(F.col("contype") == "f", key("relation", "confrelid"))
+    constraints = constraints.join(pg["class"].select(F.col("oid").alias("confrelid"), F.col("relname").alias("target_name")), "confrelid", "left")
+    told = F.to_json(F.struct(F.col("contype").alias("type"), "target_name"))
+    out = out.unionByName(constraints.select(*row(key("constraint", "oid"), F.lit("constraint"), F.col("conname"), home, target, told)))
+    indexes = pg["index"].join(relations, F.col("indrelid") == F.col("relation")).join(pg["class"].select(F.col("oid").alias("indexrelid"), F.col("relname").alias("index_name")), "indexrelid")
+    told = F.to_json(F.struct(F.col("indisunique").alias("unique"), F.col("indisprimary").alias("primary")))
+    out = out.unionByName(indexes.select(*row(key("index", "indexrelid"), F.lit("index"), F.col("index_name"), home, none, told)))
+    routines = pg["proc"].join(own, F.col("pronamespace") == F.col("relnamespace"))
+    return out.unionByName(routines.select(*row(key("routine", "oid"), F.lit("routine"), F.col("proname"), none, none, F.to_json(F.struct(F.col("prokind").alias("kind"))))))
