@@ -663,6 +663,6 @@ def test_registry():
     from strataweave.llm import registry
 
     assert sorted(registry.queries(), key=lambda n: int(n[2:].split("_")[0])) == [n for n in sorted(registry.MODULES, key=lambda n: int(n[2:].split("_")[0]))]
-    assert {n[2:].split("_")[0] for n in registry.queries()} == {str(i) for i in range(1, 11)}
+    assert {n[2:].split("_")[0] for n in registry.queries()} == {str(i) for i in range(1, 14)}
     assert set(registry.oracle_sql()) <= set(registry.queries())
     assert json.dumps(registry.oracle_sql())
