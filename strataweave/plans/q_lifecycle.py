@@ -84,7 +84,7 @@ def s12(spark, d):
 
 @query("s16_git_diff", "SELECT CASE WHEN p_size % 5=0 THEN 'new/' ELSE 'src/' END||p_partkey||'.rs' AS file, p_size AS h_start, (p_size + greatest(p_partkey % 7 - 1, 0))::INT AS h_end FROM part UNION ALL SELECT CASE WHEN p_size % 5=0 THEN 'new/' ELSE 'src/' END||p_partkey||'.rs', p_size+100, p_size+100 FROM part WHERE p_partkey % 3=0")
 def s16(spark, d):
-    """A diff with a file for each part: added files, hunks with and without a count."""
+    """A diff for each part: added files, hunks with and without a count."""
     s, k = F.col("p_size").cast("string"), F.col("p_partkey").cast("string")
     added = F.col("p_size") % 5 == 0
     name = F.concat(F.when(added, "new/").otherwise("src/"), k, F.lit(".rs"))
@@ -92,7 +92,7 @@ def s16(spark, d):
     lines = [old, F.concat(F.lit("+++ b/"), name), F.concat(F.lit("@@ -"), s, F.lit(","), (F.col("p_partkey") % 7).cast("string"), F.lit(" +1 @@ fn")), F.lit("-gone")]
     more = F.when(F.col("p_partkey") % 3 == 0, F.array(F.concat(F.lit("@@ -"), (F.col("p_size") + 100).cast("string"), F.lit(" +2 @@")), F.lit("+come"))).otherwise(F.array().cast("array<string>"))
     rows = table(spark, d, "part").select("p_partkey", F.posexplode(F.concat(F.array(*lines), more)).alias("i", "line"))
-    return S.parse_diff(rows.select(F.struct("p_partkey", "i").alias("pos"), "line"))
+    return S.parse_diff(rows.select("p_partkey", F.col("i").alias("pos"), "line"), ["p_partkey"])
 
 
 @query("s15_ledger_tail", "SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 300 MINUTE")

@@ -139,15 +139,15 @@ def receipts(spark: SparkSession, root: str, schema: str) -> DataFrame:
     return found.filter("generation IS NOT NULL").withColumn("newest", newest).select("id", "generation", "newest", *(F.col("r")[c].alias(c) for c in rows.columns if c != "id"))
 
 
-def parse_diff(lines: DataFrame) -> DataFrame:
-    """(file, h_start, h_end): old-side ranges of the hunks of a unified diff (``pos``, ``line``).
+def parse_diff(lines: DataFrame, diff: list[str]) -> DataFrame:
+    """(file, h_start, h_end): old-side ranges of the hunks of unified diffs (the columns ``diff``, ``pos``, ``line``).
 
-    An added file (``--- /dev/null``) goes by its new path. The order of lines matters, so one diff is
-    one partition of the window.
+    An added file (``--- /dev/null``) goes by its new path. The order of lines matters within a diff, so each
+    is a partition of the window.
     """
     from pyspark.sql import Window
 
-    order = Window.orderBy("pos")
+    order = Window.partitionBy(*diff).orderBy("pos")
     old, new = (F.regexp_extract("line", rf"^{mark} (?:{side}/)?([^\t]+)", 1) for mark, side in ((r"---", "a"), (r"\+\+\+", "b")))
     named = F.when(F.col("line").startswith("--- ") & (old != "/dev/null"), old).when(F.col("line").startswith("+++ ") & (F.lag("line").over(order) == "--- /dev/null"), new)
     running = F.last(named, ignorenulls=True).over(order)

@@ -26,7 +26,8 @@ def test_digests_stream_in_order(spark):
 
 def test_added_files_go_by_their_new_path(spark):
     diff = "--- a/x.rs\n+++ b/x.rs\n@@ -1,2 +1 @@\n--- /dev/null\n+++ b/new/y.rs\n@@ -0,0 +1,3 @@\n--- a/z.rs\n+++ /dev/null\n@@ -4 +0,0 @@"
-    rows = snapshot.parse_diff(spark.createDataFrame(list(enumerate(diff.split("\n"))), "pos int, line string")).collect()
+    lines = [("one", i, x) for i, x in enumerate(diff.split("\n"))]
+    rows = snapshot.parse_diff(spark.createDataFrame(lines, "diff string, pos int, line string"), ["diff"]).collect()
     assert [(r.file, r.h_start, r.h_end) for r in rows] == [("x.rs", 1, 2), ("new/y.rs", 0, 0), ("z.rs", 4, 4)]
 
 
