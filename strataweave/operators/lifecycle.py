@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ids import sha256_hex
+
 
 def sealed_evidence(evidence: DataFrame, most: int = 1000) -> DataFrame:
     """(rel_id, evidence, n): sorted distinct evidence of each relation; raises beyond ``most``."""
@@ -135,22 +137,37 @@ def trim(lists: dict[str, list], size, budget: int) -> tuple[dict[str, list], di
     return kept, {k: {"shown": len(kept[k]), "total": len(v)} for k, v in lists.items()}
 
 
+CONTRACT = "neighbours-2"
+
+
 def cursor(scope: str, out: str | None, into: str | None) -> str:
-    """An opaque page cursor that is only good for its scope."""
+    """An opaque page cursor with two positions, only good for its scope and sealed by a fingerprint of all it says."""
     import base64
     import json
 
-    return base64.urlsafe_b64encode(json.dumps([scope, out, into]).encode()).decode()
+    return base64.urlsafe_b64encode(json.dumps([CONTRACT, scope, out, into, sha256_hex(CONTRACT, scope, json.dumps([out, into]))[:16]]).encode()).decode()
 
 
 def open_cursor(text: str, scope: str) -> tuple[str | None, str | None]:
     import base64
     import json
 
-    found = json.loads(base64.urlsafe_b64decode(text.encode()))
-    if found[0] != scope:
+    try:
+        contract, own, out, into, seal = json.loads(base64.urlsafe_b64decode(text.encode()))
+    except ValueError as e:
+        raise ValueError("not a cursor") from e
+    if contract != CONTRACT or seal != sha256_hex(CONTRACT, str(own), json.dumps([out, into]))[:16]:
+        raise ValueError("not a cursor of this contract")
+    if own != scope:
         raise ValueError("the cursor belongs to another scope")
-    return found[1], found[2]
+    return out, into
+
+
+def trimmed_position(before: str | None, after: str | None, shown: list[str], total: int) -> str | None:
+    """Where the next page goes on after the first rows of a page were kept: behind the last one shown; where nothing is left, where the page itself began."""
+    if len(shown) == total:
+        return after
+    return shown[-1] if shown else before
 
 
 def context(nodes: DataFrame, edges: DataFrame, terms: list[str], depth: int, seeds: int, limit: int, semantic: DataFrame | None = None) -> DataFrame:

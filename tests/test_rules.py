@@ -1,6 +1,8 @@
 """Operators beside the graph: diffs, causal staging, folds, retrieval, serving, publication, context."""
 
+import base64
 import hashlib
+import json
 import random
 
 import pytest
@@ -200,3 +202,26 @@ def test_publication_is_whole_or_not_at_all(spark, small, tmp_path):
     assert store.active("r")[1]["build_id"] == "b2"
     store.CLAIM_MS = 0
     assert store.publish("r", "b3", nodes, edges, "b2", "d3") == 3 and store.read("r", 2)[1].count() == 1
+
+
+def test_trimmed_pages_lose_no_relation(spark):
+    """Pages within a budget of tokens, whatever it is, give every relation once; cursors that were changed don't open."""
+    edges = spark.createDataFrame([(f"o{i:02}", "calls", "a", f"b{i}", "extracted") for i in range(9)] + [(f"i{i:02}", "calls", f"c{i}", "a", "extracted") for i in range(4)], "rel_id string, rel_type string, from_id string, to_id string, class string")
+    nodes = spark.createDataFrame([("a", "symbol", "A", "m::a", "x.rs", "a", "m::a")], "entity_id string, kind string, name string, qualified_name string, file string, name_fold string, qn_fold string")
+    reader = GraphReader(nodes, edges, {"build_id": "b"})
+    for tokens in (1, 70, 200):
+        seen, more, pages = [], None, 0
+        while True:
+            out, into, more = reader.neighbors("a", cursor=more, limit=5, tokens=tokens)
+            seen += [r.rel_id for r in out.collect() + into.collect()]
+            pages += 1
+            if more is None:
+                break
+        assert sorted(seen) == sorted(r.rel_id for r in edges.collect()), tokens
+        assert tokens > 1 or pages == 13
+    more = reader.neighbors("a", limit=2)[2]
+    forged = json.loads(base64.urlsafe_b64decode(more))
+    forged[2] = "o00"
+    for text in (base64.urlsafe_b64encode(json.dumps(forged).encode()).decode(), "nonsense", more[:-8]):
+        with pytest.raises(ValueError):
+            reader.neighbors("a", cursor=text)
