@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import range_digest
 from ..operators import compaction as C
+from ..operators import research as C2
 from ..operators.traverse import cycle_members
-from ..session import table
+from ..session import settle, table
 from ..sources import tpch_graph as G
 from .registry import GRAPH, query
 
@@ -104,3 +105,30 @@ def k13(spark, d):
 def a22(spark, d):
     rows = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("k"), F.concat_ws(":", "p_partkey", "p_name").alias("f"))
     return range_digest(rows, "k", F.col("f"))
+
+
+@query(
+    "d20_research_ledger",
+    """WITH f AS (SELECT conv_id, turn, sha256('{"citations":[{"quote":'||to_json(substr(text,1,20))||',"ref":"m'||conv_id||'-'||turn||'"}],"claim":"claim '||turn||'","kind":"'||(['feature','unfinished','friction','praise'])[turn%4+1]||'","session":"c'||conv_id||'"}') AS id, turn%4 AS k FROM (SELECT DISTINCT conv_id, turn, min(text) AS text FROM conversations WHERE text IS NOT NULL GROUP BY 1,2)),
+    g AS (SELECT * FROM f WHERE k<3), n AS (SELECT *, lead(id) OVER (PARTITION BY conv_id ORDER BY turn) AS next, first_value(id) OVER (PARTITION BY conv_id ORDER BY turn) AS first, count(*) OVER (PARTITION BY conv_id) AS size FROM g)
+    SELECT id, 'fix contradicts reviewed status' AS fault FROM n WHERE conv_id%5=0 AND turn=0 UNION ALL SELECT id, 'invalid ownership evidence' FROM n WHERE conv_id%5=1 AND turn=0 UNION ALL SELECT id, 'cyclic duplicates' FROM n WHERE conv_id%5=2 AND size>1 UNION ALL SELECT id, 'invalid duplicate target' FROM n WHERE conv_id%5=2 AND size=1""",
+)
+def d20(spark, d):
+    """Messages as findings; a fifth of the conversations is decided against its status, one with a false quote, one as a ring of duplicates, one soundly."""
+    m = table(spark, d, "conversations").filter("text IS NOT NULL").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
+    kind = F.element_at(F.array(*map(F.lit, ("feature", "unfinished", "friction", "praise"))), (F.col("turn") % 4 + 1).cast("int"))
+    ref = F.concat(F.lit("m"), "conv_id", F.lit("-"), "turn")
+    cited = F.array(F.struct(ref.alias("ref"), F.substring("text", 1, 20).alias("quote")))
+    rows = m.select("conv_id", "turn", ref.alias("ref"), "text", F.lit("/w").alias("cwd"), F.concat(F.lit("c"), "conv_id").alias("session"), kind.alias("kind"), F.concat(F.lit("claim "), "turn").alias("claim"), cited.alias("citations"))
+    found = settle(C2.candidates(rows), "research-candidates")
+    at = found.withColumns({"conv_id": F.substring("session", 2, 20).cast("long"), "turn": F.substring("claim", 7, 20).cast("long")})
+    w, whole = Window.partitionBy("conv_id").orderBy("turn"), Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ring = F.coalesce(F.lead("id").over(w), F.first("id").over(whole))
+    at, part, first = at.withColumn("ring", ring), F.col("conv_id") % 5, F.col("turn") == 0
+    owner = lambda quote: F.array(F.struct(F.concat(F.lit("m"), "conv_id", F.lit("-"), "turn").alias("ref"), quote.alias("quote")))
+    said = at.filter((part == 2) | (first & part.isin(0, 1, 3))).select(
+        "id", F.when(part != 2, "repo").alias("repository"), F.when(part != 2, "core").alias("component"), F.when(part != 2, "accepted").alias("intent"), F.when(part == 0, "present").alias("implementation"),
+        F.lit(None).cast("string").alias("deployment"), F.when(part != 2, "fix").alias("action"), F.when(part == 2, "duplicate").otherwise("selected").alias("disposition"), F.when(part == 2, F.col("ring")).alias("duplicate_of"),
+        F.lit("reviewed").alias("rationale"), F.when(part == 1, owner(F.lit("never said"))).when(part != 2, owner(F.col("citations")[0]["quote"])).alias("evidence"),
+    )
+    return C2.ledger_faults(found, said, rows.select("ref", "text"))
