@@ -213,6 +213,22 @@ def g5(spark, d):
     return T.shortest_path(G.edges(spark, d, ("contains",)), START, GOAL, 4)
 
 
+def _supplier(key: int) -> str:
+    return ent("symbol", f"'supplier::{key}'")
+
+
+@query(
+    "g7_path_ties",
+    f"""WITH {GRAPH}, e AS (SELECT * FROM edges WHERE rel_type='implements'), u AS (SELECT to_id AS m, ['0'||rel_id] AS o FROM e WHERE from_id={_supplier(1)} UNION ALL SELECT from_id, ['1'||rel_id] FROM e WHERE to_id={_supplier(1)}),
+    v AS (SELECT m, list_append(o, '0'||rel_id) AS o FROM u JOIN e ON e.from_id=m AND e.to_id={_supplier(2)} UNION ALL SELECT m, list_append(o, '1'||rel_id) FROM u JOIN e ON e.to_id=m AND e.from_id={_supplier(2)}), b AS (SELECT m FROM v ORDER BY o LIMIT 1)
+    SELECT 0 AS step, {_supplier(1)} AS entity_id FROM b UNION ALL SELECT 1, m FROM b UNION ALL SELECT 2, {_supplier(2)} FROM b""",
+)
+def g7(spark, d):
+    """Of the many parts that two suppliers share, the path goes by the one found first: outgoing relations before incoming ones, then by relation id."""
+    start, goal = (G.entity_id("symbol", f"supplier::{k}") for k in (1, 2))
+    return T.shortest_path(G.edges(spark, d, ("implements",)), start, goal, 2)
+
+
 @query("g18_explain", f"WITH {GRAPH} SELECT n.entity_id, n.kind, n.name, (SELECT count(*) FROM edges WHERE from_id=n.entity_id) AS outgoing, (SELECT count(*) FROM edges WHERE to_id=n.entity_id) AS incoming FROM nodes n WHERE n.entity_id={PART_SQL}")
 def g18(spark, d):
     node = G.nodes(spark, d, ("part",)).filter(F.col("entity_id") == PART).select("entity_id", "kind", "name")
