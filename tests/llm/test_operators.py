@@ -116,6 +116,27 @@ def test_lm(spark, docs, texts):
     assert lm.score(empty(spark)).count() == 0
 
 
+def test_lm_query_lower_cases(spark, tmp_path, monkeypatch):
+    """The query's exact columns with capitals, odd spaces, nulls and counts told in parts; letters beyond A-Z keep their case."""
+    texts = ["The Cat the cat THE", "É é the\x0bCAT\u00a0x", None, "", " \t\r\n", "Cat. cat. ÀB àb àB", "the " * 9] * 3
+    texts = list(enumerate(texts))
+    rows = [*texts, (None, "The end"), (-7, "CAT Novel")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(lm, "MOST", 2)
+    count = Counter()
+    for i, t in rows:
+        if i is not None and zlib.crc32(str(i).encode()) % 5 != 1:
+            count.update([*WORD(low(t or "")), None])
+    n, v = count.total(), len(count)
+    got = {r.doc_id: r for r in lm.op2_lm_score(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    for i, t in rows:
+        w, r = [*WORD(low(t or "")), None], got[i]
+        base = sum(math.log10((count[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w)
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(count[x] > 0 for x in w), n)
+        assert r.held_out == (i is not None and zlib.crc32(str(i).encode()) % 5 == 1) and abs(r.base_score - base) < 1e-9 * abs(base)
+
+
 def test_lm_is_a_distribution(spark):
     """The chances of all known words in a context add up to one, as do those of all next bytes of a spelling."""
     import numpy as np
