@@ -175,6 +175,30 @@ def test_lm_mixer_learns_from_all_pairs(monkeypatch):
     assert abs(lm.Tree(counts).bits(np.arange(1), np.zeros(1, int)) - whole).max() < 1e-9
 
 
+def test_lm_mixer_sees_a_level_once(monkeypatch):
+    """What a level's nodes predict is found once for all four passes."""
+    import numpy as np
+
+    seen, inputs = [], lm.Tree._inputs
+    monkeypatch.setattr(lm.Tree, "_inputs", lambda *a: seen.append(1) or inputs(*a))
+    counts = np.random.default_rng(2).integers(0, 5, (300, lm.STATES))
+    tree = lm.Tree(counts + 1)
+    assert len(seen) == tree.depth == 9
+    monkeypatch.setattr(lm, "LEARN", 1000)
+    assert np.abs(lm.Tree(counts + 1).weights - tree.weights).max() < 1e-9 and len(seen) > 5 * 9
+
+
+def test_lm_counters_in_steps():
+    """The gates and counters are those of the formulas that they stand for."""
+    import numpy as np
+
+    n = np.arange(70_000)
+    for width, most in ((2, 7), (2, 3), (3, 3)):
+        assert (lm.level(n, width, most) == np.minimum(most, np.log2(n + 1) // width)).all()
+    n1, n = np.array([0, 0, 1, 3, 200_000], np.float32), np.array([0, 5, 1, 4, 200_000], np.float32)
+    assert np.abs(lm.counted(n1, n) - lm.stretch(np.clip((n1.astype(float) + 0.05) / (n + 0.1), 1e-6, 1 - 1e-6))).max() < 1e-3
+
+
 def test_lm_follows_phrases():
     """What is predicted after a phrase, by brute force: with and without a training text's own occurrence."""
     import numpy as np
