@@ -116,6 +116,54 @@ def test_lm(spark, docs, texts):
     assert lm.score(empty(spark)).count() == 0
 
 
+def test_lm_learns_from_the_words_before(spark):
+    """Of two words that are equally frequent, the one that follows the word before is told in far fewer bits."""
+    rng = random.Random(5)
+    say = lambda: " ".join(f"{'fish' if (c := rng.choice('ab')) == 'a' else 'bird'} {'swims' if c == 'a' else 'flies'} x{rng.randrange(9)}" for _ in range(60))
+    rows = [(i, say()) for i in range(200)]
+    held = [i for i in range(200, 999) if not lm.is_train(i)][:4]
+    rows += zip(held, ["fish swims", "fish flies", "bird flies", "bird swims"])
+    got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)).collect()}
+    a, b, c, d = (got[i] for i in held)
+    assert a > b + 0.5 and c > d + 0.5
+
+
+def test_lm_more_buckets_than_groups(spark, texts):
+    """A group of several buckets: hashes find their group and bucket, and scores stay close to those of fewer buckets."""
+    import numpy as np
+
+    h = np.random.default_rng(1).integers(0, 1 << 63, 9999).astype(np.uint64) * np.uint64(2)
+    for buckets in (3, 256, 300, 1000):
+        bucket, group = lm.dealt(h, buckets), lm.grouped(h)
+        assert 0 <= bucket.min() and bucket.max() == buckets - 1 and 0 <= group.min() and group.max() == lm.GROUPS - 1
+        low, high = (bucket, group) if buckets > lm.GROUPS else (group, bucket)
+        assert len(set(zip(low.tolist(), high.tolist()))) == len(set(low.tolist()))
+    rows = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    few, many = ({r.doc_id: r for r in lm.score(rows, buckets=n).collect()} for n in (5, 300))
+    for i, r in few.items():
+        assert r.n_known == many[i].n_known and abs(r.score - many[i].score) < 0.05 * abs(r.score) + 1
+
+
+def test_lm_groups_are_a_distribution():
+    """The chances of all groups in a context add up to one at most, own occurrences left out as if the token had not been counted."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    shape = (16, lm.STATES, lm.GROUPS)
+    counts = rng.integers(1, 9, shape) * (rng.random(shape) < 0.01)
+    mixer = lm.Preceding(counts.sum(axis=0), counts)
+    assert mixer.learn() == counts.sum()
+    held, own = (x.astype(float) for x in mixer.bits())
+    total = (2.0**-held).sum(axis=2)
+    assert total.max() <= 1 + 1e-9 and total.min() > 0.97
+    word, state, group = (int(x[0]) for x in np.nonzero(counts))
+    less = counts.copy()
+    less[word, state, group] -= 1
+    again, _ = lm.Preceding(less.sum(axis=0), less, mixer.weights).bits()
+    assert abs(float(again[word, state, group]) - own[word, state, group]) < 0.02
+    assert (own >= held - 0.05)[counts > 0].mean() > 0.99
+
+
 def test_lm_query_lower_cases(spark, tmp_path, monkeypatch):
     """The query's exact columns with capitals, odd spaces, nulls and counts told in parts; letters beyond A-Z keep their case."""
     texts = ["The Cat the cat THE", "É é the\x0bCAT\u00a0x", None, "", " \t\r\n", "Cat. cat. ÀB àb àB", "the " * 9] * 3
