@@ -45,7 +45,17 @@ def canonical_json(df: DataFrame, column: str) -> Column:
 
 
 def base62(number: Column, width: int) -> Column:
-    """A whole number from 0 on in ``width`` base-62 digits; higher digits are dropped."""
-    number = number.cast("decimal(38,0)")
-    digit = lambda k: F.substring(F.lit(DIGITS_62), (F.floor(number / F.lit(62**k).cast("decimal(38,0)")) % 62).cast("int") + 1, F.lit(1))
-    return F.concat(*[digit(k) for k in range(width - 1, -1, -1)])
+    """A whole number from 0 on in ``width`` base-62 digits; higher digits are dropped.
+
+    Quotients are taken of exact multiples, since a division of decimals is rounded to six places.
+    """
+    number, most = number.cast("decimal(38,0)"), 10**38
+
+    def digit(k: int) -> Column:
+        if 62**k >= most:
+            return F.lit(DIGITS_62[0])
+        unit = F.lit(str(62**k)).cast("decimal(38,0)")
+        left = number % F.lit(str(62 ** (k + 1))).cast("decimal(38,0)") if 62 ** (k + 1) < most else number
+        return F.substring(F.lit(DIGITS_62), ((left - left % unit) / unit).cast("int") + 1, F.lit(1))
+
+    return F.when(number.isNotNull(), F.concat(*[digit(k) for k in range(width - 1, -1, -1)]))
