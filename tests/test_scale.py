@@ -19,3 +19,12 @@ def test_base62_takes_no_rounded_quotients(spark):
     rows = spark.createDataFrame([(str(v),) for v in values] + [(None,)], "n string").select("n", *(base62(F.col("n"), w).alias(f"w{w}") for w in (10, 24)))
     for r in rows.collect():
         assert (r.w10, r.w24) == ((None, None) if r.n is None else (plain(int(r.n), 10), plain(int(r.n), 24)))
+
+
+def test_rfc3339_beyond_the_year_9999(spark):
+    """Years need no sign and may have more than four digits, and times just before midnight keep their day."""
+    day = 86_400_000
+    want = {0: "1970-01-01T00:00:00.000Z", -1: "1969-12-31T23:59:59.999Z", 253402300799999: "9999-12-31T23:59:59.999Z", 253402300800000: "10000-01-01T00:00:00.000Z", 500000000000000: "17814-05-16T00:53:20.000Z", -60000000000000: "0068-09-03T13:20:00.000Z"}
+    want |= {100_000_000 * day - 1: "275760-09-12T23:59:59.999Z"}
+    rows = spark.createDataFrame([(m,) for m in want] + [(None,)], "m long").select("m", rfc3339(F.col("m")).alias("shown"))
+    assert {r.m: r.shown for r in rows.collect()} == want | {None: None}
