@@ -36,3 +36,21 @@ def test_diff_goes_by_the_id_alone(spark):
     new = spark.createDataFrame([("r1", "calls"), ("r1", "calls"), ("r2", "references"), ("new", "calls"), ("new", "references"), ("new", "calls")], "rel_id string, rel_type string")
     got = sorted(map(tuple, graph_reads.diff(old, new, "rel_id", "rel_type").collect()))
     assert got == [("gone", "calls", "removed"), ("new", "calls", "added"), ("new", "calls", "added"), ("new", "references", "added")]
+
+
+def test_import_theta_on_few_names(spark, tmp_path):
+    """The pairs of a name are not made: names of one brand, of two and of many, rows without name or brand."""
+    from strataweave.plans.catalog import queries
+
+    rows = [(i, f"n{i % 3}" if i % 11 else None, f"b{i * i % 5}" if i % 13 else None) for i in range(400)] + [(1000 + i, "own", "one") for i in range(5)] + [(2000 + i, "two", f"b{i % 2}") for i in range(4)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    want = {}
+    for a, n, x in rows:
+        others = [b for b, m, y in rows if n is not None and m == n and x is not None and y is not None and x != y]
+        if others:
+            want[a] = min(others)
+    found = queries()["j11_import_theta"](spark, str(tmp_path))
+    assert {r.a: r.b for r in found.collect()} == want
+    # Before, parts met all others of their name: no join may have parts on both sides.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "NOT (ab" not in plan
