@@ -54,3 +54,18 @@ def test_import_theta_on_few_names(spark, tmp_path):
     # Before, parts met all others of their name: no join may have parts on both sides.
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "NOT (ab" not in plan
+
+
+def test_raw_strings_end_at_their_own_mark(spark):
+    """A quote or bracket within a raw string is text, and one that never ends is an error; neither is looked for again from each later token."""
+    from strataweave.operators import declarations as D
+
+    assert [k for k, _, _ in D.tokens_of("rust", 'r#"a " { "# x br##"q"# "## r"" r#type')] == ["string", "ident", "string", "string", "ident"]
+    assert [k for k, _, _ in D.tokens_of("rust", 'x r#"open" r#"open"')][-1] == "error"
+    text = 'fn a() { let x = r#"one " { é"#; b(x) }\n' * 2 + "\n\nfn c() {}"
+    found = D.syntax(spark.createDataFrame([("lib.rs", text), ("m.rs", "mod m { fn f() { r##\" }"), ("n.rs", ") fn x() {}")], "path string, text string"))
+    assert {r.path: (r.status, r.declarations) for r in found.coverage.collect()} == {"lib.rs": ("parsed", 3), "m.rs": ("parse_error", 0), "n.rs": ("parse_error", 0)}
+    raw, lines = text.encode(), text.split("\n")
+    places = [*found.declarations.collect(), *found.sites.collect()]
+    assert sorted((r.name, r.line) for r in places) == [("a", 1), ("a", 2), ("b", 1), ("b", 2), ("c", 5)]
+    assert all(raw[r.byte_start : r.byte_end].decode() == r.name and lines[r.line - 1][r.col - 1 :].startswith(r.name) for r in places)
