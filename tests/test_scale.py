@@ -69,3 +69,29 @@ def test_raw_strings_end_at_their_own_mark(spark):
     places = [*found.declarations.collect(), *found.sites.collect()]
     assert sorted((r.name, r.line) for r in places) == [("a", 1), ("a", 2), ("b", 1), ("b", 2), ("c", 5)]
     assert all(raw[r.byte_start : r.byte_end].decode() == r.name and lines[r.line - 1][r.col - 1 :].startswith(r.name) for r in places)
+
+
+def test_records_stream_past_blocks_of_asked_rows(spark, monkeypatch):
+    """Several blocks and several tables a batch give what all pairs give, and pairs are neither shuffled nor made distinct."""
+    import random
+
+    from strataweave.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "ASKED_WORDS", 40)
+    monkeypatch.setattr(retrieval, "COUNTS", 60)
+    rng = random.Random(4)
+    rows = [(i, rng.choice(["x", "y", None]), [rng.choice("abcdefghij") for _ in range(rng.randrange(6))]) for i in range(300)] + [(400, "x", None), (None, "x", ["a"])]
+    df = spark.createDataFrame(rows, "id long, g string, w array<string>")
+    want = {}
+    for a, g, v in rows:
+        for b, h, w in rows:
+            n = len(set(v or ()) & set(w or ()))
+            if n and g is not None and g == h and a is not None and b is not None and a != b and a % 10 == 0:
+                want[a, b] = n
+    pairs = retrieval.reconcile_pairs(df.filter("id % 10 = 0"), df, "id", "g", "w")
+    got = [tuple(r) for r in pairs.collect()]
+    assert sorted(got) == sorted({(min(p), max(p), n) for p, n in want.items()})
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    every = retrieval.related(df.filter("id % 10 = 0"), df, "id", "g", "w", 3).collect()
+    assert sorted((r.a, r["rank"], r.b, r.shared) for r in every) == sorted((a, k + 1, b, -n) for a in {a for a, _ in want} for k, (n, b) in enumerate(sorted((-n, b) for (x, b), n in want.items() if x == a)[:3]))
