@@ -95,3 +95,28 @@ def test_records_stream_past_blocks_of_asked_rows(spark, monkeypatch):
     assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan
     every = retrieval.related(df.filter("id % 10 = 0"), df, "id", "g", "w", 3).collect()
     assert sorted((r.a, r["rank"], r.b, r.shared) for r in every) == sorted((a, k + 1, b, -n) for a in {a for a, _ in want} for k, (n, b) in enumerate(sorted((-n, b) for (x, b), n in want.items() if x == a)[:3]))
+
+
+def test_cosines_by_blocks(spark, monkeypatch):
+    """Blocks of a few vectors give each pair of a group once; null labels take no part, zero vectors have no direction, null vectors no cosine."""
+    import math
+    import random
+
+    from strataweave.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "VECTORS", 7)
+    rng = random.Random(5)
+    rows = [(i, rng.choice([1, 1, 2, None]), [rng.uniform(-1, 1) for _ in range(5)]) for i in range(90)] + [(200, 1, [0.0] * 5), (201, 2, None)]
+    found = retrieval.cosine_pairs(spark.createDataFrame(rows, "id long, g int, v array<double>"), "id", "g", "v")
+    got = found.collect()
+    want = {}
+    for a, g, x in rows:
+        for b, h, y in rows:
+            if g is not None and g == h and a < b:
+                size = math.sqrt(sum(t * t for t in x)) * math.sqrt(sum(t * t for t in y)) if x and y else None
+                want[a, b] = None if size is None else math.nan if size == 0 else sum(s * t for s, t in zip(x, y)) / size
+    assert sorted((r.a, r.b) for r in got) == sorted(want)
+    for r in got:
+        w = want[r.a, r.b]
+        assert r.cosine is None if w is None else math.isnan(r.cosine) if math.isnan(w) else abs(r.cosine - w) <= 5.1e-7 and round(r.cosine, 6) == r.cosine
+    assert "FlatMapGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
