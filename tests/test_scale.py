@@ -120,3 +120,29 @@ def test_cosines_by_blocks(spark, monkeypatch):
         w = want[r.a, r.b]
         assert r.cosine is None if w is None else math.isnan(r.cosine) if math.isnan(w) else abs(r.cosine - w) <= 5.1e-7 and round(r.cosine, 6) == r.cosine
     assert "FlatMapGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_communities_and_bridges_with_any_ids(spark):
+    """Own ids, other texts and lookalikes stay apart; both directions, repeats and self-loops count as with all distinct pairs."""
+    import random
+
+    from strataweave.operators import analytics
+
+    rng = random.Random(6)
+    ids = [f"ent:{rng.randrange(16**12):012x}" for _ in range(12)] + ["ent:000000000000", "ent:ffffffffffff", "ENT:0000000000aa", "ent:0000000000AA", "ent:0000000000aa", "", "x", "-1"]
+    home = {x: f"c{i % 4}" for i, x in enumerate(ids[:-1])}
+    edges = [(rng.choice(ids), rng.choice(ids)) for _ in range(90)] + [("x", "x"), ("x", ""), ("", "x"), (None, "x")]
+    e = spark.createDataFrame(edges, "from_id string, to_id string")
+    label = spark.createDataFrame(list(home.items()), "entity_id string, community string")
+    pairs = {p for a, b in edges if a is not None for p in ((a, b), (b, a))}
+    met = analytics.community_edges(e, label)
+    for r in met.collect():
+        assert r.internal == sum(a < b and home.get(a) == home.get(b) == r.community for a, b in pairs)
+        assert r.boundary == sum(home.get(a) == r.community and b in home and home[b] != r.community for a, b in pairs)
+    nodes = label.selectExpr("entity_id", "'symbol' AS kind", "entity_id AS name")
+    near = {a: [b for x, b in pairs if x == a and b in home] for a in home}
+    want = sorted(((-len({home[b] for b in bs}), -len(bs), a) for a, bs in near.items() if len({home[b] for b in bs}) >= 3))[:5]
+    bridges = analytics.bridge_nodes(nodes, e, label)
+    assert [(-r.spans, -r.degree, r.entity_id) for r in bridges.collect()] == want
+    # Pairs go to their labels once, not in both directions, and no row is doubled to count two columns.
+    assert "Expand" not in bridges._jdf.queryExecution().executedPlan().toString() and "Union" not in met._jdf.queryExecution().executedPlan().toString()
